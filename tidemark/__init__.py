@@ -1,0 +1,18 @@
+"""Tidemark: bitemporal attention analytics and training-data operators on Spark."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where it is at the same path; on a cluster without it, ship it with --py-files."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = ":".join([ROOT, *paths])
+    return spark
