@@ -228,24 +228,29 @@ def decoded(tokens: DataFrame, tokenizer_path: str, id_column: str = "doc_id") -
     return tokens.select(F.col(id_column).cast("long").alias("id"), "ids").mapInArrow(run, "id long, text string").withColumnRenamed("id", id_column)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes each whole text where it is read, and returns digests: id, n_tokens, ids_sha256 (of ids as
-    little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded text in UTF-8).
+    little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded text in UTF-8). with_ids: the ids too.
 
     Null texts count as empty; an empty text has no tokens and the digest of nothing; repeated rows give a row each;
     a null id stays null; other columns are left out; an empty table gives none.
     """
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for batch in slices(batches, "text", BATCH_BYTES):
-            n, ids_sha, text_sha = [], [], []
+            ids_sha, text_sha, all_ids = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = c.encode(t or "")
-                raw = c.decode(ids)
-                n.append(len(ids))
+                all_ids.append(ids)
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _rows(docs, id_column).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)
+                text_sha.append(hashlib.sha256(c.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
+            sizes = np.array([len(i) for i in all_ids], np.int64)
+            columns = [batch.column(0), pa.array(sizes), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(all_ids).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    return _rows(docs, id_column).mapInArrow(run, schema).withColumnRenamed("id", id_column)

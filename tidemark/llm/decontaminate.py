@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import ALNUM, flat, slices, word_hashes, words
-from .store import with_row_id
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
+#: Bytes of items whose automaton is broadcast at once.
+SHARE_BYTES = 1 << 20
 
 
 class Automaton:
@@ -176,71 +177,80 @@ class Matcher:
         return first, number, list(zip(begin[keep].tolist(), end[keep].tolist(), strict=True))
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, share_bytes: int = 1 << 20) -> DataFrame:
+def scanned(matcher: Matcher, text: pa.Array) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[int]]]]:
+    """Number of words of each text, and for texts with hits their merged spans of words and the items."""
+    first, number, runs = matcher.runs(*flat(text))
+    found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
+    for a, b in runs:
+        doc = int(np.searchsorted(first, a, side="right")) - 1
+        base = a - int(first[doc])
+        for s, e, items in matcher.automaton.scan(number[a:b].tolist()):
+            spans, ids = found.setdefault(doc, ([], set()))
+            s, e = s + base, e + base
+            while spans and s <= spans[-1][1]:
+                last = spans.pop()
+                s, e = min(s, last[0]), max(e, last[1])
+            spans.append((s, e))
+            ids |= items
+    return np.diff(first), found
+
+
+def matchers(items: DataFrame, window: int, share_bytes: int) -> list:
+    """Broadcast matchers, each over a share of the items of at most about `share_bytes` of text. Items of null id are left out."""
+    spark = items.sparkSession
+    part = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
+    size = part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    shares = max(1, -(-int(size["bytes"] + 16 * size["rows"]) // share_bytes))
+    out = []
+    for k in range(shares):
+        own = part if shares == 1 else part.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == k)
+        out.append(spark.sparkContext.broadcast(Matcher(sorted((r["item_id"], r["text"] or "") for r in own.collect()), window)))
+    return out
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """One row a document row: rid, doc_id, n_words, spans (maximal hit runs of words, [start, end)), items (ids with windows in it).
 
-    Needs `rid`. Items of null or wordless text have no window.
+    Needs rid, doc_id and text. Items of null or wordless text have no window. Each share
+    of the items is a pass; with more than one, spans are merged by rid.
     """
-    spark = docs.sparkSession
-    sizes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    shares = max(1, -(-int(sizes["n"] + 16 * sizes["rows"]) // share_bytes))
-    rows = docs.select("rid", F.col("text").cast("string").alias("text"))
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shares = matchers(items, window, share_bytes)
     out = None
-    for k in range(shares):
-        part = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
-        if shares > 1:
-            part = part.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == k)
-        matcher = spark.sparkContext.broadcast(Matcher(sorted((r["item_id"], r["text"] or "") for r in part.collect()), window))
+    for matcher in shares:
 
         def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
-            m = matcher.value
             for batch in slices(batches, "text"):
-                body, off = flat(batch.column(1))
-                first, number, runs = m.runs(body, off)
-                found: dict[int, tuple[list, set]] = {}
-                for a, b in runs:
-                    doc = int(np.searchsorted(first, a, side="right")) - 1
-                    for s, e, its in m.automaton.scan(number[a:b].tolist()):
-                        spans, ids = found.setdefault(doc, ([], set()))
-                        s += a - int(first[doc])
-                        e += a - int(first[doc])
-                        if spans and s <= spans[-1][1]:
-                            spans[-1] = (min(s, spans[-1][0]), max(e, spans[-1][1]))
-                            while len(spans) > 1 and spans[-1][0] <= spans[-2][1]:
-                                last = spans.pop()
-                                spans[-1] = (min(last[0], spans[-1][0]), max(last[1], spans[-1][1]))
-                        else:
-                            spans.append((s, e))
-                        ids |= its
-                n = batch.num_rows
-                spans = [[{"start": s, "end": e} for s, e in found[i][0]] if i in found else [] for i in range(n)]
-                ids = [sorted(found[i][1]) if i in found else [] for i in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], ["rid", "n_words", "spans", "items"])
-
-        found = rows.mapInArrow(scan, "rid long, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
-        out = found if out is None else out.unionByName(found)
-    if shares > 1:
-        merged = out.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        join = F.aggregate(
-            "all",
-            F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-        )
-        out = merged.select("rid", "n_words", join.alias("spans"), "items")
-    return out
+                n_words, found = scanned(matcher.value, batch.column(2))
+                none: tuple[list, set] = ([], set())
+                spans = [[{"start": s, "end": e} for s, e in found.get(i, none)[0]] for i in range(batch.num_rows)]
+                ids = [sorted(found.get(i, none)[1]) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], ["rid", "doc_id", "n_words", "spans", "items"])
+
+        part = rows.mapInArrow(scan, "rid long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
+        out = part if out is None else out.unionByName(part)
+    if len(shares) == 1:
+        return out
+    merged = out.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    join = F.aggregate(
+        "all",
+        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
+    )
+    return merged.select("rid", "doc_id", "n_words", join.alias("spans"), "items")
 
 
-def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; repeated rows give a row each; a null
     doc_id stays null; repeated items count once by id; an empty benchmark hits
     nothing. Other columns are left out, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("rid"), "text")
-    found = hits(rows, items, window)
+    # The number only tells a row's parts of several passes apart; each pass reads the same rows in the same order.
+    found = hits(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), items, window, share_bytes)
     return found.select(
-        F.col("rid").alias("doc_id"),
+        "doc_id",
         "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -249,35 +259,43 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     )
 
 
-def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_hit_words: int = 50, max_coverage: float = 0.2) -> DataFrame:
-    """The documents with hit spans cut out; a document is dropped where more than `max_hit_words` words or more than
-    `max_coverage` of its words are hit. Texts without a hit are kept as they are, null texts too.
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what parts each from the word before."""
+    at = [m.span() for m in WORD.finditer(text.translate(ASCII_LOWER))]
+    pieces, last = [], 0
+    for a, b in spans:
+        pieces.append(text[last : at[a - 1][1] if a else at[a][0]])
+        last = at[b - 1][1]
+    return "".join([*pieces, text[last:]])
 
-    Words are cut with what parts them from the word before; all columns stay.
+
+def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_hit_words: int = 50, max_coverage: float = 0.2, share_bytes: int = SHARE_BYTES) -> DataFrame:
+    """The documents with hit spans cut out; a document goes where more than `max_hit_words` words or more than
+    `max_coverage` of its words are hit. Texts without a hit stay as they are, null texts too. All columns stay.
+
+    Each share of the items is a pass over what the one before has left, so spans
+    of words that only came together by a cut count as well.
     """
-    keyed = with_row_id(docs)
-    found = hits(keyed, items, window).where(F.size("spans") > 0)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    marked = keyed.join(found.select("rid", "spans", (hit > max_hit_words).alias("many"), (hit > max_coverage * F.col("n_words")).alias("dense")), "rid", "left")
-    kept = marked.where(F.coalesce(~F.col("many") & ~F.col("dense"), F.lit(True)))
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        out = []
-        for t, ss in zip(text, spans, strict=True):
-            if ss is None or t is None:
-                out.append(t)
-                continue
-            at = [m.span() for m in WORD.finditer(t.translate(ASCII_LOWER))]
-            pieces, last = [], 0
-            for s in ss:
-                a, b = int(s["start"]), int(s["end"])
-                pieces.append(t[last : at[a - 1][1] if a else at[a][0]])
-                last = at[b - 1][1]
-            out.append("".join([*pieces, t[last:]]))
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("spans")))
-    return kept.withColumn("text", text).select(*docs.columns)
+    names = docs.columns
+    at = names.index("text")
+    for matcher in matchers(items, window, share_bytes):
+
+        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                n_words, found = scanned(matcher.value, batch.column(at))
+                if not found:
+                    yield batch
+                    continue
+                keep = np.ones(batch.num_rows, bool)
+                texts = batch.column(at).to_pylist()
+                for i, (spans, _) in found.items():
+                    n = sum(e - s for s, e in spans)
+                    if n > max_hit_words or n > max_coverage * n_words[i]:
+                        keep[i] = False
+                    else:
+                        texts[i] = cut(texts[i], spans)
+                new = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                yield new.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

@@ -251,11 +251,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def classes(keyed: DataFrame) -> DataFrame:
-    """(rid, doc_id, n, component_id) of rows with rid, doc_id and text."""
+    """(rid, doc_id, n, component_id, first) of rows with rid, doc_id and text; first: the row is its component's smallest by rid."""
     sets, labels = linked_sets(keyed)
     ids = sets.join(keyed.select("rid", "doc_id"), "rid")
     ids = ids if labels is None else ids.join(labels.withColumnRenamed("id", "sid"), "sid", "left")
     ids = ids.withColumn("component", F.coalesce(F.col("component"), F.col("sid")) if labels is not None else F.col("sid"))
-    least = ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    some = ids.where("n > 0").join(least, "component").select("rid", "doc_id", "n", "component_id")
-    return some.unionByName(ids.where("n = 0").select("rid", "doc_id", "n", F.col("doc_id").alias("component_id")))
+    least = ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("rid").alias("first_rid"))
+    some = ids.where("n > 0").join(least, "component").select("rid", "doc_id", "n", "component_id", (F.col("rid") == F.col("first_rid")).alias("first"))
+    return some.unionByName(ids.where("n = 0").select("rid", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without near copies: of each component the one of the smallest id; texts without shingles all stay. All columns stay."""
+    keyed = with_row_id(docs)
+    stay = classes(keyed.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).where("first").select("rid")
+    return keyed.join(stay, "rid", "left_semi").select(*docs.columns)

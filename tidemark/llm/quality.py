@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,3 +162,22 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = written(features(docs), "quality-features")
     score = train(table, labels).score()
     return table.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score CUT or more, with all their columns; null and empty texts are scored like any other.
+
+    The sample to fit on is bounded, so it is found by a broadcast join; every text is then scored where it is read.
+    """
+    sample = F.broadcast(labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS))
+    table = written(features(docs.select("doc_id", "text").join(sample, "doc_id", "left_semi")), "quality-features")
+    ranker = train(table, labels)
+
+    @F.pandas_udf("array<double>")
+    def numbers(text: pd.Series) -> pd.Series:  # type: ignore[valid-type]
+        column = pa.array(text, pa.string(), from_pandas=True)
+        rows = [features_of(column.slice(i, 256)) for i in range(0, len(column), 256)]
+        return pd.Series([r.tolist() for part in rows for r in part], dtype=object)
+
+    scored = docs.withColumn("__features", numbers(F.col("text").cast("string")))
+    return scored.where(ranker.score("__features") >= CUT).select(*docs.columns)

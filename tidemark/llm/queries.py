@@ -44,6 +44,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import nn_descent
+
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard_join
 
@@ -73,6 +81,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_secret_scans, op5_substring_dedup, op7_jaccard_join, op8_bpe_round_trip, op9_chat_formatting, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_secret_scans, op5_substring_dedup, op6_nn_descent, op7_jaccard_join, op8_bpe_round_trip, op9_chat_formatting, op10_token_counts)}
 
 SQL: dict[str, str] = {}
