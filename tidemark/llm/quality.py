@@ -145,8 +145,9 @@ def train(table: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS)
     rows = table.join(own, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("y").alias("y")).orderBy("doc_id").collect()
-    x = np.array([r["features"] for r in rows], float).reshape(len(rows), -1)
-    if not len(rows):
+    if rows:
+        x = np.array([r["features"] for r in rows], float)
+    else:
         first = table.select(F.size("features")).first()
         x = np.zeros((0, first[0] if first else 1))
     return fit_ranker(x, np.array([r["y"] == 1 for r in rows], bool))
