@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that are no terms.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "was", "are", "der", "die", "das", "und", "les", "des", "que", "los", "las", "para")
@@ -86,12 +87,12 @@ def match_terms(docs: DataFrame, dictionary: DataFrame, id_column: str, text: st
     return asked.unionByName(bound).groupBy(id_column, "topic").agg(F.sum("hits").alias("hits"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("array<struct<raw:string,value:double,unit:string,start:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("raw", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("start", T.IntegerType())])))
 def quantities(text: pd.Series) -> pd.Series:
     """Numbers with their units, scaled, and where they stand; a currency before the number is its unit."""
 
@@ -108,7 +109,9 @@ def quantities(text: pd.Series) -> pd.Series:
 #: Actions that make a sentence a fact, and how much each weighs.
 ACTIONS = {"then": 1, "thing": 2, "there": 1, "edition": 2, "nation": 3}
 NEGATION = re.compile(r"(?i)\b(not|no|never|nicht|ne|pas)\b")
-FACT = "array<struct<subject:string,action:string,numbers:array<double>,denied:boolean,weight:int>>"
+FACT = T.ArrayType(
+    T.StructType([T.StructField("subject", T.StringType()), T.StructField("action", T.StringType()), T.StructField("numbers", T.ArrayType(T.DoubleType())), T.StructField("denied", T.BooleanType()), T.StructField("weight", T.IntegerType())])
+)
 
 
 @F.pandas_udf(FACT)
