@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import on_workers
 
+from .oracles import SQL as SQL
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -82,5 +84,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_secret_scans, op5_substring_dedup, op6_nn_descent, op7_jaccard_join, op8_bpe_round_trip, op9_chat_formatting, op10_token_counts)}
-
-SQL: dict[str, str] = {}
