@@ -329,11 +329,33 @@ def numeric_exprs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT vec_id, round(CASE WHEN x <= -0.1 THEN 0 WHEN x < 0 THEN (x + 0.1) * 4 WHEN x < 0.1 THEN 0.4 + x * 6 ELSE 1 END, 6) AS calibrated FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)")
-def interpolated(spark: SparkSession, d: str) -> DataFrame:
+def interpolate_query(spark: SparkSession, d: str) -> DataFrame:
     """a calibration curve between fixed points."""
     return table(spark, d, "embeddings").select("vec_id", F.round(interpolate(F.element_at("embedding", 1).cast("double"), [-0.1, 0.0, 0.1], [0.0, 0.4, 1.0]), 6).alias("calibrated"))
 
 
+QUERIES["interpolate"], SQL["interpolate"] = QUERIES.pop("interpolate_query"), SQL.pop("interpolate_query")
+
+
+@query(f"WITH {SCORED_SQL} SELECT day, count(*) AS n, round(1.0::DOUBLE / count(*), 9) AS weight, round(sum(y) * (1.0::DOUBLE / count(*)), 6) AS weighted_positives FROM sd GROUP BY 1")
+def date_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights by which each day counts once, however many rows it has."""
+    w = scored(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+    return w.select("day", "n", F.round(1.0 / F.col("n"), 9).alias("weight"), F.round(F.col("positives") * (1.0 / F.col("n")), 6).alias("weighted_positives"))
+
+
+_COEF = (("x0", 2.0, 0.3), ("x1", -1.5, 0.0), ("x2", 0.5, -0.2))
+
+
+@query(f"""WITH e AS (SELECT vec_id, {", ".join(f"CASE WHEN vec_id % {7 + k} = 0 THEN NULL ELSE CAST(embedding[{k + 1}] AS DOUBLE) END AS x{k}" for k in range(3))} FROM embeddings), l AS ({" UNION ALL ".join(f"SELECT vec_id, '{n}' AS feature, coalesce(x{k}, 0) * {c}::DOUBLE + CASE WHEN x{k} IS NULL THEN {m}::DOUBLE ELSE 0 END AS part FROM e" for k, (n, c, m) in enumerate(_COEF))})
+SELECT vec_id, feature, round(part, 6) + 0.0::DOUBLE AS part FROM l""")
+def contributions(spark: SparkSession, d: str) -> DataFrame:
+    """F8: what each feature adds to a linear score, the missing flag's weight where it is unknown."""
+    e = table(spark, d, "embeddings").select("vec_id", *[F.when(F.col("vec_id") % (7 + k) != 0, F.element_at("embedding", k + 1).cast("double")).alias(f"x{k}") for k in range(3)])
+    parts = F.array(*[F.struct(F.lit(n).alias("feature"), (F.coalesce(F.col(n), F.lit(0.0)) * c + F.when(F.col(n).isNull(), m).otherwise(0.0)).alias("part")) for n, c, m in _COEF])
+    return e.select("vec_id", F.explode(parts).alias("p")).select("vec_id", "p.feature", (F.round("p.part", 6) + 0.0).alias("part"))
+
+
 @query()
 def style_residual(spark: SparkSession, d: str) -> DataFrame:
     """What size, price and activity leave unexplained of a day's returns, by ridge with group dummies."""

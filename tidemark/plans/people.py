@@ -44,6 +44,13 @@ def new_today(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("cumulative", F.sum("new_actors").over(w))
 
 
+@query(f"""WITH {EV}, f AS (SELECT source, user_id, min(day) AS day FROM ev WHERE object_id < 50 GROUP BY 1, 2), n AS (SELECT source, day, count(*) AS first_time FROM f GROUP BY 1, 2) SELECT source, day, first_time, CAST(sum(first_time) OVER (PARTITION BY source ORDER BY day) AS BIGINT) AS actors FROM n""")
+def cumulative_actors(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct actors since the start, as a running sum of first-seen flags."""
+    f = A.first_seen(events(spark, d).where("object_id < 50"), ["source"], "user_id", "day").groupBy("source", F.col("first").alias("day")).agg(F.count(F.lit(1)).alias("first_time"))
+    return f.withColumn("actors", F.sum("first_time").over(Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 @query(f"""WITH {EV}, a AS (SELECT DISTINCT source, user_id, day FROM ev), l AS (SELECT *, lag(day) OVER (PARTITION BY source, user_id ORDER BY day) AS before, day - min(day) OVER (PARTITION BY source) AS background FROM a)
 SELECT source, day, CASE WHEN day - before <= 5 THEN 'continuous' WHEN before IS NOT NULL THEN 'returning' WHEN background >= 3 THEN 'new_in_sample' ELSE 'unknown' END AS cohort, count(*) AS actors FROM l GROUP BY 1, 2, 3""")
 def actor_cohorts(spark: SparkSession, d: str) -> DataFrame:

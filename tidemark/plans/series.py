@@ -230,3 +230,11 @@ def path_retention(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("source", "day").agg(
         F.count(F.lit(1)).alias("points"), F.round(F.count_if(F.col("value") >= 3).cast("double") / F.count(F.lit(1)), 6).alias("active_share"), F.max("value").alias("peak"), F.round(F.max_by("value", "tick").cast("double") / F.max("value"), 6).alias("tail_retention")
     )
+
+
+@query(f"WITH {CLOCK_SQL}, k AS (SELECT *, lag(value) OVER (PARTITION BY source, day ORDER BY tick) AS before FROM c) SELECT source, day, tick, value, round(q, 6) AS q FROM k WHERE (before IS NULL OR before <> value) AND q IS NOT NULL")
+def run_path(spark: SparkSession, d: str) -> DataFrame:
+    """The day's path of a series, repeated observations left out."""
+    c = S.same_clock(hourly(spark, d), ["source"], "slot", "day", "value")
+    k = c.withColumn("before", F.lag("value").over(Window.partitionBy("source", "day").orderBy("tick")))
+    return k.where("(before is null or before <> value) and q is not null").select("source", "day", "tick", "value", *r6("q"))

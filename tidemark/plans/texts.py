@@ -75,6 +75,12 @@ def phrase_burst(spark: SparkSession, d: str) -> DataFrame:
     return b.select("term", "n_recent", "n_past", "n_sources", "burst", "deviance", "eligible").orderBy(F.desc("eligible"), F.desc("deviance"), F.desc("n_sources"), F.desc("n_recent"), "term").limit(40)
 
 
+@query(f"WITH {PHRASES_SQL} SELECT term, n_recent, n_past, n_sources FROM ph WHERE n_recent >= 5")
+def term_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sources of terms and pairs, recent and past."""
+    return phrases(spark, d).where("n_recent >= 5")
+
+
 @query(f"""WITH {PHRASES_SQL}, p AS (SELECT word, max(n_recent) AS n_pair FROM (SELECT n_recent, unnest(list_distinct(string_split(term, ' '))) AS word FROM ph WHERE contains(term, ' ')) GROUP BY 1)
 SELECT ph.term, ph.n_recent FROM ph LEFT JOIN p ON ph.term = p.word WHERE n_pair IS NULL OR ph.n_recent > 1.15::DOUBLE * n_pair""")
 def phrase_prune(spark: SparkSession, d: str) -> DataFrame:
