@@ -97,12 +97,12 @@ def window_entropy(text: Column, alphabet: str, width: int) -> Column:
     return F.when(F.length(text) > 0, F.aggregate(F.sequence(F.lit(1), F.length(text)), start, slide, lambda acc: acc["top"])).otherwise(F.lit(0.0))
 
 
-def secret_spans(docs: DataFrame, width: int = 20, classes: tuple[CharClass, ...] = (HEX_CLASS, BASE64_CLASS), allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """All columns of `docs` and `secret_spans`: an array of (s, k, e), start and end in code points and the kind's number, by start, then kind.
+def secret_spans(text: Column, width: int = 20, classes: tuple[CharClass, ...] = (HEX_CLASS, BASE64_CLASS), allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """An array of (s, k, e): start and end in code points and the kind's number, by start, then kind.
 
     Null and empty texts have none. Kinds 0 to 2 are patterns; kind 3 are strings of high entropy.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(text.cast("string"), F.lit(""))
 
     def suspicious(m: Column) -> Column:
         hexed = m.rlike("^[0-9a-f]+$")
@@ -122,7 +122,7 @@ def secret_spans(docs: DataFrame, width: int = 20, classes: tuple[CharClass, ...
         _matches(text, HEX, 2, lambda m: F.lit(True)),
         _matches(text, CANDIDATE, 3, suspicious),
     )
-    return docs.withColumn("secret_spans", F.array_sort(spans))
+    return F.array_sort(spans)
 
 
 def _joined(spans: Column) -> Column:
@@ -136,7 +136,7 @@ def report(docs: DataFrame) -> DataFrame:
     Null and empty texts have no span (spans is an empty string); repeated rows
     give a row each; a null doc_id stays null; other columns are left out.
     """
-    found = secret_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "secret_spans")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), secret_spans(F.col("text")).alias("secret_spans"))
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["k"] == k)).cast("long")
     return found.select(
         "doc_id",
@@ -150,11 +150,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by the mark; overlapping spans count as one. Texts without a span stay as they are."""
-    found = secret_spans(docs)
+    found = docs.withColumn("__spans", secret_spans(F.col("text")))
     text = F.col("text")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
-        "secret_spans",
+        "__spans",
         state,
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["e"]).alias("at"),
@@ -162,4 +162,4 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, cut).otherwise(text)).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("__spans") > 0, cut).otherwise(text)).select(*docs.columns)

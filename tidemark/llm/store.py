@@ -26,8 +26,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_id(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Adds `rid`, a long unique to each row that sorts as the id does.
+def with_row_id(docs: DataFrame, id_column: str = "doc_id", name: str = "rid") -> DataFrame:
+    """Adds `name`, a long unique to each row that sorts as the id does.
 
     Where ids are unique and never null, that is the id. Otherwise rows are
     ordered by (id, nulls first, then text) and numbered in a written table, so
@@ -36,6 +36,6 @@ def with_row_id(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     seen = docs.select(F.col(id_column).cast("long").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     worst = seen.agg(F.max("n").alias("n"), F.max(F.col("i").isNull().cast("int")).alias("nulls")).first()
     if (worst["n"] or 0) <= 1 and not worst["nulls"]:
-        return docs.withColumn("rid", F.col(id_column).cast("long"))
+        return docs.withColumn(name, F.col(id_column).cast("long"))
     ordered = docs.repartitionByRange(F.col(id_column).asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col(id_column).asc_nulls_first(), "text")
-    return written(ordered.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "rows")
