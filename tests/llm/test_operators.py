@@ -261,7 +261,9 @@ def brute_components(rows):
 def test_jaccard_join(spark, docs, rows, empty):
     assert got(jaccard_join.report(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
     assert jaccard_join.report(empty).count() == 0
-    kept = [r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()]
+    out = jaccard_join.one_of_each(docs).collect()
+    kept = [r["doc_id"] for r in out]
+    assert all(r["rid"] == "x" for r in out)
     assert {3, 4, 5}.issubset(kept) and len(kept) == len(set(kept) - {None}) + 2
 
 

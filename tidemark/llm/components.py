@@ -22,7 +22,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
+    # Repeats of a large star do no harm; the small star that follows drops them.
+    return out.where("a <> b").distinct() if small else out.where("a <> b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

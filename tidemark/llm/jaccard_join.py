@@ -9,6 +9,9 @@ share prefix tokens under each of them too before its sets are compared.
 
 What is wanted are the links' components, so a bucket's pairs are never listed:
 - Equal sets are one node (`sid`), equal buckets are one bucket.
+- A member carries the place of the bucket's token in its own order: as all
+  tokens before it are unshared, places bound the overlap, and a pair whose
+  sizes need more than the bound is no candidate.
 - In rounds, each node is compared with one hub of its buckets. Links join
   components; a bucket whose nodes are all in one component needs nothing more.
 - What is left are pairs of nodes of different components in one bucket. Each of
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import NOT_SPACE, U, between, flat, mix, prefix, slices, window_hashes, word_hashes, words
@@ -35,7 +38,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Counters of the sketch: its size is fixed, whatever the corpus.
 SKETCH_BITS = 20
 CHUNKS = 64
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 ORDER_SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
@@ -104,13 +107,13 @@ def sketch_of(table: DataFrame) -> np.ndarray:
 
     parts = table.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.int32)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # CHUNKS rows, of a fixed size
         out[row["chunk"]] = np.frombuffer(row["counts"], np.int32)
     return out.ravel()
 
 
 def postings(docs: DataFrame, sketch, shingle: int) -> DataFrame:
-    """(token, sid, n) for the tokens of each set's prefix under order 1; equal sets of a slice of rows give theirs once."""
+    """(token, sid, n, place) for the tokens of each set's prefix under order 1; equal sets of a slice of rows give theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
@@ -119,40 +122,55 @@ def postings(docs: DataFrame, sketch, shingle: int) -> DataFrame:
             sid, size = set_ids(tokens, off), np.diff(off)
             _, once = np.unique(sid, return_index=True)
             key = (often[(tokens >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U(32)) | (mix(tokens ^ ORDER_SEEDS[0]) >> U(32))
-            chosen, owner = [], []
+            chosen, owner, places = [], [], []
             for i in once[size[once] > 0].tolist():
                 k = key[off[i] : off[i + 1]]
                 limit = np.partition(k, prefix_size(len(k)) - 1)[prefix_size(len(k)) - 1]
                 found = np.flatnonzero(k <= limit)  # all of a tie at the limit
+                found = found[np.argsort(k[found], kind="stable")]
                 chosen.append(found + off[i])
                 owner.append(np.full(len(found), i))
+                # Tokens of equal keys share the first one's place: the bound stays one from above.
+                places.append(np.searchsorted(k[found], k[found]))
             if chosen:
                 own = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[np.concatenate(chosen)].view(np.int64)), pa.array(sid[own].view(np.int64)), pa.array(size[own].astype(np.int32))], ["token", "sid", "n"])
+                columns = [tokens[np.concatenate(chosen)].view(np.int64), sid[own].view(np.int64), size[own].astype(np.int32), np.concatenate(places).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "n", "place"])
 
-    return docs.select("rid", "text").mapInArrow(run, "token long, sid long, n int")
+    return docs.select("rid", "text").mapInArrow(run, "token long, sid long, n int, place int")
 
 
 def buckets(post: DataFrame) -> DataFrame:
-    """(bucket, sid, n): sets that share a prefix token. Tokens shared by just the same sets are one bucket; those of one set are none."""
+    """(bucket, sid, n, place): sets that share a prefix token. Tokens shared by just the same sets are one bucket, with the
+    smallest of each set's places; tokens of one set are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "token", 200_000):
-            token, sid, n = (table.column(c).to_numpy() for c in ("token", "sid", "n"))
+            token, sid, n, place = (table.column(c).to_numpy() for c in ("token", "sid", "n", "place"))
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-            token, sid, n = token[fresh], sid[fresh], n[fresh]
+            token, sid, n, place = token[fresh], sid[fresh], n[fresh], place[fresh]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(first, len(token)))
             code = mix(np.add.reduceat(mix(sid.view(np.uint64)), first) ^ mix(size.astype(np.uint64)))
-            many = np.flatnonzero(size > 1)
-            _, pick = np.unique(code[many], return_index=True)
-            own = many[pick]
-            rows = np.repeat(first[own] - np.concatenate([[0], np.cumsum(size[own])[:-1]]), size[own]) + np.arange(size[own].sum()) if len(own) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(code[own], size[own]).view(np.int64)), pa.array(sid[rows]), pa.array(n[rows])], ["bucket", "sid", "n"])
+            shared = np.repeat(size > 1, size)
+            code, sid, n, place = np.repeat(code, size)[shared], sid[shared], n[shared], place[shared]
+            if not len(code):
+                continue
+            order = np.lexsort((sid, code))
+            code, sid, n, place = code[order], sid[order], n[order], place[order]
+            new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (sid[1:] != sid[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(code[new].view(np.int64)), pa.array(sid[new]), pa.array(n[new]), pa.array(np.minimum.reduceat(place, new))], ["bucket", "sid", "n", "place"])
 
-    found = post.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "bucket long, sid long, n int")
-    return found.dropDuplicates(["bucket", "sid"])
+    found = post.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "bucket long, sid long, n int, place int")
+    return found.groupBy("bucket", "sid").agg(F.first("n").alias("n"), F.min("place").alias("place"))
+
+
+def could_link(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
+    """False where sizes or places rule out the similarity: an overlap of t / (1 + t) (n + m) is needed, and no token before a shared one is shared."""
+    n, other_n = n.cast("long"), other_n.cast("long")
+    need = F.ceil(NUMERATOR * (n + other_n) / (NUMERATOR + DENOMINATOR))
+    return (DENOMINATOR * F.least(n, other_n) >= NUMERATOR * F.greatest(n, other_n)) & (n - place >= need) & (other_n - other_place >= need)
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -208,27 +226,27 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
     texts = written(docs.select("rid", "text").join(reps, "rid").select("sid", "text"), "jaccard-texts")
     degree = members.groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
     live = written(members.join(degree, "sid"), "jaccard-members")
-    labels = links = tried = None
-    near = (F.lit(DENOMINATOR) * F.least("n", "hub_n") >= F.lit(NUMERATOR) * F.greatest("n", "hub_n")) & (F.col("component") != F.col("hub_component"))
+    labels = tried = None
+    near = could_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place")) & (F.col("component") != F.col("hub_component"))
+    as_hub = [F.col(c).alias(f"hub_{c}") for c in ("sid", "n", "place", "component")]
     for turn in range(HUB_ROUNDS):
-        live = written(_open_members(_with_component(live.select("bucket", "sid", "n", "degree"), labels)), "jaccard-members")
+        live = written(_open_members(_with_component(live.select("bucket", "sid", "n", "place", "degree"), labels)), "jaccard-members")
         if live.isEmpty():
             break
         # First the set that most buckets hold, which edited copies have most in common with; later any other.
         rank = F.struct("degree", "sid") if not turn else F.struct(F.xxhash64("sid", F.lit(turn)), "sid")
-        hubs = live.groupBy("bucket").agg(F.max_by(F.struct("sid", "n", "component"), rank).alias("hub")).select("bucket", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
-        shared = live.join(hubs, "bucket").where(near).groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("k"))
-        best = shared.groupBy("sid").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+        hubs = live.groupBy("bucket").agg(F.max_by(F.struct(*as_hub), rank).alias("hub")).select("bucket", "hub.*")
+        shared = live.join(hubs, "bucket").where(near).groupBy("sid", "hub_sid").agg(F.count(F.lit(1)).alias("k"))
+        best = shared.groupBy("sid").agg(F.max_by("hub_sid", F.struct("k", "hub_sid")).alias("hub"))
         pairs = best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done = written(compared(pairs, texts, shingle), "jaccard-compared")
         tried = done if tried is None else tried.unionByName(done)
         labels = components(tried.where("linked"))
-    live = written(_open_members(_with_component(live.select("bucket", "sid", "n"), labels)), "jaccard-members")
+    live = written(_open_members(_with_component(live.select("bucket", "sid", "n", "place"), labels)), "jaccard-members")
     if not live.isEmpty():
-        other = live.select("bucket", F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        rest = live.join(other, "bucket").where(near & (F.col("sid") < F.col("hub"))).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+        rest = live.join(live.select("bucket", *as_hub), "bucket").where(near & (F.col("sid") < F.col("hub_sid"))).select(F.col("sid").alias("a"), F.col("hub_sid").alias("b")).distinct()
         if tried is not None:
             rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done = written(compared(rest, texts, shingle), "jaccard-compared")
@@ -263,6 +281,7 @@ def classes(keyed: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component the one of the smallest id; texts without shingles all stay. All columns stay."""
-    keyed = with_row_id(docs)
-    stay = classes(keyed.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).where("first").select("rid")
-    return keyed.join(stay, "rid", "left_semi").select(*docs.columns)
+    keyed = with_row_id(docs, name="__rid")
+    own = keyed.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    stay = classes(own).where("first").select(F.col("rid").alias("__rid"))
+    return keyed.join(stay, "__rid", "left_semi").select(*docs.columns)
