@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidemark import on_workers
 from tidemark.llm import bpe, decontaminate, jaccard_join, quality, secrets
 from tidemark.llm.queries import TOKENIZER
-from tidemark.llm.store import written
+from tidemark.llm.store import lean, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(on_workers(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
-    on_workers(spark)
+    lean(on_workers(spark))
     return jaccard_join.one_of_each(docs)
 
 
@@ -43,7 +43,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their digest, and that of the text decoded from them."""
-    on_workers(spark)
+    lean(on_workers(spark))
     return bpe.round_trip(docs, TOKENIZER, with_ids=True)
 
 

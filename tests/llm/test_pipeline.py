@@ -33,4 +33,4 @@ def test_stages_against_plain_versions(spark, data):
             assert brute_hits(after[i], items)[0] == n - hit
     last = corpus_pipeline.run(spark, data)
     assert {r[0] for r in last.select("doc_id").collect()} == set(after)
-    assert all(r["n_tokens"] == len(r["ids"]) for r in last.collect())
+    assert all(4 * r["n_tokens"] == len(r["ids"]) for r in last.collect())

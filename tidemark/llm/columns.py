@@ -16,7 +16,7 @@ U = np.uint64
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2**64.
 BASE = U(0x9E3779B97F4A7C15)
 UNBASE = U(pow(int(BASE), -1, 1 << 64))
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)

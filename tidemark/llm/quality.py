@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +107,11 @@ class Ranker:
         at_cut = float(np.log(CUT / (1 - CUT)))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-((strength - self.threshold) / self.spread + at_cut)))
 
+    def scores_of(self, rows: np.ndarray) -> np.ndarray:
+        """The same scores for rows of features at hand."""
+        strength = (rows - np.array(self.mean)) / np.array(self.scale) @ np.array(self.weights)
+        return 1 / (1 + np.exp(-np.clip((strength - self.threshold) / self.spread + np.log(CUT / (1 - CUT)), -700, 700)))
+
 
 def fit_ranker(x: np.ndarray, good: np.ndarray, seed: int = 7) -> Ranker:
     """Fits the strengths on a bounded sample: logistic loss on differences of good and bad rows, by Newton's steps."""
@@ -174,11 +178,10 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = written(features(docs.select("doc_id", "text").join(sample, "doc_id", "left_semi")), "quality-features")
     ranker = train(table, labels)
 
-    @F.pandas_udf("array<double>")
-    def numbers(text: pd.Series) -> pd.Series:  # type: ignore[valid-type]
-        column = pa.array(text, pa.string(), from_pandas=True)
-        rows = [features_of(column.slice(i, 256)) for i in range(0, len(column), 256)]
-        return pd.Series([r.tolist() for part in rows for r in part], dtype=object)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(ranker.scores_of(features_of(batch.column(at))) >= CUT))
 
-    scored = docs.withColumn("__features", numbers(F.col("text").cast("string")))
-    return scored.where(ranker.score("__features") >= CUT).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark import on_workers
 
 from .oracles import SQL as SQL
+from .store import lean
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(on_workers(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,26 +130,27 @@ def texts_of(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
     """Batches of rows sorted by key, joined and cut anew so that a key's rows stay together and tables are near `most` rows."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count, goal = 0, most
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         count += batch.num_rows
-        while count >= most:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table.column(key).to_numpy()
-            change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            if not len(change):
-                held = table.to_batches()
-                break
-            good = change[change >= most]
-            to = int(good[0]) if len(good) else int(change[-1])
-            yield table.slice(0, to)
-            rest = table.slice(to)
-            held, count = rest.to_batches(), rest.num_rows
-            if not len(good):
-                break
+        if count < goal:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(key).to_numpy()
+        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        at = 0
+        while at + most <= count and (later := change[change > at]).size:
+            good = later[later >= at + most]
+            to = int(good[0]) if len(good) else int(later[-1])
+            yield table.slice(at, to - at)
+            at = to
+        held = table.slice(at).to_batches()
+        count -= at
+        # One key alone has the rest: look again when that has doubled.
+        goal = most if count < most else 2 * count
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -163,7 +164,8 @@ def covered(docs: DataFrame, kind: Kind, compare: Callable[[pa.Table], np.ndarra
     """
     rows = anchored(docs, kind)
     counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi"))
-    often = counts.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # Written first, so that both sides of the join are shuffled for it and Spark can split a hot anchor's rows.
+    often = written(counts.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "repeats-anchors")
     repeated = written(rows.join(often, "anchor"), "repeats-rows")
     kinds = repeated.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("first"), F.first("mixed").alias("mixed"))
     kinds = written(kinds.select("anchor", "frag", "n", F.col("first.rid").alias("first_rid"), F.col("first.at").alias("first_at"), "mixed"), "repeats-kinds")

@@ -18,6 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Whole texts travel to Python in batches of 2000 rows where the session has Spark's own default of 10 000, so that a batch stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing done."""
     spark = df.sparkSession
