@@ -193,7 +193,9 @@ def covered(docs: DataFrame, kind: Kind, compare: Callable[[pa.Table], np.ndarra
     parted = bodies.repartition("anchor").sortWithinPartitions("anchor", "frag")
     found = parted.mapInArrow(run, "anchor long, frag long, lo int, hi int")
     found = found.groupBy("anchor", "frag").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
-    settled = kinds.join(found, ["anchor", "frag"], "left").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")))
+    settled = kinds.drop("mixed").join(found, ["anchor", "frag"], "left").where("n > 1 or parts is not null").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")))
+    # Written for the same reason: a fragment of very many copies is split by Spark where both sides of its join are plain shuffles.
+    settled = written(settled, "repeats-settled")
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("at").bitwiseAND(255).cast("int").alias("hi")))
     is_first = (F.col("rid") == F.col("first_rid")) & (F.col("at") == F.col("first_at"))
     parts = F.when((F.col("n") > 1) & ~(is_first if keep_first else F.lit(False)), whole).otherwise(F.col("parts"))
