@@ -107,6 +107,33 @@ def test_decontamination_cuts_and_drops(spark):
     assert out == {1: f"{clean}, {clean}", 3: clean, 4: None}
 
 
+@pytest.mark.parametrize("share_bytes", [1 << 20, 600, 150])
+def test_decontamination_cuts_alike_in_shares(spark, share_bytes):
+    long = [" ".join(f"{c}{k}" for k in range(24)) for c in "pqrs"]
+    base = " ".join(f"o{k}" for k in range(30)).split()
+    overlapping = [" ".join(base[k : k + 12]) for k in range(0, 19, 3)]
+    items = list(enumerate([*long, *overlapping], 1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda n, c="w": " ".join(f"{c}{k}" for k in range(n))
+    texts = {i: f"{plain(400)} {a} {plain(60, 'v')} {b} {plain(60, 'u')}" for i, (a, b) in enumerate(((a, b) for a in long for b in long if a < b), 1)}
+    texts |= {20 + k: f"{plain(200)} {a} {' '.join(base)} {plain(60, 'v')}" for k, a in enumerate(["and", *long])}
+    # An item's halves around another item are no window of it, before the cut or after.
+    texts |= {40 + k: f"{plain(300)} {' '.join(a.split()[:9])} {b} {' '.join(a.split()[9:18])} end" for k, (a, b) in enumerate((a, b) for a in long for b in long if a != b)}
+    texts |= {60: plain(50), 61: None, 62: ""}
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in texts.items()], "doc_id long, text string, extra int, hit_spans string").repartition(3)
+    want = {}
+    for i, t in texts.items():
+        n, hit, *_ = brute_hits(t, items)
+        if hit <= 50 and hit <= 0.2 * n:
+            ws = (t or "").split()
+            gone = {k + j for _, item in items for m in [item.split()] for k in range(len(ws)) for s in range(len(m) - 9) if ws[k : k + 10] == m[s : s + 10] for j in range(10)}
+            want[i] = t if not gone else " ".join(w for k, w in enumerate(ws) if k not in gone)
+    assert {i for i in want if i < 20} == set(range(1, 7)) and 20 in want and 21 not in want
+    out = decontaminate.cleaned(docs, bench, share_bytes=share_bytes)
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+
+
 # 3
 
 

@@ -12,7 +12,8 @@ the batch, so ordinary text costs no step of the automaton.
 
 The automaton is broadcast. Its size is bound: the items' bytes are counted
 first, and more than `share_bytes` are taken in shares, each with an automaton
-and a pass of its own over the documents.
+and a pass of its own over the documents. Every pass sees the whole texts; spans
+of all passes are merged before anything is judged or cut.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import ALNUM, flat, slices, word_hashes, words
 
@@ -269,33 +271,59 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*pieces, text[last:]])
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_hit_words: int = 50, max_coverage: float = 0.2, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """The documents with hit spans cut out; a document goes where more than `max_hit_words` words or more than
     `max_coverage` of its words are hit. Texts without a hit stay as they are, null texts too. All columns stay.
 
-    Each share of the items is a pass over what the one before has left, so spans
-    of words that only came together by a cut count as well.
+    Each share of the items is a pass over the whole text that hands its spans on beside the row. The last pass
+    merges them, judges their total and cuts once, so the result is that of one automaton over all items.
     """
     names = docs.columns
     at = names.index("text")
-    for matcher in matchers(items, window, share_bytes):
+    mark = "hit_spans"
+    while mark in {n.lower() for n in names}:
+        mark += "_"
+    shares = matchers(items, window, share_bytes)
+    marked = T.StructType([*docs.schema.fields, T.StructField(mark, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    plain = docs.schema
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for k, matcher in enumerate(shares):
 
-        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher, first=k == 0, last=k == len(shares) - 1) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 n_words, found = scanned(matcher.value, batch.column(at))
-                if not found:
-                    yield batch
+                spans = {i: own for i, (own, _) in found.items()}
+                if not first:
+                    for i, before in enumerate(batch.column(len(names)).to_pylist()):
+                        if before:
+                            spans[i] = merged([*((x["start"], x["end"]) for x in before), *spans.get(i, [])])
+                own = [batch.column(j) for j in range(len(names))]
+                if not last:
+                    own.append(pa.array([[{"start": s, "end": e} for s, e in spans.get(i, ())] for i in range(batch.num_rows)], kind))
+                    yield pa.RecordBatch.from_arrays(own, [*names, mark])
                     continue
                 keep = np.ones(batch.num_rows, bool)
-                texts = batch.column(at).to_pylist()
-                for i, (spans, _) in found.items():
-                    n = sum(e - s for s, e in spans)
-                    if n > max_hit_words or n > max_coverage * n_words[i]:
-                        keep[i] = False
-                    else:
-                        texts[i] = cut(texts[i], spans)
-                new = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield new.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(scan, docs.schema)
+                if spans:
+                    texts = batch.column(at).to_pylist()
+                    for i, hit in spans.items():
+                        n = sum(e - s for s, e in hit)
+                        if n > max_hit_words or n > max_coverage * n_words[i]:
+                            keep[i] = False
+                        else:
+                            texts[i] = cut(texts[i], hit)
+                    own[at] = pa.array(texts, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(scan, plain if k == len(shares) - 1 else marked)
     return docs
