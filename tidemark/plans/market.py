@@ -58,12 +58,21 @@ def phase(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT id, arg_min(before + CASE WHEN ck.day = day0 THEN greatest(minute - open_min, 0) ELSE 0 END + 60, (epoch(ck.day) * 2000 + open_min)) AS goal FROM m JOIN ck ON ck.day > day0 OR (ck.day = day0 AND ck.close_min > minute) GROUP BY id)
 SELECT id, ck.day AS due_day, CAST(open_min + goal - before AS BIGINT) AS due_min FROM s JOIN ck ON goal > before AND goal <= before + close_min - open_min""")
 def deadlines(spark: SparkSession, d: str) -> DataFrame:
-    """Sixty open minutes later, over breaks and closed days."""
-    e = events(spark, d).where("event_id % 10 = 3")
+    """deadlines_all of the tenth of the events that the SQL asks for."""
+    return deadlines_of(spark, events(spark, d).where("event_id % 10 = 3"))
+
+
+def deadlines_of(spark: SparkSession, e: DataFrame) -> DataFrame:
     m = e.select(F.col("event_id").alias("id"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("day"), F.expr(f"(us % {DAY}) div 60000000").alias("minute"))
     return calendar.advance(m, days(spark), 60)
 
 
+@query()
+def deadlines_all(spark: SparkSession, d: str) -> DataFrame:
+    """Sixty open minutes after every event, over breaks and closed days."""
+    return deadlines_of(spark, events(spark, d))
+
+
 EDGE_SQL = """eg AS (SELECT p_brand AS topic, p_partkey AS symbol, CASE p_partkey % 3 WHEN 0 THEN 'direct_business' WHEN 1 THEN 'industry_transmission' ELSE 'narrative' END AS relation, CASE p_partkey % 4 WHEN 0 THEN 'mass_production' WHEN 1 THEN 'pilot' WHEN 2 THEN 'research' ELSE 'other' END AS stage,
 CASE WHEN p_partkey % 5 <> 0 THEN p_size / 50.0::DOUBLE END AS share, CASE WHEN p_partkey % 13 <> 0 THEN 'url' END AS evidence, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS direction FROM part),
 ex AS (SELECT *, CASE WHEN evidence IS NOT NULL THEN (CASE relation WHEN 'direct_business' THEN 1.0::DOUBLE WHEN 'industry_transmission' THEN 0.55::DOUBLE ELSE 0 END) * (CASE stage WHEN 'mass_production' THEN 1.0::DOUBLE WHEN 'pilot' THEN 0.5::DOUBLE WHEN 'research' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END) END AS structural,
