@@ -21,6 +21,9 @@ def without(name: str, *filters: str) -> str:
 
 WHOLE = [
     ("deadlines_all", without("deadlines", " WHERE event_id % 10 = 3")),
+    ("cumulative_actors_all", without("cumulative_actors", " WHERE object_id < 50")),
+    ("detail_view_all", without("detail_view", " WHERE object_id < 20")),
+    ("eligibility_staleness_all", f"SELECT *, object_id % 2 = 0 AS eligible FROM ({without('eligibility_staleness', ' WHERE object_id % 2 = 0')})"),
 ]
 
 

@@ -46,11 +46,21 @@ def new_today(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EV}, f AS (SELECT source, user_id, min(day) AS day FROM ev WHERE object_id < 50 GROUP BY 1, 2), n AS (SELECT source, day, count(*) AS first_time FROM f GROUP BY 1, 2) SELECT source, day, first_time, CAST(sum(first_time) OVER (PARTITION BY source ORDER BY day) AS BIGINT) AS actors FROM n""")
 def cumulative_actors(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct actors since the start, as a running sum of first-seen flags."""
-    f = A.first_seen(events(spark, d).where("object_id < 50"), ["source"], "user_id", "day").groupBy("source", F.col("first").alias("day")).agg(F.count(F.lit(1)).alias("first_time"))
+    """cumulative_actors_all over the objects that the SQL asks for."""
+    return cumulative_of(events(spark, d).where("object_id < 50"))
+
+
+def cumulative_of(e: DataFrame) -> DataFrame:
+    f = A.first_seen(e, ["source"], "user_id", "day").groupBy("source", F.col("first").alias("day")).agg(F.count(F.lit(1)).alias("first_time"))
     return f.withColumn("actors", F.sum("first_time").over(Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+@query()
+def cumulative_actors_all(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct actors since the start over all objects, as a running sum of first-seen flags."""
+    return cumulative_of(events(spark, d))
+
+
 @query(f"""WITH {EV}, a AS (SELECT DISTINCT source, user_id, day FROM ev), l AS (SELECT *, lag(day) OVER (PARTITION BY source, user_id ORDER BY day) AS before, day - min(day) OVER (PARTITION BY source) AS background FROM a)
 SELECT source, day, CASE WHEN day - before <= 5 THEN 'continuous' WHEN before IS NOT NULL THEN 'returning' WHEN background >= 3 THEN 'new_in_sample' ELSE 'unknown' END AS cohort, count(*) AS actors FROM l GROUP BY 1, 2, 3""")
 def actor_cohorts(spark: SparkSession, d: str) -> DataFrame:
@@ -319,6 +329,16 @@ def overseas_map(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EV}, w AS (SELECT * FROM ev WHERE object_id < 20), s AS (SELECT object_id, day, CASE WHEN (us % {DAY}) < {12 * HOUR} THEN 'morning' ELSE 'afternoon' END AS session, count(DISTINCT user_id) AS actors, count(*) AS posts, count(DISTINCT source) AS platforms FROM w GROUP BY 1, 2, 3)
 SELECT * FROM s""")
 def detail_view(spark: SparkSession, d: str) -> DataFrame:
-    """Actors, posts and platforms of an object by half day."""
+    """detail_view_all of the objects that the SQL asks for."""
+    return detail_of(events(spark, d).where("object_id < 20"))
+
+
+@query()
+def detail_view_all(spark: SparkSession, d: str) -> DataFrame:
+    """Actors, posts and platforms of every object by half day."""
+    return detail_of(events(spark, d))
+
+
+def detail_of(e: DataFrame) -> DataFrame:
     half = F.when(F.expr(f"us % {DAY} < {12 * HOUR}"), "morning").otherwise("afternoon")
-    return events(spark, d).where("object_id < 20").groupBy("object_id", "day", half.alias("session")).agg(F.countDistinct("user_id").alias("actors"), F.count(F.lit(1)).alias("posts"), F.countDistinct("source").alias("platforms"))
+    return e.groupBy("object_id", "day", half.alias("session")).agg(F.countDistinct("user_id").alias("actors"), F.count(F.lit(1)).alias("posts"), F.countDistinct("source").alias("platforms"))

@@ -154,11 +154,20 @@ def watermark_increment(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EV}, s AS (SELECT source, object_id, max(us) AS seen_us, (object_id % 4 + 1) * 300000000 AS cadence, object_id % 9 = 0 AS daily FROM ev WHERE obs_us <= {AS_OF} GROUP BY source, object_id)
 SELECT source, object_id, seen_us, CASE WHEN daily THEN {AS_OF} - seen_us > {4 * DAY} ELSE {AS_OF} - seen_us > greatest(cadence * 5 // 2, 900000000) END AS stale FROM s WHERE object_id % 2 = 0""")
 def eligibility_staleness(spark: SparkSession, d: str) -> DataFrame:
-    """An observation is stale after 2.5 cadences, fifteen minutes at least; daily ones after four days."""
-    s = B.as_of(events(spark, d), AS_OF).groupBy("source", "object_id").agg(F.max("us").alias("seen_us")).where("object_id % 2 = 0")
+    """eligibility_staleness_all of the eligible objects."""
+    return eligibility_staleness_all(spark, d).where("eligible").drop("eligible")
+
+
+@query()
+def eligibility_staleness_all(spark: SparkSession, d: str) -> DataFrame:
+    """An observation is stale after 2.5 cadences, fifteen minutes at least; daily ones after four days.
+
+    All objects with their eligible flag, which the tables stand in for by an even id.
+    """
+    s = B.as_of(events(spark, d), AS_OF).groupBy("source", "object_id").agg(F.max("us").alias("seen_us"))
     age, cadence = F.lit(AS_OF) - F.col("seen_us"), (F.col("object_id") % 4 + 1) * 300_000_000
     stale = F.when(F.col("object_id") % 9 == 0, age > 4 * DAY).otherwise(age > F.greatest(F.floor(cadence * 5 / 2), F.lit(15 * MINUTE)))
-    return s.select("source", "object_id", "seen_us", stale.alias("stale"))
+    return s.select("source", "object_id", "seen_us", (F.col("object_id") % 2 == 0).alias("eligible"), stale.alias("stale"))
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') GROUP BY 1")
