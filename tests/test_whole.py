@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from itertools import combinations
+
 import pytest
 
 from tidemark import registry
@@ -30,3 +33,11 @@ WHOLE = [
 @pytest.mark.parametrize("name, sql", WHOLE, ids=[w[0] for w in WHOLE])
 def test_whole_table(spark, data, name, sql):
     assert spark_rows(QUERIES[name](spark, data)) == duck_rows(connect(data), sql)
+
+
+def test_pairs_of_a_busy_actor(spark, tmp_path):
+    """One actor touches forty objects on one day, another three of them."""
+    rows = [(k, datetime(2024, 1, 5, 9, k), 1, "click", f'{{"k": {k}}}', 1.0) for k in range(40)] + [(50 + k, datetime(2024, 1, 5, 9, k), 2, "click", f'{{"k": {k}}}', 1.0) for k in (3, 8, 39)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {p: 1 for p in combinations(range(40), 2)} | {p: 2 for p in combinations((3, 8, 39), 2)}
+    assert {(r["a"], r["b"]): r["n"] for r in QUERIES["comention_pairs_all"](spark, str(tmp_path)).collect()} == want

@@ -110,10 +110,16 @@ def event_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EV}, r AS (SELECT DISTINCT user_id, day, object_id FROM ev), few AS (SELECT user_id, day FROM r GROUP BY 1, 2 HAVING count(*) <= 30) SELECT a.object_id AS a, b.object_id AS b, count(*) AS n FROM r a JOIN r b ON a.user_id = b.user_id AND a.day = b.day AND a.object_id < b.object_id WHERE (a.user_id, a.day) IN (SELECT user_id, day FROM few) GROUP BY 1, 2""")
 def comention_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Objects that one actor touches on one day, unless it touches too many."""
+    """Objects that one actor touches on one day; as in the SQL, days on which it touches more than thirty are left out."""
     return graph.comentions(events(spark, d), ["user_id", "day"], "object_id", 30)
 
 
+@query()
+def comention_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that one actor touches on one day, however many."""
+    return graph.comentions(events(spark, d), ["user_id", "day"], "object_id", 1 << 30)
+
+
 @query(f"""WITH {EV}, r AS (SELECT DISTINCT user_id, day, object_id FROM ev) SELECT a.object_id AS a, b.object_id AS b, count(*) AS n FROM r a JOIN r b ON a.user_id = b.user_id AND a.day = b.day AND a.object_id < b.object_id GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 100""")
 def top_pairs(spark: SparkSession, d: str) -> DataFrame:
     """L4: the hundred strongest pairs; the limit is the graph's size."""
