@@ -258,6 +258,29 @@ def test_nearest_neighbours(spark):
     assert nn_descent.nearest(df.where("vec_id = -5"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_walk_goes_on_until_all_best_are_expanded(spark):
+    """A chain in which every node knows the next one only."""
+    angle = np.arange(14) * 0.05
+    vec = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype(np.float32)
+    nodes = spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(vec)], "node long, vec binary")
+    graph = spark.createDataFrame([(k, k + 1, 0.9, 0) for k in range(13)], "u long, v long, sim float, fresh int")
+    found = nn_descent.search(spark.createDataFrame([(0,)], "q long"), graph, nodes)
+    assert sorted(r["node"] for r in found.collect()) == list(range(14))
+
+
+def test_nearest_neighbours_over_several_blocks(spark):
+    m = np.random.default_rng(3).normal(size=(6000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in nn_descent.nearest(df, F.col("id") % 50 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = unit[::50] @ unit.T
+    sim[np.arange(120), np.arange(120) * 50] = -2
+    best = np.argsort(-sim, axis=1)[:, :5]
+    assert sum(len(set(b.tolist()) & found[50 * q]) for q, b in enumerate(best)) >= 0.9 * 5 * 120
+
+
 # 7
 
 

@@ -29,9 +29,11 @@ from .store import written
 #: Neighbours a node keeps, reverse neighbours that a round takes in, blocks and projections of the first graph.
 NEIGHBOURS, REVERSE = 20, 16
 BLOCK, TREES, PLANES = 1500, 8, 8
-ROUNDS, LEAST_NEW = 4, 0.05
-#: Of a search: nodes kept as best, expanded a round, rounds at most.
-POOL, EXPANDED, SEARCH_ROUNDS = 240, 60, 6
+LEAST_NEW = 0.05
+#: Of a search: nodes kept as best, expanded a round.
+POOL, EXPANDED = 240, 60
+#: Rounds end by their own tests; one that comes to these has gone wrong and is an error, not a shorter answer.
+ROUNDS_BOUND, SEARCH_BOUND = 200, 2000
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -180,13 +182,13 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
     """(u, v, sim, fresh): the graph after NN-descent."""
     start = first_graph(nodes, NEIGHBOURS).withColumn("fresh", F.lit(1))
     graph = written(_best(start, NEIGHBOURS), "ann-graph")
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS_BOUND):
         found = descend(graph, nodes).withColumn("fresh", F.lit(1))
         graph = written(_best(graph.withColumn("fresh", F.lit(0)).unionByName(found), NEIGHBOURS), "ann-graph")
         seen = graph.agg(F.count(F.lit(1)).alias("n"), F.sum("fresh").alias("new")).first()
         if not seen["n"] or seen["new"] < LEAST_NEW * seen["n"]:
-            break
-    return graph
+            return graph
+    raise RuntimeError(f"NN-descent still finds new neighbours after {ROUNDS_BOUND} rounds")
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,18 +208,18 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= POOL).drop("rank")
 
     best = written(asked.select("q", F.col("q").alias("node"), F.lit(2.0).cast("float").alias("sim"), F.lit(False).alias("expanded")), "ann-pool")
-    for turn in range(SEARCH_ROUNDS):
+    for _ in range(SEARCH_BOUND):
         order = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
         chosen = best.where("not expanded").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= EXPANDED).select("q", "node")
         chosen = written(chosen, "ann-chosen")
-        if turn and chosen.isEmpty():
-            break
+        if chosen.isEmpty():
+            return best.select("q", "node", "sim")
         reached = chosen.join(around, chosen["node"] == around["u"]).select("q", F.col("v").alias("node")).distinct()
         fresh = reached.join(best.select("q", "node"), ["q", "node"], "left_anti")
         scored = fresh.join(nodes, "node").join(asked, "q").select("q", "node", "vec", "asked").mapInArrow(compare, "q long, node long, sim float")
         marked = best.join(chosen.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "sim", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
         best = written(pool(marked.unionByName(scored.withColumn("expanded", F.lit(False)))), "ann-pool")
-    return best.select("q", "node", "sim")
+    raise RuntimeError(f"the walk still has nodes to expand after {SEARCH_BOUND} rounds")
 
 
 def cosine(a: Column, b: Column) -> Column:
