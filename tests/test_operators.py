@@ -97,6 +97,13 @@ def test_text_functions(spark):
     assert spark.createDataFrame([("ﬁ１",)], "t string").select(nfkc("t").alias("x")).first()["x"] == "fi1"
 
 
+def test_facts_keep_all_numbers_and_actions_of_a_clause(spark):
+    text = "Acme then sold 1 2 3 4 5 6 and never a thing, then none; no nation 7"
+    f = spark.createDataFrame([(text,)], "t string").select(facts("t").alias("f")).first()["f"]
+    six = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    assert [tuple(x) for x in f] == [("acme", "then", six, False, 1), ("acme", "thing", six, True, 2), ("no", "nation", [7.0], True, 3)]
+
+
 def test_clusters_are_greedy_in_order(spark):
     df = spark.createDataFrame([("k", 1, "profit rises by ten"), ("k", 2, "profit rises by tan"), ("k", 3, "other words here"), ("j", 4, "profit rises by ten")], "key string, seq int, text string")
     out = clusters(df, ["key"], "seq", "text").select("key", "seq", "cluster")

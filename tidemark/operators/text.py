@@ -116,18 +116,19 @@ FACT = T.ArrayType(
 
 @F.pandas_udf(FACT)
 def facts(text: pd.Series) -> pd.Series:
-    """One fact a clause with a known action: its first word, the action, its numbers, and whether a negation stands shortly before."""
+    """One fact a clause and known action in it: the clause's first word, the action, all numbers of the clause, and whether a negation stands shortly before the action's first place."""
 
     def one(t: str | None) -> list[dict]:
         out = []
         for clause in re.split(r"[.!?;\n]+", t or ""):
+            seen: set[str] = set()
             for m in re.finditer(r"[A-Za-z]+", clause):
                 action = m[0].lower()
-                if action in ACTIONS:
+                if action in ACTIONS and action not in seen:
+                    seen.add(action)
                     before = clause[max(0, m.start() - 14) : m.start()]
                     first = re.search(r"[A-Za-z]+", clause)
-                    out.append({"subject": first[0].lower() if first else "", "action": action, "numbers": [float(x) for x in re.findall(r"\d+(?:\.\d+)?", clause)][:5], "denied": bool(NEGATION.search(before)), "weight": ACTIONS[action]})
-                    break
+                    out.append({"subject": first[0].lower() if first else "", "action": action, "numbers": [float(x) for x in re.findall(r"\d+(?:\.\d+)?", clause)], "denied": bool(NEGATION.search(before)), "weight": ACTIONS[action]})
         return out
 
     return text.map(one)
