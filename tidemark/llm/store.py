@@ -18,6 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free(names: list[str], wanted: str) -> str:
+    """A column name that none of the names clashes with, in either case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def lean(spark: SparkSession) -> SparkSession:
     """Whole texts travel to Python in batches of 2000 rows where the session has Spark's own default of 10 000, so that a batch stays small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
