@@ -310,7 +310,9 @@ def brute_components(rows):
 
 def test_jaccard_join(spark, docs, rows, empty):
     assert got(jaccard_join.report(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
-    assert jaccard_join.report(empty).count() == 0
+    # Every token that more than three sets hold goes the way of frequent tokens.
+    assert got(jaccard_join.report(docs, most_in_task=3), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert jaccard_join.report(empty).count() == jaccard_join.one_of_each(empty).count() == 0
     out = jaccard_join.one_of_each(docs).collect()
     kept = [r["doc_id"] for r in out]
     assert all(r["rid"] == "x" for r in out)
@@ -330,6 +332,27 @@ def test_jaccard_family_without_its_hub(spark):
     assert got(jaccard_join.report(df), "doc_id", "n_shingles", "component_id") == brute_components(data)
 
 
+@pytest.mark.parametrize("changed", [3, 11])
+def test_jaccard_templates(spark, changed):
+    """Texts of one template at a similarity above and below the bound, of two lengths: below it no pair may be brought together."""
+    rng = random.Random(changed)
+    data = []
+    for i in range(160):
+        ws = [f"b{k}" for k in range(120 if i % 2 else 135)]
+        at = rng.randrange(20)
+        for k in range(changed):
+            ws[at + 9 * k] = f"n{i}-{k}" if k else f"n{rng.randrange(40)}"
+        data.append((i, " ".join(ws)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = brute_components(data)
+    assert (len({c for _, _, c in want}) > 100) == (changed == 11)
+    assert got(jaccard_join.report(df), "doc_id", "n_shingles", "component_id") == want
+    if changed == 11:
+        rows = [(1, sid, n, place, sid) for sid, n, place in ((k, 116, 29) for k in range(1000))]
+        members = spark.createDataFrame(rows, "bucket long, sid long, n int, place int, component long")
+        assert jaccard_join._rest(members).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)]

@@ -3,19 +3,23 @@
 If two sets of sizes a and b have a Jaccard similarity of at least t, then under
 *any* total order of tokens their prefixes (the first n - ceil(t n) + 1 tokens)
 share a token. Order 1 puts tokens rare in the corpus first (by a counting
-sketch of fixed size) and is used to find candidates: sets that share a prefix
-token are in one bucket. Orders 2 and 3 are independent; a candidate pair must
-share prefix tokens under each of them too before its sets are compared.
+sketch of fixed size): sets that share a prefix token under it are in one
+bucket. Orders 2 and 3 are independent of it and of each other. A pair is a
+candidate if it passes under all three; only then are its texts brought
+together and its sets compared in full.
 
 What is wanted are the links' components, so a bucket's pairs are never listed:
-- Equal sets are one node (`sid`), equal buckets are one bucket.
+- Equal sets (by 128 bits) are one node, named by the smallest row id; only that row's text goes on.
+- Equal buckets are one bucket. Tokens that the sketch calls frequent are spread over tasks by salt and counted by an
+  aggregate that combines; so no task holds more than `most_in_task` rows of a token.
 - A member carries the place of the bucket's token in its own order: as all
   tokens before it are unshared, places bound the overlap, and a pair whose
   sizes need more than the bound is no candidate.
-- In rounds, each node is compared with one hub of its buckets. Links join
+- In rounds, each node is paired with one hub of its buckets. Links join
   components; a bucket whose nodes are all in one component needs nothing more.
-- What is left are pairs of nodes of different components in one bucket. Each of
-  them is compared, so no link between components is missed.
+  Rounds go on while each at least halves the members of open buckets.
+- What is left are nodes of different components in one bucket. They meet by classes of size that the places allow,
+  and each pair that passes all filters is compared, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -24,22 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import NOT_SPACE, U, between, flat, mix, prefix, slices, window_hashes, word_hashes, words
 from .components import components
 from .repeats import whole_groups
-from .store import with_row_id, written
+from .store import free, with_row_id, written
 
 SHINGLE = 5
 #: The similarity as a fraction of whole numbers: 75 / 100.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Counters of the sketch: its size is fixed, whatever the corpus.
-SKETCH_BITS = 20
-CHUNKS = 64
-HUB_ROUNDS = 2
+#: Counters of the sketch: its size is fixed, whatever the corpus. It is summed in CHUNKS parts, of GROUPS groups of tasks first.
+SKETCH_BITS, CHUNKS, GROUPS = 20, 64, 64
+#: Rows of one token that one task may hold, and tasks over which those of a more frequent one are spread.
+MOST_IN_TASK, SALTS = 1 << 14, 64
+#: Ratio of neighbouring classes of size.
+STEP = 1.05
 ORDER_SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
+SECOND_ID = U(0x452821E638D01377)
 
 
 def token_sets(text: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +74,15 @@ def token_sets(text: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
     return out[fresh], kept[at]
 
 
-def set_ids(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One 64-bit id for each set; equal sets have equal ids."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens))])
-    size = np.diff(off)
-    return mix((sums[off[1:]] - sums[off[:-1]]) ^ mix(size.astype(np.uint64)))
+def set_ids(tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, independent of each other; equal sets have equal ones."""
+    size = mix(np.diff(off).astype(np.uint64))
+
+    def one(codes: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes)])
+        return mix((sums[off[1:]] - sums[off[:-1]]) ^ size)
+
+    return one(mix(tokens)), one(mix(tokens ^ SECOND_ID))
 
 
 def prefix_size(n):
@@ -79,51 +91,58 @@ def prefix_size(n):
 
 
 def summaries(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows of two kinds from one pass: (rid, sid, n) of each document, and (chunk, counts) of each task's part of the sketch."""
+    """Rows of two kinds from one pass: (rid, doc_id, h1, h2, n) of each document, and (chunk, team, counts) of each task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "sid", "n", "chunk", "counts"]
+        names = ["rid", "doc_id", "h1", "h2", "n", "chunk", "team", "counts"]
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in slices(batches, "text"):
-            tokens, off = token_sets(batch.column(1), shingle)
+            tokens, off = token_sets(batch.column(2), shingle)
             counts += np.bincount((tokens >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(tokens, off).view(np.int64)), pa.array(np.diff(off)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        parts = [c.tobytes() for c in np.split(counts, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
+            h1, h2 = set_ids(tokens, off)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(off)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        if counts.any():
+            parts = [c.tobytes() for c in np.split(counts, CHUNKS)]
+            team = np.full(CHUNKS, TaskContext.get().partitionId() % GROUPS, np.int32)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, pa.int64()) for _ in range(5)), pa.array(range(CHUNKS), pa.int32()), pa.array(team), pa.array(parts, pa.binary())], names)
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, sid long, n long, chunk int, counts binary")
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, h1 long, h2 long, n long, chunk int, team int, counts binary")
 
 
 def sketch_of(table: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up: 2**SKETCH_BITS counters, whatever the corpus; sums are taken chunk by chunk on executors."""
+    """The tasks' sketches added up: 2**SKETCH_BITS counters, whatever the corpus; sums go by chunk and group of tasks, then by chunk."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(part, np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(t, (1 << 31) - 1).astype(np.int32).tobytes() for t in total.values()], pa.binary())], ["chunk", "counts"])
-
-    parts = table.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
+            for chunk, team, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                total[chunk, team] = total.get((chunk, team), 0) + np.frombuffer(part, np.int32).astype(np.int64)
+        sums = [np.minimum(t, (1 << 31) - 1).astype(np.int32).tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in total], pa.int32()), pa.array([t for _, t in total], pa.int32()), pa.array(sums, pa.binary())], ["chunk", "team", "counts"])
+
+    schema = "chunk int, team int, counts binary"
+    parts = table.where("chunk is not null").select("chunk", "team", "counts").repartition("chunk", "team").mapInArrow(add, schema)
+    parts = parts.withColumn("team", F.lit(0)).repartition("chunk").mapInArrow(add, schema)
     out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.int32)
     for row in parts.collect():  # CHUNKS rows, of a fixed size
         out[row["chunk"]] = np.frombuffer(row["counts"], np.int32)
     return out.ravel()
 
 
-def postings(docs: DataFrame, sketch, shingle: int) -> DataFrame:
-    """(token, sid, n, place) for the tokens of each set's prefix under order 1; equal sets of a slice of rows give theirs once."""
+def postings(texts: DataFrame, sketch, shingle: int, most_in_task: int) -> DataFrame:
+    """(token, salt, sid, n, place) for the tokens of each set's prefix under order 1. salt: -1, or a number of the set's where
+    the token may be held by more than `most_in_task` sets. Needs sid and text, one row a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
         for batch in slices(batches, "text"):
             tokens, off = token_sets(batch.column(1), shingle)
-            sid, size = set_ids(tokens, off), np.diff(off)
-            _, once = np.unique(sid, return_index=True)
-            key = (often[(tokens >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U(32)) | (mix(tokens ^ ORDER_SEEDS[0]) >> U(32))
+            sid, size = batch.column(0).to_numpy(), np.diff(off)
+            times = often[(tokens >> U(64 - SKETCH_BITS)).astype(np.int64)]
+            key = (times.astype(np.uint64) << U(32)) | (mix(tokens ^ ORDER_SEEDS[0]) >> U(32))
             chosen, owner, places = [], [], []
-            for i in once[size[once] > 0].tolist():
+            for i in np.flatnonzero(size).tolist():
                 k = key[off[i] : off[i + 1]]
                 limit = np.partition(k, prefix_size(len(k)) - 1)[prefix_size(len(k)) - 1]
                 found = np.flatnonzero(k <= limit)  # all of a tie at the limit
@@ -133,19 +152,34 @@ def postings(docs: DataFrame, sketch, shingle: int) -> DataFrame:
                 # Tokens of equal keys share the first one's place: the bound stays one from above.
                 places.append(np.searchsorted(k[found], k[found]))
             if chosen:
-                own = np.concatenate(owner)
-                columns = [tokens[np.concatenate(chosen)].view(np.int64), sid[own].view(np.int64), size[own].astype(np.int32), np.concatenate(places).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "n", "place"])
+                own, at = np.concatenate(owner), np.concatenate(chosen)
+                salt = np.where(times[at] > most_in_task, (mix(sid.view(np.uint64)) % U(SALTS)).astype(np.int32)[own], -1)
+                columns = [tokens[at].view(np.int64), salt.astype(np.int32), sid[own], size[own].astype(np.int32), np.concatenate(places).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "sid", "n", "place"])
 
-    return docs.select("rid", "text").mapInArrow(run, "token long, sid long, n int, place int")
+    return texts.select("sid", "text").mapInArrow(run, "token long, salt int, sid long, n int, place int")
 
 
 def buckets(post: DataFrame) -> DataFrame:
     """(bucket, sid, n, place): sets that share a prefix token. Tokens shared by just the same sets are one bucket, with the
     smallest of each set's places; tokens of one set are none."""
+    names = ["token", "salted", "sid", "n", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "token", 200_000):
+        spread: list[pa.RecordBatch] = []
+
+        def plain() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                salted = batch.column(1).to_numpy() >= 0
+                if salted.any():
+                    part = batch.filter(pa.array(salted))
+                    spread.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(np.ones(part.num_rows, bool)), *(part.column(k) for k in (2, 3, 4))], names))
+                    batch = batch.filter(pa.array(~salted))
+                yield batch
+
+        for table in whole_groups(plain(), "token", 200_000):
+            yield from spread
+            spread.clear()
             token, sid, n, place = (table.column(c).to_numpy() for c in ("token", "sid", "n", "place"))
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
@@ -160,10 +194,38 @@ def buckets(post: DataFrame) -> DataFrame:
             order = np.lexsort((sid, code))
             code, sid, n, place = code[order], sid[order], n[order], place[order]
             new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (sid[1:] != sid[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(code[new].view(np.int64)), pa.array(sid[new]), pa.array(n[new]), pa.array(np.minimum.reduceat(place, new))], ["bucket", "sid", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(code[new].view(np.int64)), pa.array(np.zeros(len(new), bool)), pa.array(sid[new]), pa.array(n[new]), pa.array(np.minimum.reduceat(place, new))], names)
+        yield from spread
+
+    found = post.repartition("token", "salt").sortWithinPartitions("token", "sid").mapInArrow(run, "token long, salted boolean, sid long, n int, place int")
+    found = written(found, "jaccard-postings")
+    hot = found.where("salted")
+    # Sets of a frequent token: counted by an aggregate that combines, written so that the join's hot keys can be split.
+    counts = hot.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x")).where("k > 1")
+    counts = written(counts.select("token", F.xxhash64("k", "x").alias("bucket")), "jaccard-frequent")
+    both = found.where("not salted").select(F.col("token").alias("bucket"), "sid", "n", "place").unionByName(hot.join(counts, "token").select("bucket", "sid", "n", "place"))
+    return both.groupBy("bucket", "sid").agg(F.first("n").alias("n"), F.min("place").alias("place"))
+
+
+def with_prefixes(texts: DataFrame, shingle: int) -> DataFrame:
+    """(sid, text, p2, p3): each set's prefixes under orders 2 and 3, tokens by 32 bits (equal tokens stay equal, so no candidate is lost)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            tokens, off = token_sets(batch.column(1), shingle)
+            columns = []
+            for seed in ORDER_SEEDS[1:]:
+                key = mix(tokens ^ seed)
+                parts = []
+                for i in range(batch.num_rows):
+                    k = key[off[i] : off[i + 1]]
+                    parts.append(np.partition(k, prefix_size(len(k)) - 1)[: prefix_size(len(k))] if len(k) else k)
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                low = (np.concatenate(parts) & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(low)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["sid", "text", "p2", "p3"])
 
-    found = post.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "bucket long, sid long, n int, place int")
-    return found.groupBy("bucket", "sid").agg(F.first("n").alias("n"), F.min("place").alias("place"))
+    return texts.select("sid", "text").mapInArrow(run, "sid long, text string, p2 array<int>, p3 array<int>")
 
 
 def could_link(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
@@ -174,19 +236,11 @@ def could_link(n: Column, place: Column, other_n: Column, other_place: Column) -
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, linked) of each pair of sets: prefixes under orders 2 and 3 must meet, then the sets are compared in full."""
-
-    def prefixes(tokens: np.ndarray, seed: np.uint64) -> np.ndarray:
-        key = mix(tokens ^ seed)
-        k = prefix_size(len(key)) - 1
-        return key[key <= np.partition(key, k)[k]]
+    """(a, b, linked) of each pair of sets: prefixes under orders 2 and 3 must meet as well; what passes is compared in full."""
 
     def linked(a: np.ndarray, b: np.ndarray) -> bool:
         if DENOMINATOR * min(len(a), len(b)) < NUMERATOR * max(len(a), len(b)):
             return False
-        for seed in ORDER_SEEDS[1:]:
-            if not len(np.intersect1d(prefixes(a, seed), prefixes(b, seed), assume_unique=True)):
-                return False
         both = len(np.intersect1d(a, b, assume_unique=True))
         return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
@@ -197,9 +251,12 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             out = [linked(ta[oa[i] : oa[i + 1]], tb[ob[i] : ob[i + 1]]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    one = pairs.select("a", "b").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return two.mapInArrow(run, "a long, b long, linked boolean")
+    side = lambda x, *columns: texts.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    met = F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
+    sifted = pairs.select("a", "b").join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b").select("a", "b", met.alias("met"))
+    sifted = written(sifted, "jaccard-candidates")
+    two = sifted.where("met").select("a", "b").join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+    return two.mapInArrow(run, "a long, b long, linked boolean").unionByName(sifted.where("not met").select("a", "b", F.lit(False).alias("linked")))
 
 
 def _with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -208,35 +265,67 @@ def _with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
 
-def _open_members(members: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component."""
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return members.join(mixed, "bucket")
+AS_HUB = ("sid", "n", "place", "component")
+
+
+def _open_members(members: DataFrame, rank: Column) -> DataFrame:
+    """Members of buckets that still hold more than one component, beside their bucket's hub: the member of the highest rank."""
+    hub = F.max_by(F.struct(*[F.col(c).alias(f"hub_{c}") for c in AS_HUB]), rank)
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub.alias("hub")).where("lo <> hi").select("bucket", "hub.*")
+    # Written, so that both sides of the join are plain shuffles and Spark can split a large bucket.
+    return members.join(written(mixed, "jaccard-hubs"), "bucket")
 
 
-def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame | None]:
-    """(rid, sid, n) of all rows, and (id, component) of all sets that have a link, or None. Needs rid and text."""
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(STEP)))
+
+
+def _rest(live: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components in one bucket that sizes and places allow.
+
+    The larger set looks for partners of 0.75 of its size up to what its place
+    leaves possible, by classes of size; so sets that share a token too late to
+    link never meet.
+    """
+    n, place = F.col("n").cast("long"), F.col("place").cast("long")
+    lo = F.ceil(NUMERATOR * n / DENOMINATOR)
+    hi = F.least(n, F.floor((DENOMINATOR * n - (NUMERATOR + DENOMINATOR) * place) / NUMERATOR))
+    asking = live.where(lo <= hi).withColumn("step", F.explode(F.sequence(_size_class(lo), _size_class(hi))))
+    found = live.select("bucket", _size_class(F.col("n")).alias("step"), *[F.col(c).alias(f"hub_{c}") for c in AS_HUB])
+    near = could_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place")) & (F.col("component") != F.col("hub_component"))
+    once = (F.col("hub_n") < F.col("n")) | ((F.col("hub_n") == F.col("n")) & (F.col("hub_sid") < F.col("sid")))
+    return asking.join(found, ["bucket", "step"]).where(near & once).select(F.least("sid", "hub_sid").alias("a"), F.greatest("sid", "hub_sid").alias("b")).distinct()
+
+
+def linked_sets(docs: DataFrame, shingle: int = SHINGLE, most_in_task: int = MOST_IN_TASK) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rid, doc_id, h1, h2, n) of all rows; (h1, h2, sid, least, n) of all sets: smallest rid and doc_id; and (id, component) of all sets that have a link, or None.
+
+    Needs rid, doc_id and text.
+    """
     spark = docs.sparkSession
-    table = written(summaries(docs, shingle), "jaccard-sets")
-    sets = table.where("chunk is null").select("rid", "sid", "n")
+    table = written(summaries(docs, shingle), "jaccard-rows")
+    rows = table.where("chunk is null").select("rid", "doc_id", "h1", "h2", "n")
+    sets = written(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("sid"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "jaccard-sets")
     sketch = spark.sparkContext.broadcast(sketch_of(table))
-    members = written(buckets(postings(docs, sketch, shingle)), "jaccard-buckets")
-    # One text a set: that of its smallest row.
-    reps = sets.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid")).join(members.select("sid").distinct(), "sid")
-    texts = written(docs.select("rid", "text").join(reps, "rid").select("sid", "text"), "jaccard-texts")
+    reps = written(docs.join(sets.select(F.col("sid").alias("rid")), "rid").select(F.col("rid").alias("sid"), "text"), "jaccard-texts")
+    members = written(buckets(postings(reps, sketch, shingle, most_in_task)), "jaccard-members")
+    texts = written(with_prefixes(reps.join(members.select("sid").distinct(), "sid"), shingle), "jaccard-prefixes")
     degree = members.groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
-    live = written(members.join(degree, "sid"), "jaccard-members")
+    live, before, turn = written(members.join(degree, "sid"), "jaccard-open"), None, 0
     labels = tried = None
-    near = could_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place")) & (F.col("component") != F.col("hub_component"))
-    as_hub = [F.col(c).alias(f"hub_{c}") for c in ("sid", "n", "place", "component")]
-    for turn in range(HUB_ROUNDS):
-        live = written(_open_members(_with_component(live.select("bucket", "sid", "n", "place", "degree"), labels)), "jaccard-members")
-        if live.isEmpty():
-            break
+    plain = ("bucket", "sid", "n", "place", "degree")
+    while True:
         # First the set that most buckets hold, which edited copies have most in common with; later any other.
         rank = F.struct("degree", "sid") if not turn else F.struct(F.xxhash64("sid", F.lit(turn)), "sid")
-        hubs = live.groupBy("bucket").agg(F.max_by(F.struct(*as_hub), rank).alias("hub")).select("bucket", "hub.*")
-        shared = live.join(hubs, "bucket").where(near).groupBy("sid", "hub_sid").agg(F.count(F.lit(1)).alias("k"))
+        live = written(_open_members(_with_component(live.select(*plain), labels), rank), "jaccard-open")
+        left = live.count()
+        if not left:
+            return rows, sets, labels
+        if before is not None and 2 * left > before:
+            break
+        before, turn = left, turn + 1
+        near = could_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place")) & (F.col("component") != F.col("hub_component"))
+        shared = live.where(near).groupBy("sid", "hub_sid").agg(F.count(F.lit(1)).alias("k"))
         best = shared.groupBy("sid").agg(F.max_by("hub_sid", F.struct("k", "hub_sid")).alias("hub"))
         pairs = best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
         if tried is not None:
@@ -244,44 +333,50 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
         done = written(compared(pairs, texts, shingle), "jaccard-compared")
         tried = done if tried is None else tried.unionByName(done)
         labels = components(tried.where("linked"))
-    live = written(_open_members(_with_component(live.select("bucket", "sid", "n", "place"), labels)), "jaccard-members")
-    if not live.isEmpty():
-        rest = live.join(live.select("bucket", *as_hub), "bucket").where(near & (F.col("sid") < F.col("hub_sid"))).select(F.col("sid").alias("a"), F.col("hub_sid").alias("b")).distinct()
-        if tried is not None:
-            rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done = written(compared(rest, texts, shingle), "jaccard-compared")
-        if not done.where("linked").isEmpty():
-            tried = done if tried is None else tried.unionByName(done)
-            labels = components(tried.where("linked"))
-    return sets, labels
+    rest = _rest(live.select("bucket", *AS_HUB)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    done = written(compared(rest, texts, shingle), "jaccard-compared")
+    if not done.where("linked").isEmpty():
+        labels = components(tried.unionByName(done).where("linked"))
+    return rows, sets, labels
 
 
-def report(docs: DataFrame) -> DataFrame:
+def classes(keyed: DataFrame, most_in_task: int = MOST_IN_TASK) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, h1, h2, n) of rows, and (h1, h2, sid, component, component_id) of sets. Needs rid, doc_id and text.
+
+    sid is a set's smallest rid, component the smallest rid and component_id the smallest doc_id of all that links reach.
+    """
+    rows, sets, labels = linked_sets(keyed, most_in_task=most_in_task)
+    sets = _with_component(sets, labels)
+    least = written(sets.groupBy("component").agg(F.min("least").alias("component_id")), "jaccard-components")
+    return rows, sets.join(least, "component").select("h1", "h2", "sid", "component", "component_id")
+
+
+def report(docs: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
     Null and empty texts, and texts without words, have no shingle and no link:
     component_id is their own doc_id. Repeated rows are linked documents of equal
-    id; a null doc_id gives null where no other id is reached. An empty table
-    gives none; other columns are left out, whatever their names.
+    id; a null doc_id gives null where no other id is reached. A text of any
+    length is one set, held in one task; an empty table gives no rows; other
+    columns are left out, whatever their names.
     """
     keyed = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    return classes(keyed).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def classes(keyed: DataFrame) -> DataFrame:
-    """(rid, doc_id, n, component_id, first) of rows with rid, doc_id and text; first: the row is its component's smallest by rid."""
-    sets, labels = linked_sets(keyed)
-    ids = sets.join(keyed.select("rid", "doc_id"), "rid")
-    ids = ids if labels is None else ids.join(labels.withColumnRenamed("id", "sid"), "sid", "left")
-    ids = ids.withColumn("component", F.coalesce(F.col("component"), F.col("sid")) if labels is not None else F.col("sid"))
-    least = ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("rid").alias("first_rid"))
-    some = ids.where("n > 0").join(least, "component").select("rid", "doc_id", "n", "component_id", (F.col("rid") == F.col("first_rid")).alias("first"))
-    return some.unionByName(ids.where("n = 0").select("rid", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+    rows, sets = classes(keyed, most_in_task)
+    # Written, so that the rows of a set of very many copies can be split in their join.
+    sets = written(sets.select("h1", "h2", "component_id"), "jaccard-labels")
+    some = rows.where("n > 0").join(sets, ["h1", "h2"]).select("doc_id", "n", "component_id")
+    every = some.unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the one of the smallest id; texts without shingles all stay. All columns stay."""
-    keyed = with_row_id(docs, name="__rid")
-    own = keyed.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    stay = classes(own).where("first").select(F.col("rid").alias("__rid"))
-    return keyed.join(stay, "__rid", "left_semi").select(*docs.columns)
+    """The documents without near copies: of each component the one of the smallest id (null first; of repeated rows one).
+
+    Null and empty texts and texts without words have no copies and all stay. All columns stay, whatever their names; an empty table gives none.
+    """
+    name = free(docs.columns, "rid")
+    keyed = with_row_id(docs, name=name)
+    own = keyed.select(F.col(name).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows, sets = classes(own)
+    stay = sets.where("sid = component").select("sid").unionByName(rows.where("n = 0").select(F.col("rid").alias("sid")))
+    return keyed.join(stay.withColumnRenamed("sid", name), name, "left_semi").select(*docs.columns)
