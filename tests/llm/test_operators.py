@@ -137,8 +137,7 @@ def test_decontamination_cuts_alike_in_shares(spark, share_bytes):
 # 3
 
 
-def test_suffix_dedup(docs, rows, empty):
-    own = ordered(rows)
+def brute_suffixes(own):
     raw = [(t or "").encode() for _, t in own]
     count = Counter(t[k : k + 200] for t in raw for k in range(len(t) - 199))
     want = []
@@ -149,10 +148,27 @@ def test_suffix_dedup(docs, rows, empty):
                 gone[k : k + 200] = b"\1" * 200
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         want.append((i, len(t), sum(gone), spans, sha(bytes(b for b, g in zip(t, gone, strict=True) if not g))))
-    assert got(suffix_dedup.report(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_suffix_dedup(docs, rows, empty):
+    assert got(suffix_dedup.report(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(ordered(rows))
     assert suffix_dedup.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 4, 512])
+def test_suffix_dedup_of_a_common_passage(spark, most):
+    """A passage in very many contexts, some of which are shared for a while: sorted together, split by cores, or counted by windows."""
+    rng = random.Random(most)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    data = []
+    for i in range(60):
+        left = "left side" * (i % 3) + "".join(rng.choice("xyz") for _ in range(i % 7)) + "same" * (i % 5)
+        data.append((i, f"{rng.random()}{left}{passage[i % 4 * 20:200 + i % 31]}{'tail' * (i % 6)}{rng.random()}"))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert got(suffix_dedup.report(df, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(data)
+
+
 def test_suffix_sort_orders_and_extends():
     rng = np.random.default_rng(4)
     body = rng.integers(97, 99, 600).astype(np.uint8)
@@ -212,9 +228,9 @@ def test_window_entropy(spark):
 # 5
 
 
-def test_word_dedup(docs, rows, empty):
+def brute_words(own):
     seen, want = set(), []
-    for i, t in ordered(rows):
+    for i, t in own:
         ws = re.findall("[^\x20\x09-\x0d]+", t or "")
         gone = [0] * len(ws)
         for k in range(len(ws) - 19):
@@ -223,10 +239,26 @@ def test_word_dedup(docs, rows, empty):
                 gone[k : k + 20] = [1] * 20
             seen.add(w)
         want.append((i, len(ws), sum(gone), sha(" ".join(w for w, g in zip(ws, gone, strict=True) if not g))))
-    assert got(word_dedup.report(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_word_dedup(docs, rows, empty):
+    assert got(word_dedup.report(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(ordered(rows))
     assert word_dedup.report(empty).count() == 0
 
 
+def test_word_dedup_of_a_common_passage(spark):
+    """A passage in very many contexts, in parts of 8 to 40 words: some survive the level of 10 words, not that of 20."""
+    rng = random.Random(8)
+    passage = [f"w{k}" for k in range(40)]
+    data = []
+    for i in range(120):
+        a = rng.randrange(25)
+        data.append((i, " ".join([f"u{rng.randrange(10**6)}" for _ in range(i % 9)] + ["so", "it"] * (i % 3) + passage[a : a + rng.randrange(8, 40)] + ["end"] * (i % 4) + [str(i)])))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert got(word_dedup.report(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(data)
+
+
 # 6
 
 

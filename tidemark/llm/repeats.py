@@ -8,16 +8,16 @@ looked for among stretches of one anchor alone. Stretches that follow each other
 and share an anchor form one *fragment*, so rows are two in (length - gram + 2)
 elements, not one an element.
 
-1. `anchored` reads the texts and gives a row a fragment: anchor hash, hash of
-   the fragment's whole content, row id and place.
+1. `anchored` reads the texts and gives a row a fragment: anchor hash, two hashes
+   of the fragment's whole content, row id and place.
 2. Anchors that occur once drop out (counts are combined before the shuffle).
-3. Fragments equal as a whole are settled by their counts, however many copies
-   there are. Where one anchor has several different fragments, one of each kind
-   goes on to be compared stretch by stretch by the operator.
+3. Fragments equal as a whole are one *kind*, whose copies are only counted.
+   Where one anchor has several kinds, the first copy of each goes on with its
+   content, to be compared stretch by stretch by the operator.
 4. `covered` gives each row's stretches found, as ranges of elements.
 
-A row's key is `rid` (see store.with_row_id). Identity of fragments is 128 bits
-(two hashes of 64).
+A row's key is `rid` (see store.with_row_id). Fragments are of one kind if three
+hashes of 64 bits agree: of the anchor, and of the content by two families.
 """
 
 from __future__ import annotations
@@ -66,12 +66,12 @@ def smallest(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments(values: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor's place from start, anchor hash, content hash) of all fragments of a slice of texts."""
+    """(text, start, windows, anchor's place from start, anchor hash, two content hashes) of all fragments of a slice of texts."""
     size = np.diff(off)
     windows = np.maximum(size - length + 1, 0)
     at = ranges(off[:-1], windows)
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
     grams = window_hashes(values, gram)
     lead = smallest(grams, length - gram + 1)[at]
     new = np.ones(len(at), bool)
@@ -82,25 +82,26 @@ def fragments(values: np.ndarray, off: np.ndarray, length: int, gram: int) -> tu
     text = np.repeat(np.arange(len(size)), windows)[first]
     shape = ((anchor - start).astype(np.uint64) << U(32)) | (end - start).astype(np.uint64)
     content = mix(between(prefix(values), start, end) ^ mix(shape))
-    return text, start - off[text], last - first + 1, anchor - start, grams[anchor], content
+    check = mix(between(prefix(mix(values)), start, end) + shape)
+    return text, start - off[text], last - first + 1, anchor - start, grams[anchor], content, check
 
 
 def anchored(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(anchor, frag, rid, at) of every fragment; `at` packs start, the anchor's distance and the number of windows."""
+    """(anchor, frag, check, rid, at) of every fragment; `at` packs start, the anchor's distance and the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rid = batch.column(0).to_numpy()
-            text, start, windows, ahead, anchor, content = fragments(*kind.values(*flat(batch.column(1))), kind.length, kind.gram)
+            text, start, windows, ahead, *hashes = fragments(*kind.values(*flat(batch.column(1))), kind.length, kind.gram)
             at = (start << 16) | (ahead << 8) | windows
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rid[text]), pa.array(at)], ["anchor", "frag", "rid", "at"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), pa.array(rid[text]), pa.array(at)], ["anchor", "frag", "check", "rid", "at"])
 
-    return docs.select("rid", "text").mapInArrow(run, "anchor long, frag long, rid long, at long")
+    return docs.select("rid", "text").mapInArrow(run, "anchor long, frag long, check long, rid long, at long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """The content of one fragment of each kind: (anchor, frag, n, rid, at, body). Words are joined by one blank."""
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "frag", "n", "at")).alias("wanted"))
+    """The content of wanted fragments (anchor, rid, at): (anchor, rid, at, body). Words are joined by one blank."""
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -121,10 +122,10 @@ def texts_of(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
             cut = [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
             if kind.words:
                 cut = [b" ".join(c.split()) for c in cut]
-            yield pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("frag"), rows.field("n"), batch.column(0).take(pa.array(text)), rows.field("at"), pa.array(cut, pa.binary())], ["anchor", "frag", "n", "rid", "at", "body"])
+            yield pa.RecordBatch.from_arrays([rows.field("anchor"), batch.column(0).take(pa.array(text)), rows.field("at"), pa.array(cut, pa.binary())], ["anchor", "rid", "at", "body"])
 
     joined = docs.select("rid", "text").join(lists, "rid").select("rid", "text", "wanted")
-    return joined.mapInArrow(run, "anchor long, frag long, n long, rid long, at long, body binary")
+    return joined.mapInArrow(run, "anchor long, rid long, at long, body binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
@@ -155,52 +156,53 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iter
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def covered(docs: DataFrame, kind: Kind, compare: Callable[[pa.Table], np.ndarray], keep_first: bool) -> DataFrame:
+def shared_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, times) of keys that more than one row has. Counts combine before the shuffle; the table is written, so that a
+    join with it has plain shuffles on both sides and Spark can split a hot key."""
+    return written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeats-shared")
+
+
+def equal_windows(rows: DataFrame, keep_first: bool) -> DataFrame:
+    """(rid, at, lo, hi) of windows (w1, w2, rid, at, k) that others equal by both hashes; keep_first: only those that an earlier one equals.
+
+    Each window is a row and equal ones are counted by an aggregate that combines, so no group is ever in one place.
+    """
+    rows = written(rows, "repeats-windows")
+    start = F.shiftright("at", 16) + F.col("k")
+    groups = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", start.alias("start"))).alias("least")).where("times > 1")
+    hits = rows.join(written(groups.select("w1", "w2", "least"), "repeats-shared"), ["w1", "w2"])
+    if keep_first:
+        hits = hits.where((F.col("rid") != F.col("least.rid")) | (start != F.col("least.start")))
+    return hits.select("rid", "at", F.col("k").alias("lo"), (F.col("k") + 1).alias("hi"))
+
+
+def covered(docs: DataFrame, kind: Kind, compare: Callable[[DataFrame], DataFrame], keep_first: bool) -> DataFrame:
     """(rid, spans): element ranges [start, end) covered by repeated stretches, not merged, rows without any left out.
 
-    `compare` gets whole groups of fragments that share an anchor but differ, and
-    says for each of its rows' windows, in a row, whether it is repeated.
+    `compare` gets (anchor, rid, at, body), the first copy of each kind of fragment whose anchor has several kinds, and
+    returns (rid, at, lo, hi): runs of its windows that are repeated in another kind.
     keep_first: the first occurrence by (rid, start) of each stretch doesn't count.
     """
     rows = anchored(docs, kind)
-    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi"))
+    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("frag", "check") for f in (F.min, F.max)])
     # Written first, so that both sides of the join are shuffled for it and Spark can split a hot anchor's rows.
-    often = written(counts.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "repeats-anchors")
+    mixed = (F.col("min_frag") != F.col("max_frag")) | (F.col("min_check") != F.col("max_check"))
+    often = written(counts.where("n > 1").select("anchor", mixed.alias("mixed")), "repeats-anchors")
     repeated = written(rows.join(often, "anchor"), "repeats-rows")
-    kinds = repeated.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("first"), F.first("mixed").alias("mixed"))
-    kinds = written(kinds.select("anchor", "frag", "n", F.col("first.rid").alias("first_rid"), F.col("first.at").alias("first_at"), "mixed"), "repeats-kinds")
-    wanted = kinds.where("mixed").select("anchor", "frag", "n", F.col("first_rid").alias("rid"), F.col("first_at").alias("at"))
-    bodies = texts_of(docs, wanted, kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "anchor", 8000):
-            hit = compare(table)
-            windows = table.column("at").to_numpy() & 255
-            first = np.cumsum(windows) - windows
-            edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-            # A run never crosses two fragments: cut it where one begins.
-            begin = np.zeros(len(hit) + 1, bool)
-            begin[first] = True
-            inner = np.flatnonzero(begin[1:-1] & hit[1:] & hit[:-1]) + 1 if len(hit) > 1 else np.zeros(0, np.int64)
-            lo = np.sort(np.concatenate([np.flatnonzero(edge == 1), inner]))
-            hi = np.sort(np.concatenate([np.flatnonzero(edge == -1), inner]))
-            owner = np.searchsorted(first, lo, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [table.column("anchor").combine_chunks().take(pa.array(owner)), table.column("frag").combine_chunks().take(pa.array(owner)), pa.array((lo - first[owner]).astype(np.int32)), pa.array((hi - first[owner]).astype(np.int32))],
-                ["anchor", "frag", "lo", "hi"],
-            )
-
-    parted = bodies.repartition("anchor").sortWithinPartitions("anchor", "frag")
-    found = parted.mapInArrow(run, "anchor long, frag long, lo int, hi int")
-    found = found.groupBy("anchor", "frag").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
-    settled = kinds.drop("mixed").join(found, ["anchor", "frag"], "left").where("n > 1 or parts is not null").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")))
+    kinds = repeated.groupBy("anchor", "frag", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("first"), F.first("mixed").alias("mixed"))
+    kinds = written(kinds.select("anchor", "frag", "check", "n", F.col("first.rid").alias("first_rid"), F.col("first.at").alias("first_at"), "mixed"), "repeats-kinds")
+    wanted = kinds.where("mixed").select("anchor", F.col("first_rid").alias("rid"), F.col("first_at").alias("at"))
+    found = compare(written(texts_of(docs, wanted, kind), "repeats-bodies"))
+    found = found.groupBy(F.col("rid").alias("first_rid"), F.col("at").alias("first_at")).agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    settled = kinds.drop("mixed").join(found, ["first_rid", "first_at"], "left").where("n > 1 or parts is not null").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")))
     # Written for the same reason: a fragment of very many copies is split by Spark where both sides of its join are plain shuffles.
     settled = written(settled, "repeats-settled")
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("at").bitwiseAND(255).cast("int").alias("hi")))
     is_first = (F.col("rid") == F.col("first_rid")) & (F.col("at") == F.col("first_at"))
     parts = F.when((F.col("n") > 1) & ~(is_first if keep_first else F.lit(False)), whole).otherwise(F.col("parts"))
     start = F.shiftright("at", 16)
-    each = repeated.select("anchor", "frag", "rid", "at").join(settled, ["anchor", "frag"]).select("rid", F.explode(F.transform(parts, lambda p: F.struct((start + p["lo"]).alias("start"), (start + p["hi"] + (kind.length - 1)).alias("end")))).alias("span"))
+    each = repeated.select("anchor", "frag", "check", "rid", "at").join(settled, ["anchor", "frag", "check"])
+    each = each.select("rid", F.explode(F.transform(parts, lambda p: F.struct((start + p["lo"]).alias("start"), (start + p["hi"] + (kind.length - 1)).alias("end")))).alias("span"))
     return each.groupBy("rid").agg(F.collect_list("span").alias("spans"))
 
 

@@ -1,12 +1,18 @@
 """Exact substring removal over bytes by a hash-compared suffix sort.
 
 Every 200-byte string that starts at two places is removed at both. Candidates
-come from repeats.py. Where fragments of one anchor differ, the suffixes at all
-their windows are sorted: prefix polynomial hashes give the longest common
-extension of two suffixes by binary search, so one comparison takes a number of
-steps logarithmic in the length, and a mergesort of such comparisons orders
-them. Neighbours that agree over the whole length are repeats, once their bytes
-have been compared: equal hashes alone decide nothing.
+come from repeats.py. Where one anchor has several kinds of fragments, the
+suffixes at all their windows are sorted: prefix polynomial hashes give the
+longest common extension of two suffixes by binary search, so one comparison
+takes a number of steps logarithmic in the length, and a mergesort of such
+comparisons orders them. Neighbours that agree over the whole length are
+repeats, once their bytes have been compared: equal hashes alone decide nothing.
+
+A sort holds `MOST` kinds of fragments at most. An anchor with more is split by
+its windows' distance before it, in steps of SPAN: all windows of a step hold
+one *core* of bytes around the anchor, so equal ones have equal cores, and cores
+of one fragment only need no sort. A core that still has more kinds is counted
+window by window by two hashes, without a group in one place.
 """
 
 from __future__ import annotations
@@ -20,12 +26,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import BYTE_CODES, flat, powers, prefix, ranges, slices
-from .repeats import Kind, covered, marked
-from .store import with_row_id
+from .columns import BYTE_CODES, between, flat, mix, powers, prefix, ranges, slices
+from .repeats import Kind, covered, equal_windows, marked, shared_keys, whole_groups
+from .store import with_row_id, written
 
 LENGTH = 200
 GRAM = 32
+#: Kinds of fragments that one sort holds at most, and distances that share a core.
+MOST, SPAN = 512, 22
 
 
 class SuffixSorter:
@@ -88,21 +96,23 @@ class SuffixSorter:
 
 
 def repeated_windows(table: pa.Table, length: int = LENGTH) -> np.ndarray:
-    """For each window of each fragment, in a row: whether another fragment of the same anchor has its bytes."""
+    """For each window of each fragment, in a row: whether another fragment of the same key has its bytes. step: -1, or which distances count."""
     body, off = flat(table.column("body").combine_chunks())
-    at = table.column("at").to_numpy()
+    at, step = table.column("at").to_numpy(), table.column("step").to_numpy()
     windows, ahead = at & 255, (at >> 8) & 255
-    anchor = table.column("anchor").to_numpy()
-    group = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
+    key = table.column("key").to_numpy()
+    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
     suffix = ranges(off[:-1], windows)
     first = np.cumsum(windows) - windows
     owner = np.repeat(np.arange(len(at)), windows)
     # Equal windows stand equally far before their anchor.
-    bucket = group[owner] * 256 + (ahead[owner] - (suffix - off[owner]))
+    distance = ahead[owner] - (suffix - off[owner])
+    bucket = group[owner] * 256 + distance
     head = np.zeros(len(suffix), np.uint64)
     for k in range(8):
         head = (head << np.uint64(8)) | body[suffix + k].astype(np.uint64)
     order = np.lexsort((head, bucket))
+    order = order[((step[owner] < 0) | (distance // SPAN == step[owner]))[order]]
     tied = np.zeros(len(order) + 1, bool)
     tied[1:-1] = (bucket[order][1:] == bucket[order][:-1]) & (head[order][1:] == head[order][:-1])
     keep = tied[1:] | tied[:-1]
@@ -128,9 +138,86 @@ def repeated_windows(table: pa.Table, length: int = LENGTH) -> np.ndarray:
     return hit
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def cores(bodies: DataFrame, length: int) -> DataFrame:
+    """(key, rid, at, step): for each step of distances in which a fragment has windows, the bytes that all such windows hold, as one hash with the anchor's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            body, off = flat(batch.column(3))
+            at = batch.column(2).to_numpy()
+            ahead, windows = (at >> 8) & 255, at & 255
+            low, high = (ahead - windows + 1) // SPAN, ahead // SPAN
+            step = ranges(low, high - low + 1)
+            owner = np.repeat(np.arange(len(at)), high - low + 1)
+            place = off[owner] + ahead[owner]
+            anchor = batch.column(0).to_numpy().view(np.uint64)[owner]
+            key = mix(between(prefix(BYTE_CODES[body]), place - step * SPAN, place + length - (step + 1) * SPAN + 1) ^ mix(anchor + step.astype(np.uint64)))
+            index = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(index), batch.column(2).take(index), pa.array(step.astype(np.int32))], ["key", "rid", "at", "step"])
+
+    return bodies.select("anchor", "rid", "at", "body").mapInArrow(run, "key long, rid long, at long, step int")
+
+
+def window_rows(parts: DataFrame, length: int) -> DataFrame:
+    """(w1, w2, rid, at, k) of the windows of each fragment's step: two hashes of a window's bytes, and its number in the fragment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body", 1 << 18):
+            body, off = flat(batch.column(3))
+            at, step = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            windows = at & 255
+            owner = np.repeat(np.arange(len(at)), windows)
+            k = ranges(np.zeros(len(at), np.int64), windows)
+            chosen = (((at >> 8) & 255)[owner] - k) // SPAN == step[owner]
+            owner, k = owner[chosen], k[chosen]
+            start = off[owner] + k
+            hashes = [mix(between(prefix(codes[body]), start, start + length)).view(np.int64) for codes in (BYTE_CODES, mix(BYTE_CODES))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), batch.column(0).take(pa.array(owner)), pa.array(at[owner]), pa.array(k.astype(np.int32))], ["w1", "w2", "rid", "at", "k"])
+
+    return parts.select("rid", "at", "step", "body").mapInArrow(run, "w1 long, w2 long, rid long, at long, k int")
+
+
+def repeated_runs(bodies: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+    """(rid, at, lo, hi): runs of windows whose bytes another fragment has too. `bodies` has anchor, rid, at and body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key", 8000):
+            hit = repeated_windows(table, length)
+            windows = table.column("at").to_numpy() & 255
+            first = np.cumsum(windows) - windows
+            edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
+            # A run never crosses two fragments: cut it where one begins.
+            begin = np.zeros(len(hit) + 1, bool)
+            begin[first] = True
+            inner = np.flatnonzero(begin[1:-1] & hit[1:] & hit[:-1]) + 1 if len(hit) > 1 else np.zeros(0, np.int64)
+            lo = np.sort(np.concatenate([np.flatnonzero(edge == 1), inner]))
+            hi = np.sort(np.concatenate([np.flatnonzero(edge == -1), inner]))
+            owner = np.searchsorted(first, lo, side="right") - 1
+            index = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [table.column("rid").combine_chunks().take(index), table.column("at").combine_chunks().take(index), pa.array((lo - first[owner]).astype(np.int32)), pa.array((hi - first[owner]).astype(np.int32))],
+                ["rid", "at", "lo", "hi"],
+            )
+
+    def sort(parts: DataFrame) -> DataFrame:
+        parts = parts.select("key", "step", "rid", "at", "body").repartition("key").sortWithinPartitions("key")
+        return parts.mapInArrow(run, "rid long, at long, lo int, hi int")
+
+    many = shared_keys(bodies, ["anchor"]).where(F.col("times") > most)
+    whole = F.lit(-1).alias("step")
+    found = sort(bodies.join(many, "anchor", "left_anti").select(F.col("anchor").alias("key"), whole, "rid", "at", "body"))
+    if many.isEmpty():
+        return found
+    large = written(bodies.join(many.select("anchor"), "anchor"), "repeats-large")
+    held = cores(large, length)
+    parts = written(held.join(shared_keys(held, ["key"]), "key"), "repeats-cores")
+    small, rest = (parts.where(c).join(large.select("rid", "at", "body"), ["rid", "at"]) for c in (F.col("times") <= most, F.col("times") > most))
+    return found.unionByName(sort(small)).unionByName(equal_windows(window_rows(rest, length), keep_first=False))
+
+
+def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(rid, spans): byte ranges, not merged, covered by strings of `length` bytes that also start elsewhere. Needs rid and text."""
-    return covered(docs, Kind(length, gram), lambda table: repeated_windows(table, length), keep_first=False)
+    return covered(docs, Kind(length, gram), lambda bodies: repeated_runs(bodies, length, most), keep_first=False)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -144,13 +231,14 @@ def _span_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(size)]), rows.field("start").to_numpy(), rows.field("end").to_numpy()
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, most: int = MOST) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay).
 
     Null and empty texts have no bytes and the digest of nothing; a repeated row
     counts as a document of its own, so both lose what they share; rows of equal
     or null doc_id are kept apart; an empty table gives none; other columns are
-    left out, whatever their names.
+    left out, whatever their names. A text of any length is read whole, in one
+    task, with some dozens of bytes of memory a byte.
     """
     keyed = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
 
@@ -172,5 +260,5 @@ def report(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_spans(keyed, removed_spans(keyed)).select("doc_id", "text", "spans")
+    joined = _with_spans(keyed, removed_spans(keyed, most=most)).select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,10 +1,11 @@
 """Substring dedup over words by level-wise doubling.
 
 A window of 20 words that also starts earlier is removed. The search goes by
-lengths that double: windows of 5 words that occur once can't be part of a
-repeat and drop out (those are the anchors of repeats.py); the repeated ones
-alone are extended to 10 words around them, those repeated again to 20, until
-the full length is reached or no candidate survives.
+lengths that double, each level over the table of all candidates: windows of 5
+words that occur once can't be part of a repeat and drop out (those are the
+anchors of repeats.py); the repeated ones alone are extended to 10 words around
+them, those repeated again to 20, until the full length is reached or no
+candidate survives. A level is a count by hash that combines before its shuffle.
 """
 
 from __future__ import annotations
@@ -18,61 +19,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import BYTE_CODES, NOT_SPACE, between, flat, mix, prefix, ranges, slices, word_hashes, words
-from .repeats import Kind, covered, marked
-from .store import with_row_id
+from .repeats import Kind, covered, equal_windows, marked, shared_keys
+from .store import with_row_id, written
 from .suffix_dedup import _span_arrays
 
 WINDOW = 20
 SHORTEST = 5
 
 
-def repeated_windows(table: pa.Table, window: int = WINDOW, shortest: int = SHORTEST) -> np.ndarray:
-    """For each window of each fragment, in a row: whether its words start at an earlier place too, among fragments of one anchor."""
-    body, off = flat(table.column("body").combine_chunks())
-    at, rid = table.column("at").to_numpy(), table.column("rid").to_numpy()
-    windows, ahead = at & 255, (at >> 8) & 255
-    anchor = table.column("anchor").to_numpy()
-    group = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])]).astype(np.uint64)
-    starts, ends, first_word = words(body, off, NOT_SPACE)
-    sums = prefix(word_hashes(body, starts, ends))
+def _places(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
+    """Of a batch of (anchor, rid, at, body, alive): word starts and ends, bytes, and of each living window its fragment, number, first word and anchor's word."""
+    body, off = flat(batch.column(3))
+    at, alive = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+    starts, ends, first = words(body, off, NOT_SPACE)
+    windows = at & 255
     owner = np.repeat(np.arange(len(at)), windows)
-    begin = ranges(first_word[:-1], windows)
-    gram = first_word[owner] + ahead[owner]
-    alive = np.arange(len(owner))
-    length = shortest
-    while length < window and len(alive):
-        length = min(2 * length, window)
-        # Around the anchor: as far right as the window reaches, the rest to its left.
-        b, g = begin[alive], gram[alive]
-        start = np.minimum(g, b + window - length)
-        key = mix(between(sums, start, start + length) ^ mix(group[owner[alive]] << np.uint64(16) | (g - start).astype(np.uint64)))
-        own = np.stack([key, start.view(np.uint64)])
-        # One extension serves several windows of its fragment: it counts once.
-        order = np.lexsort((own[1], own[0]))
-        k, s = own[0][order], own[1][order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        times = np.add.reduceat(fresh.astype(np.int64), edge)
-        again = np.repeat(times > 1, np.diff(np.append(edge, len(k))))
-        alive = np.sort(alive[order[again]])
-    hit = np.zeros(len(owner), bool)
-    if not len(alive):
-        return hit
-    # Whole windows: equal words by two hashes, of the words' codes and of their bytes; the earliest place stays.
-    b = begin[alive]
-    code = mix(between(sums, b, b + window) ^ mix(group[owner[alive]]))
-    raw = between(prefix(mix(BYTE_CODES)[body]), starts[b], ends[b + window - 1])
-    place = (at >> 16)[owner[alive]] + (b - first_word[owner[alive]])
-    order = np.lexsort((place, rid[owner[alive]], raw, code))
-    c, r = code[order], raw[order]
-    hit[alive[order[1:]]] = (c[1:] == c[:-1]) & (r[1:] == r[:-1])
-    return hit
+    k = ranges(np.zeros(len(at), np.int64), windows)
+    lives = (alive[owner] >> k) & 1 == 1
+    owner, k = owner[lives], k[lives]
+    return body, starts, ends, owner, k, first[owner] + k, first[owner] + ((at >> 8) & 255)[owner]
+
+
+def extended(alive: DataFrame, window: int, length: int) -> DataFrame:
+    """(key, rid, at, bits): the stretches of `length` words around the anchors of living windows, one hash each with the anchor's,
+    and the windows that hold each as bits. A stretch goes as far right as the window reaches, the rest to its left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            body, starts, ends, owner, k, begin, gram = _places(batch, window)
+            if not len(owner):
+                continue
+            start = np.minimum(gram, begin + window - length)
+            # Windows of one fragment and stretch stand in a row.
+            edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1])]))
+            bits = np.bitwise_or.reduceat(np.int64(1) << k, edge)
+            owner, start, gram = owner[edge], start[edge], gram[edge]
+            anchor = batch.column(0).to_numpy().view(np.uint64)[owner]
+            key = mix(between(prefix(word_hashes(body, starts, ends)), start, start + length) ^ mix(anchor + (gram - start).astype(np.uint64)))
+            index = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(index), batch.column(2).take(index), pa.array(bits)], ["key", "rid", "at", "bits"])
+
+    return alive.select("anchor", "rid", "at", "body", "alive").mapInArrow(run, "key long, rid long, at long, bits long")
+
+
+def window_rows(alive: DataFrame, window: int) -> DataFrame:
+    """(w1, w2, rid, at, k) of living windows: hashes of the words' codes and of the words' bytes, and the window's number in its fragment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            body, starts, ends, owner, k, begin, _ = _places(batch, window)
+            code = mix(between(prefix(word_hashes(body, starts, ends)), begin, begin + window))
+            raw = between(prefix(mix(BYTE_CODES)[body]), starts[begin], ends[begin + window - 1])
+            index = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(raw.view(np.int64)), batch.column(1).take(index), batch.column(2).take(index), pa.array(k.astype(np.int32))], ["w1", "w2", "rid", "at", "k"])
+
+    return alive.select("anchor", "rid", "at", "body", "alive").mapInArrow(run, "w1 long, w2 long, rid long, at long, k int")
+
+
+def repeated_runs(bodies: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
+    """(rid, at, lo, hi): windows whose words start at an earlier place too. `bodies` has anchor, rid, at and body."""
+    alive = bodies.withColumn("alive", F.expr("shiftleft(1L, cast(at & 255 as int)) - 1"))
+    length = 2 * shortest
+    while length < window:
+        held = extended(alive, window, length)
+        again = held.join(shared_keys(held, ["key"]), "key").groupBy("rid", "at").agg(F.bit_or("bits").alias("alive"))
+        alive = written(bodies.join(again, ["rid", "at"]), "repeats-alive")
+        length *= 2
+    return equal_windows(window_rows(alive, window), keep_first=True)
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """(rid, spans): ranges of words, not merged, covered by windows that also start earlier. Needs rid and text."""
-    return covered(docs, Kind(window, shortest, words=True), lambda table: repeated_windows(table, window, shortest), keep_first=True)
+    return covered(docs, Kind(window, shortest, words=True), lambda bodies: repeated_runs(bodies, window, shortest), keep_first=True)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -80,7 +98,8 @@ def report(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and the digest of nothing. The earliest
     place is by doc_id (null first), then text, then start: of repeated rows the
-    first keeps its words. An empty table gives none; other columns are left out.
+    first keeps its words. An empty table gives none; other columns are left out,
+    whatever their names. A text of any length is read whole, in one task.
     """
     keyed = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
 
