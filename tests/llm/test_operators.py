@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, decontaminate, jaccard_join, nn_descent, quality, secrets, suffix_dedup, token_count, word_dedup
+from tidemark.llm.columns import flat
 from tidemark.llm.components import components
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -99,6 +100,26 @@ def test_decontamination(spark, docs, rows, empty, share_bytes):
     assert not any(r["contaminated"] for r in decontaminate.report(docs, bench.where("false")).collect())
 
 
+def test_matcher_compares_words_and_walks_no_further_than_it_reads():
+    item = " ".join(["a"] * 400)
+    matcher = decontaminate.Matcher([(1, item), (2, "b c d")])
+    steps = 0
+
+    class Counted(list):
+        def __getitem__(self, k):
+            nonlocal steps
+            steps += 1
+            return super().__getitem__(k)
+
+    matcher.automaton.link = Counted(matcher.automaton.link)
+    seq = matcher.runs(*flat(pa.array(["a " * 3000])))[1].tolist()
+    assert sum(1 for _ in matcher.automaton.scan(seq)) == 2991
+    assert steps < 40_000
+    matcher.names[matcher.names.index(b"c")] = b"other"  # as if another word had the hash of c
+    assert decontaminate.scanned([matcher], pa.array(["b c d"]))[1] == {}
+    assert decontaminate.scanned([matcher], pa.array(["a " * 12]))[1] == {0: ([(0, 12)], {1})}
+
+
 def test_decontamination_cuts_and_drops(spark):
     item = "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1"
     clean = " ".join(f"w{k}" for k in range(80))

@@ -10,10 +10,11 @@ Only runs of words whose neighbouring pairs all occur in some item are streamed:
 no window can lie outside such a run. The runs are found by array operations on
 the batch, so ordinary text costs no step of the automaton.
 
-The automaton is broadcast. Its size is bound: the items' bytes are counted
-first, and more than `share_bytes` are taken in shares, each with an automaton
-and a pass of its own over the documents. Every pass sees the whole texts; spans
-of all passes are merged before anything is judged or cut.
+The automaton is broadcast. Its size is bound: items are taken in shares of at
+most `share_bytes` of text, each with an automaton of its own, built and
+broadcast one after the other. A scan of the documents streams each text through
+up to `SHARES_AT_ONCE` of them; more shares take more scans. Every scan sees the
+whole texts; spans of all shares are merged before anything is judged or cut.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .columns import ALNUM, flat, slices, word_hashes, words
+from .store import free, with_row_id, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
-#: Bytes of items whose automaton is broadcast at once.
-SHARE_BYTES = 1 << 20
+#: Bytes of items in one automaton, and automata that a task holds at once.
+SHARE_BYTES, SHARES_AT_ONCE = 1 << 20, 4
 
 
 class Automaton:
@@ -62,8 +63,10 @@ class Automaton:
             state = length = 0
             for w in seq:
                 state, length = self.step(state, length, w)
+                state = self.window_state(state)
+                length = min(length, self.length[state])
                 if length >= window:
-                    held.setdefault(self.window_state(state), set()).add(item)
+                    held.setdefault(state, set()).add(item)
         self.held = {s: frozenset(x) for s, x in held.items()}
 
     def _extend(self, last: int, w: int) -> int:
@@ -117,7 +120,10 @@ class Automaton:
         state = matched = 0
         for end, w in enumerate(seq, 1):
             state, matched = self.step(state, matched, w)
-            if matched >= self.window and (items := self.held.get(self.window_state(state))):
+            # Only the last `window` words matter: to go on from the state that holds them bounds all walks along links by the words read.
+            state = self.window_state(state)
+            matched = min(matched, self.length[state])
+            if matched >= self.window and (items := self.held.get(state)):
                 yield end - self.window, end, items
             if self.short:
                 s = state
@@ -143,7 +149,7 @@ class Matcher:
         number[order] = np.arange(len(names))
         ids = {w: int(number[k]) for k, w in enumerate(names)}
         sequences = [(i, [ids[w] for w in ws]) for i, ws in split]
-        self.names = [names[k] for k in order]
+        self.names = [names[k].encode() for k in order]
         pairs = {(a, b) for _, s in sequences for a, b in zip(s, s[1:], strict=False)}
         self.pairs = np.sort(np.array([a * len(names) + b for a, b in pairs], np.int64))
         #: Words that are an item on their own need no neighbour.
@@ -176,29 +182,51 @@ class Matcher:
         keep = size >= max(self.least, 2)
         if self.least == 1:
             keep |= np.logical_or.reduceat((number >= 0) & self.single[number], begin) if len(begin) else keep
-        return first, number, list(zip(begin[keep].tolist(), end[keep].tolist(), strict=True))
+        runs = list(zip(begin[keep].tolist(), end[keep].tolist(), strict=True))
+        for a, b in runs:
+            # Equal hashes alone make no equal words.
+            for k in range(a, b):
+                if number[k] >= 0 and body[starts[k] : ends[k]].tobytes().lower() != self.names[number[k]]:
+                    number[k] = -1
+        return first, number, runs
 
 
-def scanned(matcher: Matcher, text: pa.Array) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[int]]]]:
+Found = dict[int, tuple[list[tuple[int, int]], set[int]]]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def scanned(matchers: list[Matcher], text: pa.Array) -> tuple[np.ndarray, Found]:
     """Number of words of each text, and for texts with hits their merged spans of words and the items."""
-    first, number, runs = matcher.runs(*flat(text))
-    found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-    for a, b in runs:
-        doc = int(np.searchsorted(first, a, side="right")) - 1
-        base = a - int(first[doc])
-        for s, e, items in matcher.automaton.scan(number[a:b].tolist()):
-            spans, ids = found.setdefault(doc, ([], set()))
-            s, e = s + base, e + base
-            while spans and s <= spans[-1][1]:
-                last = spans.pop()
-                s, e = min(s, last[0]), max(e, last[1])
-            spans.append((s, e))
-            ids |= items
-    return np.diff(first), found
-
-
-def matchers(items: DataFrame, window: int, share_bytes: int) -> list:
-    """Broadcast matchers, each over a share of the items of at most about `share_bytes` of text. Items of null id are left out."""
+    body, off = flat(text)
+    found: Found = {}
+    first = np.zeros(len(text) + 1, np.int64)
+    for matcher in matchers:
+        first, number, runs = matcher.runs(body, off)
+        for a, b in runs:
+            doc = int(np.searchsorted(first, a, side="right")) - 1
+            base = a - int(first[doc])
+            for s, e, items in matcher.automaton.scan(number[a:b].tolist()):
+                spans, ids = found.setdefault(doc, ([], set()))
+                if spans and s + base <= spans[-1][1] and s + base >= spans[-1][0]:
+                    spans[-1] = (spans[-1][0], max(spans[-1][1], e + base))
+                else:
+                    spans.append((s + base, e + base))
+                ids |= items
+    return np.diff(first), {doc: (merged(spans), ids) for doc, (spans, ids) in found.items()}
+
+
+def matchers(items: DataFrame, window: int, share_bytes: int) -> list[list]:
+    """Broadcast matchers by scan, each over a share of the items of at most about `share_bytes` of text. Items of null id are left out."""
     spark = items.sparkSession
     part = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
     size = part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
@@ -206,40 +234,42 @@ def matchers(items: DataFrame, window: int, share_bytes: int) -> list:
     out = []
     for k in range(shares):
         own = part if shares == 1 else part.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == k)
+        # One share's items at a time come to the driver; the broadcast keeps them in a file.
         out.append(spark.sparkContext.broadcast(Matcher(sorted((r["item_id"], r["text"] or "") for r in own.collect()), window)))
-    return out
+    return [out[k : k + SHARES_AT_ONCE] for k in range(0, shares, SHARES_AT_ONCE)]
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, share_bytes: int = SHARE_BYTES) -> DataFrame:
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def hits(docs: DataFrame, scans: list[list]) -> DataFrame:
     """One row a document row: rid, doc_id, n_words, spans (maximal hit runs of words, [start, end)), items (ids with windows in it).
 
-    Needs rid, doc_id and text. Items of null or wordless text have no window. Each share
-    of the items is a pass; with more than one, spans are merged by rid.
+    Needs rid, doc_id and text; rid must be unique where there is more than one scan. Items of null or wordless text have no window.
     """
     rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shares = matchers(items, window, share_bytes)
     out = None
-    for matcher in shares:
+    for group in scans:
 
-        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                n_words, found = scanned(matcher.value, batch.column(2))
+                n_words, found = scanned([m.value for m in group], batch.column(2))
                 none: tuple[list, set] = ([], set())
                 spans = [[{"start": s, "end": e} for s, e in found.get(i, none)[0]] for i in range(batch.num_rows)]
                 ids = [sorted(found.get(i, none)[1]) for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], ["rid", "doc_id", "n_words", "spans", "items"])
 
-        part = rows.mapInArrow(scan, "rid long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
+        part = rows.mapInArrow(scan, f"rid long, doc_id long, n_words long, spans {SPANS}, items array<long>")
         out = part if out is None else out.unionByName(part)
-    if len(shares) == 1:
+    if len(scans) == 1:
         return out
-    merged = out.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    together = out.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     join = F.aggregate(
         "all",
         F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    return merged.select("rid", "doc_id", "n_words", join.alias("spans"), "items")
+    return together.select("rid", "doc_id", "n_words", join.alias("spans"), "items")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, share_bytes: int = SHARE_BYTES) -> DataFrame:
@@ -247,10 +277,13 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, share_bytes:
 
     Null and empty texts have no words; repeated rows give a row each; a null
     doc_id stays null; repeated items count once by id; an empty benchmark hits
-    nothing. Other columns are left out, whatever their names.
+    nothing; an empty table gives no rows. Where items share a window, all of them
+    count. A text of any length is streamed whole, in one task. Other columns are
+    left out, whatever their names.
     """
-    # The number only tells a row's parts of several passes apart; each pass reads the same rows in the same order.
-    found = hits(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), items, window, share_bytes)
+    scans = matchers(items, window, share_bytes)
+    rows = docs.select("doc_id", "text")
+    found = hits(rows.withColumn("rid", F.lit(0).cast("long")) if len(scans) == 1 else with_row_id(rows), scans)
     return found.select(
         "doc_id",
         "n_words",
@@ -271,59 +304,41 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*pieces, text[last:]])
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans in order, those that overlap or touch as one."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
 def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_hit_words: int = 50, max_coverage: float = 0.2, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """The documents with hit spans cut out; a document goes where more than `max_hit_words` words or more than
-    `max_coverage` of its words are hit. Texts without a hit stay as they are, null texts too. All columns stay.
+    `max_coverage` of its words are hit. Texts without a hit stay as they are, null and empty texts too, and equal rows
+    fare alike. All columns stay, whatever their names; an empty table gives none; a text of any length is streamed whole.
 
-    Each share of the items is a pass over the whole text that hands its spans on beside the row. The last pass
-    merges them, judges their total and cuts once, so the result is that of one automaton over all items.
+    Spans of all items are merged before a text is judged and cut, so the result is that of one automaton over all items.
     """
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
     at = names.index("text")
-    mark = "hit_spans"
-    while mark in {n.lower() for n in names}:
-        mark += "_"
-    shares = matchers(items, window, share_bytes)
-    marked = T.StructType([*docs.schema.fields, T.StructField(mark, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    plain = docs.schema
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for k, matcher in enumerate(shares):
-
-        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher, first=k == 0, last=k == len(shares) - 1) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
-                n_words, found = scanned(matcher.value, batch.column(at))
-                spans = {i: own for i, (own, _) in found.items()}
-                if not first:
-                    for i, before in enumerate(batch.column(len(names)).to_pylist()):
-                        if before:
-                            spans[i] = merged([*((x["start"], x["end"]) for x in before), *spans.get(i, [])])
-                own = [batch.column(j) for j in range(len(names))]
-                if not last:
-                    own.append(pa.array([[{"start": s, "end": e} for s, e in spans.get(i, ())] for i in range(batch.num_rows)], kind))
-                    yield pa.RecordBatch.from_arrays(own, [*names, mark])
-                    continue
-                keep = np.ones(batch.num_rows, bool)
-                if spans:
-                    texts = batch.column(at).to_pylist()
-                    for i, hit in spans.items():
-                        n = sum(e - s for s, e in hit)
-                        if n > max_hit_words or n > max_coverage * n_words[i]:
-                            keep[i] = False
-                        else:
-                            texts[i] = cut(texts[i], hit)
-                    own[at] = pa.array(texts, batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(scan, plain if k == len(shares) - 1 else marked)
-    return docs
+    scans = matchers(items, window, share_bytes)
+    if len(scans) > 1:
+        rid, mark = free(names, "rid"), free(names, "hit_spans")
+        keyed = with_row_id(docs, name=rid)
+        spans = hits(keyed.select(F.col(rid).alias("rid"), "doc_id", "text"), scans).where(F.size("spans") > 0)
+        docs = keyed.join(written(spans.select(F.col("rid").alias(rid), F.col("spans").alias(mark)), "contaminated"), rid, "left").select(*names, mark)
+
+    def spans_of(batch: pa.RecordBatch) -> dict[int, list[tuple[int, int]]]:
+        if len(scans) == 1:
+            return {i: spans for i, (spans, _) in scanned([m.value for m in scans[0]], batch.column(at))[1].items()}
+        return {i: [(x["start"], x["end"]) for x in spans] for i, spans in enumerate(batch.column(len(names)).to_pylist()) if spans}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            own = [batch.column(j) for j in range(len(names))]
+            keep = np.ones(batch.num_rows, bool)
+            spans = spans_of(batch)
+            if spans:
+                texts = own[at].to_pylist()
+                for i, hit in spans.items():
+                    n, n_words = sum(e - s for s, e in hit), sum(1 for _ in WORD.finditer(texts[i].translate(ASCII_LOWER)))
+                    if n > max_hit_words or n > max_coverage * n_words:
+                        keep[i] = False
+                    else:
+                        texts[i] = cut(texts[i], hit)
+                own[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)
