@@ -311,6 +311,24 @@ def test_nearest_neighbours(spark):
     assert nn_descent.nearest(df.where("vec_id = -5"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)] + [(60, [1.0] * 9), (61, [1.0] * 9), (62, [2.0] * 7), (63, [])]
+    out = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    assert len(out) == 15 and all(r["query_id"] < 60 and r["vec_id"] < 60 for r in out)
+
+
+def test_tables_that_are_replaced_go(spark):
+    from pathlib import Path
+
+    from tidemark.llm import store
+
+    one = store.written(spark.range(3), "old")
+    two = store.written(one, "new", instead_of=one)
+    folder = Path(store.shared_folder(spark).removeprefix("file://")) / "tidemark"
+    assert two.count() == 3 and not list(folder.glob("old-*")) and list(folder.glob("new-*"))
+
+
 def test_walk_goes_on_until_all_best_are_expanded(spark):
     """A chain in which every node knows the next one only."""
     angle = np.arange(14) * 0.05

@@ -35,7 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen or not now["n"]:
             break
         seen = now
-        e = written(_star(_star(e, small=False), small=True), "links")
+        e = written(_star(_star(e, small=False), small=True), "links", instead_of=e)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

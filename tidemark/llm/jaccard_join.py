@@ -317,7 +317,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, most_in_task: int = MOS
     while True:
         # First the set that most buckets hold, which edited copies have most in common with; later any other.
         rank = F.struct("degree", "sid") if not turn else F.struct(F.xxhash64("sid", F.lit(turn)), "sid")
-        live = written(_open_members(_with_component(live.select(*plain), labels), rank), "jaccard-open")
+        live = written(_open_members(_with_component(live.select(*plain), labels), rank), "jaccard-open", instead_of=live)
         left = live.count()
         if not left:
             return rows, sets, labels

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import whole_groups
-from .store import written
+from .store import delete, written
 
 #: Neighbours a node keeps, reverse neighbours that a round takes in, blocks and projections of the first graph.
 NEIGHBOURS, REVERSE = 20, 16
@@ -42,16 +42,17 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, v): rows whose vector has a direction: not null, no null or non-finite component, not zero, of the table's largest length.
+    """(id, v): rows whose vector has a direction: not null, no null or non-finite component, not zero, of the table's commonest length.
 
-    Of rows of one id the smallest vector counts.
+    Of rows of one id the smallest vector counts. Vectors of different lengths have no cosine: those of the length that most
+    rows have take part (of equally common lengths the largest).
     """
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = table.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    top = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    return rows.where(F.size("v") == top)
+    top = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return rows.where(F.size("v") == (top["size"] if top else 0))
 
 
 def nodes_of(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +185,7 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
     graph = written(_best(start, NEIGHBOURS), "ann-graph")
     for _ in range(ROUNDS_BOUND):
         found = descend(graph, nodes).withColumn("fresh", F.lit(1))
-        graph = written(_best(graph.withColumn("fresh", F.lit(0)).unionByName(found), NEIGHBOURS), "ann-graph")
+        graph = written(_best(graph.withColumn("fresh", F.lit(0)).unionByName(found), NEIGHBOURS), "ann-graph", instead_of=graph)
         seen = graph.agg(F.count(F.lit(1)).alias("n"), F.sum("fresh").alias("new")).first()
         if not seen["n"] or seen["new"] < LEAST_NEW * seen["n"]:
             return graph
@@ -218,7 +219,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
         fresh = reached.join(best.select("q", "node"), ["q", "node"], "left_anti")
         scored = fresh.join(nodes, "node").join(asked, "q").select("q", "node", "vec", "asked").mapInArrow(compare, "q long, node long, sim float")
         marked = best.join(chosen.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "sim", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
-        best = written(pool(marked.unionByName(scored.withColumn("expanded", F.lit(False)))), "ann-pool")
+        best = written(pool(marked.unionByName(scored.withColumn("expanded", F.lit(False)))), "ann-pool", instead_of=best)
+        delete(chosen)
     raise RuntimeError(f"the walk still has nodes to expand after {SEARCH_BOUND} rounds")
 
 
@@ -230,8 +232,9 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(table: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows found for each query row: query_id, rank from 1, vec_id, score; ties to the smaller id.
 
-    `is_query` is a condition on `id`. Rows whose vector is null, zero or holds a
-    null or non-finite component take no part, as query or candidate. Repeated
+    `is_query` is a condition on `id`. Rows whose vector is null, zero, holds a
+    null or non-finite component or is not of the commonest length take no part,
+    as query or candidate. Repeated
     rows count once; equal vectors of different ids are all candidates. Fewer
     than k candidates are all returned; an empty table gives no rows. Other
     columns are left out.

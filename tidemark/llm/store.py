@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; where it is unset (tests, one machine), a new local folder."""
+    """spark.checkpoint.dir as the session has it. Where it is unset and all runs on one machine (tests), a new local folder; elsewhere
+    executors would not share one, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,12 +38,31 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing done."""
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing done.
+
+    instead_of: a written table that nothing reads any more once this one is there; it is deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    if instead_of is not None:
+        delete(instead_of)
+    return out
+
+
+def delete(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        path = _folders.pop(table, None) if table is not None else None
+        if path:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def with_row_id(docs: DataFrame, id_column: str = "doc_id", name: str = "rid") -> DataFrame:
