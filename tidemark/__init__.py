@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -16,3 +16,10 @@ def on_workers(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = ":".join([ROOT, *paths])
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt over all cores for work that is heavy a row; any other as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (16 << 20) and len(df.inputFiles()) < cores else df

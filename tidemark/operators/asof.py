@@ -22,11 +22,15 @@ def backward_asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, t
 
 
 def forward_asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, time: str, tolerance: int, values: list[str]) -> DataFrame:
-    """For each left row the first right row of its keys with time in [at, at + tolerance]; nulls where there is none."""
+    """For each left row the first right row of its keys with time in [at, at + tolerance]; nulls where there is none.
+
+    The time order runs backwards, so the window only ever grows: a frame that
+    shrinks from its start would be worked out anew for each row.
+    """
     tag = left.select("*", F.col(at).alias("__t"), F.lit(0).alias("__side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"__v_{v}") for v in [time, *values]])
     add = right.select(*keys, *[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema if f.name not in keys], F.col(time).alias("__t"), F.lit(1).alias("__side"), *[F.col(v).alias(f"__v_{v}") for v in [time, *values]])
-    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = F.first(F.when(F.col("__side") == 1, F.struct(*[F.col(f"__v_{v}").alias(v) for v in [time, *values]])), ignorenulls=True).over(w)
+    w = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.last(F.when(F.col("__side") == 1, F.struct(*[F.col(f"__v_{v}").alias(v) for v in [time, *values]])), ignorenulls=True).over(w)
     both = tag.unionByName(add).withColumn("__seen", seen).where("__side = 0")
     near = F.col(f"__seen.{time}") <= F.col(at) + tolerance
     return both.select(*left.columns, *[F.when(near, F.col(f"__seen.{v}")).alias(f"asof_{v}") for v in [time, *values]])

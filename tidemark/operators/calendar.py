@@ -43,13 +43,19 @@ def clock(days: DataFrame) -> DataFrame:
 
 
 def advance(moments: DataFrame, days: DataFrame, minutes: int) -> DataFrame:
-    """(id, due_day, due_min): each moment (id, day, minute) moved on by open minutes; outside sessions it starts at the next one."""
-    c = F.broadcast(clock(days))
-    m = moments.withColumnRenamed("day", "day0")
-    later = m.join(c, (F.col("day") > F.col("day0")) | ((F.col("day") == F.col("day0")) & (F.col("close_min") > F.col("minute")))).groupBy("id").agg(
-        F.min(F.struct(F.col("day").alias("d"), "open_min", "before")).alias("s"), F.first("day0").alias("day0"), F.first("minute").alias("minute")
-    )
-    worked = later.select("id", (F.col("s.before") + F.when(F.col("s.d") == F.col("day0"), F.greatest(F.col("minute") - F.col("s.open_min"), F.lit(0))).otherwise(0) + minutes).alias("goal"))
-    due = F.broadcast(clock(days).select(F.col("day").alias("due_day"), F.col("open_min").alias("from_min"), F.col("close_min").alias("to_min"), F.col("before").alias("gone")))
-    hit = worked.join(due, (F.col("goal") > F.col("gone")) & (F.col("goal") <= F.col("gone") + F.col("to_min") - F.col("from_min")))
-    return hit.select("id", "due_day", (F.col("from_min") + F.col("goal") - F.col("gone")).cast("long").alias("due_min"))
+    """(id, due_day, due_min): each moment (id, day, minute) moved on by open minutes; outside sessions it starts at the next one.
+
+    Both steps are joins on equal keys with tables of the calendar's size: its days with their sessions, and its open
+    minutes by number. Moments on days that the calendar doesn't hold, and those due after its end, give no row.
+    """
+    c = clock(days)
+    sessions = c.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("open_min", "close_min", "before"))).alias("sessions"))
+    ends = c.groupBy("day").agg(F.sum(F.col("close_min") - F.col("open_min")).alias("length"))
+    gone = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    each = days.select("day").join(ends, "day", "left").withColumn("after", F.coalesce(F.sum("length").over(gone), F.lit(0))).join(sessions, "day", "left")
+    m = moments.join(each.select("day", "after", F.coalesce("sessions", F.array().cast(sessions.schema["sessions"].dataType)).alias("sessions")), "day")
+    s = F.try_element_at(F.filter("sessions", lambda s: s["close_min"] > F.col("minute")), F.lit(1))
+    worked = m.select("id", s.alias("s"), "minute", "after").select("id", (F.coalesce(F.col("s.before") + F.greatest(F.col("minute") - F.col("s.open_min"), F.lit(0)), F.col("after")) + minutes).alias("goal"))
+    due = c.select(F.col("day").alias("due_day"), F.col("open_min"), F.explode(F.sequence(F.lit(1), F.col("close_min") - F.col("open_min"))).alias("nth"), "before")
+    due = due.select("due_day", (F.col("open_min") + F.col("nth")).cast("long").alias("due_min"), (F.col("before") + F.col("nth")).alias("goal"))
+    return worked.join(due, "goal").select("id", "due_day", "due_min")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What an edge's relation and its business stage weigh.
@@ -29,9 +29,18 @@ def paths(edges: DataFrame, events: DataFrame, topic: str) -> DataFrame:
     return edges.join(events, topic).withColumn("impact", F.coalesce("measured", "structural") * F.col("direction") * F.col("importance"))
 
 
-def comentions(rows: DataFrame, doc: list[str], member: str, most: int) -> DataFrame:
-    """(a, b, n): members named in one document, with a < b; documents that name more than `most` say nothing about pairs."""
-    r = rows.select(*doc, member).distinct()
-    few = r.groupBy(*doc).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most).select(*doc)
-    r = r.join(few, doc, "left_semi")
-    return r.select(*doc, F.col(member).alias("a")).join(r.select(*doc, F.col(member).alias("b")), doc).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def comentions(rows: DataFrame, fact: list[str], family: str, member: str, most: int | None) -> DataFrame:
+    """(a, b, n, families): members that one record names, with a < b: in how many facts, and by how many families.
+
+    A record is a fact in one family's words. Of its members, in order, the first
+    `most` make pairs, as a report that lists everything says little about two of
+    them; None: all of them do.
+    """
+    record = [*fact, family]
+    r = rows.select(*record, member).distinct()
+    if most is not None:
+        r = r.withColumn("place", F.row_number().over(Window.partitionBy(*record).orderBy(member))).where(F.col("place") <= most).drop("place")
+    pairs = r.select(*record, F.col(member).alias("a")).join(r.select(*record, F.col(member).alias("b")), record).where("a < b")
+    # A pair's facts and families are few beside its records: each is counted once before they are put together.
+    once = pairs.groupBy("a", "b", *fact).agg(F.collect_set(family).alias("families"))
+    return once.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("families")))).cast("long").alias("families"))

@@ -39,11 +39,45 @@ def assign(rows: DataFrame, folds: list[Fold], day: str) -> DataFrame:
     return rows.withColumn("__f", F.explode(held)).withColumn("fold", F.col("__f.fold")).withColumn("part", F.col("__f.part")).drop("__f")
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float], bins: int = 64) -> list[float | None]:
+    """Exact quantiles, linear between neighbouring values, without all values in one place.
+
+    Equal values are counted together, then dealt to bins of about equal size by
+    approximate edges; only the bins that hold a wanted place are ordered, each in
+    a task of its own. The driver sees one row a bin and two a quantile.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.approxQuantile("x", [k / bins for k in range(1, bins)], 0.25 / bins)
+    if not edges:
+        return [None] * len(shares)
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("x")))
+    binned = counts.withColumn("bin", at)
+    sizes = sorted(binned.groupBy("bin").agg(F.sum("n").alias("n")).collect())
+    total = sum(r["n"] for r in sizes)
+    before, base = {}, 0
+    for r in sizes:
+        before[r["bin"]] = base
+        base += r["n"]
+    wanted = sorted({int(f(p * (total - 1))) for p in shares for f in (np.floor, np.ceil)})
+    home = {w: max(b for b in before if before[b] <= w) for w in wanted}
+    offset = F.create_map(*[F.lit(v) for b in sorted(set(home.values())) for v in (b, before[b])])
+    w = Window.partitionBy("bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ends = binned.where(F.col("bin").isin(sorted(set(home.values())))).withColumn("end", F.sum("n").over(w) + F.element_at(offset, F.col("bin")))
+    places = F.array(*map(F.lit, wanted))
+    hits = ends.select("x", F.filter(places, lambda p: (p < F.col("end")) & (p >= F.col("end") - F.col("n"))).alias("p")).where(F.size("p") > 0)
+    value = {p: r["x"] for r in hits.collect() for p in r["p"]}
+    out = []
+    for p in shares:
+        k = p * (total - 1)
+        lo, hi = value[int(np.floor(k))], value[int(np.ceil(k))]
+        out.append(lo + (hi - lo) * (k - np.floor(k)))
+    return out
+
+
 def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Adds z_<column>: clipped to the first and last per cent, then by mean and population deviation."""
-    q = rows.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in columns])
-    w = rows.crossJoin(F.broadcast(q.select(*[F.col(c).alias(f"__q_{c}") for c in columns])))
-    w = w.select(*rows.columns, *[F.least(F.greatest(c, F.col(f"__q_{c}")[0]), F.col(f"__q_{c}")[1]).alias(f"__w_{c}") for c in columns])
+    q = {c: quantiles(rows, c, [0.01, 0.99]) for c in columns}
+    w = rows.select("*", *[F.least(F.greatest(c, F.lit(q[c][0])), F.lit(q[c][1])).alias(f"__w_{c}") for c in columns])
     m = w.agg(*[F.avg(f"__w_{c}").alias(f"__m_{c}") for c in columns], *[F.stddev_pop(f"__w_{c}").alias(f"__s_{c}") for c in columns])
     z = w.crossJoin(F.broadcast(m))
     return z.select(*rows.columns, *[((F.col(f"__w_{c}") - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") < 1e-8, 1.0).otherwise(F.col(f"__s_{c}"))).alias(f"z_{c}") for c in columns])
@@ -61,8 +95,8 @@ def daily_metrics(rows: DataFrame, day: str, id_column: str, p: str, value: str,
 
 def psi(rows: DataFrame, x: str, train: str) -> DataFrame:
     """Population stability: decile bins of the train half, half a row added to each count."""
-    edges = rows.where(F.col(train)).agg(F.percentile(x, F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("__e"))
-    binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("__e", lambda e: e < F.col(x))))
+    edges = quantiles(rows.where(F.col(train)), x, [k / 10 for k in range(1, 10)])
+    binned = rows.withColumn("bin", F.size(F.filter(F.array(*[F.lit(e).cast("double") for e in edges]), lambda e: e < F.col(x))))
     c = binned.groupBy("bin").agg((F.count_if(F.col(train)) + 0.5).alias("a"), (F.count_if(~F.col(train)) + 0.5).alias("b"))
     s = c.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     part = (F.col("a") / F.col("sa") - F.col("b") / F.col("sb")) * F.log((F.col("a") / F.col("sa")) / (F.col("b") / F.col("sb")))

@@ -78,9 +78,12 @@ def pruned_phrases(terms: DataFrame, factor: float) -> DataFrame:
 def match_terms(docs: DataFrame, dictionary: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, topic, hits): dictionary terms in each document; a topic whose `context` is set needs that word too.
 
-    The document's words are looked up by hash, so no document meets every term.
+    The document's words are looked up by hash, so no document meets every term; words that are neither a term nor a context
+    drop out before anything is counted or shuffled, against a table that Spark broadcasts where its size allows.
     """
-    words = docs.select(id_column, F.explode(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda t: F.lower(t))).alias("word")).groupBy(id_column, "word").agg(F.count(F.lit(1)).alias("hits"))
+    known = dictionary.select(F.col("term").alias("word")).unionByName(dictionary.where("context is not null").select(F.col("context").alias("word"))).distinct()
+    each = docs.select(id_column, F.explode(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda t: F.lower(t))).alias("word"))
+    words = each.join(known, "word", "left_semi").groupBy(id_column, "word").agg(F.count(F.lit(1)).alias("hits"))
     found = words.join(dictionary, F.col("word") == F.col("term"))
     asked = found.where("context is null").select(id_column, "topic", "hits")
     bound = found.where("context is not null").join(words.select(id_column, F.col("word").alias("context")), [id_column, "context"], "left_semi").select(id_column, "topic", "hits")

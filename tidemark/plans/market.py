@@ -54,23 +54,13 @@ def phase(spark: SparkSession, d: str) -> DataFrame:
     return m.join(F.broadcast(days(spark)), "day").groupBy(calendar.phase(F.col("is_open"), F.col("minute")).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {EV}, {CAL_SQL}, m AS (SELECT event_id AS id, CAST(make_timestamp(us) AS DATE) AS day0, (us % {DAY}) // 60000000 AS minute FROM ev WHERE event_id % 10 = 3),
+@query(f"""WITH {EV}, {CAL_SQL}, m AS (SELECT event_id AS id, CAST(make_timestamp(us) AS DATE) AS day0, (us % {DAY}) // 60000000 AS minute FROM ev),
 s AS (SELECT id, arg_min(before + CASE WHEN ck.day = day0 THEN greatest(minute - open_min, 0) ELSE 0 END + 60, (epoch(ck.day) * 2000 + open_min)) AS goal FROM m JOIN ck ON ck.day > day0 OR (ck.day = day0 AND ck.close_min > minute) GROUP BY id)
 SELECT id, ck.day AS due_day, CAST(open_min + goal - before AS BIGINT) AS due_min FROM s JOIN ck ON goal > before AND goal <= before + close_min - open_min""")
 def deadlines(spark: SparkSession, d: str) -> DataFrame:
-    """deadlines_all of the tenth of the events that the SQL asks for."""
-    return deadlines_of(spark, events(spark, d).where("event_id % 10 = 3"))
-
-
-def deadlines_of(spark: SparkSession, e: DataFrame) -> DataFrame:
-    m = e.select(F.col("event_id").alias("id"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("day"), F.expr(f"(us % {DAY}) div 60000000").alias("minute"))
-    return calendar.advance(m, days(spark), 60)
-
-
-@query()
-def deadlines_all(spark: SparkSession, d: str) -> DataFrame:
     """Sixty open minutes after every event, over breaks and closed days."""
-    return deadlines_of(spark, events(spark, d))
+    m = events(spark, d).select(F.col("event_id").alias("id"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("day"), F.expr(f"(us % {DAY}) div 60000000").alias("minute"))
+    return calendar.advance(m, days(spark), 60)
 
 
 EDGE_SQL = """eg AS (SELECT p_brand AS topic, p_partkey AS symbol, CASE p_partkey % 3 WHEN 0 THEN 'direct_business' WHEN 1 THEN 'industry_transmission' ELSE 'narrative' END AS relation, CASE p_partkey % 4 WHEN 0 THEN 'mass_production' WHEN 1 THEN 'pilot' WHEN 2 THEN 'research' ELSE 'other' END AS stage,
@@ -108,31 +98,39 @@ def event_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.paths(part_edges(spark, d), ev, "topic").groupBy("symbol").agg(F.count(F.lit(1)).alias("paths"), (F.round(F.max("impact"), 6) + 0.0).alias("best"), (F.round(F.min("impact"), 6) + 0.0).alias("worst"))
 
 
-@query(f"""WITH {EV}, r AS (SELECT DISTINCT user_id, day, object_id FROM ev), few AS (SELECT user_id, day FROM r GROUP BY 1, 2 HAVING count(*) <= 30) SELECT a.object_id AS a, b.object_id AS b, count(*) AS n FROM r a JOIN r b ON a.user_id = b.user_id AND a.day = b.day AND a.object_id < b.object_id WHERE (a.user_id, a.day) IN (SELECT user_id, day FROM few) GROUP BY 1, 2""")
+PAIR_SQL = f"""{EV}, q AS (SELECT DISTINCT user_id, day, source, object_id FROM ev), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, source ORDER BY object_id) AS place FROM q),
+pr AS (SELECT a.object_id AS a, b.object_id AS b, count(DISTINCT (a.user_id, a.day)) AS n, count(DISTINCT a.source) AS families FROM k a JOIN k b ON a.user_id = b.user_id AND a.day = b.day AND a.source = b.source AND a.object_id < b.object_id WHERE a.place <= 30 AND b.place <= 30 GROUP BY 1, 2)"""
+
+
+def pairs_of(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    """A record: what one actor touches on one day through one source."""
+    return graph.comentions(events(spark, d), ["user_id", "day"], "source", "object_id", most)
+
+
+@query(f"WITH {PAIR_SQL} SELECT * FROM pr")
 def comention_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Objects that one actor touches on one day; as in the SQL, days on which it touches more than thirty are left out."""
-    return graph.comentions(events(spark, d), ["user_id", "day"], "object_id", 30)
+    """Objects in one record, of which the thirty first make pairs: that bound is the operator's."""
+    return pairs_of(spark, d, 30)
 
 
-@query()
+@query(f"WITH {PAIR_SQL.replace(' WHERE a.place <= 30 AND b.place <= 30', '')} SELECT * FROM pr")
 def comention_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """Objects that one actor touches on one day, however many."""
-    return graph.comentions(events(spark, d), ["user_id", "day"], "object_id", 1 << 30)
+    """Objects in one record, however many."""
+    return pairs_of(spark, d, None)
 
 
-@query(f"""WITH {EV}, r AS (SELECT DISTINCT user_id, day, object_id FROM ev) SELECT a.object_id AS a, b.object_id AS b, count(*) AS n FROM r a JOIN r b ON a.user_id = b.user_id AND a.day = b.day AND a.object_id < b.object_id GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 100""")
+@query(f"WITH {PAIR_SQL} SELECT * FROM pr ORDER BY n DESC, a, b LIMIT 100")
 def top_pairs(spark: SparkSession, d: str) -> DataFrame:
     """L4: the hundred strongest pairs; the limit is the graph's size."""
-    return graph.comentions(events(spark, d), ["user_id", "day"], "object_id", 1 << 30).orderBy(F.desc("n"), "a", "b").limit(100)
+    return pairs_of(spark, d, 30).orderBy(F.desc("n"), "a", "b").limit(100)
 
 
-PRICE_SQL = """px AS (SELECT p_brand AS oid, l_returnflag AS src, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2, 3),
+PRICE_SQL = """px AS (SELECT p_brand AS oid, l_returnflag AS src, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 ch AS (SELECT oid, day, arg_max(price, CASE src WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) AS price, max(CASE src WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) AS priority FROM px GROUP BY 1, 2)"""
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").where("l_shipdate < timestamp_ntz'1999-01-01 00:00:00'")
-    j = l.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("oid")), "l_partkey")
+    j = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("oid")), "l_partkey")
     px = j.groupBy("oid", F.col("l_returnflag").alias("src"), F.col("l_shipdate").cast("date").alias("day")).agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("price"))
     rank = F.when(F.col("src") == "A", 3).when(F.col("src") == "N", 2).otherwise(1)
     return px.groupBy("oid", "day").agg(F.max_by("price", rank).alias("price"), F.max(rank).alias("priority"))
@@ -289,11 +287,11 @@ def relevance_grades(spark: SparkSession, d: str) -> DataFrame:
     return s.select("object_id", "day", F.round(F.when(F.col("n") > 1, (F.col("rk") - 1) / (F.col("n") - 1)), 6).alias("relevance"), F.round(1.0 / F.col("n"), 9).alias("weight"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS model_id, CASE WHEN o_orderkey % 2 = 0 THEN 'discovery' ELSE 'research' END AS head, epoch_us(o_orderdate) AS available_us, o_orderstatus <> 'P' AS active, o_custkey % 5 = 0 AS synthetic FROM orders)
+@query("""WITH r AS (SELECT o_orderkey AS model_id, CASE WHEN o_orderkey % 2 = 0 THEN 'discovery' ELSE 'research' END AS head, epoch_us(o_orderdate) AS available_us, o_orderstatus <> 'P' AS active, o_orderpriority = '5-LOW' AS synthetic FROM orders)
 SELECT head, model_id, available_us FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY available_us DESC, model_id DESC) AS rn FROM r WHERE available_us <= epoch_us(TIMESTAMP '1998-06-30') AND active AND NOT synthetic) WHERE rn = 1""")
 def model_asof(spark: SparkSession, d: str) -> DataFrame:
-    """The newest active model of each head that was available then, never a synthetic one."""
-    r = table(spark, d, "orders").where("o_orderdate <= timestamp_ntz'1998-06-30 00:00:00' and o_orderstatus <> 'P' and o_custkey % 5 <> 0")
+    """The newest active model of each head that was available then, never a synthetic one (here: of low priority)."""
+    r = table(spark, d, "orders").where("o_orderdate <= timestamp_ntz'1998-06-30 00:00:00' and o_orderstatus <> 'P' and o_orderpriority <> '5-LOW'")
     r = r.select(F.when(F.col("o_orderkey") % 2 == 0, "discovery").otherwise("research").alias("head"), F.col("o_orderkey").alias("model_id"), micros("o_orderdate").alias("available_us"))
     return bitemporal.latest(r, ["head"], F.col("available_us"), F.col("model_id")).select("head", "model_id", "available_us")
 
@@ -312,10 +310,10 @@ def feedback_join(spark: SparkSession, d: str) -> DataFrame:
     return j.select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("decision"), F.col("quality").isNotNull().alias("decided"))
 
 
-@query("SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id) WHERE toxic = 0")
+@query("SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def panel_label_join(spark: SparkSession, d: str) -> DataFrame:
     """Panel rows with their matured label."""
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("toxic = 0").select("doc_id", "quality"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id")
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS us, CAST(o_totalprice AS DECIMAL(18,2)) AS v, lag(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders)

@@ -44,23 +44,13 @@ def new_today(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("cumulative", F.sum("new_actors").over(w))
 
 
-@query(f"""WITH {EV}, f AS (SELECT source, user_id, min(day) AS day FROM ev WHERE object_id < 50 GROUP BY 1, 2), n AS (SELECT source, day, count(*) AS first_time FROM f GROUP BY 1, 2) SELECT source, day, first_time, CAST(sum(first_time) OVER (PARTITION BY source ORDER BY day) AS BIGINT) AS actors FROM n""")
+@query(f"""WITH {EV}, f AS (SELECT source, user_id, min(day) AS day FROM ev GROUP BY 1, 2), n AS (SELECT source, day, count(*) AS first_time FROM f GROUP BY 1, 2) SELECT source, day, first_time, CAST(sum(first_time) OVER (PARTITION BY source ORDER BY day) AS BIGINT) AS actors FROM n""")
 def cumulative_actors(spark: SparkSession, d: str) -> DataFrame:
-    """cumulative_actors_all over the objects that the SQL asks for."""
-    return cumulative_of(events(spark, d).where("object_id < 50"))
-
-
-def cumulative_of(e: DataFrame) -> DataFrame:
-    f = A.first_seen(e, ["source"], "user_id", "day").groupBy("source", F.col("first").alias("day")).agg(F.count(F.lit(1)).alias("first_time"))
+    """Distinct actors since the start, as a running sum of first-seen flags."""
+    f = A.first_seen(events(spark, d), ["source"], "user_id", "day").groupBy("source", F.col("first").alias("day")).agg(F.count(F.lit(1)).alias("first_time"))
     return f.withColumn("actors", F.sum("first_time").over(Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@query()
-def cumulative_actors_all(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct actors since the start over all objects, as a running sum of first-seen flags."""
-    return cumulative_of(events(spark, d))
-
-
 @query(f"""WITH {EV}, a AS (SELECT DISTINCT source, user_id, day FROM ev), l AS (SELECT *, lag(day) OVER (PARTITION BY source, user_id ORDER BY day) AS before, day - min(day) OVER (PARTITION BY source) AS background FROM a)
 SELECT source, day, CASE WHEN day - before <= 5 THEN 'continuous' WHEN before IS NOT NULL THEN 'returning' WHEN background >= 3 THEN 'new_in_sample' ELSE 'unknown' END AS cohort, count(*) AS actors FROM l GROUP BY 1, 2, 3""")
 def actor_cohorts(spark: SparkSession, d: str) -> DataFrame:
@@ -125,13 +115,13 @@ def member_pool(spark: SparkSession, d: str) -> DataFrame:
     return out.select("topic", "members", "observed", "active", *r6("coverage", "breadth", "lower", "upper"), "leader", *r6("without_leader"))
 
 
-@query(f"""WITH {EV}, a AS (SELECT topic, member FROM (SELECT DISTINCT object_id % 10 AS topic, object_id AS member FROM ev WHERE day = {AS_OF // DAY - 2} AND v > 40)), b AS (SELECT topic, member FROM (SELECT DISTINCT object_id % 10 AS topic, object_id AS member FROM ev WHERE day = {AS_OF // DAY - 1} AND v > 40)),
+@query(f"""WITH {EV}, a AS (SELECT DISTINCT object_id AS topic, user_id AS member FROM ev WHERE day = {AS_OF // DAY - 2}), b AS (SELECT DISTINCT object_id AS topic, user_id AS member FROM ev WHERE day = {AS_OF // DAY - 1}),
 f AS (SELECT coalesce(a.topic, b.topic) AS topic, a.member AS x, b.member AS y FROM a FULL JOIN b ON a.topic = b.topic AND a.member = b.member)
 SELECT topic, count(*) AS everyone, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS retained, count(*) FILTER (WHERE x IS NULL) AS entered, count(*) FILTER (WHERE y IS NULL) AS exited FROM f GROUP BY 1""")
 def set_ops(spark: SparkSession, d: str) -> DataFrame:
     """Union, retained, entered and exited members of two snapshots."""
-    e = events(spark, d).where("v > 40")
-    day = lambda k: e.where(F.col("day") == AS_OF // DAY - k).groupBy((F.col("object_id") % 10).alias("topic")).agg(F.collect_set("object_id").alias("s"))
+    e = events(spark, d)
+    day = lambda k: e.where(F.col("day") == AS_OF // DAY - k).groupBy(F.col("object_id").alias("topic")).agg(F.collect_set("user_id").alias("s"))
     none = F.expr("cast(array() as array<bigint>)")
     j = day(2).withColumnRenamed("s", "a").join(day(1).withColumnRenamed("s", "b"), "topic", "full").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
     n = lambda c: F.size(c).cast("long")
@@ -246,7 +236,7 @@ def average_rank_source(spark: SparkSession, d: str) -> DataFrame:
     return u.select("user_id", "n", average_rank(F.col("down")).alias("average_rank"))
 
 
-@query("""WITH q AS (SELECT l_shipdate, p_brand, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_shipdate < TIMESTAMP '1999-03-01' GROUP BY 1, 2)
+@query("""WITH q AS (SELECT l_shipdate, p_brand, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS symbols, CAST(sum(n) AS BIGINT) AS rows_n, CAST(sum(volume) AS DOUBLE) AS volume, round(median(price), 7) AS median_price, count(*) >= 15 AS complete FROM q GROUP BY 1""")
 def market_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """The market's row of a day, complete only with enough symbols."""
@@ -255,13 +245,12 @@ def market_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1999-01-01 00:00:00' and l_shipdate < timestamp_ntz'1999-03-01 00:00:00'")
-    j = l.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    j = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     dec = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     return j.groupBy("l_shipdate", "p_brand").agg((dec("l_extendedprice") / F.count(F.lit(1))).alias("price"), dec("l_quantity").alias("volume"), F.count(F.lit(1)).alias("n"))
 
 
-TRADING_SQL = """q AS (SELECT l_shipdate, p_brand, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_shipdate < TIMESTAMP '1999-03-01' GROUP BY 1, 2),
+TRADING_SQL = """q AS (SELECT l_shipdate, p_brand, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 rt AS (SELECT *, price / lag(price) OVER (PARTITION BY p_brand ORDER BY l_shipdate) - 1 AS ret FROM q)"""
 
 
@@ -319,26 +308,17 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy((F.col("user_id") % 10).alias("grp")).agg(F.count(F.lit(1)).alias("episodes"), F.median("last_lead").alias("median_lead"), F.round(F.avg((F.col("last_lead") >= 2).cast("double")), 6).alias("attention_first"), F.median("duration").alias("median_duration"))
 
 
-@query("SELECT r_name AS market, count(DISTINCT n_nationkey) AS nations, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' AND c_acctbal > 0 GROUP BY 1")
+@query("SELECT r_name AS market, count(DISTINCT n_nationkey) AS nations, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY 1")
 def overseas_map(spark: SparkSession, d: str) -> DataFrame:
     """Objects of other markets mapped to home ones."""
-    j = table(spark, d, "customer").where("c_acctbal > 0").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy(F.col("r_name").alias("market")).agg(F.countDistinct("n_nationkey").alias("nations"), F.count(F.lit(1)).alias("customers"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
 
 
-@query(f"""WITH {EV}, w AS (SELECT * FROM ev WHERE object_id < 20), s AS (SELECT object_id, day, CASE WHEN (us % {DAY}) < {12 * HOUR} THEN 'morning' ELSE 'afternoon' END AS session, count(DISTINCT user_id) AS actors, count(*) AS posts, count(DISTINCT source) AS platforms FROM w GROUP BY 1, 2, 3)
+@query(f"""WITH {EV}, s AS (SELECT object_id, day, CASE WHEN (us % {DAY}) < {12 * HOUR} THEN 'morning' ELSE 'afternoon' END AS session, count(DISTINCT user_id) AS actors, count(*) AS posts, count(DISTINCT source) AS platforms FROM ev GROUP BY 1, 2, 3)
 SELECT * FROM s""")
 def detail_view(spark: SparkSession, d: str) -> DataFrame:
-    """detail_view_all of the objects that the SQL asks for."""
-    return detail_of(events(spark, d).where("object_id < 20"))
-
-
-@query()
-def detail_view_all(spark: SparkSession, d: str) -> DataFrame:
     """Actors, posts and platforms of every object by half day."""
-    return detail_of(events(spark, d))
-
-
-def detail_of(e: DataFrame) -> DataFrame:
+    e = events(spark, d)
     half = F.when(F.expr(f"us % {DAY} < {12 * HOUR}"), "morning").otherwise("afternoon")
     return e.groupBy("object_id", "day", half.alias("session")).agg(F.countDistinct("user_id").alias("actors"), F.count(F.lit(1)).alias("posts"), F.countDistinct("source").alias("platforms"))

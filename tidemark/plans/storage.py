@@ -152,14 +152,8 @@ def watermark_increment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {EV}, s AS (SELECT source, object_id, max(us) AS seen_us, (object_id % 4 + 1) * 300000000 AS cadence, object_id % 9 = 0 AS daily FROM ev WHERE obs_us <= {AS_OF} GROUP BY source, object_id)
-SELECT source, object_id, seen_us, CASE WHEN daily THEN {AS_OF} - seen_us > {4 * DAY} ELSE {AS_OF} - seen_us > greatest(cadence * 5 // 2, 900000000) END AS stale FROM s WHERE object_id % 2 = 0""")
+SELECT source, object_id, seen_us, CASE WHEN daily THEN {AS_OF} - seen_us > {4 * DAY} ELSE {AS_OF} - seen_us > greatest(cadence * 5 // 2, 900000000) END AS stale, object_id % 2 = 0 AS eligible FROM s""")
 def eligibility_staleness(spark: SparkSession, d: str) -> DataFrame:
-    """eligibility_staleness_all of the eligible objects."""
-    return eligibility_staleness_all(spark, d).where("eligible").drop("eligible")
-
-
-@query()
-def eligibility_staleness_all(spark: SparkSession, d: str) -> DataFrame:
     """An observation is stale after 2.5 cadences, fifteen minutes at least; daily ones after four days.
 
     All objects with their eligible flag, which the tables stand in for by an even id.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import spread
 from tidemark.functions.columns import content_hash as digest
 from tidemark.functions.columns import poisson_deviance
 from tidemark.operators import text as T
@@ -44,7 +45,7 @@ def exact_cluster(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 20")
 def token_extract(spark: SparkSession, d: str) -> DataFrame:
     """T4: terms by number and documents."""
-    t = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    t = spread(table(spark, d, "documents")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     per = t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
     return per.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")).where("n >= 20")
 
@@ -62,7 +63,7 @@ ph AS (SELECT term, count(*) FILTER (WHERE recent) AS n_recent, count(*) FILTER
 
 
 def phrases(spark: SparkSession, d: str) -> DataFrame:
-    return T.phrase_counts(table(spark, d, "documents"), "doc_id", "text", "source", F.col("doc_id") % 2 == 0, 3)
+    return T.phrase_counts(spread(table(spark, d, "documents")), "doc_id", "text", "source", F.col("doc_id") % 2 == 0, 3)
 
 
 @query(f"""WITH {PHRASES_SQL}, b AS (SELECT *, (n_recent + 0.5::DOUBLE) / (n_past + 0.5::DOUBLE) AS burst, 2 * (n_recent * ln(n_recent / (n_past + 0.5::DOUBLE)) - (n_recent - (n_past + 0.5::DOUBLE))) AS deviance FROM ph)
@@ -97,7 +98,7 @@ SELECT w.doc_id, topic, CAST(sum(hits) AS BIGINT) AS hits FROM w JOIN dict ON wo
 def term_match_join(spark: SparkSession, d: str) -> DataFrame:
     """Topics of documents by a dictionary, some with a word that must stand beside."""
     dictionary = spark.createDataFrame(DICTIONARY, "topic string, term string, context string")
-    return T.match_terms(table(spark, d, "documents"), dictionary, "doc_id", "text")
+    return T.match_terms(spread(table(spark, d, "documents")), dictionary, "doc_id", "text")
 
 
 @query("""SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN regexp_matches(text, '(?i)\\b(idiot|stupid|moron|pathetic|worthless)\\b') THEN 'negative' WHEN regexp_matches(text, '(?i)(password|token|api_?key)') THEN 'secret' WHEN regexp_matches(text, '[A-Z]{4,}!!') THEN 'shouting' WHEN contains(text, ' | ') THEN 'table' WHEN length(text) >= 5000 THEN 'report' ELSE 'news' END AS kind FROM documents""")

@@ -27,9 +27,11 @@ KINDS = ("snapshot", "participation", "content", "coverage", "quote", "forecast"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. A local one only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
