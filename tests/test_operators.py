@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import midrank, number, ratio
 from tidemark.operators import asof, bitemporal, learn, ranking, series
-from tidemark.operators.text import clusters, facts, nfkc, quantities
+from tidemark.operators.text import nfkc
 
 
 def rows(df):
@@ -89,22 +89,4 @@ def test_ridge_equals_closed_form(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("Not there 5 kg. The nation 1,000 usd",), (None,)], "t string")
-    f = [r["f"] for r in df.select(facts("t").alias("f")).collect()]
-    assert [(x["action"], x["denied"]) for x in f[0]] == [("there", True), ("nation", False)] and f[1] == []
-    q = df.select(quantities("t").alias("q")).first()["q"]
-    assert [(x["value"], x["unit"]) for x in q] == [(5.0, "kg"), (1000.0, "usd")]
     assert spark.createDataFrame([("ﬁ１",)], "t string").select(nfkc("t").alias("x")).first()["x"] == "fi1"
-
-
-def test_facts_keep_all_numbers_and_actions_of_a_clause(spark):
-    text = "Acme then sold 1 2 3 4 5 6 and never a thing, then none; no nation 7"
-    f = spark.createDataFrame([(text,)], "t string").select(facts("t").alias("f")).first()["f"]
-    six = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
-    assert [tuple(x) for x in f] == [("acme", "then", six, False, 1), ("acme", "thing", six, True, 2), ("no", "nation", [7.0], True, 3)]
-
-
-def test_clusters_are_greedy_in_order(spark):
-    df = spark.createDataFrame([("k", 1, "profit rises by ten"), ("k", 2, "profit rises by tan"), ("k", 3, "other words here"), ("j", 4, "profit rises by ten")], "key string, seq int, text string")
-    out = clusters(df, ["key"], "seq", "text").select("key", "seq", "cluster")
-    assert rows(out) == [("j", 4, 0), ("k", 1, 0), ("k", 2, 0), ("k", 3, 1)]

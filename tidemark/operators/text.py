@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,9 +17,13 @@ TOKEN = r"[A-Za-z][A-Za-z0-9]{2,}"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: Query parameters that only track.
 TRACKING = r"^(utm_[^=]*|spm|from|ref)(=|$)"
-#: Units and what they multiply by.
-UNITS = {"%": 1.0, "kg": 1.0, "g": 0.001, "km": 1000.0, "m": 1.0, "k": 1e3, "mio": 1e6, "usd": 1.0, "eur": 1.0}
-QUANTITY = re.compile(r"(?i)(usd|eur|\$|€)?\s?(\d+(?:,\d{3})*(?:\.\d+)?)\s?(%|kg|g|km|m|k|mio|usd|eur)?(?![A-Za-z0-9])")
+#: Words that part phrases, as they say nothing of their own.
+PHRASE_STOPS = (
+    "公司 股份 有限 有限公司 股份有限公司 公告 今日 昨日 近日 投资 投资者 市场 股票 证券 股东 董事 会议 本次 相关 关于 方面 进行 持续 积极 实现 表示 目前 未来 发展 业务 产品 我们 企业 已经 通过 以及 以上 以下 是否 感谢 问题 回答 年度 报告 可以 可能 预计 据悉 记者 消息 财联社 东方财富 同花顺 新闻 涨停 下跌 上涨 "
+    "合成 演示 场景 固定 示例 文本 本条 对应 不对应 真实 实际 同时 共同 进入 阶段 信息 说明 记录 数据 来源 文章 转发 评论 本文 此次 最近 有关 进一步 其中 因此 此前 正在 此后 开始 取得 达到 继续 完成 开展 新的 不是 和 与 的 在 了 为 从 至 到 将 已 对 向 由 或 等 其 这 本"
+).split()
+#: Letters of which phrases are made, and the lengths of phrases.
+PHRASE_LETTERS, SHORTEST, LONGEST = "\u4e00-\u9fff", 2, 8
 
 
 def clean(html: Column) -> Column:
@@ -56,6 +59,35 @@ def char_grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
 
 
+def span_grams(text: Column, stops: tuple[str, ...] | list[str] = tuple(PHRASE_STOPS), letters: str = PHRASE_LETTERS, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
+    """Distinct runs of `shortest` to `longest` letters of the text's spans, which end at other characters and at stop words, longer ones cut out first."""
+    parted = text
+    for stop in sorted(set(stops), key=lambda x: (-len(x), x)):
+        parted = F.replace(parted, F.lit(stop), F.lit(" "))
+    spans = F.regexp_extract_all(parted, F.lit(f"[{letters}]{{{shortest},}}"), F.lit(0))
+    cut = lambda span, n: F.transform(F.sequence(F.lit(1), F.length(span) - n + 1), lambda i: F.substring(span, i, n))
+    of_span = lambda span: F.flatten(F.transform(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length(span))), lambda n: cut(span, n)))
+    return F.array_distinct(F.flatten(F.transform(spans, of_span)))
+
+
+def prune_substrings(terms: DataFrame, factor: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Terms (term, n) without those inside a longer term that stays and that explains them: whose n times `factor` reaches theirs.
+
+    From the longest to the shortest length; each length looks up its terms among
+    the parts of longer ones that stay. `keep` writes a round's rows, so that the
+    plan of the next begins there. Lengths are few, rows stay in Spark.
+    """
+    sized = keep(terms.select("term", "n", F.length("term").alias("size")))
+    lengths = sorted((r["size"] for r in sized.select("size").distinct().collect()), reverse=True)
+    stays = sized.where("false")
+    for size in lengths:
+        parts = stays.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - size + 1), lambda i: F.substring("term", i, F.lit(size)))).alias("term"), F.col("n").alias("longer"))
+        most = parts.groupBy("term").agg(F.max("longer").alias("longer"))
+        own = sized.where(F.col("size") == size).join(most, "term", "left")
+        stays = keep(stays.unionByName(own.where(F.col("longer").isNull() | (F.col("n") > factor * F.col("longer"))).drop("longer")))
+    return stays.select("term", "n")
+
+
 def phrase_counts(docs: DataFrame, id_column: str, text: str, source: str, recent: Column, least: int) -> DataFrame:
     """(term, n_recent, n_past, n_sources) of terms and pairs of terms in `least` recent documents at least.
 
@@ -93,84 +125,3 @@ def match_terms(docs: DataFrame, dictionary: DataFrame, id_column: str, text: st
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("raw", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("start", T.IntegerType())])))
-def quantities(text: pd.Series) -> pd.Series:
-    """Numbers with their units, scaled, and where they stand; a currency before the number is its unit."""
-
-    def one(t: str | None) -> list[dict]:
-        out = []
-        for m in QUANTITY.finditer(t or ""):
-            unit = (m[3] or {"$": "usd", "€": "eur"}.get(m[1] or "", m[1] or "")).lower()
-            out.append({"raw": m[0].strip(), "value": float(m[2].replace(",", "")) * UNITS.get(unit, 1.0), "unit": unit, "start": m.start()})
-        return out
-
-    return text.map(one)
-
-
-#: Actions that make a sentence a fact, and how much each weighs.
-ACTIONS = {"then": 1, "thing": 2, "there": 1, "edition": 2, "nation": 3}
-NEGATION = re.compile(r"(?i)\b(not|no|never|nicht|ne|pas)\b")
-FACT = T.ArrayType(
-    T.StructType([T.StructField("subject", T.StringType()), T.StructField("action", T.StringType()), T.StructField("numbers", T.ArrayType(T.DoubleType())), T.StructField("denied", T.BooleanType()), T.StructField("weight", T.IntegerType())])
-)
-
-
-@F.pandas_udf(FACT)
-def facts(text: pd.Series) -> pd.Series:
-    """One fact a clause and known action in it: the clause's first word, the action, all numbers of the clause, and whether a negation stands shortly before the action's first place."""
-
-    def one(t: str | None) -> list[dict]:
-        out = []
-        for clause in re.split(r"[.!?;\n]+", t or ""):
-            seen: set[str] = set()
-            for m in re.finditer(r"[A-Za-z]+", clause):
-                action = m[0].lower()
-                if action in ACTIONS and action not in seen:
-                    seen.add(action)
-                    before = clause[max(0, m.start() - 14) : m.start()]
-                    first = re.search(r"[A-Za-z]+", clause)
-                    out.append({"subject": first[0].lower() if first else "", "action": action, "numbers": [float(x) for x in re.findall(r"\d+(?:\.\d+)?", clause)], "denied": bool(NEGATION.search(before)), "weight": ACTIONS[action]})
-        return out
-
-    return text.map(one)
-
-
-def clusters(rows: DataFrame, keys: list[str], order: str, text: str, least: float = 0.72, look_back: int = 2000) -> DataFrame:
-    """Greedy clusters in order: a row joins the newest group of its key whose first text is alike, or begins one.
-
-    The strict key partitions the work. A key's rows come in batches and only the
-    look-back groups are held, so memory doesn't follow the key's size.
-    """
-    import pyarrow as pa
-
-    names = [*keys, order, "cluster"]
-
-    def run(batches):
-        current, groups, number = None, [], 0
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if key != current:
-                    current, groups, number = key, [], 0
-                matcher, hit = difflib.SequenceMatcher(autojunk=False), None
-                matcher.set_seq2(row[text] or "")
-                for n, first in reversed(groups):
-                    matcher.set_seq1(first)
-                    if first == row[text] or (matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least):
-                        hit = n
-                        break
-                if hit is None:
-                    hit, number = number, number + 1
-                    groups.append((hit, row[text] or ""))
-                    del groups[:-look_back]
-                out.append((*key, row[order], hit))
-            if out:
-                yield pa.RecordBatch.from_pydict({n: [o[i] for o in out] for i, n in enumerate(names)}, schema=schema)
-
-    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
-    schema = pa.schema([(n, types[dict(rows.dtypes)[n]]) for n in names[:-1]] + [("cluster", pa.int64())])
-    ddl = ", ".join(f"{n} {dict(rows.dtypes)[n]}" for n in names[:-1]) + ", cluster bigint"
-    return rows.select(*keys, order, text).repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, ddl)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark import spread
 from tidemark.functions.columns import content_hash as digest
 from tidemark.functions.columns import poisson_deviance
+from tidemark.operators import facts as X
 from tidemark.operators import text as T
+from tidemark.sources import files
 
 from .base import registered, table
 
@@ -57,6 +59,38 @@ def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
 
 
+_GRAM_STOPS = ("and", "steel", "o")
+_LETTERS = "a-zà-ÿ"
+_PARTED = "lower(p_name)"
+for _w in sorted(_GRAM_STOPS, key=lambda x: (-len(x), x)):
+    _PARTED = f"replace({_PARTED}, '{_w}', ' ')"
+GRAMS_SQL = f"""sp AS (SELECT p_partkey, unnest(regexp_extract_all({_PARTED}, '[{_LETTERS}]{{{{2,}}}}')) AS span FROM part),
+gm AS (SELECT DISTINCT p_partkey, unnest(flatten(list_transform(range(2, least(8, length(span)) + 1), lambda n: list_transform(range(1, length(span) - n + 2), lambda i: substr(span, i, n))))) AS term FROM sp),
+tn AS (SELECT term, count(*) AS n FROM gm GROUP BY 1)""".replace("{{2,}}", "{2,}")
+
+
+def name_grams(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.explode(T.span_grams(F.lower("p_name"), _GRAM_STOPS, _LETTERS)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {GRAMS_SQL} SELECT * FROM tn")
+def phrase_grams(spark: SparkSession, d: str) -> DataFrame:
+    """T5: runs of two to eight letters in the stretches between stop words, by the rows that hold them."""
+    return name_grams(spark, d)
+
+
+@query()
+def phrase_substrings(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases without those that a longer one explains within 1.15 times its support."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = files.scratch(spark, "phrases")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return T.prune_substrings(name_grams(spark, d), 1.15, keep)
+
+
 PHRASES_SQL = f"""w AS (SELECT doc_id, source, doc_id % 2 = 0 AS recent, {TOKENS_SQL} AS w FROM documents),
 t AS (SELECT source, recent, unnest(list_distinct(list_concat(w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END))) AS term FROM w),
 ph AS (SELECT term, count(*) FILTER (WHERE recent) AS n_recent, count(*) FILTER (WHERE NOT recent) AS n_past, count(DISTINCT CASE WHEN recent THEN source END) AS n_sources FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE recent) >= 3)"""
@@ -101,12 +135,32 @@ def term_match_join(spark: SparkSession, d: str) -> DataFrame:
     return T.match_terms(spread(table(spark, d, "documents")), dictionary, "doc_id", "text")
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN regexp_matches(text, '(?i)\\b(idiot|stupid|moron|pathetic|worthless)\\b') THEN 'negative' WHEN regexp_matches(text, '(?i)(password|token|api_?key)') THEN 'secret' WHEN regexp_matches(text, '[A-Z]{4,}!!') THEN 'shouting' WHEN contains(text, ' | ') THEN 'table' WHEN length(text) >= 5000 THEN 'report' ELSE 'news' END AS kind FROM documents""")
+#: Announcements beside each document's text: the fixture's own texts have none.
+NOTES = (
+    "公司签订合同，金额1,250亿元；否认财务造假",
+    "公司公告：2023年度净利润增长15％，营收3万亿元",
+    "网传订单取消，但公司否认立案调查且确认减值2千元",
+    "召开2024年第一次临时股东大会；价格为何下降？",
+    "新线投产，产能1.5GW、8万吨，美元3万元设备",
+    "据传亏损扩大并被否认，预计产品发布",
+)
+_NOTE_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NOTES)) + " END"
+
+
+def noted(spark: SparkSession, d: str) -> DataFrame:
+    note = F.element_at(F.array(*map(F.lit, NOTES)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return spread(table(spark, d, "documents")).withColumn("text", F.concat(note, F.lit("。"), F.coalesce("text", F.lit(""))))
+
+
+def _kind_sql(kinds: dict[str, str], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{k}'" for k, p in kinds.items()) + f" ELSE '{otherwise}' END"
+
+
+@query(f"""SELECT doc_id, {_kind_sql(X.CONTENT_TYPES, "other")} AS content_type, {_kind_sql(X.NOVELTY, "unclassified")} AS novelty, regexp_matches(t, '(?i){X.NEGATIVE}') AS negative, regexp_matches(t, '(?i){X.DENIAL}') AS denied FROM (SELECT doc_id, {_NOTE_SQL} || '。' || coalesce(text, '') AS t FROM documents)""")
 def classify_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The first pattern that matches names the kind."""
+    """The first pattern that matches names the kind of content, and how new it is; whether anything negative or a denial is said."""
     t = F.col("text")
-    kind = F.when(t.isNull() | (t == ""), "empty").when(t.rlike(r"(?i)\b(idiot|stupid|moron|pathetic|worthless)\b"), "negative").when(t.rlike("(?i)(password|token|api_?key)"), "secret").when(t.rlike("[A-Z]{4,}!!"), "shouting").when(t.contains(" | "), "table").when(F.length(t) >= 5000, "report").otherwise("news")
-    return table(spark, d, "documents").select("doc_id", kind.alias("kind"))
+    return noted(spark, d).select("doc_id", X.content_kind(t, X.CONTENT_TYPES, "other").alias("content_type"), X.content_kind(t, X.NOVELTY, "unclassified").alias("novelty"), t.rlike(f"(?i){X.NEGATIVE}").alias("negative"), t.rlike(f"(?i){X.DENIAL}").alias("denied"))
 
 
 @query("""SELECT source, lang, count(*) AS n, count(DISTINCT sha256(text)) AS texts, round(CAST(count(DISTINCT sha256(text)) AS DOUBLE) / count(*), 6) AS novelty, max(length(text)) AS longest, count(*) FILTER (WHERE length(text) < 500) AS short_n FROM documents GROUP BY 1, 2""")
@@ -179,38 +233,53 @@ def nfkc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(T.nfkc(wide), 256).alias("digest"))
 
 
+_UNIT_SQL = "CASE lower(u) " + " ".join(f"WHEN '{k}' THEN '{u}:{m}'" for k, (u, m) in X.UNITS.items()) + " END"
+_UNITS_RE = "|".join(sorted(X.UNITS, key=len, reverse=True))
+
+
 @query()
 def quantities(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers with units and places."""
-    q = table(spark, d, "documents").select("doc_id", F.explode(T.quantities(F.col("text"))).alias("q"))
-    return q.select("doc_id", "q.raw", "q.value", "q.unit", "q.start")
+    """Numbers with units and places, as keys of one form."""
+    q = noted(spark, d).select("doc_id", F.explode(X.quantities(F.col("text"))).alias("q"))
+    return q.select("doc_id", "q.raw", "q.value", "q.unit", "q.key", "q.start")
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all({_NOTE_SQL} || '。' || coalesce(text, ''), '(?i)([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*({_UNITS_RE})')) AS raw FROM documents), x AS (SELECT doc_id, regexp_extract(raw, '(?i)({_UNITS_RE})$', 1) AS u, replace(regexp_extract(raw, '^[0-9,.]+'), ',', '') AS v FROM m)
+SELECT split_part({_UNIT_SQL}, ':', 1) AS unit, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(round(sum(CAST(v AS DOUBLE) * CAST(split_part({_UNIT_SQL}, ':', 2) AS DOUBLE))) AS DOUBLE) AS total FROM x WHERE length(v) < 12 GROUP BY 1""".replace("\\\\", "\\"))
+def quantity_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of fewer than twelve digits by the unit that they are counted in (money of any currency together)."""
+    q = noted(spark, d).select("doc_id", F.explode(X.quantities(F.col("text"))).alias("q")).where(F.length(F.regexp_replace(F.regexp_extract("q.raw", "^[0-9,.]+", 0), ",", "")) < 12)
+    unit = F.when(F.col("q.unit") == "USD", "CNY").otherwise(F.col("q.unit")).alias("unit")
+    return q.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.round(F.sum("q.value")).alias("total"))
 
 
 def fact_rows(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "documents").select("doc_id", F.posexplode(T.facts(F.col("text"))).alias("place", "f"))
-    return f.select("doc_id", "place", "f.subject", "f.action", "f.denied", "f.weight", F.array_join(F.transform("f.numbers", lambda x: x.cast("string")), ",").alias("numbers"))
+    return noted(spark, d).select("doc_id", "source", F.posexplode(X.facts(F.col("text"))).alias("place", "f")).select("doc_id", "source", "place", "f.*")
 
 
 @query()
 def events_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of clauses, negation within the fourteen characters before."""
-    return fact_rows(spark, d)
+    """Facts of clauses: actions and what they weigh, numbers, period, and direction with denials within fourteen characters."""
+    listed = [F.array_join(c, ",").alias(c) for c in ("actions", "numbers", "period", "negative_terms", "denied_terms")]
+    return fact_rows(spark, d).select("doc_id", "place", *listed, "direction", "event_class", "importance", "skeleton")
 
 
 @query()
 def fact_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of one action and subject, clustered by likeness in document order."""
-    f = fact_rows(spark, d).groupBy("doc_id", "subject", "action").agg(F.array_join(F.array_sort(F.collect_set("numbers")), ";").alias("said"))
-    return T.clusters(f.withColumn("doc", F.col("doc_id").cast("bigint")), ["action", "subject"], "doc", "said")
+    """Facts of one class, source, actions, numbers, period and direction, clustered by likeness in document order."""
+    f = fact_rows(spark, d).where("event_class <> 'mention'")
+    f = f.select("event_class", "source", *[F.array_join(F.array_sort(F.array_distinct(c)), ",").alias(c) for c in ("actions", "numbers", "period")], "direction", "doc_id", "place", "skeleton", (F.size("actions") > 0).alias("acts"), (F.col("doc_id") % 3).alias("day"))
+    return X.clusters(f, ["event_class", "source", "actions", "numbers", "period", "direction"], ["doc_id", "place"], "skeleton", day="day", alike="acts")
 
 
 @query()
 def annotate(spark: SparkSession, d: str) -> DataFrame:
-    """Topics, kind, exact cluster and number of facts of each document."""
-    docs = table(spark, d, "documents")
-    topics = term_match_join(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
-    base = docs.select("doc_id", T.exact_key(F.col("text")).alias("cluster"), F.size(T.facts(F.col("text"))).alias("n_facts"))
-    return base.join(topics, "doc_id", "left").join(classify_cascade(spark, d), "doc_id")
+    """Topics, kind of content, exact cluster, direction, number of facts and whether a document needs review."""
+    topics = term_match_join(spark, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topics"))
+    base = noted(spark, d).select("doc_id", T.exact_key(F.col("text")).alias("cluster"), X.facts(F.col("text")).alias("f"), F.col("text").rlike(f"(?i){X.NOVELTY['rumor']}").alias("rumor"))
+    bad, denied = F.exists("f", lambda x: x["direction"] == "negative"), F.exists("f", lambda x: F.size(x["denied_terms"]) > 0)
+    base = base.select("doc_id", "cluster", F.size("f").alias("n_facts"), F.when(bad, "negative_candidate").when(denied, "denied").otherwise("unknown").alias("direction"), (bad | denied | F.col("rumor")).alias("needs_review"))
+    return base.join(topics, "doc_id", "left").join(classify_cascade(spark, d).select("doc_id", "content_type", "novelty"), "doc_id")
 
 
 @query()
