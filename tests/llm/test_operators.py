@@ -70,6 +70,57 @@ def test_newton_maximises_the_pair_likelihood():
     assert r.weights[0] > 3 * max(abs(r.weights[1]), abs(r.weights[2]))
 
 
+def plain_features(text):
+    """The features of one text, by loops over its bytes and words."""
+    raw = (text or "").encode()
+    ws = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    kinds = [set(b"abcdefghijklmnopqrstuvwxyz"), set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set(range(128, 256)), set(b"0123456789"), set(b" "), set(b"\n"), set(b"."), set(b","), set(b"!?"), set(b"#$%&*@^~+=<>/\\_"), set(b"|")]
+    share = [sum(b in k for b in raw) / max(len(raw), 1) for k in kinds]
+    share.append(sum(not any(b in k for k in kinds) for b in raw) / max(len(raw), 1))
+    n = max(len(ws), 1)
+    low = [w.lower() for w in ws]
+    same = sum(a == b for a, b in zip(low, low[1:], strict=False)) / n
+    odd = kinds[8] | kinds[9] | kinds[10]
+    return [
+        math.log1p(len(raw)), *(math.sqrt(share[k]) for k in (1, 3, 5, 6, 7, 8, 9, 10, 11)), *(share[k] for k in (0, 1, 2, 4, 6, 8, 9, 10)),
+        sum(map(len, ws)) / n, math.sqrt(sum(len(w) > 14 for w in ws) / n), same, math.sqrt(same), len(set(low)) / n,
+        sum(w[0] in kinds[1] for w in ws) / n, sum(w[-1] in odd for w in ws) / n, sum(len(w) == 1 for w in ws) / n,
+    ]
+
+
+def test_quality_against_a_plain_version(spark, docs, rows):
+    """Features by loops, pairs by their likelihood's gradient, the threshold by counting, scores by hand."""
+    texts = [t for _, t in rows] + ["Ends here! | a b", "x\x0by\x1cz"]
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(quality.features_of(pa.array(texts, pa.string())), want, atol=1e-9)
+    labels = spark.createDataFrame([(i, int(len(t or "") > 300)) for i, t in rows if i is not None] + [(1, None), (None, 1)], "doc_id long, quality int")
+    ranker = quality.train(docs, labels)
+    by_id = {i: t for i, t in sorted(rows, key=lambda r: r[1] or "", reverse=True) if i is not None}
+    trained = sorted(i for i in by_id if zlib.crc32(str(i).encode()) % 5)
+    x = np.array([plain_features(by_id[i]) for i in trained])
+    y = np.array([len(by_id[i] or "") > 300 for i in trained])
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-9), -8, 8)
+    strength = z @ np.array(ranker.weights)
+    assert ranker.threshold == pytest.approx(np.quantile(strength, 1 - y.mean()))
+    # At the optimum the pairs' gradient is that of the penalty; the pairs are drawn as documented, so all good-bad pairs are near it.
+    d = (z[y][:, None] - z[~y][None]).reshape(-1, z.shape[1])
+    assert np.mean(d @ np.array(ranker.weights) > 0) > 0.95
+    out = sorted(((r["doc_id"], r["held_out"], r["score"], r["predicted"]) for r in quality.scores(docs, labels).collect()), key=repr)
+    hand = []
+    for i, t in rows:
+        s = np.clip((np.array(plain_features(t)) - x.mean(0)) / np.maximum(x.std(0), 1e-9), -8, 8) @ np.array(ranker.weights)
+        score = 1 / (1 + math.exp(-max(-700.0, min(700.0, (s - ranker.threshold) / (strength.std() / 4) + math.log(0.3 / 0.7)))))
+        hand.append((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, score))
+    hand.sort(key=repr)
+    for (i, held, score, predicted), (j, also, plain) in zip(sorted(out, key=lambda r: (repr(r[0]), r[2])), sorted(hand, key=lambda r: (repr(r[0]), r[2])), strict=True):
+        assert (i, held) == (j, also) and score == pytest.approx(plain, abs=1e-7) and predicted == int(score >= 0.3)
+    # The bound of the sample is a parameter, and both forms fit the same model.
+    few = quality.train(docs, labels, most=12)
+    assert few.weights != ranker.weights
+    kept = got(quality.kept(docs, labels, most=12), "doc_id")
+    assert 0 < len(kept) < len(rows) and kept == got(quality.scores(docs, labels, most=12).where("predicted = 1"), "doc_id")
+
+
 # 2
 
 
@@ -485,6 +536,17 @@ def test_token_counts(spark, docs, rows, empty, tokenizer):
     assert token_count.token_counts(empty, JSON).count() == 0
 
 
+def test_long_texts_are_cut_at_safe_places(tokenizer):
+    rng = random.Random(4)
+    signs = ["ab", "漢字", "。", "，", "1", "9", "'s", "'", "!", "\n", "\n\n", "\t", "é", "don't", "--", "Ａ", "\u0301", "x'", "?'s", "\u3000", "\r\n"]
+    counts = token_count.JsonCounter(JSON)
+    for k in range(60):
+        # Without blanks, or nearly; one with an added token's string.
+        text = "".join(rng.choice(signs[: 3 + k % 19]) for _ in range(2500)) + (" end <|endoftext|> of it" if k % 5 == 0 else "")
+        assert counts.count([text]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+    assert max(map(len, counts.pieces("some,words;" * 1000))) < 20
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_vocabularies(spark, name):
     path = public_tokenizers.path(name)
@@ -531,6 +593,22 @@ def test_chat_branches(spark):
         chat.root_to_leaf_paths(spark.createDataFrame([("t", 1, 2), ("t", 2, 1), ("t", 3, 1)], "tree string, node long, parent long"))
 
 
+def test_branches_of_a_random_tree(spark):
+    rng = random.Random(12)
+    parent = {k: rng.randrange(max(1, k - 6), k) if k > 1 else None for k in range(1, 120)}
+    score = {k: rng.choice([None, 0.5, 1.0, 2.0]) for k in parent}
+    nodes = spark.createDataFrame([("t", k, p, "user", str(k), score[k]) for k, p in parent.items()], "tree string, node long, parent long, role string, text string, score double")
+    leaves = set(parent) - set(parent.values())
+
+    def way(k):
+        return ([] if parent[k] is None else way(parent[k])) + [k]
+
+    want = sorted(leaves, key=lambda k: (-sum(score[x] or 0 for x in way(k)), k))
+    assert [(r["leaf"], r["rank"]) for r in chat.best_branches(nodes, 5).orderBy("rank").collect()] == list(zip(want, range(1, 6), strict=False))
+    out = chat.read_back(chat.formatted(nodes, keep=2)).orderBy("rank").collect()
+    assert [[int(t["text"]) for t in r["turns"]] for r in out] == [way(k) for k in want[:2]]
+
+
 def test_flat_slices():
     from tidemark.llm.columns import flat, slices
 

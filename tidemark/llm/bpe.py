@@ -234,7 +234,8 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     form, four bytes each: a list column of as many numbers costs the JVM several times the encoding.
 
     Null texts count as empty; an empty text has no tokens and the digest of nothing; repeated rows give a row each;
-    a null id stays null; other columns are left out; an empty table gives none.
+    a null id stays null; other columns are left out, whatever their names; an empty table gives none. A text of any length
+    is encoded whole, in one task.
     """
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 

@@ -1,10 +1,11 @@
 """Chat formatting of reply trees with DataFrame functions only.
 
-A node has a tree, an id, a parent and a score. Paths from root to leaf are
-enumerated by iterative self-joins: each round doubles the distance over which a
-leaf knows its ancestors, so a tree of depth d takes log2 d rounds and the rows
-kept are those of the paths themselves. Branches of a tree are ranked by the sum
-of their nodes' scores, and each chosen one is formatted as one conversation.
+A node has a tree, an id, a parent and a score. Branches are ranked by the sum of
+their nodes' scores, which iterative self-joins double: each round every node
+adds the sum of the stretch above its own and looks twice as far up, so a tree of
+depth d takes log2 d rounds over as many rows as there are nodes. Only the chosen
+branches are then enumerated, node by node, by doubling self-joins too, and each
+is formatted as one conversation.
 
 Template: `<|im_start|>` role, a line feed, the text, `<|im_end|>`, a line feed.
 Inside roles and texts each `<|` is written `<||`, and a line feed in a role
@@ -37,37 +38,55 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit(LINE), F.lit("\n")))
 
 
-def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): every node on the way from each leaf (up = 0) to its root.
+def branch_scores(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, score): the sum of scores on the way from each leaf to its root; null scores count as zero.
 
-    `nodes` has tree, node and parent (null at a root); (tree, node) is unique. A
-    node whose parent isn't there is a root. Parents that form a ring end the
-    search with an error.
+    `nodes` has tree, node, parent (null at a root) and score; (tree, node) is
+    unique. A node whose parent isn't there is a root. Parents that form a ring
+    are an error, found after as many rounds as the largest tree could need.
     """
+    base = written(nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "chat-nodes")
+    up = base.join(base.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
+    leaves = base.select("tree", "node").join(up.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    ahead = up.select("tree", "node", F.col("parent").alias("to"))
+    sums = base.select("tree", "node", "score").join(ahead, ["tree", "node"], "left")
+    largest = base.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    last = None
+    for _ in range(largest.bit_length() + 1):
+        sums = last = written(sums, "chat-sums", instead_of=last)
+        open_ = sums.where("to is not null")
+        if open_.isEmpty():
+            return sums.join(leaves, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "score")
+        above = sums.select("tree", F.col("node").alias("to"), F.col("score").alias("more"), F.col("to").alias("next"))
+        moved = open_.join(above, ["tree", "to"]).select("tree", "node", (F.col("score") + F.col("more")).alias("score"), F.col("next").alias("to"))
+        sums = sums.where("to is null").select("tree", "node", "score", "to").unionByName(moved)
+    raise ValueError("replies form a ring")
+
+
+def paths_of(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): every node on the way from each of the leaves (up = 0) to its root. Needs (tree, leaf) of branches without rings."""
     base = written(nodes.select("tree", "node", "parent"), "chat-nodes")
-    own = base.select("tree", F.col("node").alias("parent"))
-    jump = base.join(own, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to"))
-    leaves = base.join(jump.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    total, step = base.count(), 1
+    jump = base.join(base.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to"))
+    paths, step, last = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")), 1, None
     while True:
-        jump = written(jump, "chat-jump")
+        jump = last = written(jump, "chat-jump", instead_of=last)
         if jump.isEmpty():
             return paths
-        if step > 2 * max(total, 1):
-            raise ValueError("replies form a ring")
         further = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        paths = written(paths.unionByName(further), "chat-paths")
+        paths = written(paths.unionByName(further), "chat-paths", instead_of=paths)
         ahead = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("next"))
         jump = jump.join(ahead, ["tree", "to"]).select("tree", "node", F.col("next").alias("to"))
         step *= 2
 
 
-def best_branches(nodes: DataFrame, paths: DataFrame, keep: int | None = 1) -> DataFrame:
+def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): every node on the way from every leaf (up = 0) to its root. Rings are an error."""
+    return paths_of(nodes, branch_scores(nodes.select("tree", "node", "parent", F.lit(0.0).alias("score"))).select("tree", "leaf"))
+
+
+def best_branches(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
     """(tree, leaf, rank): each tree's branches by the sum of their nodes' scores, highest first, ties to the smaller leaf. keep: how many, None for all."""
-    scored = paths.join(nodes.select("tree", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), ["tree", "node"])
-    branches = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
-    ranked = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    ranked = branch_scores(nodes).withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     return (ranked if keep is None else ranked.where(F.col("rank") <= keep)).select("tree", "leaf", "rank")
 
 
@@ -76,8 +95,8 @@ def formatted(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
 
     `nodes` has tree, node, parent, role, text and score; null roles and texts count as empty.
     """
-    paths = root_to_leaf_paths(nodes)
-    chosen = paths.join(best_branches(nodes, paths, keep), ["tree", "leaf"])
+    best = written(best_branches(nodes, keep), "chat-best")
+    chosen = paths_of(nodes, best).join(best, ["tree", "leaf"])
     turns = chosen.join(
         nodes.select("tree", "node", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), (F.coalesce("role", F.lit("")) == "assistant").alias("loss")), ["tree", "node"]
     )
@@ -124,8 +143,10 @@ def as_tree(conversations: DataFrame) -> DataFrame:
 def report(conversations: DataFrame) -> DataFrame:
     """One row a conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the output.
 
-    Null and empty texts are empty turns; repeated rows are turns of their own;
-    an empty table gives none; other columns are left out, whatever their names.
+    Null and empty texts are empty turns; repeated rows are turns of their own,
+    and turns of one number are ordered by role, then text; an empty table gives
+    none; other columns are left out, whatever their names. A text of any length
+    is formatted whole; one conversation's turns are put together in one task.
     """
     nodes = written(as_tree(conversations), "chat-turns")
     out = read_back(formatted(nodes))

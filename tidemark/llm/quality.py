@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import NOT_SPACE, flat, slices, word_hashes, words
-from .store import written
 
 #: Labelled rows that a fit takes at most: those of the smallest hash of their id.
 MAX_TRAINING_ROWS = 20_000
@@ -29,6 +28,7 @@ MAX_TRAINING_ROWS = 20_000
 PAIRS_PER_ROW = 8
 CUT = 0.3
 L2 = 1e-3
+FAR = 8.0
 
 #: Character classes by byte: 0 lower, 1 upper, 2 beyond ASCII, 3 digit, 4 blank, 5 line feed, 6 stop, 7 comma, 8 exclamation, 9 symbols, 10 bar, 11 other.
 _CLASSES = np.full(256, 11, np.int64)
@@ -77,18 +77,6 @@ def features_of(text: pa.Array) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, features) of every whole text; null counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = features_of(batch.column(1)).astype(np.float64)
-            values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "features"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, features array<double>")
-
-
 @dataclass(frozen=True)
 class Ranker:
     """Weights of the standardised features, and the strength that the quantile threshold stands at, with the spread of strengths."""
@@ -99,24 +87,19 @@ class Ranker:
     threshold: float
     spread: float
 
-    def score(self, column: str = "features") -> Column:
-        """The score between 0 and 1: the logistic function of the strength's distance from the threshold, which scores CUT."""
-        slope = [w / s for w, s in zip(self.weights, self.scale, strict=True)]
-        base = -sum(m * w for m, w in zip(self.mean, slope, strict=True))
-        strength = sum((F.element_at(column, k + 1) * w for k, w in enumerate(slope)), F.lit(base))
-        at_cut = float(np.log(CUT / (1 - CUT)))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-((strength - self.threshold) / self.spread + at_cut)))
+    def strengths(self, rows: np.ndarray) -> np.ndarray:
+        """Strengths of rows of features: linear in the standardised features, which count no further than `FAR` deviations out."""
+        return np.clip((rows - np.array(self.mean)) / np.array(self.scale), -FAR, FAR) @ np.array(self.weights)
 
     def scores_of(self, rows: np.ndarray) -> np.ndarray:
-        """The same scores for rows of features at hand."""
-        strength = (rows - np.array(self.mean)) / np.array(self.scale) @ np.array(self.weights)
-        return 1 / (1 + np.exp(-np.clip((strength - self.threshold) / self.spread + np.log(CUT / (1 - CUT)), -700, 700)))
+        """The score between 0 and 1: the logistic function of the strength's distance from the threshold, which scores CUT."""
+        return 1 / (1 + np.exp(-np.clip((self.strengths(rows) - self.threshold) / self.spread + np.log(CUT / (1 - CUT)), -700, 700)))
 
 
 def fit_ranker(x: np.ndarray, good: np.ndarray, seed: int = 7) -> Ranker:
     """Fits the strengths on a bounded sample: logistic loss on differences of good and bad rows, by Newton's steps."""
     mean, scale = x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(x.shape[1])
-    z = np.clip((x - mean) / scale, -8, 8) if len(x) else x
+    z = np.clip((x - mean) / scale, -FAR, FAR) if len(x) else x
     best, worst = z[good], z[~good]
     if not len(best) or not len(worst):
         return Ranker(mean.tolist(), scale.tolist(), [0.0] * x.shape[1], -1.0, 1.0)
@@ -144,40 +127,53 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(table: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker:
-    """Fits on at most MAX_TRAINING_ROWS labelled rows outside the held-out fold. Null labels are left out; of repeated labels the largest counts."""
+def training_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, y): at most `most` labelled ids outside the held-out fold, those of the smallest hash. Null labels and ids are left out; of repeated labels the largest counts."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS)
-    rows = table.join(own, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("y").alias("y")).orderBy("doc_id").collect()
-    if rows:
-        x = np.array([r["features"] for r in rows], float)
-    else:
-        first = table.select(F.size("features")).first()
-        x = np.zeros((0, first[0] if first else 1))
+    return own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAINING_ROWS) -> Ranker:
+    """Fits on the sampled rows that `docs` holds. The sample's bound is a parameter, so it is broadcast to find their texts; of rows of one id the smallest text counts."""
+    sample = F.broadcast(training_sample(labels, label, most))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = features_of(batch.column(1))
+            values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values], ["doc_id", "y", "features"])
+
+    rows = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, features array<double>").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("y").alias("y")).orderBy("doc_id").collect()
+    x = np.array([r["features"] for r in rows], float) if rows else np.zeros((0, features_of(pa.array([""])).shape[1]))
     return fit_ranker(x, np.array([r["y"] == 1 for r in rows], bool))
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted (1 if score >= 0.3).
 
     Null and empty texts are scored like any other; repeated rows give a row each
-    and get equal scores; a null doc_id is scored but trains nothing; without
-    labels of both kinds all score above the cut; other columns are left out.
+    and get equal scores, as do equal texts; a null doc_id is scored but trains
+    nothing; without labels of both kinds all score above the cut; an empty table
+    gives none; a text of any length is read whole, in one task; other columns
+    are left out, whatever their names.
     """
-    table = written(features(docs), "quality-features")
-    score = train(table, labels).score()
-    return table.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    ranker = train(docs, labels, most=most)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.scores_of(features_of(batch.column(1))))], ["doc_id", "score"])
 
-def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score CUT or more, with all their columns; null and empty texts are scored like any other.
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
-    The sample to fit on is bounded, so it is found by a broadcast join; every text is then scored where it is read.
-    """
-    sample = F.broadcast(labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS))
-    table = written(features(docs.select("doc_id", "text").join(sample, "doc_id", "left_semi")), "quality-features")
-    ranker = train(table, labels)
 
+def kept(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The documents that score CUT or more, by the same model as `scores`, with all their columns, whatever their names.
+
+    Null and empty texts are scored like any other, repeated rows fare alike, and an empty table gives none.
+    """
+    ranker = train(docs, labels, most=most)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark import on_workers
+from tidemark import on_workers, spread
 
 from .oracles import SQL as SQL
 from .store import lean
@@ -14,7 +14,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return lean(on_workers(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+    table = lean(on_workers(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

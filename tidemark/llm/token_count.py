@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ from .columns import slices
 BATCH_BYTES = 4 << 20
 KEPT_PIECES = 900_000
 LONGEST_KEPT = 64
+#: Characters of a piece beyond which it is cut further, at places where the pre-tokenizer always parts: before white space after
+#: another character, and between letters, digits and other signs (not after an apostrophe, which may begin a contraction).
+LONG_PIECE = 2000
+CHANGE = regex.compile(r"(?V1)(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 class JsonCounter:
@@ -41,6 +46,7 @@ class JsonCounter:
         added = spec.get("added_tokens", [])
         #: An added token that holds a blank, or takes the blanks around it, could reach across a cut.
         self.cuts = bool(plain) and not any(" " in a["content"] or a.get("lstrip") or a.get("rstrip") for a in added)
+        self.added = [a["content"] for a in added]
         #: Lengths by piece: those met lately, and those of the time before.
         self.kept: dict[str, int] = {}
         self.older: dict[str, int] = {}
@@ -49,7 +55,10 @@ class JsonCounter:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut before each blank that follows a character that isn't white space; all but the first start with a blank."""
+        """The text cut before each blank that follows a character that isn't white space; all but the first start with a blank.
+
+        A piece that is still long is cut where its kind of character changes, unless it holds an added token's string.
+        """
         parts = text.split(" ")
         out, carry = [], parts[0]
         for part in parts[1:]:
@@ -59,7 +68,15 @@ class JsonCounter:
                 out.append(carry)
                 carry = " " + part
         out.append(carry)
-        return out
+        if max(map(len, out)) <= LONG_PIECE:
+            return out
+        fine = []
+        for piece in out:
+            if len(piece) > LONG_PIECE and not any(a in piece for a in self.added):
+                fine.extend(CHANGE.split(piece))
+            else:
+                fine.append(piece)
+        return fine
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.cuts:
@@ -102,7 +119,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_colu
 
     Null and empty texts have no bytes and no tokens; rows that repeat give a row
     each; a null id stays null; other columns are left out, whatever their names;
-    an empty table gives none. No truncation, no special tokens added.
+    an empty table gives none. No truncation, no special tokens added. Texts of
+    any length are counted whole, piece by piece between safe boundaries; batches
+    hold at most `BATCH_BYTES` of text, or one text.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
