@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import delete, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Links each node's neighbours (small: those below it, and itself; else: those above it) to the smallest node seen from it.
 
     The smallest is found by an aggregate that combines before its shuffle and is
-    joined back, so a hub's neighbours are never gathered in one place.
+    written before it is joined back. So both sides of the join are plain: Spark
+    broadcasts the smallest where their table is small, or splits a hub's
+    neighbours; they are never gathered in one place.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.where("v < u") if small else both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "links-least")
     joined = both.join(least, "u")
     if small:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     # Repeats of a large star do no harm; the small star that follows drops them.
-    return out.where("a <> b").distinct() if small else out.where("a <> b")
+    out = written(out.where("a <> b").distinct() if small else out.where("a <> b"), "links", instead_of=edges)
+    delete(least)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -35,7 +39,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen or not now["n"]:
             break
         seen = now
-        e = written(_star(_star(e, small=False), small=True), "links", instead_of=e)
+        e = _star(_star(e, small=False), small=True)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

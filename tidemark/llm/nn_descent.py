@@ -119,7 +119,10 @@ def first_graph(nodes: DataFrame, k: int) -> DataFrame:
             yield from block(held, True)
 
     coded = nodes.mapInArrow(code, "tree int, code long, along double, node long, vec binary")
-    sorted_ = coded.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along")
+    # Blocks are cut within partitions: those of a small table hold several blocks each, however many partitions the session asks for.
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, nodes.count() * TREES // (4 * BLOCK)))
+    sorted_ = coded.repartitionByRange(parts, "tree", "code", "along").sortWithinPartitions("tree", "code", "along")
     return sorted_.mapInArrow(near, "u long, v long, sim float")
 
 
