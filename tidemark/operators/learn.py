@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -180,43 +181,88 @@ def isotonic(spark: SparkSession, rows: DataFrame, p: str, y: str) -> DataFrame:
     return spark.createDataFrame([(float(a), float(b)) for a, b in zip(m.boundaries, m.predictions, strict=True)], "boundary double, value double")
 
 
-def boosted_ranker(rows: DataFrame, features: list[str], y: str, day: str, split: int) -> DataFrame:
-    """Gradient-boosted trees on the label, fitted before the split day and scored from it on."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    x = VectorAssembler(inputCols=features, outputCol="features").transform(rows.withColumn("label", F.col(y).cast("double")))
-    m = GBTRegressor(maxIter=10, maxDepth=3, stepSize=0.1, seed=7).fit(x.where(F.col(day) < split))
-    return m.transform(x.where(F.col(day) >= split)).select(*[c for c in rows.columns if c not in features], F.col("prediction").alias("score"))
+def _lambdas(score: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """Each row's pull: over the pairs of unlike grades the chance that the pair is in the wrong order, times what swapping them would change of the NDCG."""
+    place = np.empty(len(score), np.int64)
+    place[np.lexsort((np.arange(len(score)), -score))] = np.arange(len(score))
+    discount = 1 / np.log2(place + 2.0)
+    gain = 2.0**grade - 1
+    ideal = float((np.sort(gain)[::-1] / np.log2(np.arange(len(gain)) + 2.0)).sum())
+    if ideal <= 0:
+        return np.zeros(len(score))
+    better = grade[:, None] > grade[None, :]
+    wrong = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -35, 35)))
+    pull = np.where(better, wrong * np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal, 0.0)
+    return pull.sum(axis=1) - pull.sum(axis=0)
 
 
-def experiment(spark: SparkSession, rows: DataFrame, folds: list[Fold], features: list[str], y: str, day: str, id_column: str, grid: tuple[float, ...]) -> DataFrame:
-    """(fold, c, validation_brier, test_brier, baseline_brier): for each fold the grid's best on validation, measured on test.
+def pairwise_ranker(rows: DataFrame, features: list[str], grade: str, day: str, id_column: str, split: int, keep: Callable[[DataFrame], DataFrame], trees: int = 8, depth: int = 3, rate: float = 0.3) -> DataFrame:
+    """(day, id, grade, score): trees boosted on a pairwise objective, fitted before the split day and scored everywhere.
 
-    The driver holds the grid and one row a fold; rows stay in Spark.
+    In each round every day's cross-section gives its rows their pulls, and a tree
+    is fitted to them. A cross-section is as large as the universe of objects, not
+    as the table; `keep` writes a round's scores so that plans stay short.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    flat = rows.select(F.col(day).cast("long").alias("day"), F.col(id_column).cast("long").alias("id"), F.col(grade).cast("double").alias("grade"), *[F.col(f).cast("double").alias(f) for f in features])
+    scored = keep(flat.withColumn("score", F.lit(0.0)))
+    vectors = VectorAssembler(inputCols=features, outputCol="features")
+    tree = DecisionTreeRegressor(labelCol="pull", maxDepth=depth, seed=7)
+
+    def pulls(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(pull=_lambdas(pdf["score"].to_numpy(float), pdf["grade"].to_numpy(float)))
+
+    schema = "day long, id long, grade double, " + ", ".join(f"{f} double" for f in features) + ", score double, pull double"
+    for _ in range(trees):
+        pulled = vectors.transform(scored.where(F.col("day") < split).groupBy("day").applyInPandas(pulls, schema))
+        model = tree.fit(pulled.select("features", "pull"))
+        scored = keep(model.transform(vectors.transform(scored)).select(*scored.columns[:-1], (F.col("score") + rate * F.col("prediction")).alias("score")))
+    return scored.select("day", "id", "grade", "score")
+
+
+def experiment(
+    spark: SparkSession, rows: DataFrame, folds: list[Fold], variants: dict[str, list[str]], y: str, day: str, grid: tuple[float, ...], block: int = 3, samples: int = 500, seed: int = 7
+) -> DataFrame:
+    """One row a variant: (variant, chosen, days, brier, baseline_brier, mean, low, high, p, q).
+
+    In each fold a logistic model of the variant's features is fitted for every
+    penalty of the grid; the one of the best validation Brier score is measured on
+    the test days, against the training part's base rate. Daily differences over all
+    folds give an interval and a p-value by moving blocks; p-values are adjusted over
+    the variants. The driver holds the grid and the choices; rows stay in Spark.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     parts = assign(rows.withColumn("label", F.col(y).cast("double")), folds, day).cache()
-    out = []
+    measured, chosen = None, {v: [] for v in variants}
+    p = vector_to_array("probability")[1]
     for k in range(len(folds)):
-        raw = VectorAssembler(inputCols=features, outputCol="raw").transform(parts.where(F.col("fold") == k))
-        train = raw.where("part = 'train'")
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        x = scaler.transform(raw).select("part", "features", "label", day)
-        n = max(train.count(), 1)
-        base = train.agg(F.avg("label")).first()[0] or 0.0
-        best = None
-        for c in grid:
-            m = LogisticRegression(elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n), maxIter=30).fit(x.where("part = 'train'"))
-            p = vector_to_array("probability")[1]
-            scores = m.transform(x.where("part <> 'train'")).groupBy("part").agg(F.avg((p - F.col("label")) * (p - F.col("label"))).alias("b"), F.avg((F.lit(base) - F.col("label")) * (F.lit(base) - F.col("label"))).alias("base")).collect()
-            s = {r["part"]: (r["b"], r["base"]) for r in scores}
-            if "validation" in s and "test" in s and (best is None or s["validation"][0] < best[2]):
-                best = (k, c, s["validation"][0], s["test"][0], s["test"][1])
-        if best:
-            out.append(best)
-    parts.unpersist()
-    return spark.createDataFrame(out, "fold int, c double, validation_brier double, test_brier double, baseline_brier double")
+        own = parts.where(F.col("fold") == k)
+        base = own.where("part = 'train'").agg(F.avg("label"), F.count(F.lit(1))).first()
+        rate, n = base[0] or 0.0, max(base[1], 1)
+        for name, features in variants.items():
+            raw = VectorAssembler(inputCols=features, outputCol="raw").transform(own)
+            x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw.where("part = 'train'")).transform(raw).select("part", "features", "label", F.col(day).cast("long").alias("day"))
+            train, best = x.where("part = 'train'"), None
+            for c in grid:
+                m = LogisticRegression(elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n), maxIter=30).fit(train)
+                loss = m.transform(x.where("part = 'validation'")).agg(F.avg((p - F.col("label")) * (p - F.col("label")))).first()[0]
+                if loss is not None and (best is None or loss < best[0]):
+                    best = (loss, c, m)
+            if best is None:
+                continue
+            chosen[name].append(f"{best[1]:g}")
+            loss, flat = (p - F.col("label")) * (p - F.col("label")), (F.lit(float(rate)) - F.col("label")) * (F.lit(float(rate)) - F.col("label"))
+            daily = best[2].transform(x.where("part = 'test'")).groupBy("day").agg(F.avg(loss).alias("brier"), F.avg(flat).alias("base")).select(F.lit(name).alias("variant"), F.lit(k).alias("fold"), "day", "brier", "base")
+            measured = daily if measured is None else measured.unionByName(daily)
+    if measured is None:
+        return spark.createDataFrame([], "variant string, chosen string, days long, brier double, baseline_brier double, mean double, low double, high double, p double, q double")
+    measured = measured.withColumn("delta", F.col("brier") - F.col("base")).withColumn("order", F.col("fold") * 100_000 + F.col("day")).cache()
+    means = measured.groupBy("variant").agg(F.count(F.lit(1)).alias("days"), F.avg("brier").alias("brier"), F.avg("base").alias("baseline_brier"))
+    intervals = bh_adjust(block_bootstrap(measured, "variant", "order", "delta", block, samples, seed), "variant", "p")
+    choices = spark.createDataFrame([(v, ",".join(c)) for v, c in chosen.items()], "variant string, chosen string")
+    return means.join(intervals, "variant").join(choices, "variant").select("variant", "chosen", "days", "brier", "baseline_brier", "mean", "low", "high", "p", "q")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import average_rank, interpolate, logistic, ratio
 from tidemark.operators import asof, bitemporal, calendar, graph, learn, ranking
+from tidemark.sources import files
 
 from .base import AS_OF, DAY, EV, HOUR, events, micros, registered, table
 
@@ -404,12 +405,23 @@ def isotonic(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fit_ranker(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on quintile relevance, an approximation of the pairwise objective; scores of the last days."""
-    return learn.boosted_ranker(dataset(spark, d), ["f1", "f2", "f3"], "y", "day", split=_FIRST + 20)
+    """Boosted trees of a pairwise objective on a day's quintiles of the next day's posts; scores of all days."""
+    p = dataset(spark, d)
+    quintile = F.ntile(5).over(Window.partitionBy("day").orderBy("f1", "object_id")) - 1
+    nxt = p.select("object_id", (F.col("day") - 1).alias("day"), F.col("f1").alias("next"))
+    graded = p.join(nxt, ["object_id", "day"]).withColumn("grade", F.ntile(5).over(Window.partitionBy("day").orderBy("next", "object_id")) - 1).withColumn("now", quintile)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = files.scratch(spark, "ranker")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return learn.pairwise_ranker(graded, ["f1", "f2", "f3"], "grade", "day", "object_id", split=_FIRST + 20, keep=keep)
 
 
 @query()
 def experiment(spark: SparkSession, d: str) -> DataFrame:
-    """Grid by fold, chosen on validation, measured on test, against a baseline."""
+    """Variants by fold and penalty, chosen on validation, measured on test against the base rate, with intervals and adjusted p-values."""
     folds = learn.walk_forward(_FIRST, train=10, validation=4, test=4, embargo=1, step=4, folds=2)
-    return learn.experiment(spark, dataset(spark, d), folds, ["f1", "f2", "f3"], "y", "day", "object_id", grid=(0.1, 1.0, 10.0))
+    variants = {"full": ["f1", "f2", "f3"], "without_f1": ["f2", "f3"], "without_f2": ["f1", "f3"], "f1_only": ["f1"]}
+    return learn.experiment(spark, dataset(spark, d), folds, variants, "y", "day", grid=(0.1, 10.0))
