@@ -39,15 +39,24 @@ def concentration(rows: DataFrame, keys: list[str], actor: str) -> DataFrame:
     return s.select(*keys, "actors", "total", hhi.alias("hhi"), (1.0 / hhi).alias("effective"))
 
 
-def overlap(pools: DataFrame, key: str, member: str) -> DataFrame:
-    """(a, b, both, union, jaccard) for pairs of pools that share a member."""
+def overlap(pools: DataFrame, key: str, member: str, least: float) -> DataFrame:
+    """(a, b, both, union, jaccard) for pairs of pools whose Jaccard similarity is `least` or more.
+
+    With members that few pools have first, such pools share one of their first
+    n - ceil(least n) + 1; a member of very many pools stands last and brings
+    hardly any together. Only pairs found so, of sizes that can do, are compared.
+    """
     p = pools.select(key, member).distinct()
     size = p.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    a, b = p.select(F.col(key).alias("a"), member), p.select(F.col(key).alias("b"), member)
-    both = a.join(b, member).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    out = both.join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
+    spread = p.groupBy(member).agg(F.count(F.lit(1)).alias("pools"))
+    need = lambda n: F.ceil(n * least - 1e-9)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("pools", member))
+    first = p.join(spread, member).join(size, key).withColumn("place", place).where(F.col("place") <= F.col("n") - need(F.col("n")) + 1)
+    a, b = (first.select(F.col(key).alias(x), member, F.col("n").alias(f"n{x}")) for x in "ab")
+    near = a.join(b, member).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= need(F.greatest("na", "nb")))).select("a", "b", "na", "nb").distinct()
+    both = near.join(p.select(F.col(key).alias("a"), member), "a").join(p.select(F.col(key).alias("b"), member), ["b", member]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
     union = F.col("na") + F.col("nb") - F.col("both")
-    return out.select("a", "b", "both", union.alias("union"), (F.col("both").cast("double") / union).alias("jaccard"))
+    return both.select("a", "b", "both", union.alias("union"), (F.col("both").cast("double") / union).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def retention(rows: DataFrame, actor: str, day: str, horizon: int) -> DataFrame:

@@ -44,3 +44,11 @@ def comentions(rows: DataFrame, fact: list[str], family: str, member: str, most:
     # A pair's facts and families are few beside its records: each is counted once before they are put together.
     once = pairs.groupBy("a", "b", *fact).agg(F.collect_set(family).alias("families"))
     return once.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("families")))).cast("long").alias("families"))
+
+
+def with_onset_lag(pairs: DataFrame, onsets: DataFrame, member: str, onset: str, minutes: int) -> DataFrame:
+    """Adds lag_minutes, from a's onset to b's in units of `minutes`, and first_seen, the one that began; null where one has no onset."""
+    side = lambda x: onsets.select(F.col(member).alias(x), F.col(onset).alias(f"{onset}_{x}"))
+    lag = F.col(f"{onset}_b") - F.col(f"{onset}_a")
+    out = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return out.select(*pairs.columns, (lag * minutes).cast("long").alias("lag_minutes"), F.when(lag >= 0, F.col("a")).when(lag < 0, F.col("b")).alias("first_seen"))

@@ -132,8 +132,8 @@ def set_ops(spark: SparkSession, d: str) -> DataFrame:
 SELECT a, b, both_n AS "both", sa.n + sb.n - both_n AS "union", round(both_n::DOUBLE / (sa.n + sb.n - both_n), 6) AS jaccard FROM x JOIN s sa ON sa.object_id = a JOIN s sb ON sb.object_id = b WHERE both_n::DOUBLE / (sa.n + sb.n - both_n) >= 0.12""")
 def topic_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Pools that share much of their members."""
-    o = A.overlap(events(spark, d).where("source = 'purchase'"), "object_id", "user_id")
-    return o.where("jaccard >= 0.12").select("a", "b", "both", "union", *r6("jaccard"))
+    o = A.overlap(events(spark, d).where("source = 'purchase'"), "object_id", "user_id", 0.12)
+    return o.select("a", "b", "both", "union", *r6("jaccard"))
 
 
 @query(f"WITH {EV} SELECT source, day, sha256(string_agg(u, ',' ORDER BY u)) AS pool_hash FROM (SELECT DISTINCT source, day, CAST(user_id AS VARCHAR) AS u FROM ev) GROUP BY 1, 2")

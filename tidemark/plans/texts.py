@@ -93,7 +93,7 @@ def phrase_substrings(spark: SparkSession, d: str) -> DataFrame:
 
 PHRASES_SQL = f"""w AS (SELECT doc_id, source, doc_id % 2 = 0 AS recent, {TOKENS_SQL} AS w FROM documents),
 t AS (SELECT source, recent, unnest(list_distinct(list_concat(w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END))) AS term FROM w),
-ph AS (SELECT term, count(*) FILTER (WHERE recent) AS n_recent, count(*) FILTER (WHERE NOT recent) AS n_past, count(DISTINCT CASE WHEN recent THEN source END) AS n_sources FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE recent) >= 3)"""
+ph AS MATERIALIZED (SELECT term, count(*) FILTER (WHERE recent) AS n_recent, count(*) FILTER (WHERE NOT recent) AS n_past, count(DISTINCT CASE WHEN recent THEN source END) AS n_sources FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE recent) >= 3)"""
 
 
 def phrases(spark: SparkSession, d: str) -> DataFrame:
