@@ -390,6 +390,27 @@ def test_walk_goes_on_until_all_best_are_expanded(spark):
     assert sorted(r["node"] for r in found.collect()) == list(range(14))
 
 
+def test_descent_makes_a_graph_of_a_poor_one(spark):
+    """From blocks of 40 under two projections, which hold few of a node's neighbours, rounds of neighbours of neighbours find most."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(3000, 6)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(m)], "node long, vec binary")
+    sim = m @ m.T
+    np.fill_diagonal(sim, -2)
+    want = np.argsort(-sim, axis=1)[:, :5]
+
+    def recall(graph):
+        has = defaultdict(set)
+        for r in graph.select("u", "v").collect():
+            has[r["u"]].add(r["v"])
+        return np.mean([len(has[k] & set(w.tolist())) / 5 for k, w in enumerate(want)])
+
+    before = recall(nn_descent.first_graph(nodes, nn_descent.NEIGHBOURS, block=40, trees=2))
+    after = recall(nn_descent.neighbour_graph(nodes, block=40, trees=2))
+    assert before < 0.7 and after > 0.99
+
+
 def test_nearest_neighbours_over_several_blocks(spark):
     m = np.random.default_rng(3).normal(size=(6000, 24)).astype(np.float32)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<float>")

@@ -73,7 +73,7 @@ def nodes_of(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     return written(each.select("node", "v").mapInArrow(unit, "node long, vec binary"), "ann-nodes"), each.select("node", F.explode("ids").alias("id"))
 
 
-def first_graph(nodes: DataFrame, k: int) -> DataFrame:
+def first_graph(nodes: DataFrame, k: int, block: int = BLOCK, trees: int = TREES) -> DataFrame:
     """(u, v, sim): each node's nearest in its blocks of every projection."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def first_graph(nodes: DataFrame, k: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             m = _vectors(batch.column(1))
-            for tree in range(TREES):
+            for tree in range(trees):
                 rng = np.random.default_rng(1000 + tree)
                 planes = rng.standard_normal((m.shape[1], PLANES + 1)).astype(np.float32)
                 p = m @ planes
@@ -91,11 +91,11 @@ def first_graph(nodes: DataFrame, k: int) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def block(rows: list[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        def compared(rows: list[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows).combine_chunks()
             at = 0
-            while table.num_rows - at >= 2 * BLOCK or (last and at < table.num_rows):
-                size = BLOCK if table.num_rows - at >= 2 * BLOCK else table.num_rows - at
+            while table.num_rows - at >= 2 * block or (last and at < table.num_rows):
+                size = block if table.num_rows - at >= 2 * block else table.num_rows - at
                 part = table.slice(at, size)
                 at += size
                 id_, m = part.column("node").to_numpy(), _vectors(part.column("vec").combine_chunks())
@@ -113,15 +113,15 @@ def first_graph(nodes: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                if sum(b.num_rows for b in held) >= 2 * BLOCK:
-                    yield from block(held, False)
+                if sum(b.num_rows for b in held) >= 2 * block:
+                    yield from compared(held, False)
         if held:
-            yield from block(held, True)
+            yield from compared(held, True)
 
     coded = nodes.mapInArrow(code, "tree int, code long, along double, node long, vec binary")
     # Blocks are cut within partitions: those of a small table hold several blocks each, however many partitions the session asks for.
     most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, nodes.count() * TREES // (4 * BLOCK)))
+    parts = max(1, min(most, nodes.count() * trees // (4 * block)))
     sorted_ = coded.repartitionByRange(parts, "tree", "code", "along").sortWithinPartitions("tree", "code", "along")
     return sorted_.mapInArrow(near, "u long, v long, sim float")
 
@@ -182,9 +182,9 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.repartition("u").sortWithinPartitions("u").mapInArrow(local, "u long, v long, sim float")
 
 
-def neighbour_graph(nodes: DataFrame) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, block: int = BLOCK, trees: int = TREES) -> DataFrame:
     """(u, v, sim, fresh): the graph after NN-descent."""
-    start = first_graph(nodes, NEIGHBOURS).withColumn("fresh", F.lit(1))
+    start = first_graph(nodes, NEIGHBOURS, block, trees).withColumn("fresh", F.lit(1))
     graph = written(_best(start, NEIGHBOURS), "ann-graph")
     for _ in range(ROUNDS_BOUND):
         found = descend(graph, nodes).withColumn("fresh", F.lit(1))
