@@ -51,8 +51,12 @@ def tokens(text: Column) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    """n words in a row, joined by a blank."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """n words in a row, joined by a blank: the words beside those one, two ... places on."""
+    held = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), held)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, k + 1, held), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def char_grams(text: Column, n: int) -> Column:
