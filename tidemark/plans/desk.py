@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import calendar, graph
 from tidemark.sources import files
+from tidemark.streaming import windows
 
 from . import market, people, storage
 from .base import AS_OF, DAY, EV, HOUR, MINUTE, events, registered, table
@@ -164,3 +165,44 @@ def coattention(spark: SparkSession, d: str) -> DataFrame:
     hours = events(spark, d).groupBy("object_id", F.expr(f"us div {HOUR}").alias("tick")).agg(F.count(F.lit(1)).alias("n"))
     onset = hours.where("n >= 2").groupBy("object_id").agg(F.min("tick").alias("onset"))
     return graph.with_onset_lag(market.pairs_of(spark, d, 30), onset, "object_id", "onset", 60)
+
+
+def _fanned(spark: SparkSession, d: str, results: str):
+    """The events as a stream of a file a batch, appended and counted by source as they come."""
+    inbox = files.scratch(spark, "fan-inbox")
+    rows = events(spark, d).select("event_id", "source", "us")
+    rows.repartitionByRange(4, "event_id").write.parquet(inbox)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    query = windows.fanned_out(stream, files.scratch(spark, "fan-raw"), lambda b: b.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us")), results, files.scratch(spark, "fan-log"))
+    query.awaitTermination()
+    return query
+
+
+@query(f"WITH {EV} SELECT source, count(*) AS n, max(us) AS last_us FROM ev GROUP BY 1")
+def stream_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """Batches appended first and analysed then; the analyses of all batches put together."""
+    results = files.scratch(spark, "fan-results")
+    _fanned(spark, d, results)
+    return spark.read.parquet(results).groupBy("source").agg(F.sum("n").alias("n"), F.max("last_us").alias("last_us"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows FROM events")
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """What the batches of a stream report of themselves: all rows, each once."""
+    query = _fanned(spark, d, files.scratch(spark, "fan-results"))
+    return windows.progress(spark, query).agg(F.sum("rows").alias("rows"))
+
+
+@query(f"""SELECT s_suppkey AS source, s_suppkey % 7 AS failures, CAST({AS_OF} + (s_suppkey % 5 + 1) * {3 * MINUTE} * least(power(2, s_suppkey % 7), 8) AS BIGINT) AS next_us FROM supplier""")
+def source_backoff(spark: SparkSession, d: str) -> DataFrame:
+    """M2: when each source is asked again: its interval, doubled for each failure in a row, eight times at most."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") % 7).alias("failures"), ((F.col("s_suppkey") % 5 + 1) * 3 * MINUTE).alias("interval"))
+    return s.select("source", "failures", (F.lit(AS_OF) + F.col("interval") * F.least(F.pow(F.lit(2), "failures"), F.lit(8))).cast("long").alias("next_us"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1")
+def backup(spark: SparkSession, d: str) -> DataFrame:
+    """K9: a table copied while it is in use, read back from the copy."""
+    path = files.scratch(spark, "backup")
+    table(spark, d, "orders").write.parquet(path)
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))

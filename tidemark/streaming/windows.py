@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +78,23 @@ def ingest(spark: SparkSession, folder: str, schema, table: str, key: str) -> in
     query = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(store).option("checkpointLocation", log).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(table).count()
+
+
+def fanned_out(stream: DataFrame, raw: str, analyse: Callable[[DataFrame], DataFrame], results: str, log: str, every: str | None = None):
+    """Each batch is appended to `raw` and, once that is done, analysed; both tables carry the batch's number, so a batch that is
+    run again replaces its own rows. `every`: a processing interval such as '300 seconds'; None takes what is there and ends."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{raw}/batch={number}")
+        # What was appended is read back: the source is read once.
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{raw}/batch={number}")
+        analyse(stored).write.mode("overwrite").parquet(f"{results}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", log)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def progress(spark: SparkSession, query) -> DataFrame:
+    """(batch, rows, seconds) of a query's batches that it remembers: what a status page shows."""
+    done = [(int(p["batchId"]), int(p["numInputRows"]), float(p["durationMs"].get("triggerExecution", 0)) / 1000) for p in query.recentProgress if p["numInputRows"]]
+    return spark.createDataFrame(done, "batch long, rows long, seconds double")
