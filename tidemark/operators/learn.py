@@ -104,12 +104,24 @@ def psi(rows: DataFrame, x: str, train: str) -> DataFrame:
     return c.crossJoin(F.broadcast(s)).agg(F.sum(part).alias("psi"), F.count(F.lit(1)).alias("bins"))
 
 
-def bh_adjust(rows: DataFrame, test: str, p: str) -> DataFrame:
-    """Step-up adjusted p-values. Tests of one family are few, so its windows are in one place."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = rows.withColumn("__n", n).withColumn("__r", F.row_number().over(Window.orderBy(p, test)))
-    low = F.min(F.col(p) * F.col("__n") / F.col("__r")).over(Window.orderBy(F.desc(p), F.desc(test)).rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("q", F.least(F.lit(1.0), low)).drop("__n", "__r")
+def bh_adjust(rows: DataFrame, test: str, p: str, bins: int = 64) -> DataFrame:
+    """Step-up adjusted p-values: the smallest p n / rank from the row's place up.
+
+    Rows are dealt to bins by approximate edges and ranked within them; what lies
+    before a bin and the least that comes after it are tables of one row a bin.
+    """
+    edges = F.array(*map(F.lit, rows.approxQuantile(p, [k / bins for k in range(1, bins)], 0.25 / bins))).cast("array<double>")
+    binned = rows.withColumn("__b", F.size(F.filter(edges, lambda e: e < F.col(p))))
+    sizes = binned.groupBy("__b").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    places = sizes.select("__b", before.alias("__before"), F.sum("c").over(Window.partitionBy()).alias("__n"))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(p, test)) + F.col("__before")
+    valued = binned.join(F.broadcast(places), "__b").withColumn("__v", F.col(p) * F.col("__n") / rank)
+    lows = valued.groupBy("__b").agg(F.min("__v").alias("low"))
+    later = lows.select("__b", F.min("low").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
+    low = F.min("__v").over(Window.partitionBy("__b").orderBy(F.desc(p), F.desc(test)).rowsBetween(Window.unboundedPreceding, 0))
+    # F.least passes over nulls: the last bin has nothing after it.
+    return valued.join(F.broadcast(later), "__b").withColumn("q", F.least(F.lit(1.0), low, "__later")).drop("__b", "__before", "__n", "__v", "__later")
 
 
 def residuals(rows: DataFrame, schema: str, keys: list[str], id_column: str, y: str, controls: list[str], group: str, ridge: float) -> DataFrame:
