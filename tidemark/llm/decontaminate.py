@@ -20,7 +20,8 @@ whole texts; spans of all shares are merged before anything is judged or cut.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,16 @@ class Automaton:
             last = 0
             for w in seq:
                 last = self._extend(last, w)
+        #: All transitions in one table, by state and word: a table for each state would take several times the room.
+        self.base = 1 + max((w for _, seq in items for w in seq), default=0)
+        self.edges = {state * self.base + w: to for state, out in enumerate(self.next) for w, to in out.items()}
+        self.next = []
+        self.link, self.length = array("l", self.link), array("l", self.length)
         for item, seq in items:
             if len(seq) < window:
                 state = 0
                 for w in seq:
-                    state = self.next[state][w]
+                    state = self.edges[state * self.base + w]
                 if seq:
                     self.short.setdefault(state, {}).setdefault(len(seq), set()).add(item)
                 continue
@@ -67,7 +73,7 @@ class Automaton:
                 length = min(length, self.length[state])
                 if length >= window:
                     held.setdefault(state, set()).add(item)
-        self.held = {s: frozenset(x) for s, x in held.items()}
+        self.held = {s: tuple(sorted(x)) for s, x in held.items()}
 
     def _extend(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -100,14 +106,15 @@ class Automaton:
         return copy
 
     def step(self, state: int, matched: int, w: int) -> tuple[int, int]:
-        """The state and length of the longest stretch of any item that ends with this word."""
-        nxt = self.next
-        while state and w not in nxt[state]:
+        """The state and length of the longest stretch of any item that ends with this word; a negative word is in none."""
+        if w < 0:
+            return 0, 0
+        to = self.edges.get(state * self.base + w)
+        while to is None and state:
             state = self.link[state]
             matched = self.length[state]
-        if w in nxt[state]:
-            return nxt[state][w], matched + 1
-        return 0, 0
+            to = self.edges.get(state * self.base + w)
+        return (0, 0) if to is None else (to, matched + 1)
 
     def window_state(self, state: int) -> int:
         """The state that holds the last `window` words of a longer match."""
@@ -115,7 +122,7 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def scan(self, seq: list[int]) -> Iterator[tuple[int, int, frozenset[int] | set[int]]]:
+    def scan(self, seq: list[int]) -> Iterator[tuple[int, int, Iterable[int]]]:
         """(start, end, items) of each window's occurrence in the sequence, by its last word."""
         state = matched = 0
         for end, w in enumerate(seq, 1):
@@ -221,7 +228,7 @@ def scanned(matchers: list[Matcher], text: pa.Array) -> tuple[np.ndarray, Found]
                     spans[-1] = (spans[-1][0], max(spans[-1][1], e + base))
                 else:
                     spans.append((s + base, e + base))
-                ids |= items
+                ids.update(items)
     return np.diff(first), {doc: (merged(spans), ids) for doc, (spans, ids) in found.items()}
 
 
