@@ -228,8 +228,8 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.report(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [1, 4, 512])
-def test_suffix_dedup_of_a_common_passage(spark, most):
+@pytest.mark.parametrize("most, of_core", [(1, 1), (4, 4), (1, 512), (512, 512)])
+def test_suffix_dedup_of_a_common_passage(spark, most, of_core):
     """A passage in very many contexts, some of which are shared for a while: sorted together, split by cores, or counted by windows."""
     rng = random.Random(most)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
@@ -238,7 +238,7 @@ def test_suffix_dedup_of_a_common_passage(spark, most):
         left = "left side" * (i % 3) + "".join(rng.choice("xyz") for _ in range(i % 7)) + "same" * (i % 5)
         data.append((i, f"{rng.random()}{left}{passage[i % 4 * 20:200 + i % 31]}{'tail' * (i % 6)}{rng.random()}"))
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    assert got(suffix_dedup.report(df, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(data)
+    assert got(suffix_dedup.report(df, most=most, most_of_core=of_core), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(data)
 
 
 def test_suffix_sort_orders_and_extends():

@@ -8,10 +8,10 @@ takes a number of steps logarithmic in the length, and a mergesort of such
 comparisons orders them. Neighbours that agree over the whole length are
 repeats, once their bytes have been compared: equal hashes alone decide nothing.
 
-A sort holds `MOST` kinds of fragments at most. An anchor with more is split by
-its windows' distance before it, in steps of SPAN: all windows of a step hold
-one *core* of bytes around the anchor, so equal ones have equal cores, and cores
-of one fragment only need no sort. A core that still has more kinds is counted
+An anchor with more than `MOST` kinds of fragments is split by its windows'
+distance before it, in steps of SPAN: all windows of a step hold one *core* of
+bytes around the anchor, so equal ones have equal cores, and cores of one
+fragment only need no sort. A core of more than `MOST_OF_CORE` kinds is counted
 window by window by two hashes, without a group in one place.
 """
 
@@ -32,8 +32,8 @@ from .store import with_row_id, written
 
 LENGTH = 200
 GRAM = 32
-#: Kinds of fragments that one sort holds at most, and distances that share a core.
-MOST, SPAN = 512, 22
+#: Kinds of fragments that one sort holds at most of an anchor and of a core, and distances that share a core.
+MOST, MOST_OF_CORE, SPAN = 512, 4096, 22
 
 
 class SuffixSorter:
@@ -177,7 +177,7 @@ def window_rows(parts: DataFrame, length: int) -> DataFrame:
     return parts.select("rid", "at", "step", "body").mapInArrow(run, "w1 long, w2 long, rid long, at long, k int")
 
 
-def repeated_runs(bodies: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+def repeated_runs(bodies: DataFrame, length: int = LENGTH, most: int = MOST, most_of_core: int = MOST_OF_CORE) -> DataFrame:
     """(rid, at, lo, hi): runs of windows whose bytes another fragment has too. `bodies` has anchor, rid, at and body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +211,13 @@ def repeated_runs(bodies: DataFrame, length: int = LENGTH, most: int = MOST) ->
     large = written(bodies.join(many.select("anchor"), "anchor"), "repeats-large")
     held = cores(large, length)
     parts = written(held.join(shared_keys(held, ["key"]), "key"), "repeats-cores")
-    small, rest = (parts.where(c).join(large.select("rid", "at", "body"), ["rid", "at"]) for c in (F.col("times") <= most, F.col("times") > most))
+    small, rest = (parts.where(c).join(large.select("rid", "at", "body"), ["rid", "at"]) for c in (F.col("times") <= most_of_core, F.col("times") > most_of_core))
     return found.unionByName(sort(small)).unionByName(equal_windows(window_rows(rest, length), keep_first=False))
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, most_of_core: int = MOST_OF_CORE) -> DataFrame:
     """(rid, spans): byte ranges, not merged, covered by strings of `length` bytes that also start elsewhere. Needs rid and text."""
-    return covered(docs, Kind(length, gram), lambda bodies: repeated_runs(bodies, length, most), keep_first=False)
+    return covered(docs, Kind(length, gram), lambda bodies: repeated_runs(bodies, length, most, most_of_core), keep_first=False)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def _span_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(size)]), rows.field("start").to_numpy(), rows.field("end").to_numpy()
 
 
-def report(docs: DataFrame, most: int = MOST) -> DataFrame:
+def report(docs: DataFrame, most: int = MOST, most_of_core: int = MOST_OF_CORE) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay).
 
     Null and empty texts have no bytes and the digest of nothing; a repeated row
@@ -260,5 +260,5 @@ def report(docs: DataFrame, most: int = MOST) -> DataFrame:
                 digest.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_spans(keyed, removed_spans(keyed, most=most)).select("doc_id", "text", "spans")
+    joined = _with_spans(keyed, removed_spans(keyed, most=most, most_of_core=most_of_core)).select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
