@@ -43,4 +43,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(24 + length(replace(replace(role, '<|', '<||'), chr(10), '<|nl|>')) + length(replace(text, '<|', '<||'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
-SQL = {"op2_benchmark_decontamination": DECONTAMINATION, "op5_substring_dedup": WORD_DEDUP, "op7_jaccard_join": JACCARD, "op9_chat_formatting": CHAT}
+WARC = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS n, sha256(html) AS digest FROM p),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest, n) ELSE page_id END AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url AS uri, true AS intact FROM f"""
+
+SQL = {"op2_benchmark_decontamination": DECONTAMINATION, "op5_substring_dedup": WORD_DEDUP, "op7_jaccard_join": JACCARD, "op9_chat_formatting": CHAT, "op12_warc": WARC}

@@ -85,4 +85,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_secret_scans, op5_substring_dedup, op6_nn_descent, op7_jaccard_join, op8_bpe_round_trip, op9_chat_formatting, op10_token_counts)}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_secret_scans, op5_substring_dedup, op6_nn_descent, op7_jaccard_join, op8_bpe_round_trip, op9_chat_formatting, op10_token_counts, op12_warc)}
