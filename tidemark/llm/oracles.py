@@ -47,4 +47,11 @@ WARC = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages)
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest, n) ELSE page_id END AS first FROM d)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url AS uri, true AS intact FROM f"""
 
-SQL = {"op2_benchmark_decontamination": DECONTAMINATION, "op5_substring_dedup": WORD_DEDUP, "op7_jaccard_join": JACCARD, "op9_chat_formatting": CHAT, "op12_warc": WARC}
+NEGATIVES = """WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+SQL = {"op2_benchmark_decontamination": DECONTAMINATION, "op5_substring_dedup": WORD_DEDUP, "op7_jaccard_join": JACCARD, "op9_chat_formatting": CHAT, "op12_warc": WARC, "op13_hard_negatives": NEGATIVES}

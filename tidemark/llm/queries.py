@@ -98,4 +98,14 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_secret_scans, op5_substring_dedup, op6_nn_descent, op7_jaccard_join, op8_bpe_round_trip, op9_chat_formatting, op10_token_counts, op11_cross_tokenizer, op12_warc)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import negatives
+
+    table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    noisy = table.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mined(noisy, F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_secret_scans, op5_substring_dedup, op6_nn_descent, op7_jaccard_join, op8_bpe_round_trip, op9_chat_formatting, op10_token_counts, op11_cross_tokenizer, op12_warc, op13_hard_negatives)}
