@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -38,7 +39,8 @@ FREQUENT = 1 << 17
 LINKS_HELD = 1 << 20
 #: Links of a group beyond which its distinct ids are multiplied and not its tokens.
 LARGE_GROUP = 1 << 12
-KEPT_PIECES, LONGEST_KEPT = 400_000, 48
+LONG_PIECE = 1000
+LONG = re.compile(rf"\S{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
 ID_BITS = 21
 COUNT_ROWS = 1 << 20
 
@@ -57,68 +59,55 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
 
 
 class ByteSide:
-    """Encoder A: a byte-level BPE file; strings of special tokens are plain text."""
+    """Encoder A: a byte-level BPE file; strings of special tokens are plain text.
+
+    Where ids are in the order of the merges, they are the ranks that tiktoken merges by, which is several times as fast; texts with a
+    stretch of `LONG_PIECE` characters without a border, which it takes quadratic time for, and other files go to this library's own encoder.
+    """
 
     def __init__(self, path: str) -> None:
-        self.codec = bpe.codec(path)
-        self.lengths = np.diff(self.codec.offsets)
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = bpe.byte_alphabet()
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special and all(c in alphabet for c in t)}
+        self.lengths = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for t, i in ranks.items():
+            self.lengths[i] = len(t)
+        merged = [ranks[bytes(alphabet[c] for c in "".join(m.split(" ") if isinstance(m, str) else m))] for m in spec["model"]["merges"]]
+        pre = spec.get("pre_tokenizer") or {}
+        plain = spec["model"].get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        in_order = all(x < y for x, y in zip(merged, merged[1:], strict=False)) and len(merged) + 256 == len(ranks)
+        self.fast = tiktoken.Encoding("a", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain and in_order else None
+        self.path = path
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.codec.encode_plain(" " + t), "<u4").astype(np.int64) for t in texts]
+        out = []
+        for t in texts:
+            if self.fast is None or (len(t) >= LONG_PIECE and LONG.search(t)):
+                out.append(np.frombuffer(bpe.codec(self.path).encode_plain(" " + t), "<u4").astype(np.int64))
+            else:
+                out.append(np.array(self.fast.encode_ordinary(" " + t), np.int64))
+        return out
 
 
 class PieceSide:
-    """Encoder B: a sentencepiece model, which puts a blank before the text.
-
-    Where no piece of the vocabulary goes from another sign to a blank, merges can't cross such a place, and the text is
-    encoded word by word, each word met once.
-    """
+    """Encoder B: a sentencepiece model, which puts a blank before the text."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
-        model = sentencepiece_model_pb2.ModelProto()
-        model.ParseFromString(p.serialized_model_proto())
         pieces = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self.bytes_of = [bytes([int(t[3:5], 16)]) if p.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)]
         self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
-        how = model.normalizer_spec
-        self.by_word = not how.precompiled_charsmap and not how.remove_extra_whitespaces and how.add_dummy_prefix and not any("▁" in t.lstrip("▁") for t in pieces) and not any(m.type == 4 for m in model.pieces)
-        #: Ids by word: those met lately, and those of the time before; None where the ids' bytes aren't the word's.
-        self.kept: dict[str, np.ndarray | None] = {}
-        self.older: dict[str, np.ndarray | None] = {}
-
-    def _same(self, ids: list[int], text: str) -> bool:
-        return b"".join([self.bytes_of[i] for i in ids]) == text.encode()
 
     def encode(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of each text, or None where their bytes joined are not a blank and the text."""
-        if not self.by_word:
-            found = self.processor.encode(texts, num_threads=1)
-            return [np.array(ids, np.int64) if self._same(ids, " " + t) else None for ids, t in zip(found, texts, strict=True)]
-        if len(self.kept) > KEPT_PIECES // 2:
-            self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        cut = [None if "▁" in t else re.findall(r" +[^ ]+(?: +\Z)?| +\Z", " " + t) for t in texts]
-        new = {w for words in cut if words for w in words if w not in kept}
-        known = new & older.keys()
-        kept.update((w, older[w]) for w in known)
-        new = list(new - known)
-        found = self.processor.encode([w[1:] for w in new], num_threads=1)
-        kept.update((w, np.array(ids, np.int64) if self._same(ids, w) else None) for w, ids in zip(new, found, strict=True))
-        out = []
-        for words, text in zip(cut, texts, strict=True):
-            parts = [kept[w] for w in words] if words else [None]
-            if words and any(p is None for p in parts):
-                ids = self.processor.encode(text, num_threads=1)
-                parts = [np.array(ids, np.int64) if self._same(ids, " " + text) else None]
-            out.append(None if parts[0] is None else np.concatenate(parts))
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del kept[w]
-        return out
+        found = self.processor.encode(texts, num_threads=1)
+        return [np.array(ids, np.int64) if b"".join([self.bytes_of[i] for i in ids]) == (" " + t).encode() else None for ids, t in zip(found, texts, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
