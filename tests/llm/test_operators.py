@@ -135,18 +135,19 @@ def brute_hits(text, items, window=10):
         for k in range(len(words) - size + 1) if size else ():
             if tuple(words[k : k + size]) in windows:
                 hit |= set(range(k, k + size))
-                held.add(item)
+                held |= {item} - {None}
     return len(words), len(hit), len(held), sha(",".join(sorted(map(str, held)))), bool(hit)
 
 
 @pytest.mark.parametrize("share_bytes", [1 << 20, 600])
 def test_decontamination(spark, docs, rows, empty, share_bytes):
     base = rows[0][1].split()
-    items = [(1, " ".join(base[5:40])), (2, "one two"), (3, None), (4, ""), (5, "42"), (6, " ".join(base[70:80])), (7, "ONE, two"), (8, " ".join(base[20:30] + ["zzz"] + base[30:45])), (11, "spam spam spam"), (12, "spam " * 15)]
+    items = [(1, " ".join(base[5:40])), (2, "one two"), (3, None), (4, ""), (5, "42"), (6, " ".join(base[70:80])), (7, "ONE, two"), (8, " ".join(base[20:30] + ["zzz"] + base[30:45])), (11, "spam spam spam"), (12, "spam " * 15), (None, " ".join(base[50:65])), (None, " ".join(base[72:84])), (None, None), (None, dict(rows)[60]), (None, dict(rows)[61])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(((i, *brute_hits(t, items)) for i, t in rows), key=repr)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert got(decontaminate.report(docs, bench, share_bytes=share_bytes), *columns) == want
+    assert any(n_hit and not n_items for _, _, n_hit, n_items, _, _ in want)
     assert decontaminate.report(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.report(docs, bench.where("false")).collect())
 
@@ -184,7 +185,7 @@ def test_decontamination_cuts_alike_in_shares(spark, share_bytes):
     long = [" ".join(f"{c}{k}" for k in range(24)) for c in "pqrs"]
     base = " ".join(f"o{k}" for k in range(30)).split()
     overlapping = [" ".join(base[k : k + 12]) for k in range(0, 19, 3)]
-    items = list(enumerate([*long, *overlapping], 1))
+    items = [(None if k % 4 == 3 else k, t) for k, t in enumerate([*long, *overlapping], 1)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     plain = lambda n, c="w": " ".join(f"{c}{k}" for k in range(n))
     texts = {i: f"{plain(400)} {a} {plain(60, 'v')} {b} {plain(60, 'u')}" for i, (a, b) in enumerate(((a, b) for a in long for b in long if a < b), 1)}

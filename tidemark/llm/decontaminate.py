@@ -36,6 +36,8 @@ ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
 #: Bytes of items in one automaton, and automata that a task holds at once.
 SHARE_BYTES, SHARES_AT_ONCE = 1 << 20, 4
+#: Stands for the id of an item that has none: its windows hit, and it is named nowhere.
+NO_ID = -(1 << 63)
 
 
 class Automaton:
@@ -233,14 +235,14 @@ def scanned(matchers: list[Matcher], text: pa.Array) -> tuple[np.ndarray, Found]
 
 
 def matchers(items: DataFrame, window: int, share_bytes: int) -> list[list]:
-    """Broadcast matchers by scan, each over a share of the items of at most about `share_bytes` of text. Items of null id are left out."""
+    """Broadcast matchers by scan, each over a share of the items of at most about `share_bytes` of text. Items of null id take part under NO_ID."""
     spark = items.sparkSession
-    part = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
+    part = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.col("text").cast("string").alias("text"))
     size = part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     shares = max(1, -(-int(size["bytes"] + 16 * size["rows"]) // share_bytes))
     out = []
     for k in range(shares):
-        own = part if shares == 1 else part.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == k)
+        own = part if shares == 1 else part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == k)
         # One share's items at a time come to the driver; the broadcast keeps them in a file.
         out.append(spark.sparkContext.broadcast(Matcher(sorted((r["item_id"], r["text"] or "") for r in own.collect()), window)))
     return [out[k : k + SHARES_AT_ONCE] for k in range(0, shares, SHARES_AT_ONCE)]
@@ -263,7 +265,7 @@ def hits(docs: DataFrame, scans: list[list]) -> DataFrame:
                 n_words, found = scanned([m.value for m in group], batch.column(2))
                 none: tuple[list, set] = ([], set())
                 spans = [[{"start": s, "end": e} for s, e in found.get(i, none)[0]] for i in range(batch.num_rows)]
-                ids = [sorted(found.get(i, none)[1]) for i in range(batch.num_rows)]
+                ids = [sorted(found.get(i, none)[1] - {NO_ID}) for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], ["rid", "doc_id", "n_words", "spans", "items"])
 
         part = rows.mapInArrow(scan, f"rid long, doc_id long, n_words long, spans {SPANS}, items array<long>")
@@ -283,8 +285,9 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, share_bytes:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; repeated rows give a row each; a null
-    doc_id stays null; repeated items count once by id; an empty benchmark hits
-    nothing; an empty table gives no rows. Where items share a window, all of them
+    doc_id stays null; repeated items count once by id; windows of items of null id
+    are hits as any other, but name no item, so a document can be contaminated
+    with n_items 0; an empty benchmark hits nothing; an empty table gives no rows. Where items share a window, all of them
     count. A text of any length is streamed whole, in one task. Other columns are
     left out, whatever their names.
     """
@@ -314,7 +317,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_hit_words: int = 50, max_coverage: float = 0.2, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """The documents with hit spans cut out; a document goes where more than `max_hit_words` words or more than
     `max_coverage` of its words are hit. Texts without a hit stay as they are, null and empty texts too, and equal rows
-    fare alike. All columns stay, whatever their names; an empty table gives none; a text of any length is streamed whole.
+    fare alike; items of null id are items. All columns stay, whatever their names; an empty table gives none; a text of any length is streamed whole.
 
     Spans of all items are merged before a text is judged and cut, so the result is that of one automaton over all items.
     """
