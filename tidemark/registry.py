@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of queries; each has QUERIES (name -> function) and SQL (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("storage", "series", "people", "texts", "market", "feeds", "desk")
+MODULES: tuple[str, ...] = ("storage", "series", "people", "texts", "market", "feeds", "desk", "streams")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
