@@ -293,7 +293,8 @@ def search(queries: DataFrame, index: Index, same: bool, k: int, request: int =
         chosen = written(_chosen(state, index, count), "negatives-state", before)
         if not chosen.where(F.size("next") > 0).limit(1).count():
             break
-        pairs = _requests(chosen, index, request).join(index.blocks, "segment").select("queries", "labels", "vecs", "ids")
+        # Requests are many times what they are made of, which Spark can't know: they are never to be broadcast.
+        pairs = _requests(chosen, index, request).hint("merge").join(index.blocks, "segment").select("queries", "labels", "vecs", "ids")
         found = _scanned(pairs, same, k, index.width)
         found = (found if hits is None else hits.unionByName(found)).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
         hits = written(found, "negatives-hits", hits)
@@ -334,7 +335,7 @@ def mined(table: DataFrame, anchors: Column, positives: int = 5, negatives: int
     hard = _ranked(search(bands.select("qid", "label", "vec", "low", "high"), found, False, negatives), negatives)
     hard = hard.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("target", F.col("rows").alias("hard")))).alias("hard"))
     answers = bands.join(hard, "qid").select("label", "vec", "near", "p", "hard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = rows.where(anchors).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(answers, ["label", "vec", "salt"])
+    each = rows.where(anchors).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(answers.hint("merge"), ["label", "vec", "salt"])
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, positives)
     each = each.select(F.col("id").alias("anchor_id"), F.explode(others).alias("positive"), "p", "hard")
     score = -F.col("positive.minus")
