@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
-from tidemark.operators.facts import clusters, facts, quantities, skeleton
+from tidemark.operators.facts import clusters, quantities, skeleton, with_facts
 from tidemark.operators.text import prune_substrings, span_grams
 from tidemark.plans import texts
 
@@ -51,7 +51,7 @@ def test_quantities_of_every_unit(spark):
 
 def test_facts_of_clauses(spark):
     text = "公司签订合同，金额1,250亿元；否认财务造假。2023年度净利润增长15％。净利润2023年度 增长；净利润2023年度增长。但确认减值2千元\n否认违约且确认退市；召开2024年第一次临时股东大会；违约不属实；nothing"
-    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(facts("t").alias("f")).collect()
+    got = with_facts(spark.createDataFrame([(text,), (None,), ("",)], "t string"), "t", "f").collect()
     assert got[1]["f"] == got[2]["f"] == []
     keep = lambda f: (f["evidence"], f["actions"], f["numbers"], f["period"], f["direction"], f["negative_terms"], f["denied_terms"], f["event_class"], f["importance"])
     assert [keep(f) for f in got[0]["f"]] == [
@@ -69,7 +69,7 @@ def test_facts_of_clauses(spark):
 
 
 def test_all_numbers_and_actions_of_a_clause(spark):
-    f = spark.createDataFrame([("订单1万 2万 3万 4万 5万 6万和产能价格",)], "t string").select(facts("t").alias("f")).first()["f"]
+    f = with_facts(spark.createDataFrame([("订单1万 2万 3万 4万 5万 6万和产能价格",)], "t string"), "t", "f").first()["f"]
     assert [(x["actions"], len(x["numbers"])) for x in f] == [(["order", "capacity", "price"], 6)]
 
 

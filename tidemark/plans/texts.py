@@ -237,7 +237,12 @@ _UNIT_SQL = "CASE lower(u) " + " ".join(f"WHEN '{k}' THEN '{u}:{m}'" for k, (u,
 _UNITS_RE = "|".join(sorted(X.UNITS, key=len, reverse=True))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {_NOTE_SQL} || '。' || coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, t, regexp_extract_all(t, '(?i)[0-9][0-9,]*(?:\\.[0-9]+)?\\s*(?:{_UNITS_RE})') AS raws, string_split_regex(t, '(?i)[0-9][0-9,]*(?:\\.[0-9]+)?\\s*(?:{_UNITS_RE})') AS parts FROM d),
+r AS (SELECT doc_id, t, raws[i] AS raw, length(array_to_string(raws[1:i - 1], '')) + length(array_to_string(parts[1:i], '')) AS pos FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM m)),
+u AS (SELECT *, regexp_extract(raw, '(?i)({_UNITS_RE})$', 1) AS u, replace(regexp_extract(raw, '^[0-9,.]+'), ',', '') AS v, substring(t, greatest(pos - 3, 1), least(pos, 4)) AS before FROM r),
+k AS (SELECT *, split_part({_UNIT_SQL}, ':', 1) AS own, trim(printf('%.6f', CAST(v AS DOUBLE) * CAST(split_part({_UNIT_SQL}, ':', 2) AS DOUBLE)), '0') AS n FROM u),
+z AS (SELECT *, rtrim(CASE WHEN n LIKE '.%' THEN '0' || n ELSE n END, '.') AS number, CASE WHEN own = 'CNY' AND (contains(before, '美元') OR before LIKE '%美') THEN 'USD' ELSE own END AS unit FROM k)
+SELECT doc_id, raw, CAST(number AS DOUBLE) AS value, unit, unit || ':' || number AS key, CAST(pos AS INTEGER) AS "start" FROM z""")
 def quantities(spark: SparkSession, d: str) -> DataFrame:
     """Numbers with units and places, as keys of one form."""
     q = noted(spark, d).select("doc_id", F.explode(X.quantities(F.col("text"))).alias("q"))
@@ -245,16 +250,16 @@ def quantities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all({_NOTE_SQL} || '。' || coalesce(text, ''), '(?i)([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*({_UNITS_RE})')) AS raw FROM documents), x AS (SELECT doc_id, regexp_extract(raw, '(?i)({_UNITS_RE})$', 1) AS u, replace(regexp_extract(raw, '^[0-9,.]+'), ',', '') AS v FROM m)
-SELECT split_part({_UNIT_SQL}, ':', 1) AS unit, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(round(sum(CAST(v AS DOUBLE) * CAST(split_part({_UNIT_SQL}, ':', 2) AS DOUBLE))) AS DOUBLE) AS total FROM x WHERE length(v) < 12 GROUP BY 1""".replace("\\\\", "\\"))
+SELECT split_part({_UNIT_SQL}, ':', 1) AS unit, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(round(sum(CAST(v AS DOUBLE) * CAST(split_part({_UNIT_SQL}, ':', 2) AS DOUBLE))) AS DOUBLE) AS total FROM x GROUP BY 1""".replace("\\\\", "\\"))
 def quantity_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities of fewer than twelve digits by the unit that they are counted in (money of any currency together)."""
-    q = noted(spark, d).select("doc_id", F.explode(X.quantities(F.col("text"))).alias("q")).where(F.length(F.regexp_replace(F.regexp_extract("q.raw", "^[0-9,.]+", 0), ",", "")) < 12)
+    """Quantities by the unit that they are counted in (money of any currency together)."""
+    q = noted(spark, d).select("doc_id", F.explode(X.quantities(F.col("text"))).alias("q"))
     unit = F.when(F.col("q.unit") == "USD", "CNY").otherwise(F.col("q.unit")).alias("unit")
     return q.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.round(F.sum("q.value")).alias("total"))
 
 
 def fact_rows(spark: SparkSession, d: str) -> DataFrame:
-    return noted(spark, d).select("doc_id", "source", F.posexplode(X.facts(F.col("text"))).alias("place", "f")).select("doc_id", "source", "place", "f.*")
+    return X.fact_rows(noted(spark, d).select("doc_id", "source", "text"), "text")
 
 
 @query()
@@ -276,7 +281,7 @@ def fact_clusters(spark: SparkSession, d: str) -> DataFrame:
 def annotate(spark: SparkSession, d: str) -> DataFrame:
     """Topics, kind of content, exact cluster, direction, number of facts and whether a document needs review."""
     topics = term_match_join(spark, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topics"))
-    base = noted(spark, d).select("doc_id", T.exact_key(F.col("text")).alias("cluster"), X.facts(F.col("text")).alias("f"), F.col("text").rlike(f"(?i){X.NOVELTY['rumor']}").alias("rumor"))
+    base = X.with_facts(noted(spark, d).select("doc_id", "text"), "text", "f").select("doc_id", T.exact_key(F.col("text")).alias("cluster"), "f", F.col("text").rlike(f"(?i){X.NOVELTY['rumor']}").alias("rumor"))
     bad, denied = F.exists("f", lambda x: x["direction"] == "negative"), F.exists("f", lambda x: F.size(x["denied_terms"]) > 0)
     base = base.select("doc_id", "cluster", F.size("f").alias("n_facts"), F.when(bad, "negative_candidate").when(denied, "denied").otherwise("unknown").alias("direction"), (bad | denied | F.col("rumor")).alias("needs_review"))
     return base.join(topics, "doc_id", "left").join(classify_cascade(spark, d).select("doc_id", "content_type", "novelty"), "doc_id")
