@@ -19,6 +19,32 @@ def rolling_actors(rows: DataFrame, keys: list[str], time: str, actor: str, ends
     return joined.groupBy(*keys, end).agg(*[F.countDistinct(F.when(F.col(time) >= F.col(end) - m * 60_000_000, F.col(actor))).alias(f"actors_{m}") for m in minutes])
 
 
+def sliding_actors(rows: DataFrame, keys: list[str], time: str, actor: str, minutes: tuple[int, ...], step: int = 5, opening: int = 570) -> DataFrame:
+    """(keys, end, actors_m): distinct actors in the last m minutes before each end of a grid of `step` minutes, for each m.
+
+    Times are microseconds. A window doesn't reach back beyond the session of its end: a day has one up to minute `opening`, which may end
+    there, and one after it. A fact counts its actor at the ends after it up to the actor's next fact, the window's width or the session's last end,
+    whichever comes first; so it adds one at the first of these ends and takes one away behind the last, and a
+    running sum over the session's ends has the distinct actors. Work is linear in facts, whatever the widths. Ends of
+    which the longest window holds nobody have no row.
+    """
+    unit, day = step * 60_000_000, 86_400_000_000
+    facts = rows.select(*keys, F.col(time).alias("t"), F.col(actor).alias("actor")).where("t is not null and actor is not null").distinct()
+    start = F.expr(f"t - pmod(t, {day})")
+    early = F.expr(f"pmod(t, {day}) < {opening * 60_000_000}")
+    facts = facts.withColumns({"open": F.when(early, start).otherwise(start + opening * 60_000_000), "last": F.when(early, start + opening * 60_000_000).otherwise(start + day - unit)})
+    facts = facts.withColumn("next", F.lead("t").over(Window.partitionBy(*keys, "actor").orderBy("t")))
+    floor = lambda c: c - F.pmod(c, F.lit(unit))
+    first = floor(F.col("t")) + unit
+    ends = [(m, floor(F.least("next", F.col("t") + m * 60_000_000, "last"))) for m in minutes]
+    steps = F.flatten(F.array(*[F.when(end >= first, F.array(F.struct(F.lit(m).alias("m"), first.alias("end"), F.lit(1).alias("by")), F.struct(F.lit(m).alias("m"), (end + unit).alias("end"), F.lit(-1).alias("by")))).otherwise(F.array().cast("array<struct<m:int,end:bigint,by:int>>")) for m, end in ends]))
+    changes = facts.select(*keys, "open", "last", F.explode(steps).alias("x")).groupBy(*keys, "open", "last", F.col("x.end").alias("end")).agg(*[F.sum(F.when(F.col("x.m") == m, F.col("x.by")).otherwise(0)).alias(f"by_{m}") for m in minutes])
+    session = Window.partitionBy(*keys, "open").orderBy("end")
+    held = changes.withColumns({f"actors_{m}": F.sum(f"by_{m}").over(session.rowsBetween(Window.unboundedPreceding, 0)) for m in minutes} | {"until": F.coalesce(F.lead("end").over(session), F.col("last") + unit)})
+    held = held.where((F.col(f"actors_{max(minutes)}") > 0) & (F.col("until") > F.col("end")))
+    return held.select(*keys, F.explode(F.sequence(F.col("end"), F.col("until") - unit, F.lit(unit))).alias("end"), *[f"actors_{m}" for m in minutes])
+
+
 def first_seen(rows: DataFrame, keys: list[str], actor: str, time: str) -> DataFrame:
     return rows.groupBy(*keys, actor).agg(F.min(time).alias("first"))
 

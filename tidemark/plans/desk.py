@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,14 +169,18 @@ def coattention(spark: SparkSession, d: str) -> DataFrame:
     return graph.with_onset_lag(market.pairs_of(spark, d, 30), onset, "object_id", "onset", 60)
 
 
-def _fanned(spark: SparkSession, d: str, results: str):
-    """The events as a stream of a file a batch, appended and counted by source as they come."""
+def _fanned(spark: SparkSession, d: str, results: str, files_: int = 4, every: str | None = None, name: str | None = None):
+    """The events as a stream of a file a batch, appended and counted by source as they come. `every`: run at that interval until nothing is left."""
     inbox = files.scratch(spark, "fan-inbox")
     rows = events(spark, d).select("event_id", "source", "us")
-    rows.repartitionByRange(4, "event_id").write.parquet(inbox)
+    rows.repartitionByRange(files_, "event_id").write.parquet(inbox)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    query = windows.fanned_out(stream, files.scratch(spark, "fan-raw"), lambda b: b.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us")), results, files.scratch(spark, "fan-log"))
-    query.awaitTermination()
+    query = windows.fanned_out(stream, files.scratch(spark, "fan-raw"), lambda b: b.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us")), results, files.scratch(spark, "fan-log"), every, name)
+    if every:
+        query.processAllAvailable()
+        query.stop()
+    else:
+        query.awaitTermination()
     return query
 
 
@@ -188,9 +194,22 @@ def stream_fanout(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(count(*) AS BIGINT) AS rows FROM events")
 def stream_progress(spark: SparkSession, d: str) -> DataFrame:
-    """What the batches of a stream report of themselves: all rows, each once."""
-    query = _fanned(spark, d, files.scratch(spark, "fan-results"))
-    return windows.progress(spark, query).agg(F.sum("rows").alias("rows"))
+    """A query that runs every tenth of a second, a file a batch; a listener keeps what all its batches report: all rows, each once."""
+    return reported(spark, d, 12).agg(F.sum("rows").alias("rows"))
+
+
+def reported(spark: SparkSession, d: str, batches: int) -> DataFrame:
+    kept, name = files.scratch(spark, "progress"), f"fanned-{uuid.uuid4().hex}"
+    listener = windows.Progress(spark, kept, name)
+    spark.streams.addListener(listener)
+    try:
+        _fanned(spark, d, files.scratch(spark, "fan-results"), batches, "100 milliseconds", name)
+        # Reports reach the listener after the batches' end.
+        if not listener.done.wait(60):
+            raise TimeoutError("the query's end was not reported")
+    finally:
+        spark.streams.removeListener(listener)
+    return windows.progress(spark, kept)
 
 
 @query(f"""SELECT s_suppkey AS source, s_suppkey % 7 AS failures, CAST({AS_OF} + (s_suppkey % 5 + 1) * {3 * MINUTE} * least(power(2, s_suppkey % 7), 8) AS BIGINT) AS next_us FROM supplier""")

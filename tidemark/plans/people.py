@@ -33,6 +33,17 @@ def rolling_actors(spark: SparkSession, d: str) -> DataFrame:
     return A.rolling_actors(e.select("source", "us", "user_id"), ["source"], "us", "user_id", ends, "end_us", (15, 30, 60))
 
 
+_FIVE, _OPEN = 5 * _MIN, 570 * _MIN
+
+
+@query(f"""WITH {EV}, w AS (SELECT source, user_id, us, (us // {_FIVE} + k) * {_FIVE} AS end_us FROM ev, range(1, 13) r(k)),
+o AS (SELECT *, end_us - end_us % {DAY} + CASE WHEN end_us % {DAY} > {_OPEN} THEN {_OPEN} ELSE 0 END AS open_us FROM w)
+SELECT source, end_us, {", ".join(f"count(DISTINCT CASE WHEN us >= end_us - {m * _MIN} THEN user_id END) AS actors_{m}" for m in (15, 30, 60))} FROM o WHERE us >= greatest(end_us - {60 * _MIN}, open_us) GROUP BY 1, 2""")
+def sliding_actors(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct actors every five minutes in the last 15, 30 and 60 minutes, not beyond the session's open; linear in facts."""
+    return A.sliding_actors(events(spark, d), ["source"], "us", "user_id", (15, 30, 60)).withColumnRenamed("end", "end_us")
+
+
 @query(f"""WITH {EV}, f AS (SELECT source, day, user_id, min(us // {HOUR}) AS tick FROM ev GROUP BY 1, 2, 3), n AS (SELECT source, day, tick, count(*) AS new_actors FROM f GROUP BY 1, 2, 3)
 SELECT source, day, tick, new_actors, CAST(sum(new_actors) OVER (PARTITION BY source, day ORDER BY tick) AS BIGINT) AS cumulative FROM n""")
 def new_today(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import last_by
 from tidemark.operators import bitemporal as B
+from tidemark.operators import patches as P
 
 from .base import AS_OF, DAY, EV, HOUR, MINUTE, events, micros, registered, table
 
@@ -170,3 +171,23 @@ def semi_join_scope(spark: SparkSession, d: str) -> DataFrame:
     asia = table(spark, d, "nation").join(table(spark, d, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"))
     done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(asia, "c_nationkey", "left_semi").join(done, "c_custkey", "left_semi").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_STATE = [("name", "$.name", "string", "VARCHAR"), *[(k, f"$.stats.{k}", "double", "DOUBLE") for k in _KINDS], ("last", "$.deep.a.last", "bigint", "BIGINT"), ("flag", "$.flag", "boolean", "BOOLEAN")]
+_PATCH_SQL = """'{"name":"' || source || '","stats":{"' || source || '":' || CASE WHEN event_id % 7 = 0 THEN 'null' ELSE CAST(v AS VARCHAR) END || '},"deep":{"a":{"last":' || (user_id // 10) || '}},"flag":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE 'true' END || '}'"""
+
+
+@query(f"""WITH {EV}, l AS (SELECT object_id, list({_PATCH_SQL} ORDER BY us, event_id) AS patches, list(event_id ORDER BY us, event_id) AS ids FROM ev GROUP BY 1),
+i AS (SELECT object_id, i, ids[i] AS event_id, CAST(list_reduce(patches[1:i], lambda a, b: CAST(json_merge_patch(a, b) AS VARCHAR), '{{}}') AS JSON) AS doc FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM l)),
+x AS (SELECT object_id, i, event_id, {", ".join(f"CAST(json_extract_string(doc, '{path}') AS {kind}) AS {n}" for n, path, _, kind in _STATE)} FROM i),
+c AS (SELECT *, i = 1 OR (SELECT true) AND ({" OR ".join(f"{n} IS DISTINCT FROM lag({n}) OVER w" for n, *_ in _STATE)}) AS changed FROM x WINDOW w AS (PARTITION BY object_id ORDER BY i))
+SELECT object_id, event_id, CAST(sum(1) OVER (PARTITION BY object_id ORDER BY i) AS BIGINT) AS version, {", ".join(n for n, *_ in _STATE)} FROM c WHERE changed""")
+def merge_patches(spark: SparkSession, d: str) -> DataFrame:
+    """K2 R2: versions of each object's document by patches in order of time; those that change nothing make none."""
+    number = F.when(F.col("event_id") % 7 == 0, "null").otherwise(F.col("v").cast("string"))
+    flag = F.when(F.col("event_id") % 3 == 0, "null").otherwise("true")
+    parts = ['{"name":"', "source", '","stats":{"', "source", '":', number, '},"deep":{"a":{"last":', F.expr("cast(user_id div 10 as string)"), '}},"flag":', flag, "}"]
+    patch = F.concat(*[F.lit(p) if isinstance(p, str) and p != "source" else p for p in parts])
+    made = P.versions(events(spark, d).withColumn("patch", patch), "object_id", ["us", "event_id"], "patch")
+    return made.select("object_id", "event_id", "version", *[F.expr(f"try_variant_get(document, '{path}', '{kind}')").alias(n) for n, path, kind, _ in _STATE])

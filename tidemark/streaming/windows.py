@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.files import scratch
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+PROGRESS = "run string, batch long, rows long, seconds double"
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
@@ -80,7 +83,7 @@ def ingest(spark: SparkSession, folder: str, schema, table: str, key: str) -> in
     return spark.read.parquet(table).count()
 
 
-def fanned_out(stream: DataFrame, raw: str, analyse: Callable[[DataFrame], DataFrame], results: str, log: str, every: str | None = None):
+def fanned_out(stream: DataFrame, raw: str, analyse: Callable[[DataFrame], DataFrame], results: str, log: str, every: str | None = None, name: str | None = None):
     """Each batch is appended to `raw` and, once that is done, analysed; both tables carry the batch's number, so a batch that is
     run again replaces its own rows. `every`: a processing interval such as '300 seconds'; None takes what is there and ends."""
 
@@ -91,10 +94,46 @@ def fanned_out(stream: DataFrame, raw: str, analyse: Callable[[DataFrame], DataF
         analyse(stored).write.mode("overwrite").parquet(f"{results}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", log)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def progress(spark: SparkSession, query) -> DataFrame:
-    """(batch, rows, seconds) of a query's batches that it remembers: what a status page shows."""
-    done = [(int(p["batchId"]), int(p["numInputRows"]), float(p["durationMs"].get("triggerExecution", 0)) / 1000) for p in query.recentProgress if p["numInputRows"]]
-    return spark.createDataFrame(done, "batch long, rows long, seconds double")
+class Progress(StreamingQueryListener):
+    """Writes what each batch of one query reports to a table, so that nothing is forgotten however long it runs. Rows are held for at most
+    `held` batches, and written when the query ends; `done` is set then."""
+
+    def __init__(self, spark: SparkSession, table: str, name: str, held: int = 20) -> None:
+        self.spark, self.table, self.name, self.most = spark, table, name, held
+        self.rows: list[tuple] = []
+        self.ids: set[str] = set()
+        self.done = threading.Event()
+
+    def _write(self) -> None:
+        if self.rows:
+            self.spark.createDataFrame(self.rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.table)
+            self.rows = []
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.ids.add(str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name == self.name and p.numInputRows:
+            self.rows.append((str(p.runId), int(p.batchId), int(p.numInputRows), float(p.durationMs.get("triggerExecution", 0)) / 1000))
+            if len(self.rows) >= self.most:
+                self._write()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) in self.ids:
+            self._write()
+            self.done.set()
+
+
+def progress(spark: SparkSession, table: str) -> DataFrame:
+    """(batch, rows, seconds) of all batches that a `Progress` wrote; of a batch that was run again the last report."""
+    rows = spark.read.schema(PROGRESS).parquet(table)
+    return rows.groupBy("batch").agg(F.max_by("rows", "seconds").alias("rows"), F.max("seconds").alias("seconds"))
