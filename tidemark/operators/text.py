@@ -126,6 +126,63 @@ def match_terms(docs: DataFrame, dictionary: DataFrame, id_column: str, text: st
     return asked.unionByName(bound).groupBy(id_column, "topic").agg(F.sum("hits").alias("hits"))
 
 
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(topic, ancestor) of (topic, parent): parents, their parents and so on; a cycle ends where it began. Paths double in length a round."""
+    paths = parents.where("parent is not null").select("topic", F.col("parent").alias("ancestor")).distinct()
+    n = paths.count()
+    while True:
+        longer = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.topic")).select("a.topic", "b.ancestor")
+        # The taxonomy is small and known rows are kept, so a round doesn't work out the ones before it again.
+        paths = paths.sparkSession.createDataFrame(paths.unionByName(longer).distinct().collect(), paths.schema)
+        if (m := paths.count()) == n:
+            return paths.where("topic <> ancestor")
+        n = m
+
+
+#: Signs of text that are looked at together; the prefix by which terms are looked up.
+STRETCH, PREFIX = 512, 3
+#: Beginnings of terms that are tested in place, before any row is made; of larger dictionaries all places are joined.
+MOST_BEGINS = 2000
+WORD_TERM = r"[a-zA-Z0-9 $/\-]+"
+
+
+def match_anywhere(docs: DataFrame, dictionary: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, topic, how, terms): topics whose terms stand in a text, `explicit` with how many of their terms do, and their ancestors, `implied`, with none.
+
+    dictionary: topic, term, inside, context, parent. Case doesn't count. A term with `inside` may stand anywhere, also within a word or in text without
+    blanks; another one must have no ASCII letter or digit beside it. Null `inside`: whether the term has other signs than ASCII letters, digits, blanks
+    and $/-. A topic with contexts needs one of them in the text too, found in the same way. Terms of one character count as well; empty ones don't.
+
+    The text is cut into stretches that overlap by the longest term; each place whose few next signs begin some term is joined to the terms of
+    that beginning and compared. The table of terms is broadcast by Spark where its size allows; it is never a product of texts and terms.
+    """
+    inside = F.coalesce("inside", ~F.col("term").rlike(f"^{WORD_TERM}$"))
+    terms = dictionary.where("term <> ''").select("topic", F.lower("term").alias("term"), inside.alias("inside"), F.lit(False).alias("beside"))
+    beside = dictionary.where("context <> ''").select("topic", F.lower("context").alias("term"), (~F.col("context").rlike(f"^{WORD_TERM}$")).alias("inside"), F.lit(True).alias("beside"))
+    known = terms.unionByName(beside).distinct()
+    size = known.agg(F.min(F.length("term")).alias("least"), F.max(F.length("term")).alias("most")).first()
+    prefix = min(PREFIX, size["least"] or 1)
+    known = known.withColumn("prefix", F.substring("term", 1, prefix))
+    # A sign before each stretch and after its longest term, to see what stands beside.
+    window = STRETCH + 1 + (size["most"] or 1)
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), F.lit(rf"(?s)(?=(.{{1,{window + 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+    stretches = docs.select(id_column, F.explode(pieces).alias("s"))
+    begins = known.select("prefix").distinct()
+    places = F.transform(F.sequence(F.lit(2), F.least(F.length("s"), F.lit(STRETCH + 1))), lambda i: F.struct(i.alias("i"), F.substring("s", i, F.lit(prefix)).alias("prefix")))
+    few = begins.limit(MOST_BEGINS + 1).collect()
+    if len(few) <= MOST_BEGINS:
+        places = F.filter(places, lambda x: x["prefix"].isin([r["prefix"] for r in few]))
+    at = stretches.where(F.length("s") >= 2).select(id_column, "s", F.explode(places).alias("x")).select(id_column, "s", "x.i", "x.prefix")
+    size_of = F.length("term")
+    free = ~F.substring("s", F.col("i") - 1, F.lit(1)).rlike("[A-Za-z0-9]") & ~F.substring("s", F.col("i") + size_of, F.lit(1)).rlike("[A-Za-z0-9]")
+    found = at.join(known, "prefix").where((F.substring("s", F.col("i"), size_of) == F.col("term")) & (F.col("inside") | free))
+    found = found.select(id_column, "topic", "term", "beside").distinct().groupBy(id_column, "topic").agg(F.count_if(~F.col("beside")).alias("terms"), F.bool_or("beside").alias("beside"))
+    bound = dictionary.where("context <> ''").select("topic").distinct().withColumn("bound", F.lit(True))
+    explicit = found.join(bound, "topic", "left").where((F.col("terms") > 0) & (F.col("bound").isNull() | F.col("beside"))).select(id_column, "topic", F.lit("explicit").alias("how"), "terms")
+    above = explicit.join(ancestors(dictionary.select("topic", "parent")), "topic").select(id_column, F.col("ancestor").alias("topic"), F.lit("implied").alias("how"), F.lit(0).cast("long").alias("terms"))
+    return explicit.unionByName(above).groupBy(id_column, "topic").agg(F.min("how").alias("how"), F.max("terms").alias("terms"))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

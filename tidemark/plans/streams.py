@@ -103,3 +103,30 @@ def paged_searches(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.sources import paged
 
     return paged.coverage(paged.searches(spark, chains_by_source(spark, d, _PAGE), _first_tokens(spark, d, _PAGE), 3))
+
+
+@query("""WITH p AS (SELECT *, event_id % 4 AS file FROM events)
+SELECT poll, files, CAST(n AS BIGINT) AS n FROM (SELECT 1 AS poll, 2 AS files, count(*) FILTER (WHERE file < 2) AS n FROM p UNION ALL SELECT 2, 2, count(*) FILTER (WHERE file >= 2) FROM p)""")
+def fingerprint_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """A folder polled three times: two files; one rewritten under its name with more rows and one new; the same bytes again, which are not read."""
+    folder, out, ledger = (files.scratch(spark, n) for n in ("watched", "watched-rows", "watched-ledger"))
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("source"), (F.col("event_id") % 4).alias("file"))
+
+    def put(name: str, rows: DataFrame) -> None:
+        """One file of that name."""
+        files.put_file(rows.select(F.to_json(F.struct("event_id", "source")).alias("value")), f"{folder}/{name}")
+
+    def look(number: int) -> None:
+        files.poll(spark, folder, out, ledger, number, "event_id long, source string", "event_id")
+
+    put("a.jsonl", e.where("file = 0"))
+    put("b.jsonl", e.where("file = 1"))
+    look(1)
+    put("a.jsonl", e.where("file in (0, 2)"))
+    put("c.jsonl", e.where("file = 3"))
+    look(2)
+    put("b.jsonl", e.where("file = 1"))
+    look(3)
+    rows = spark.read.parquet(out).groupBy("poll").agg(F.count(F.lit(1)).alias("n"))
+    seen = spark.read.parquet(ledger).groupBy("poll").agg(F.count(F.lit(1)).alias("files"))
+    return seen.join(rows, "poll", "full").select(F.col("poll").cast("int").alias("poll"), F.col("files").cast("int").alias("files"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -135,6 +135,29 @@ def term_match_join(spark: SparkSession, d: str) -> DataFrame:
     return T.match_terms(spread(table(spark, d, "documents")), dictionary, "doc_id", "text")
 
 
+ANYWHERE = [
+    ("nature", "eau", True, None, None), ("nature", "berg", True, None, None), ("time", "stund", True, None, "nature"), ("speech", "tion", True, "the", "thought"), ("speech", "ción", True, "una", "thought"),
+    ("article", "the", False, None, "grammar"), ("article", "les", False, None, "grammar"), ("umlaut", "ü", None, None, "sound"), ("sound", "éé", None, None, "speech"), ("thought", "denk", True, None, "grammar"), ("secret", "pass", True, "password", None),
+]
+_ANY = ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in r) + ")" for r in ANYWHERE)
+
+
+def _held(term: str, inside: str) -> str:
+    return f"CASE WHEN {inside} THEN contains(t, {term}) ELSE regexp_matches(t, '(^|[^a-z0-9])' || {term} || '($|[^a-z0-9])') END"
+
+
+@query(f"""WITH RECURSIVE dict(topic, term, inside, context, parent) AS (VALUES {_ANY}), d AS (SELECT doc_id, lower(text) AS t FROM documents UNION ALL SELECT -1 - p_partkey, lower(p_name) FROM part),
+k AS (SELECT *, coalesce(inside, NOT regexp_matches(term, '^[a-zA-Z0-9 $/-]+$')) AS ins FROM dict), hit AS (SELECT DISTINCT doc_id, topic, term FROM d, k WHERE {_held("term", "ins")}), cx AS (SELECT DISTINCT doc_id, topic FROM d, k WHERE context IS NOT NULL AND {_held("context", "false")}),
+x AS (SELECT doc_id, topic, count(*) AS terms FROM hit WHERE topic NOT IN (SELECT topic FROM dict WHERE context IS NOT NULL) OR (doc_id, topic) IN (SELECT (doc_id, topic) FROM cx) GROUP BY 1, 2),
+up(topic, ancestor) AS (SELECT topic, parent FROM dict WHERE parent IS NOT NULL UNION SELECT up.topic, dict.parent FROM up JOIN dict ON dict.topic = up.ancestor WHERE dict.parent IS NOT NULL)
+SELECT doc_id, topic, min(how) AS how, max(terms) AS terms FROM (SELECT doc_id, topic, 'explicit' AS how, terms FROM x UNION ALL SELECT doc_id, ancestor, 'implied', 0 FROM x JOIN up USING (topic) WHERE ancestor <> topic) GROUP BY 1, 2""")
+def term_match_anywhere(spark: SparkSession, d: str) -> DataFrame:
+    """Topics of documents and part names by terms inside words, with contexts and implied ancestors."""
+    dictionary = spark.createDataFrame(ANYWHERE, "topic string, term string, inside boolean, context string, parent string")
+    texts = spread(table(spark, d, "documents")).select("doc_id", "text").unionByName(table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("doc_id"), F.col("p_name").alias("text")))
+    return T.match_anywhere(texts, dictionary, "doc_id", "text")
+
+
 #: Announcements beside each document's text: the fixture's own texts have none.
 NOTES = (
     "公司签订合同，金额1,250亿元；否认财务造假",

@@ -97,3 +97,49 @@ def append_new(batch: DataFrame, path: str, key: str, schema: str) -> None:
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+LEDGER = "name string, digest string, poll long"
+
+
+def fresh_files(spark: SparkSession, folder: str, ledger: str) -> DataFrame:
+    """(name, digest, content): files of the folder whose name and content the ledger doesn't have together.
+
+    Contents are hashed where they are read, so a file rewritten under its name is new, whatever its time and length, and one that was only touched
+    is not. A file is one row, so it must fit in a task.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = found.select(F.col("path").alias("name"), F.sha2("content", 256).alias("digest"), "content")
+    return found.join(spark.read.schema(LEDGER).parquet(ledger), ["name", "digest"], "left_anti") if _exists(spark, ledger) else found
+
+
+def poll(spark: SparkSession, folder: str, table: str, ledger: str, number: int, schema: str, key: str) -> None:
+    """Appends the JSON lines of fresh files where their key is new, then notes the files. A poll that dies between the two is safe to repeat:
+    its rows' keys are no longer new. Lines that are no JSON give no row;
+    rows of one key in one poll count once."""
+    from tidemark.operators.bitemporal import first_wins
+
+    files = fresh_files(spark, folder, ledger)
+    # Read once, and kept while both tables are written.
+    kept = scratch(spark, "fresh")
+    files.write.parquet(kept)
+    fresh = spark.read.schema(files.schema).parquet(kept)
+    lines = fresh.select("name", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("place", "line")).where("trim(line) <> ''")
+    rows = lines.select(F.struct("name", "place").alias("at"), F.from_json("line", schema).alias("r")).where(F.col(f"r.{key}").isNotNull())
+    rows = rows.groupBy(f"r.{key}").agg(F.min_by("r", "at").alias("r")).select("r.*", F.lit(number).cast("long").alias("poll"))
+    stored = spark.read.schema(rows.schema).parquet(table) if _exists(spark, table) else None
+    first_wins(rows, stored, key, *[c for c in rows.columns if c != key][:1]).write.mode("append").parquet(table)
+    fresh.select("name", "digest", F.lit(number).cast("long").alias("poll")).write.mode("append").parquet(ledger)
+
+
+def put_file(lines: DataFrame, path: str) -> None:
+    """Text rows, sorted, as one file of that name, which replaces one that is there. For what has to be one file: all rows go through one task."""
+    spark = lines.sparkSession
+    part = f"{path}.parts"
+    lines.coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(part)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = next(f.getPath() for f in store.listStatus(hadoop.Path(part)) if f.getPath().getName().startswith("part-"))
+    store.delete(hadoop.Path(path), False)
+    store.rename(made, hadoop.Path(path))
+    store.delete(hadoop.Path(part), True)
