@@ -99,3 +99,35 @@ def test_searches_stop_at_their_bound(spark, tmp_path):
     path = pages_of(tmp_path / "pages", [("a1", [1, 2], "a2"), ("a2", [3], "a3"), ("a3", [], "a4"), ("a4", [9], None), ("b1", [5], None), ("c1", [], None)])
     got = {r["search"]: (r["pages"], r["records"], r["complete"]) for r in paged.coverage(paged.searches(spark, path, {"a": "a1", "b": "b1", "c": "c1"}, 3)).collect()}
     assert got == {"a": (3, 3, False), "b": (1, 1, True), "c": (1, 0, True)}
+
+
+def test_a_rewritten_file_is_read_again_and_a_touched_one_is_not(spark, tmp_path):
+    folder, out, ledger = (f"file://{tmp_path}/{n}" for n in ("in", "out", "ledger"))
+    (tmp_path / "in").mkdir()
+
+    def put(name, ids):
+        (tmp_path / "in" / name).write_text("".join(json.dumps({"id": i, "v": f"{name}{i}"}) + "\n" for i in ids) + "\n no json\n")
+
+    def poll(k):
+        files.poll(spark, folder, out, ledger, k, "id long, v string", "id")
+        return sorted((r["id"], r["v"], r["poll"]) for r in spark.read.parquet(out).collect()), spark.read.parquet(ledger).where(f"poll = {k}").count()
+
+    put("a", [1, 2])
+    put("b", [2, 3])
+    rows, read = poll(1)
+    assert (rows, read) == ([(1, "a1", 1), (2, "a2", 1), (3, "b3", 1)], 2)
+    put("b", [3, 4])  # the same length, other content
+    (tmp_path / "in" / "a").touch()
+    rows, read = poll(2)
+    assert (rows[3:], read) == ([(4, "b4", 2)], 1)
+    put("b", [2, 3])  # as it once was: known; an empty file is none
+    (tmp_path / "in" / "c").write_text("")
+    assert poll(3) == (rows, 0)
+
+
+def test_every_batch_is_reported(spark, data):
+    from tidemark.plans import desk
+
+    got = desk.reported(spark, data, 110).collect()
+    assert len(got) == 110 and sum(r["rows"] for r in got) == spark.read.parquet(f"{data}/events.parquet").count()
+    assert all(r["seconds"] > 0 for r in got)
