@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,37 @@ def comentions(rows: DataFrame, fact: list[str], family: str, member: str, most:
     return once.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("families")))).cast("long").alias("families"))
 
 
+def strongest_pairs(rows: DataFrame, fact: list[str], member: str, k: int, keep: Callable[[DataFrame], DataFrame], first: int = 64) -> tuple[DataFrame, int]:
+    """((a, b, n) of the k pairs that share most facts, a < b, ties by a, then b; the number of pair rows that were made for it).
+
+    A pair shares no more facts than its rarer member has. Members are taken by falling support, twice as many a round, and only pairs that a new member is
+    in are counted; once the next member's support is below the k-th pair's count, no other pair can reach it. All members of a record count,
+    however many. `keep` writes a round's rows. The driver holds how many members have each support, not the members.
+    """
+    r = rows.select(*[F.col(c).alias(f"f{i}") for i, c in enumerate(fact)], F.col(member).alias("m")).where("m is not null").distinct()
+    on = [f"f{i}" for i in range(len(fact))]
+    support = keep(r.groupBy("m").agg(F.count(F.lit(1)).alias("support")))
+    counts = [(x["support"], x["n"]) for x in support.groupBy("support").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("support")).collect()]
+    held = keep(r.join(support, "m"))
+    best, made, above, least, wanted, taken, kth = None, 0, None, None, first, 0, 0
+    while counts and counts[0][0] >= max(kth, 1):
+        # Whole levels of support, until enough members are in.
+        while counts and taken < wanted and counts[0][0] >= max(kth, 1):
+            least, n = counts.pop(0)
+            taken += n
+        inside = held.where(F.col("support") >= least)
+        new = F.lit(True) if above is None else (F.col("sa") < above) | (F.col("sb") < above)
+        x, y = (inside.select(*on, F.col("m").alias(c), F.col("support").alias(f"s{c}")) for c in "ab")
+        pairs = keep(x.join(y, on).where("a < b").where(new).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+        made += pairs.agg(F.sum("n")).first()[0] or 0
+        both = pairs if best is None else best.unionByName(pairs)
+        best = keep(both.orderBy(F.desc("n"), "a", "b").limit(k))
+        size = best.agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).first()
+        kth = size["n"] if size["c"] == k else 0
+        above, wanted = least, 2 * taken
+    return (best if best is not None else r.select(F.col("m").alias("a"), F.col("m").alias("b"), F.lit(0).cast("long").alias("n")).limit(0)), made
+
+
 def with_onset_lag(pairs: DataFrame, onsets: DataFrame, member: str, onset: str, minutes: int) -> DataFrame:
     """Adds lag_minutes, from a's onset to b's in units of `minutes`, and first_seen, the one that began; null where one has no onset."""
     side = lambda x: onsets.select(F.col(member).alias(x), F.col(onset).alias(f"{onset}_{x}"))

@@ -126,6 +126,16 @@ def top_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of(spark, d, 30).orderBy(F.desc("n"), "a", "b").limit(100)
 
 
+_ALL_PAIRS = PAIR_SQL.replace(" WHERE a.place <= 30 AND b.place <= 30", "")
+
+
+@query(f"WITH {_ALL_PAIRS}, r2 AS (SELECT a.object_id AS a, b.object_id AS b, count(*) AS n FROM q a JOIN q b ON a.user_id = b.user_id AND a.day = b.day AND a.source = b.source AND a.object_id < b.object_id GROUP BY 1, 2) SELECT a, b, n FROM r2 ORDER BY n DESC, a, b LIMIT 2000")
+def strongest_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """L4: the two thousand strongest pairs over all members of records, without listing all pairs; the limit is the graph's size. A fact is what an actor
+    touches on a day through one source."""
+    return graph.strongest_pairs(events(spark, d), ["user_id", "day", "source"], "object_id", 2000, lambda x: files.kept(x, "pairs"))[0]
+
+
 PRICE_SQL = """px AS (SELECT p_brand AS oid, l_returnflag AS src, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 ch AS (SELECT oid, day, arg_max(price, CASE src WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) AS price, max(CASE src WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) AS priority FROM px GROUP BY 1, 2)"""
 

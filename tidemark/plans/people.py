@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import average_rank, midrank, set_hash
+from tidemark.operators import lifecycle
 from tidemark.operators import actors as A
 from tidemark.operators import asof, bitemporal, ranking
 from tidemark.operators import series as S
@@ -164,6 +165,36 @@ def episode_continuity(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("source", "user_id", F.col("run").alias("episode")).agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"))
 
 
+_BANDS = "CASE WHEN errors * 3 >= n AND errors >= 2 THEN 'risk' WHEN n >= 7 THEN 'confirmed' WHEN n >= 4 THEN 'discovery' WHEN n = 1 THEN 'insufficient' ELSE 'monitor' END"
+_STAGES = "CASE WHEN n >= 9 THEN 'high_heat' WHEN n > coalesce(n_before, 0) AND n_before IS NULL THEN 'newborn' WHEN n > n_before THEN 'warming' WHEN purchases >= 2 THEN 'information_new' ELSE 'stable' END"
+
+
+@query(f"""WITH {EV}, g0 AS (SELECT object_id, day, count(*) AS n, count(*) FILTER (WHERE source = 'error') AS errors, count(*) FILTER (WHERE source = 'purchase') AS purchases, count(DISTINCT source) AS observed, max(us) AS evidence FROM ev GROUP BY 1, 2),
+p AS (SELECT object_id, day, list(DISTINCT user_id) AS pool FROM ev GROUP BY 1, 2), wm AS (SELECT object_id, day, count(*) AS warm FROM (SELECT object_id, day, source FROM ev GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2),
+g1 AS (SELECT g0.*, pool, coalesce(warm, 0) AS warm, day // 5 AS version, (day + 1) * {DAY} AS at_us, lag(n) OVER (PARTITION BY object_id ORDER BY day) AS n_before FROM g0 JOIN p USING (object_id, day) LEFT JOIN wm USING (object_id, day)),
+g2 AS (SELECT *, {_BANDS} AS band0, {_STAGES} AS stage0 FROM g1), g3 AS (SELECT *, band0 <> 'risk' AND observed >= 3 AND observed / 5 >= 0.6::DOUBLE AND warm >= 3 AND warm / observed >= 0.3::DOUBLE AS spreads FROM g2),
+g4 AS (SELECT *, CASE WHEN spreads THEN 'discovery' ELSE band0 END AS band, CASE WHEN spreads THEN 'diffusing' ELSE stage0 END AS stage FROM g3),
+r AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY at_us) AS i FROM g4),
+f AS (SELECT a.*, b.stage AS previous_stage, a.band IN ('discovery', 'confirmed') AS active, coalesce(a.band IN ('discovery', 'confirmed') AND b.band IN ('discovery', 'confirmed') AND a.at_us - b.evidence <= {2 * DAY}, false) AS same_episode,
+  b.version IS NOT NULL AND b.version = a.version AS comparable, len(list_filter(a.pool, lambda x: NOT list_contains(b.pool, x))) AS e, len(list_filter(b.pool, lambda x: NOT list_contains(a.pool, x))) AS x, len(list_filter(a.pool, lambda x: list_contains(b.pool, x))) AS k FROM r a LEFT JOIN r b ON a.object_id = b.object_id AND b.i = a.i - 1),
+o AS (SELECT f.object_id, f.i, min(z.at_us) AS earliest FROM f JOIN f z ON z.object_id = f.object_id AND z.i < f.i AND z.active GROUP BY 1, 2),
+h AS (SELECT f.*, earliest, active AND NOT same_episode AS begins FROM f LEFT JOIN o USING (object_id, i))
+SELECT object_id, day, CASE WHEN active THEN (SELECT max(z.at_us) FROM h z WHERE z.object_id = h.object_id AND z.i <= h.i AND z.begins) END AS first_detected, CASE WHEN active THEN (SELECT count(*) FROM h z WHERE z.object_id = h.object_id AND z.i <= h.i AND z.begins) END AS episode, same_episode, previous_stage, stage IS DISTINCT FROM previous_stage AS transition,
+CASE WHEN spreads THEN 'diffusing' WHEN begins AND coalesce(earliest < at_us - {3 * DAY}, false) THEN 'returning' WHEN band = 'risk' THEN 'risk' WHEN stage = 'newborn' THEN 'newborn' WHEN stage = 'high_heat' THEN 'sustained' WHEN stage = 'warming' THEN 'warming' WHEN stage = 'information_new' THEN 'information' WHEN band = 'insufficient' THEN 'insufficient' ELSE 'monitor' END AS "group",
+comparable, CASE WHEN comparable THEN e END AS entered, CASE WHEN comparable THEN x END AS departed, CASE WHEN comparable THEN k END AS retained FROM h""")
+def selection_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Daily runs over all objects: episodes carried on within two days, groups, overrides by pools that spread, pools against the run before."""
+    e = events(spark, d)
+    runs = e.groupBy("object_id", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "error").alias("errors"), F.count_if(F.col("source") == "purchase").alias("purchases"), F.count_distinct("source").alias("observed"), F.max("us").alias("evidence"))
+    pools = e.select("object_id", "day", "user_id").distinct().groupBy("object_id", "day").agg(F.collect_list("user_id").alias("pool"))
+    warm = e.groupBy("object_id", "day", "source").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").groupBy("object_id", "day").agg(F.count(F.lit(1)).alias("warm"))
+    runs = runs.join(pools, ["object_id", "day"]).join(warm, ["object_id", "day"], "left").withColumns({"warm": F.coalesce("warm", F.lit(0)), "version": F.expr("day div 5"), "at_us": (F.col("day") + 1) * DAY})
+    runs = runs.withColumn("n_before", F.lag("n").over(Window.partitionBy("object_id").orderBy("day"))).withColumns({"band": F.expr(_BANDS), "stage": F.expr(_STAGES)})
+    runs = lifecycle.diffusing(runs, F.col("observed"), F.lit(5), F.col("warm"))
+    runs = lifecycle.pool_changes(lifecycle.followed(runs, "object_id", "at_us", "evidence", 2 * DAY, 3 * DAY), "object_id", "at_us", "pool", "version")
+    return runs.select("object_id", "day", "first_detected", "episode", "same_episode", "previous_stage", "transition", "group", "comparable", "entered", "departed", "retained")
+
+
 FEATURES_SQL = f"""f0 AS (SELECT source AS family, object_id, count(*) FILTER (WHERE day >= {AS_OF // DAY - 3} AND day < {AS_OF // DAY}) AS v, count(*) FILTER (WHERE day >= {AS_OF // DAY - 6} AND day < {AS_OF // DAY - 3}) AS p, count(DISTINCT user_id) AS actors FROM ev WHERE obs_us <= {AS_OF} GROUP BY 1, 2),
 f1 AS (SELECT *, ln((v + 1) / (p + 1)::DOUBLE) AS growth, median(ln((v + 1) / (p + 1)::DOUBLE)) OVER (PARTITION BY family) AS common,
 ln(((v + 1) / (sum(v) OVER (PARTITION BY family) + count(*) OVER (PARTITION BY family))::DOUBLE) / ((p + 1) / (sum(p) OVER (PARTITION BY family) + count(*) OVER (PARTITION BY family))::DOUBLE)) AS share_change FROM f0),

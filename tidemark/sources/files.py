@@ -143,3 +143,10 @@ def put_file(lines: DataFrame, path: str) -> None:
     store.delete(hadoop.Path(path), False)
     store.rename(made, hadoop.Path(path))
     store.delete(hadoop.Path(part), True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder; plans that go on begin there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
