@@ -37,6 +37,35 @@ def test_lambdas_point_up_the_ndcg():
     assert learn._lambdas(score, np.zeros(4)).tolist() == [0, 0, 0, 0]
 
 
+def test_lambdas_in_blocks_and_of_the_top(spark):
+    rng = np.random.default_rng(2)
+    score, grade = rng.normal(size=300).round(1), rng.integers(0, 5, 300).astype(float)
+    whole = learn._lambdas(score, grade, 300, 300)
+    assert learn._lambdas(score, grade, 1000, 7) == pytest.approx(whole)
+    few = learn._lambdas(score, grade, 20, 8)
+    assert few.sum() == pytest.approx(0) and not few == pytest.approx(whole)
+    large = rng.normal(size=200_000)
+    assert abs(learn._lambdas(large, (large > 1).astype(float), 200).sum()) < 1e-6
+
+
+def test_weights_and_missing_values(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(day), None if rng.random() < 0.2 else float(x), float(x * (1 if day else -1) + rng.normal() * 0.1)) for day in range(2) for x in rng.normal(size=20 + 300 * day)]
+    df = learn.by_day(spark.createDataFrame(rows, "day int, a double, y double"), "day", "w")
+    assert df.agg(F.sum("w")).first()[0] == pytest.approx(len(rows))
+    assert {r[0] for r in df.groupBy("day").agg(F.round(F.sum("w"), 6)).select("round(sum(w), 6)").collect()} == {len(rows) / 2}
+    z = learn.standardised(df, ["a"]).toPandas()
+    values = np.array([r[1] for r in rows if r[1] is not None])
+    assert z["missing_a"].sum() == len(rows) - len(values)
+    low, mid, high = np.quantile(values, [0.01, 0.5, 0.99])
+    filled = np.where(z["a"].isna(), mid, np.clip(z["a"].fillna(0), low, high))
+    assert z["z_a"].to_numpy() == pytest.approx((filled - filled.mean()) / filled.std())
+    x, w, y = np.column_stack([z["z_a"], np.ones(len(z))]), z["w"].to_numpy(), z["y"].to_numpy()
+    want = np.linalg.solve(x.T @ (w[:, None] * x) + np.diag([1.0, 0]), x.T @ (w * y))
+    got = {r["feature"]: r["coefficient"] for r in learn.ridge(spark, df, ["a"], "y", 1.0, "w").collect()}
+    assert (got["a"], got["intercept"]) == pytest.approx(tuple(want), rel=1e-3, abs=1e-4)
+
+
 def test_pairwise_ranker(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(12, 30, 2))

@@ -85,8 +85,17 @@ def overlap(pools: DataFrame, key: str, member: str, least: float) -> DataFrame:
     return both.select("a", "b", "both", union.alias("union"), (F.col("both").cast("double") / union).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def retention(rows: DataFrame, actor: str, day: str, horizon: int) -> DataFrame:
-    """(cohort, offset, actors): of those first seen on a day, how many are back each of the next days."""
-    days = rows.select(actor, day).distinct()
-    w = Window.partitionBy(actor)
-    return days.withColumn("cohort", F.min(day).over(w)).withColumn("offset", F.col(day) - F.col("cohort")).where(F.col("offset") <= horizon).groupBy("cohort", "offset").agg(F.count(F.lit(1)).alias("actors"))
+def retention(rows: DataFrame, keys: list[str], actor: str, day: str, horizon: int, covered: DataFrame) -> DataFrame:
+    """(keys, cohort, offset, size, actors): of those first seen on a covered day, how many are back on each of the next days.
+
+    covered: (keys, day) of the days that were observed in full. A cohort of another day is unknown and has no rows; `actors` is null where
+    the later day wasn't covered, and 0 where it was and nobody came.
+    """
+    days = rows.select(*keys, actor, day).distinct()
+    days = days.withColumn("cohort", F.min(day).over(Window.partitionBy(*keys, actor)))
+    back = days.withColumn("offset", F.col(day) - F.col("cohort")).where(F.col("offset") <= horizon).groupBy(*keys, "cohort", "offset").agg(F.count(F.lit(1)).alias("actors"))
+    sizes = back.where("offset = 0").select(*keys, "cohort", F.col("actors").alias("size"))
+    known = covered.select(*keys, day).distinct()
+    whole = sizes.join(known.withColumnRenamed(day, "cohort"), [*keys, "cohort"]).withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(horizon).cast("long"))))
+    seen = whole.join(back, [*keys, "cohort", "offset"], "left").withColumn(day, F.col("cohort") + F.col("offset")).join(known.withColumn("known", F.lit(True)), [*keys, day], "left")
+    return seen.select(*keys, "cohort", "offset", "size", F.when(F.col("known"), F.coalesce("actors", F.lit(0))).alias("actors"))

@@ -47,7 +47,7 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], bins: int = 64)
     approximate edges; only the bins that hold a wanted place are ordered, each in
     a task of its own. The driver sees one row a bin and two a quantile.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     edges = counts.approxQuantile("x", [k / bins for k in range(1, bins)], 0.25 / bins)
     if not edges:
         return [None] * len(shares)
@@ -76,12 +76,17 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], bins: int = 64)
 
 
 def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds z_<column>: clipped to the first and last per cent, then by mean and population deviation."""
-    q = {c: quantiles(rows, c, [0.01, 0.99]) for c in columns}
-    w = rows.select("*", *[F.least(F.greatest(c, F.lit(q[c][0])), F.lit(q[c][1])).alias(f"__w_{c}") for c in columns])
+    """Adds z_<column>: missing values by the median, clipped to the first and last per cent, then by mean and population deviation; and
+    missing_<column>, 1.0 where the value was null or not finite. A column without any value is 0 throughout."""
+    unknown = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    marked = rows.select("*", *[unknown(c).alias(f"missing_{c}") for c in columns])
+    q = {c: [x or 0.0 for x in quantiles(marked.where(~F.col(f"missing_{c}")), c, [0.01, 0.5, 0.99])] for c in columns}
+    filled = lambda c: F.when(F.col(f"missing_{c}"), F.lit(q[c][1])).otherwise(F.least(F.greatest(c, F.lit(q[c][0])), F.lit(q[c][2])))
+    w = marked.select("*", *[filled(c).alias(f"__w_{c}") for c in columns])
     m = w.agg(*[F.avg(f"__w_{c}").alias(f"__m_{c}") for c in columns], *[F.stddev_pop(f"__w_{c}").alias(f"__s_{c}") for c in columns])
     z = w.crossJoin(F.broadcast(m))
-    return z.select(*rows.columns, *[((F.col(f"__w_{c}") - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") < 1e-8, 1.0).otherwise(F.col(f"__s_{c}"))).alias(f"z_{c}") for c in columns])
+    scaled = [((F.col(f"__w_{c}") - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") < 1e-8, 1.0).otherwise(F.col(f"__s_{c}"))).alias(f"z_{c}") for c in columns]
+    return z.select(*rows.columns, *scaled, *[F.col(f"missing_{c}").cast("double").alias(f"missing_{c}") for c in columns])
 
 
 def daily_metrics(rows: DataFrame, day: str, id_column: str, p: str, value: str, y: str, k: int) -> DataFrame:
@@ -89,8 +94,9 @@ def daily_metrics(rows: DataFrame, day: str, id_column: str, p: str, value: str,
     r = rows.withColumn("rp", average_rank(F.col(p), day)).withColumn("rv", average_rank(F.col(value), day)).withColumn("place", F.row_number().over(w.orderBy(F.desc(p), id_column))).withColumn("ideal", F.row_number().over(w.orderBy(F.desc(y), id_column)))
     gain = lambda at: F.sum(F.when(F.col(at) <= k, F.col(y) / F.log2(F.col(at) + 1.0)).otherwise(0.0))
     top = F.col("place") <= k
+    hits = F.sum(F.when(top, F.col(y)))
     return r.groupBy(day).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("rp", "rv").alias("rank_ic"), F.avg(F.when(top, F.col(value))).alias("top_mean"), (F.sum(F.when(top, F.col(y))).cast("double") / k).alias("top_rate"), F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"), F.when(F.sum(y) > 0, gain("place") / gain("ideal")).alias("ndcg")
+        F.count(F.lit(1)).alias("n"), F.corr("rp", "rv").alias("rank_ic"), F.avg(F.when(top, F.col(value))).alias("top_mean"), (F.sum(F.when(top, F.col(y))).cast("double") / k).alias("top_rate"), F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"), F.when(F.sum(y) > 0, gain("place") / gain("ideal")).alias("ndcg"), F.when(F.sum(y) > 0, hits.cast("double") / F.sum(y)).alias("recall")
     )
 
 
@@ -157,32 +163,45 @@ def block_bootstrap(rows: DataFrame, key: str, order: str, value: str, block: in
     return rows.groupBy(key).applyInPandas(run, f"{key} string, mean double, low double, high double, p double")
 
 
-def _vectors(rows: DataFrame, features: list[str], y: str) -> DataFrame:
+def by_day(rows: DataFrame, day: str, name: str) -> DataFrame:
+    """Adds a weight by which each day counts alike, however many rows it has; weights are 1 on average."""
+    days = rows.groupBy(day).agg(F.count(F.lit(1)).alias("__n"))
+    size = days.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("d")).first()
+    return rows.join(days, day).withColumn(name, F.lit(float(size["n"] or 0)) / (F.col("__n") * F.lit(float(max(size["d"], 1))))).drop("__n")
+
+
+def _vectors(rows: DataFrame, features: list[str], y: str, weight: str | None = None) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    z = standardised(rows.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias("label")), features)
-    return VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features").transform(z).select("features", "label")
+    own = F.col(weight).cast("double") if weight else F.lit(1.0)
+    z = standardised(rows.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias("label"), own.alias("__weight")), features)
+    return VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features").transform(z).select("features", "label", F.col("__weight").alias("weight"))
 
 
 def _coefficients(spark: SparkSession, features: list[str], coef, intercept: float) -> DataFrame:
     return spark.createDataFrame([*[(f, float(c)) for f, c in zip(features, coef, strict=True)], ("intercept", float(intercept))], "feature string, coefficient double")
 
 
-def ridge(spark: SparkSession, rows: DataFrame, features: list[str], y: str, alpha: float) -> DataFrame:
-    """Ridge by the normal equations. Spark scales the label, so the penalty is alpha times its deviation over n."""
+def ridge(spark: SparkSession, rows: DataFrame, features: list[str], y: str, alpha: float, weight: str | None = None) -> DataFrame:
+    """Ridge by the normal equations, rows weighted by a column (`by_day`). Spark scales the label, so the penalty is alpha times its deviation over the
+    sum of weights."""
     from pyspark.ml.regression import LinearRegression
 
-    x = _vectors(rows, features, y)
-    s = x.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
-    m = LinearRegression(elasticNetParam=0.0, standardization=False, regParam=alpha * (s["sd"] or 0.0) / max(s["n"], 1), solver="normal").fit(x)
+    x = _vectors(rows, features, y, weight)
+    s = x.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("s1"), F.sum(F.col("weight") * F.col("label") * F.col("label")).alias("s2")).first()
+    n = s["n"] or 1.0
+    deviation = max((s["s2"] or 0.0) / n - ((s["s1"] or 0.0) / n) ** 2, 0.0) ** 0.5
+    m = LinearRegression(elasticNetParam=0.0, standardization=False, regParam=alpha * deviation / n, solver="normal", weightCol="weight").fit(x)
     return _coefficients(spark, features, m.coefficients, m.intercept)
 
 
-def logistic_fit(spark: SparkSession, rows: DataFrame, features: list[str], y: str, c: float) -> DataFrame:
+def logistic_fit(spark: SparkSession, rows: DataFrame, features: list[str], y: str, c: float, weight: str | None = None) -> DataFrame:
+    """Logistic coefficients of inverse penalty c, rows weighted by a column (`by_day`)."""
     from pyspark.ml.classification import LogisticRegression
 
-    x = _vectors(rows, features, y)
-    m = LogisticRegression(elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * max(x.count(), 1)), maxIter=50).fit(x)
+    x = _vectors(rows, features, y, weight)
+    total = x.agg(F.sum("weight")).first()[0] or 1.0
+    m = LogisticRegression(elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * total), maxIter=50, weightCol="weight").fit(x)
     return _coefficients(spark, features, m.coefficients, m.intercept)
 
 
@@ -193,27 +212,42 @@ def isotonic(spark: SparkSession, rows: DataFrame, p: str, y: str) -> DataFrame:
     return spark.createDataFrame([(float(a), float(b)) for a, b in zip(m.boundaries, m.predictions, strict=True)], "boundary double, value double")
 
 
-def _lambdas(score: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """Each row's pull: over the pairs of unlike grades the chance that the pair is in the wrong order, times what swapping them would change of the NDCG."""
-    place = np.empty(len(score), np.int64)
-    place[np.lexsort((np.arange(len(score)), -score))] = np.arange(len(score))
+#: Rows of a day, from its top, whose pairs with all of its rows count; and how many of them are compared at a time.
+TRUNCATION, BLOCK = 1000, 64
+
+
+def _lambdas(score: np.ndarray, grade: np.ndarray, most: int = TRUNCATION, block: int = BLOCK) -> np.ndarray:
+    """Each row's pull: over the pairs of unlike grades of which one is among the `most` first the chance that the pair is in the wrong order, times
+    what swapping them would change of the NDCG. Pairs further down change it by next to nothing. Memory is `block` times the rows, time `most` times.
+    """
+    n = len(score)
+    order = np.lexsort((np.arange(n), -score))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
     discount = 1 / np.log2(place + 2.0)
     gain = 2.0**grade - 1
-    ideal = float((np.sort(gain)[::-1] / np.log2(np.arange(len(gain)) + 2.0)).sum())
+    ideal = float((np.sort(gain)[::-1] / np.log2(np.arange(n) + 2.0)).sum())
+    pull = np.zeros(n)
     if ideal <= 0:
-        return np.zeros(len(score))
-    better = grade[:, None] > grade[None, :]
-    wrong = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -35, 35)))
-    pull = np.where(better, wrong * np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal, 0.0)
-    return pull.sum(axis=1) - pull.sum(axis=0)
+        return pull
+    for s in range(0, min(most, n), block):
+        top = order[s : min(s + block, most, n)]
+        # Each pair once: with the rows below the first of the two.
+        later = place[None, :] > place[top][:, None]
+        sign = np.sign(grade[top][:, None] - grade[None, :]) * later
+        wrong = 1 / (1 + np.exp(np.clip(sign * (score[top][:, None] - score[None, :]), -35, 35)))
+        by = sign * wrong * np.abs((gain[top][:, None] - gain[None, :]) * (discount[top][:, None] - discount[None, :])) / ideal
+        pull[top] += by.sum(axis=1)
+        pull -= by.sum(axis=0)
+    return pull
 
 
 def pairwise_ranker(rows: DataFrame, features: list[str], grade: str, day: str, id_column: str, split: int, keep: Callable[[DataFrame], DataFrame], trees: int = 8, depth: int = 3, rate: float = 0.3) -> DataFrame:
     """(day, id, grade, score): trees boosted on a pairwise objective, fitted before the split day and scored everywhere.
 
     In each round every day's cross-section gives its rows their pulls, and a tree
-    is fitted to them. A cross-section is as large as the universe of objects, not
-    as the table; `keep` writes a round's scores so that plans stay short.
+    is fitted to them, by Spark's histograms of splits; each day weighs the same. A
+    cross-section is held by one task, with a few numbers a row (see `_lambdas`); `keep` writes a round's scores so that plans stay short.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
@@ -221,15 +255,16 @@ def pairwise_ranker(rows: DataFrame, features: list[str], grade: str, day: str,
     flat = rows.select(F.col(day).cast("long").alias("day"), F.col(id_column).cast("long").alias("id"), F.col(grade).cast("double").alias("grade"), *[F.col(f).cast("double").alias(f) for f in features])
     scored = keep(flat.withColumn("score", F.lit(0.0)))
     vectors = VectorAssembler(inputCols=features, outputCol="features")
-    tree = DecisionTreeRegressor(labelCol="pull", maxDepth=depth, seed=7)
+    tree = DecisionTreeRegressor(labelCol="pull", weightCol="weight", maxDepth=depth, seed=7)
 
     def pulls(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(pull=_lambdas(pdf["score"].to_numpy(float), pdf["grade"].to_numpy(float)))
 
     schema = "day long, id long, grade double, " + ", ".join(f"{f} double" for f in features) + ", score double, pull double"
     for _ in range(trees):
-        pulled = vectors.transform(scored.where(F.col("day") < split).groupBy("day").applyInPandas(pulls, schema))
-        model = tree.fit(pulled.select("features", "pull"))
+        pulled = keep(scored.where(F.col("day") < split).groupBy("day").applyInPandas(pulls, schema))
+        pulled = vectors.transform(pulled)
+        model = tree.fit(by_day(pulled.select("day", "features", "pull"), "day", "weight"))
         scored = keep(model.transform(vectors.transform(scored)).select(*scored.columns[:-1], (F.col("score") + rate * F.col("prediction")).alias("score")))
     return scored.select("day", "id", "grade", "score")
 

@@ -16,7 +16,7 @@ TOKEN = r"[A-Za-z][A-Za-z0-9]{2,}"
 #: Entities that markup must escape.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: Query parameters that only track.
-TRACKING = r"^(utm_[^=]*|spm|from|ref)(=|$)"
+TRACKING = "(?i)^(utm_|spm|from)"
 #: Words that part phrases, as they say nothing of their own.
 PHRASE_STOPS = (
     "公司 股份 有限 有限公司 股份有限公司 公告 今日 昨日 近日 投资 投资者 市场 股票 证券 股东 董事 会议 本次 相关 关于 方面 进行 持续 积极 实现 表示 目前 未来 发展 业务 产品 我们 企业 已经 通过 以及 以上 以下 是否 感谢 问题 回答 年度 报告 可以 可能 预计 据悉 记者 消息 财联社 东方财富 同花顺 新闻 涨停 下跌 上涨 "
@@ -35,10 +35,10 @@ def clean(html: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case, no tracking parameters, no fragment."""
-    kept = F.filter(F.split(F.coalesce(F.parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda x: (x != "") & ~x.rlike(TRACKING))
+    """Host in lower case, no parameters that track or are empty, no fragment, no slash at the end."""
+    kept = F.filter(F.split(F.coalesce(F.parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda x: x.rlike("^[^=]+=.") & ~x.rlike(TRACKING))
     path = F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit(""))
-    return F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.lower(F.parse_url(url, F.lit("HOST"))), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    return F.regexp_replace(F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.lower(F.parse_url(url, F.lit("HOST"))), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")), "/+$", "")
 
 
 def exact_key(text: Column) -> Column:

@@ -227,13 +227,16 @@ def purged_folds(spark: SparkSession, d: str) -> DataFrame:
 COMPONENTS = 4
 
 
-@query(f"""WITH e AS (SELECT vec_id, {", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS x{k}" for k in range(COMPONENTS))} FROM embeddings), q AS (SELECT {", ".join(f"quantile_cont(x{k}, 0.01) AS lo{k}, quantile_cont(x{k}, 0.99) AS hi{k}" for k in range(COMPONENTS))} FROM e),
-w AS (SELECT vec_id, {", ".join(f"least(greatest(x{k}, lo{k}), hi{k}) AS x{k}" for k in range(COMPONENTS))} FROM e, q), m AS (SELECT {", ".join(f"avg(x{k}) AS m{k}, stddev_pop(x{k}) AS s{k}" for k in range(COMPONENTS))} FROM w)
-SELECT vec_id, {", ".join(f"round((x{k} - m{k}) / CASE WHEN s{k} < 1e-8 THEN 1 ELSE s{k} END, 6) AS z{k}" for k in range(COMPONENTS))} FROM w, m""")
+@query(f"""WITH e AS (SELECT vec_id, {", ".join(f"CASE WHEN vec_id % {11 + k} = {k} THEN NULL ELSE CAST(embedding[{k + 1}] AS DOUBLE) END AS x{k}" for k in range(COMPONENTS))} FROM embeddings), q AS (SELECT {", ".join(f"quantile_cont(x{k}, 0.01) AS lo{k}, quantile_cont(x{k}, 0.99) AS hi{k}, quantile_cont(x{k}, 0.5) AS mid{k}" for k in range(COMPONENTS))} FROM e),
+w AS (SELECT vec_id, {", ".join(f"CASE WHEN x{k} IS NULL THEN mid{k} ELSE least(greatest(x{k}, lo{k}), hi{k}) END AS x{k}, x{k} IS NULL AS u{k}" for k in range(COMPONENTS))} FROM e, q), m AS (SELECT {", ".join(f"avg(x{k}) AS m{k}, stddev_pop(x{k}) AS s{k}" for k in range(COMPONENTS))} FROM w)
+SELECT vec_id, {", ".join(f"round((x{k} - m{k}) / CASE WHEN s{k} < 1e-8 THEN 1 ELSE s{k} END, 6) AS z{k}, CAST(u{k} AS DOUBLE) AS missing{k}" for k in range(COMPONENTS))} FROM w, m""")
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
-    """clipped to the first and last per cent, then standardised; the parameters are one row."""
-    e = table(spark, d, "embeddings").select("vec_id", *[F.element_at("embedding", k + 1).cast("double").alias(f"x{k}") for k in range(COMPONENTS)])
-    return learn.standardised(e, [f"x{k}" for k in range(COMPONENTS)]).select("vec_id", *[F.round(f"z_x{k}", 6).alias(f"z{k}") for k in range(COMPONENTS)])
+    """missing values by the median and flagged, clipped to the first and last per cent, then standardised; over the first four components, each
+    unknown in some rows. The parameters are one row."""
+    known = lambda k: F.when(F.col("vec_id") % (11 + k) != k, F.element_at("embedding", k + 1).cast("double"))
+    e = table(spark, d, "embeddings").select("vec_id", *[known(k).alias(f"x{k}") for k in range(COMPONENTS)])
+    z = learn.standardised(e, [f"x{k}" for k in range(COMPONENTS)])
+    return z.select("vec_id", *[F.round(f"z_x{k}", 6).alias(f"z{k}") for k in range(COMPONENTS)], *[F.col(f"missing_x{k}").alias(f"missing{k}") for k in range(COMPONENTS)])
 
 
 SCORED_SQL = f"{EV}, {PANEL_SQL}, sd AS (SELECT object_id, day, y, (f1 * 7 + object_id * 13) % 101 / 101.0::DOUBLE AS p, f2 AS value FROM ds)"
@@ -245,10 +248,11 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SCORED_SQL}, k AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY p) + (count(*) OVER (PARTITION BY day, p) - 1) / 2.0::DOUBLE AS rp, rank() OVER (PARTITION BY day ORDER BY value) + (count(*) OVER (PARTITION BY day, value) - 1) / 2.0::DOUBLE AS rv, row_number() OVER (PARTITION BY day ORDER BY p DESC, object_id) AS place, row_number() OVER (PARTITION BY day ORDER BY y DESC, object_id) AS ideal, sum(y) OVER (PARTITION BY day) AS pos FROM sd)
 SELECT day, count(*) AS n, round(corr(rp, rv), 6) AS rank_ic, round(avg(value) FILTER (WHERE place <= 10), 6) AS top_mean, round(CAST(sum(y) FILTER (WHERE place <= 10) AS DOUBLE) / 10, 6) AS top_rate, round(avg((p - y) * (p - y)), 6) AS brier,
-CASE WHEN max(pos) > 0 THEN round(sum(CASE WHEN place <= 10 THEN y / log2(place + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN y / log2(ideal + 1) ELSE 0 END), 6) END AS ndcg FROM k GROUP BY 1""")
+CASE WHEN max(pos) > 0 THEN round(sum(CASE WHEN place <= 10 THEN y / log2(place + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN y / log2(ideal + 1) ELSE 0 END), 6) END AS ndcg,
+CASE WHEN max(pos) > 0 THEN round(CAST(sum(y) FILTER (WHERE place <= 10) AS DOUBLE) / max(pos), 6) END AS recall FROM k GROUP BY 1""")
 def daily_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation, the top ten's mean and rate, Brier score and NDCG of each day."""
-    return learn.daily_metrics(scored(spark, d), "day", "object_id", "p", "value", "y", 10).select("day", "n", *r6("rank_ic", "top_mean", "top_rate", "brier", "ndcg"))
+    """Rank correlation, the top ten's mean, rate and recall of known positives, Brier score and NDCG of each day."""
+    return learn.daily_metrics(scored(spark, d), "day", "object_id", "p", "value", "y", 10).select("day", "n", *r6("rank_ic", "top_mean", "top_rate", "brier", "ndcg", "recall"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM sd GROUP BY 1")
@@ -398,13 +402,13 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fit_ridge(spark: SparkSession, d: str) -> DataFrame:
     """Ridge coefficients of the panel, equal to the closed form."""
-    return learn.ridge(spark, dataset(spark, d), ["f1", "f2", "f3"], "y", 1.0)
+    return learn.ridge(spark, learn.by_day(dataset(spark, d), "day", "w"), ["f1", "f2", "f3"], "y", 1.0, "w")
 
 
 @query()
 def fit_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Logistic coefficients of the panel."""
-    return learn.logistic_fit(spark, dataset(spark, d), ["f1", "f2", "f3"], "y", 1.0)
+    return learn.logistic_fit(spark, learn.by_day(dataset(spark, d), "day", "w"), ["f1", "f2", "f3"], "y", 1.0, "w")
 
 
 @query()

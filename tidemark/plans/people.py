@@ -93,10 +93,14 @@ def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
     return asof.covers(c.select("source", "day", F.col("s0").alias("start"), F.col("e0").alias("end"), F.col("lo").alias("from"), F.col("hi").alias("to")), ["source", "day"], "start", "end", "from", "to")
 
 
-@query(f"""WITH {EV}, d AS (SELECT DISTINCT user_id, day FROM ev WHERE source = 'purchase'), c AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS cohort FROM d) SELECT cohort, day - cohort AS "offset", count(*) AS actors FROM c WHERE day - cohort <= 5 GROUP BY 1, 2""")
+@query(f"""WITH {EV}, k AS (SELECT source, day FROM ev GROUP BY 1, 2 HAVING count(DISTINCT us // {2 * HOUR}) >= 12), d AS (SELECT DISTINCT source, user_id, day FROM ev), c AS (SELECT *, min(day) OVER (PARTITION BY source, user_id) AS cohort FROM d),
+b AS (SELECT source, cohort, day - cohort AS "offset", count(*) AS actors FROM c GROUP BY 1, 2, 3), s AS (SELECT source, cohort, actors AS size FROM b WHERE "offset" = 0 AND (source, cohort) IN (SELECT (source, day) FROM k)), w AS (SELECT *, unnest(range(0, 6)) AS "offset" FROM s)
+SELECT w.source, w.cohort, w."offset", size, CASE WHEN (w.source, w.cohort + w."offset") IN (SELECT (source, day) FROM k) THEN coalesce(actors, 0) END AS actors FROM w LEFT JOIN b ON b.source = w.source AND b.cohort = w.cohort AND b."offset" = w."offset" """)
 def cohort_retention(spark: SparkSession, d: str) -> DataFrame:
-    """Who comes back in the five days after a first day."""
-    return A.retention(events(spark, d).where("source = 'purchase'"), "user_id", "day", 5)
+    """Who comes back in the five days after a first day, by source; days without rows in each two hours aren't covered, and tell nothing."""
+    e = events(spark, d)
+    covered = e.groupBy("source", "day").agg(F.count_distinct(F.expr(f"us div {2 * HOUR}")).alias("cells")).where("cells >= 12")
+    return A.retention(e, ["source"], "user_id", "day", 5, covered)
 
 
 @query(f"""WITH {EV}, o AS (SELECT DISTINCT object_id, object_id % 10 AS parent, user_id FROM ev WHERE source = 'purchase'), p AS (SELECT DISTINCT object_id % 10 AS parent, user_id FROM ev WHERE source = 'view')

@@ -31,8 +31,8 @@ def text_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT page_id, url, regexp_extract(url, '^([^:]+)://([^/?#]+)([^?#]*)\\??([^#]*)', ['p', 'h', 'path', 'q']) AS x FROM pages),
-k AS (SELECT page_id, x, array_to_string(list_filter(string_split(x.q, '&'), lambda y: y <> '' AND NOT regexp_matches(y, '^(utm_[^=]*|spm|from|ref)(=|$)')), '&') AS kept FROM u)
-SELECT page_id, x.p || '://' || lower(x.h) || x.path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical FROM k""")
+k AS (SELECT page_id, x, array_to_string(list_filter(string_split(x.q, '&'), lambda y: regexp_matches(y, '^[^=]+=.') AND NOT regexp_matches(y, '(?i)^(utm_|spm|from)')), '&') AS kept FROM u)
+SELECT page_id, regexp_replace(x.p || '://' || lower(x.h) || x.path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END, '/+$', '') AS canonical FROM k""")
 def url_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Canonical addresses."""
     return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
