@@ -98,3 +98,45 @@ def test_terms_anywhere_equal_plain_search(spark, monkeypatch, begins):
         got[r["id"]][r["topic"]] = (r["how"], r["terms"])
     for i, d in enumerate(docs):
         assert got[i] == plain_topics(d, dictionary), i
+
+
+def test_every_stage_has_its_case(spark):
+    from tidemark.operators import ranking
+
+    columns = "id string, family string, usable boolean, stale boolean, high boolean, rising boolean, long_history boolean, persistence int, velocity double, entered boolean, jumped boolean, observations int"
+    live = lambda i, family="a", **x: (i, *({"family": family, "usable": True, "stale": False, "high": False, "rising": False, "long_history": True, "persistence": 3, "velocity": 0.0, "entered": False, "jumped": False, "observations": 1} | x).values())
+    two = lambda i, **x: [live(i, "a", high=True, **x), live(i, "b", high=True, **x)]
+    rows = [
+        *two("negative_attention", rising=True), *two("risk_excluded"), *two("slows/decelerating", velocity=-1.0), *two("accelerating", rising=True), *two("held/high_heat"), live("newborn", entered=True), live("warming", rising=True),
+        live("one/decelerating", high=True, velocity=-1.0), live("one/high_heat", high=True), live("information_new"), live("fading", velocity=-0.5), live("stale", stale=True), live("cold_start", long_history=False), live("stable"), *two("unknown/high_heat", velocity=None),
+        live("jump/newborn", entered=True, jumped=True, observations=0), live("late/stable", entered=True, observations=0), live("unusable/stale", usable=False), *two("short/high_heat", persistence=1),
+    ]
+    info = {r[0] for r in rows} | {"insufficient"}
+    news = [(i, 3 if i == "negative_attention" else 1, 0.5, i == "information_new", i == "risk_excluded") for i in info]
+    out = {r["id"]: (r["stage"], r["band"]) for r in ranking.stages(spark.createDataFrame(rows, columns), spark.createDataFrame(news, "id string, negative int, negative_share double, material boolean, flagged boolean"), "id").collect()}
+    assert {i: s for i, (s, _) in out.items()} == {i: i.rpartition("/")[2] for i in info}
+    assert {out[i][1] for i in ("held/high_heat", "one/high_heat")} == {"confirmed", "monitor"}
+
+
+def test_strongest_pairs_without_all_pairs(spark):
+    from tidemark.operators import graph
+
+    rng = random.Random(6)
+    rows = [(f, min(int(rng.paretovariate(0.7)), 400)) for f in range(400) for _ in range(12)]
+    df = spark.createDataFrame(rows, "fact int, member int")
+    keep = lambda d: spark.createDataFrame(d.collect(), d.schema)
+    held: dict[int, set] = {}
+    for f, m in rows:
+        held.setdefault(f, set()).add(m)
+    plain: dict[tuple, int] = {}
+    for own in held.values():
+        for a in own:
+            for b in own:
+                if a < b:
+                    plain[a, b] = plain.get((a, b), 0) + 1
+    want = sorted(((-n, a, b) for (a, b), n in plain.items()))
+    for k in (1, 10, 50, 10_000):
+        best, made = graph.strongest_pairs(df, ["fact"], "member", k, keep, first=4)
+        assert sorted((-r["n"], r["a"], r["b"]) for r in best.collect()) == want[:k]
+        assert made <= sum(plain.values()) and (k > 10 or made < 0.5 * sum(plain.values()))
+    assert graph.strongest_pairs(df.limit(0), ["fact"], "member", 5, keep)[0].count() == 0

@@ -59,3 +59,21 @@ def advance(moments: DataFrame, days: DataFrame, minutes: int) -> DataFrame:
     due = c.select(F.col("day").alias("due_day"), F.col("open_min"), F.explode(F.sequence(F.lit(1), F.col("close_min") - F.col("open_min"))).alias("nth"), "before")
     due = due.select("due_day", (F.col("open_min") + F.col("nth")).cast("long").alias("due_min"), (F.col("before") + F.col("nth")).alias("goal"))
     return worked.join(due, "goal").select("id", "due_day", "due_min")
+
+
+#: The clock of each market.
+ZONES = {"A": "Asia/Shanghai", "HK": "Asia/Hong_Kong", "US": "America/New_York", "UK": "Europe/London"}
+
+
+def local_time(instant: Column, market: Column) -> Column:
+    """The market's own clock at an instant (microseconds of UTC), as microseconds of a naive clock; an unknown market has Shanghai's.
+
+    The zone is a literal in each branch, so that Spark doesn't look it up for each row; summer time counts.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    naive = F.timestamp_add("MICROSECOND", instant, epoch)
+    at = lambda zone: F.timestamp_diff("MICROSECOND", epoch, F.convert_timezone(F.lit("UTC"), F.lit(zone), naive))
+    out = at(ZONES["A"])
+    for name, zone in ZONES.items():
+        out = F.when(market == name, at(zone)).otherwise(out)
+    return out

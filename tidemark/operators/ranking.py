@@ -73,3 +73,57 @@ def leave_one_out(rows: DataFrame, key: str, value: str, least: int) -> DataFram
     n = F.count(value).over(w) - F.when(F.col(value).isNotNull(), 1).otherwise(0)
     total = F.sum(value).over(w) - F.coalesce(F.col(value), F.lit(0))
     return rows.withColumn("peers", n).withColumn("peer_mean", F.when(F.col("peers") >= least, total.cast("double") / F.col("peers")))
+
+
+#: What is asked of evidence before it counts as confirmed, and of news before they count as negative.
+THRESHOLDS = {"persistence": 2, "families": 2, "new_observations": 1, "negative": 2, "negative_share": 0.3}
+
+
+def stages(evidence: DataFrame, information: DataFrame, key: str, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
+    """(key, stage, band): the first rule that holds, of fifteen outcomes, from an object's evidence and its news.
+
+    evidence: rows (key, family, usable, stale, high, rising, long_history, persistence, velocity, entered, jumped, observations); only usable rows that
+    aren't stale say how attention moves. information: a row a key of all objects (key, negative, negative_share, material, flagged).
+    """
+    t = thresholds
+    live = F.col("usable") & ~F.col("stale")
+    strict = live & F.col("high") & F.col("long_history") & (F.col("persistence") >= t["persistence"])
+    speed = F.coalesce("velocity", F.lit(0.0))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    facts = evidence.groupBy(key).agg(
+        F.count_distinct(F.when(strict, F.col("family"))).alias("confirming"),
+        (some(strict & (F.col("velocity") < 0)) & ~some(strict & (F.col("velocity") >= 0))).alias("confirming_slows"),
+        some(strict & F.col("rising")).alias("confirming_rises"),
+        some(live & F.col("entered") & (F.col("jumped") | (F.col("observations") >= t["new_observations"]))).alias("fresh"),
+        some(live & F.col("rising")).alias("rises"),
+        some(live & F.col("high")).alias("is_high"),
+        some(live & F.col("high") & (speed >= 0)).alias("high_holds"),
+        some(live & (speed < 0)).alias("slows"),
+        some(live).alias("is_live"),
+        some(live & F.col("long_history")).alias("known"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    confirmed = F.col("confirming") >= t["families"]
+    rules = [
+        ("negative_attention", "risk", (F.col("negative") >= t["negative"]) & (F.coalesce("negative_share", F.lit(0.0)) >= t["negative_share"])),
+        ("risk_excluded", "risk", F.col("flagged")),
+        ("decelerating", "monitor", confirmed & F.col("confirming_slows")),
+        ("accelerating", "confirmed", confirmed & F.col("confirming_rises")),
+        ("high_heat", "confirmed", confirmed),
+        ("newborn", "discovery", F.col("fresh")),
+        ("warming", "discovery", F.col("rises")),
+        ("decelerating", "monitor", F.col("is_high") & ~F.col("high_holds")),
+        ("high_heat", "monitor", F.col("is_high")),
+        ("information_new", "monitor", F.col("material")),
+        ("fading", "monitor", F.col("slows")),
+        ("stale", "insufficient", ~F.col("is_live") & (F.col("rows") > 0)),
+        ("insufficient", "insufficient", ~F.col("is_live")),
+        ("cold_start", "insufficient", ~F.col("known")),
+    ]
+    flat = information.join(facts, key, "left").na.fill({"rows": 0, "confirming": 0})
+    flat = flat.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("confirming_slows", "confirming_rises", "fresh", "rises", "is_high", "high_holds", "slows", "is_live", "known", "flagged", "material")})
+    stage, band = F.lit("stable"), F.lit("monitor")
+    for name, of, holds in reversed(rules):
+        held = F.coalesce(holds, F.lit(False))
+        stage, band = F.when(held, name).otherwise(stage), F.when(held, of).otherwise(band)
+    return flat.select(key, stage.alias("stage"), band.alias("band"))

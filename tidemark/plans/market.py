@@ -224,6 +224,19 @@ def purged_folds(spark: SparkSession, d: str) -> DataFrame:
     return learn.assign(dataset(spark, d), folds, "day").groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
 
 
+_MARKETS = ("A", "HK", "US", "UK", "other")
+
+
+@query(f"""WITH {EV}, z AS (SELECT event_id, us + (event_id % 300) * {DAY} AS utc_us, ['A', 'HK', 'US', 'UK', 'other'][object_id % 5 + 1] AS market FROM ev),
+l AS (SELECT *, epoch_us(timezone(CASE market WHEN 'HK' THEN 'Asia/Hong_Kong' WHEN 'US' THEN 'America/New_York' WHEN 'UK' THEN 'Europe/London' ELSE 'Asia/Shanghai' END, make_timestamptz(utc_us))) AS local_us FROM z)
+SELECT event_id, market, local_us, local_us // {DAY} AS local_day, (local_us % {DAY}) // {HOUR} AS local_hour FROM l""")
+def market_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Instants on the clock of each one's market, over a year with summer time."""
+    e = events(spark, d).select("event_id", (F.col("us") + (F.col("event_id") % 300) * DAY).alias("utc_us"), F.element_at(F.array(*map(F.lit, _MARKETS)), (F.col("object_id") % 5 + 1).cast("int")).alias("market"))
+    local = e.select("event_id", "market", calendar.local_time(F.col("utc_us"), F.col("market")).alias("local_us"))
+    return local.select("event_id", "market", "local_us", F.expr(f"local_us div {DAY}").alias("local_day"), F.expr(f"(local_us % {DAY}) div {HOUR}").alias("local_hour"))
+
+
 COMPONENTS = 4
 
 

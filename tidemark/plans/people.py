@@ -333,6 +333,42 @@ def stage_cascade(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_T = AS_OF // DAY
+_EVIDENCE = f"""g AS (SELECT object_id, source, count(*) FILTER (WHERE day = {_T - 1}) AS t, count(*) FILTER (WHERE day = {_T - 2}) AS y, count(DISTINCT day) AS days, min(day) AS first_day, max(day) AS last_day FROM known WHERE object_id % 37 <> 5 GROUP BY 1, 2),
+x AS (SELECT object_id, source AS family, source <> 'signup' AND object_id % 41 <> 7 AS usable, last_day < {_T - 5} AS stale, t >= 2 AS high, t > y AND object_id % 3 <> 0 AS rising, days >= 9 AS long_history, t AS persistence, CASE WHEN t + y > 0 THEN CAST(t - y AS DOUBLE) END AS velocity, first_day >= {_T - 9} AS entered, source = 'error' AS jumped, t AS observations FROM g),
+i AS (SELECT object_id, count(*) FILTER (WHERE source = 'error') AS negative, count(*) FILTER (WHERE source = 'error') / CAST(count(*) AS DOUBLE) AS negative_share, coalesce(max(CASE WHEN day = {_T - 1} THEN v END) > 60, false) AS material, object_id % 23 = 4 AS flagged FROM known GROUP BY 1)"""
+
+
+@query(f"""WITH {EV}, known AS (SELECT * FROM ev WHERE obs_us <= {AS_OF} AND us < {AS_OF}), {_EVIDENCE},
+l AS (SELECT *, usable AND NOT stale AS live, usable AND NOT stale AND high AND long_history AND persistence >= 2 AS strict FROM x),
+a AS (SELECT i.*, coalesce(n, 0) AS n, coalesce(fam, 0) AS fam, * EXCLUDE (object_id, negative, negative_share, material, flagged, n, fam) FROM i LEFT JOIN (SELECT object_id, count(*) AS n, count(DISTINCT CASE WHEN strict THEN family END) AS fam, count(*) FILTER (WHERE strict AND velocity < 0) AS down, count(*) FILTER (WHERE strict AND velocity >= 0) AS up, count(*) FILTER (WHERE strict AND rising) AS rise,
+  count(*) FILTER (WHERE live AND entered AND (jumped OR observations >= 1)) AS fresh, count(*) FILTER (WHERE live AND rising) AS rises, count(*) FILTER (WHERE live AND high) AS highs, count(*) FILTER (WHERE live AND high AND coalesce(velocity, 0) >= 0) AS holds, count(*) FILTER (WHERE live AND velocity < 0) AS slow, count(*) FILTER (WHERE live) AS lives, count(*) FILTER (WHERE live AND long_history) AS old FROM l GROUP BY 1) e USING (object_id)),
+s AS (SELECT object_id, CASE WHEN negative >= 2 AND negative_share >= 0.3 THEN 'risk/negative_attention' WHEN flagged THEN 'risk/risk_excluded' WHEN fam >= 2 AND down > 0 AND up = 0 THEN 'monitor/decelerating' WHEN fam >= 2 AND rise > 0 THEN 'confirmed/accelerating' WHEN fam >= 2 THEN 'confirmed/high_heat' WHEN fresh > 0 THEN 'discovery/newborn' WHEN rises > 0 THEN 'discovery/warming'
+  WHEN highs > 0 AND holds = 0 THEN 'monitor/decelerating' WHEN highs > 0 THEN 'monitor/high_heat' WHEN material THEN 'monitor/information_new' WHEN slow > 0 THEN 'monitor/fading' WHEN n > 0 AND coalesce(lives, 0) = 0 THEN 'insufficient/stale' WHEN coalesce(lives, 0) = 0 THEN 'insufficient/insufficient' WHEN old = 0 THEN 'insufficient/cold_start' ELSE 'monitor/stable' END AS b FROM a)
+SELECT object_id, split_part(b, '/', 2) AS stage, split_part(b, '/', 1) AS band FROM s""")
+def stage_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The stage and band of every object, of fifteen outcomes; evidence of a source is what its rows of the last two days say, by fixed rules."""
+    known = bitemporal.as_of(events(spark, d), AS_OF)
+    n = lambda k: F.count_if(F.col("day") == _T - k)
+    g = known.where("object_id % 37 <> 5").groupBy("object_id", "source").agg(n(1).alias("t"), n(2).alias("y"), F.count_distinct("day").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    evidence = g.select(
+        "object_id",
+        F.col("source").alias("family"),
+        ((F.col("source") != "signup") & (F.col("object_id") % 41 != 7)).alias("usable"),
+        (F.col("last_day") < _T - 5).alias("stale"),
+        (F.col("t") >= 2).alias("high"),
+        ((F.col("t") > F.col("y")) & (F.col("object_id") % 3 != 0)).alias("rising"),
+        (F.col("days") >= 9).alias("long_history"),
+        F.col("t").alias("persistence"),
+        F.when(F.col("t") + F.col("y") > 0, (F.col("t") - F.col("y")).cast("double")).alias("velocity"),
+        (F.col("first_day") >= _T - 9).alias("entered"),
+        (F.col("source") == "error").alias("jumped"),
+        F.col("t").alias("observations"),
+    )
+    news = known.groupBy("object_id").agg(F.count_if(F.col("source") == "error").alias("negative"), (F.count_if(F.col("source") == "error").cast("double") / F.count(F.lit(1))).alias("negative_share"), F.coalesce(F.max(F.when(F.col("day") == _T - 1, F.col("v"))) > 60, F.lit(False)).alias("material"))
+    return ranking.stages(evidence, news.withColumn("flagged", F.col("object_id") % 23 == 4), "object_id")
+
+
 @query(f"""WITH {EV}, k AS (SELECT object_id, source, count(*) AS n, max(us) AS last_us, CAST(sum(v) AS DOUBLE) / count(*) AS mean_v FROM ev WHERE obs_us <= {AS_OF} GROUP BY 1, 2)
 SELECT object_id, count(*) AS families, median(n) AS median_n, max(n) AS max_n, max(last_us) AS last_us, count(*) FILTER (WHERE mean_v > 20) AS strong, bool_or(mean_v > 25) AS any_strong, arg_max(source, n * 100000 + length(source)) AS top_source FROM k GROUP BY 1""".replace("arg_max(source, n * 100000 + length(source)) AS top_source", "max(struct_pack(n := n, source := source)).source AS top_source"))
 def evidence_fold(spark: SparkSession, d: str) -> DataFrame:
