@@ -18,8 +18,12 @@ What is wanted are the links' components, so a bucket's pairs are never listed:
 - In rounds, each node is paired with one hub of its buckets. Links join
   components; a bucket whose nodes are all in one component needs nothing more.
   Rounds go on while each at least halves the members of open buckets.
-- What is left are nodes of different components in one bucket. They meet by classes of size that the places allow,
-  and each pair that passes all filters is compared, so no link between components is missed.
+- What is left are nodes of different components in one bucket. They meet by classes of size that the places allow;
+  how many would meet is counted first. Where that is many times the members (pages of one template: what they share is rare in
+  the corpus, so it comes first in everyone's order and bounds nothing), large buckets are dealt anew under an order of their own:
+  tokens that few of the bucket's members hold come first. That is a total order like any other, so linked sets still
+  share a prefix token under it, but what all members hold now comes last, at places that rule pairs out.
+- Each pair that passes all filters is compared, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import NOT_SPACE, U, between, flat, mix, prefix, slices, window_hashes, word_hashes, words
@@ -46,6 +50,9 @@ SKETCH_BITS, CHUNKS, GROUPS = 20, 64, 64
 MOST_IN_TASK, SALTS = 1 << 14, 64
 #: Ratio of neighbouring classes of size.
 STEP = 1.05
+#: Members of a bucket from which on it may be dealt anew, members that its own order is made from, the share of them (one in so many) that must hold a
+#: token for it to come late, and meetings a set that are taken as they are.
+LARGE, SAMPLED, HELD_BY, MEETINGS = 16, 64, 8, 16
 ORDER_SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 SECOND_ID = U(0x452821E638D01377)
 
@@ -280,17 +287,93 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(STEP)))
 
 
-def _rest(live: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different components in one bucket that sizes and places allow.
-
-    The larger set looks for partners of 0.75 of its size up to what its place
-    leaves possible, by classes of size; so sets that share a token too late to
-    link never meet.
-    """
+def _asking(live: DataFrame) -> DataFrame:
+    """Members with the classes of size in which they look for partners: of 0.75 of their size up to what their place leaves possible."""
     n, place = F.col("n").cast("long"), F.col("place").cast("long")
     lo = F.ceil(NUMERATOR * n / DENOMINATOR)
     hi = F.least(n, F.floor((DENOMINATOR * n - (NUMERATOR + DENOMINATOR) * place) / NUMERATOR))
-    asking = live.where(lo <= hi).withColumn("step", F.explode(F.sequence(_size_class(lo), _size_class(hi))))
+    return live.where(lo <= hi).withColumn("step", F.explode(F.sequence(_size_class(lo), _size_class(hi))))
+
+
+def _meetings(live: DataFrame) -> int:
+    """How many pairs `_rest` would look at, without making them."""
+    asking = _asking(live).groupBy("bucket", "step").agg(F.count(F.lit(1)).alias("asking"))
+    found = live.groupBy("bucket", _size_class(F.col("n")).alias("step")).agg(F.count(F.lit(1)).alias("found"))
+    return int(asking.join(found, ["bucket", "step"]).agg(F.sum(F.col("asking") * F.col("found"))).first()[0] or 0)
+
+
+def _mixed(live: DataFrame) -> DataFrame:
+    """Members of buckets of more than one component, and how many the bucket has. Buckets of the same members are one, with the smallest places."""
+    size = live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("sid")).alias("x"))
+    size = size.where("lo <> hi").select("bucket", "size", F.xxhash64("size", "x").alias("code"))
+    same = live.join(size, "bucket").groupBy(F.col("code").alias("bucket"), "sid")
+    return same.agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("component").alias("component"), F.first("size").alias("size"))
+
+
+def _dealt_anew(large: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(bucket, sid, n, place, component): members of large buckets in buckets of the tokens that begin their sets under the bucket's own order.
+
+    The order is by how many of `SAMPLED` members hold a token, as far as one in `HELD_BY` does, then by hash: it is the same for all members of a
+    bucket, whatever the sample, so nothing is lost by sampling.
+    """
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            tokens, off = token_sets(batch.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(off))), pa.array(tokens.view(np.int64))], ["bucket", "token"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            tokens, off = token_sets(batch.column(1), shingle)
+            bucket, sid, n, component = (batch.column(k).to_numpy() for k in (0, 2, 3, 4))
+            chosen, owner, places = [], [], []
+            for i, (common, held) in enumerate(zip(batch.column(5), batch.column(6), strict=True)):
+                own = tokens[off[i] : off[i + 1]]
+                known = common.values.to_numpy().view(np.uint64) if common.is_valid else np.zeros(0, np.uint64)
+                times = np.zeros(len(own), np.uint64)
+                if len(known):
+                    order = np.argsort(known)
+                    at = order[np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)]
+                    times = np.where(known[at] == own, held.values.to_numpy()[at].astype(np.uint64), U(0))
+                key = (times << U(32)) | (mix(own ^ ORDER_SEEDS[0]) >> U(32))
+                size = prefix_size(len(own))
+                limit = np.partition(key, size - 1)[size - 1]
+                found = np.flatnonzero(key <= limit)
+                found = found[np.argsort(key[found], kind="stable")]
+                chosen.append(own[found])
+                owner.append(np.full(len(found), i))
+                places.append(np.searchsorted(key[found], key[found]))
+            if chosen:
+                own = np.concatenate(owner)
+                name = mix(np.concatenate(chosen) ^ mix(bucket.view(np.uint64)[own])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(sid[own]), pa.array(n[own]), pa.array(np.concatenate(places).astype(np.int32)), pa.array(component[own])], ["bucket", "sid", "n", "place", "component"])
+
+    few = large.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("sid"), "sid"))).where(F.col("nth") <= SAMPLED).select("bucket", "sid")
+    common = few.join(texts.select("sid", "text"), "sid").select("bucket", "text").mapInArrow(tokens_of, "bucket long, token long").groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("held"))
+    # At most HELD_BY times the tokens of a set.
+    lists = common.where(F.col("held") * HELD_BY >= SAMPLED).groupBy("bucket").agg(F.collect_list(F.struct("token", "held")).alias("common")).select("bucket", "common.token", "common.held")
+    rows = large.select("bucket", "sid", "n", "component").join(written(lists, "jaccard-orders"), "bucket", "left").join(texts.select("sid", "text"), "sid")
+    again = rows.select("bucket", "text", "sid", "n", "component", F.col("token").alias("common"), "held").mapInArrow(dealt, "bucket long, sid long, n int, place int, component long")
+    return again.groupBy("bucket", "sid").agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("component").alias("component"))
+
+
+def _thinned(live: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(bucket, sid, n, place, component) as given, or with large buckets dealt anew, again and again while that at least halves the pairs that would meet."""
+    live = written(_mixed(live), "jaccard-left")
+    meet = _meetings(live)
+    while meet > MEETINGS * live.select("sid").distinct().count():
+        large, small = live.where(F.col("size") > LARGE), live.where(F.col("size") <= LARGE)
+        dealt = written(_mixed(_dealt_anew(large, texts, shingle).unionByName(small.drop("size"))), "jaccard-left")
+        now = _meetings(dealt)
+        if 2 * now > meet:
+            return dealt if now < meet else live
+        live, meet = dealt, now
+    return live
+
+
+def _rest(live: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components in one bucket that sizes and places allow; the larger set looks for partners by classes of size."""
+    asking = _asking(live)
     found = live.select("bucket", _size_class(F.col("n")).alias("step"), *[F.col(c).alias(f"hub_{c}") for c in AS_HUB])
     near = could_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place")) & (F.col("component") != F.col("hub_component"))
     once = (F.col("hub_n") < F.col("n")) | ((F.col("hub_n") == F.col("n")) & (F.col("hub_sid") < F.col("sid")))
@@ -333,7 +416,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, most_in_task: int = MOS
         done = written(compared(pairs, texts, shingle), "jaccard-compared")
         tried = done if tried is None else tried.unionByName(done)
         labels = components(tried.where("linked"))
-    rest = _rest(live.select("bucket", *AS_HUB)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _rest(_thinned(live.select("bucket", *AS_HUB), texts, shingle)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     done = written(compared(rest, texts, shingle), "jaccard-compared")
     if not done.where("linked").isEmpty():
         labels = components(tried.unionByName(done).where("linked"))
