@@ -19,8 +19,8 @@ What is wanted are the links' components, so a bucket's pairs are never listed:
   components; a bucket whose nodes are all in one component needs nothing more.
   Rounds go on while each at least halves the members of open buckets.
 - What is left are nodes of different components in one bucket. They meet by classes of size that the places allow;
-  how many would meet is counted first. Where that is many times the members (pages of one template: what they share is rare in
-  the corpus, so it comes first in everyone's order and bounds nothing), large buckets are dealt anew under an order of their own:
+  how many pairs that leaves is counted first, by kinds. Where it is many times the members (pages of one template: what they share is rare in
+  the corpus, so it comes first in everyone's order and bounds nothing), a bucket is dealt anew under an order of its own:
   tokens that few of the bucket's members hold come first. That is a total order like any other, so linked sets still
   share a prefix token under it, but what all members hold now comes last, at places that rule pairs out.
 - Each pair that passes all filters is compared, so no link between components is missed.
@@ -50,9 +50,9 @@ SKETCH_BITS, CHUNKS, GROUPS = 20, 64, 64
 MOST_IN_TASK, SALTS = 1 << 14, 64
 #: Ratio of neighbouring classes of size.
 STEP = 1.05
-#: Members of a bucket from which on it may be dealt anew, members that its own order is made from, the share of them (one in so many) that must hold a
-#: token for it to come late, and meetings a set that are taken as they are.
-LARGE, SAMPLED, HELD_BY, MEETINGS = 16, 64, 8, 16
+#: Pairs a member that a bucket may make as it is; members that a bucket's own order is made from, and the share of them (one in so many) that must hold
+#: a token for it to come late.
+PAIRS, SAMPLED, HELD_BY = 32, 32, 8
 ORDER_SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 SECOND_ID = U(0x452821E638D01377)
 
@@ -295,11 +295,17 @@ def _asking(live: DataFrame) -> DataFrame:
     return live.where(lo <= hi).withColumn("step", F.explode(F.sequence(_size_class(lo), _size_class(hi))))
 
 
-def _meetings(live: DataFrame) -> int:
-    """How many pairs `_rest` would look at, without making them."""
-    asking = _asking(live).groupBy("bucket", "step").agg(F.count(F.lit(1)).alias("asking"))
-    found = live.groupBy("bucket", _size_class(F.col("n")).alias("step")).agg(F.count(F.lit(1)).alias("found"))
-    return int(asking.join(found, ["bucket", "step"]).agg(F.sum(F.col("asking") * F.col("found"))).first()[0] or 0)
+def _near(live: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(bucket, name): how many pairs of one group of the keys sizes and places allow, counted by kinds of size and place and not pair by pair."""
+    kinds = live.groupBy(*keys, "n", "place").agg(F.count(F.lit(1)).alias("c"))
+    found = kinds.select(*keys, _size_class(F.col("n")).alias("step"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("c").alias("hub_c"))
+    allowed = could_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place")) & (F.col("hub_n") <= F.col("n"))
+    return _asking(kinds).join(found, [*keys, "step"]).where(allowed).groupBy("bucket").agg(F.sum(F.col("c") * F.col("hub_c")).alias(name))
+
+
+def _open_pairs(live: DataFrame) -> DataFrame:
+    """(bucket, pairs): how many pairs of different components `_rest` would make of each bucket (those of equal sizes twice)."""
+    return _near(live, ["bucket"], "every").join(_near(live, ["bucket", "component"], "same"), "bucket").select("bucket", (F.col("every") - F.col("same")).alias("pairs"))
 
 
 def _mixed(live: DataFrame) -> DataFrame:
@@ -311,7 +317,7 @@ def _mixed(live: DataFrame) -> DataFrame:
 
 
 def _dealt_anew(large: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(bucket, sid, n, place, component): members of large buckets in buckets of the tokens that begin their sets under the bucket's own order.
+    """(bucket, sid, n, place, component): members of given buckets in buckets of the tokens that begin their sets under the bucket's own order.
 
     The order is by how many of `SAMPLED` members hold a token, as far as one in `HELD_BY` does, then by hash: it is the same for all members of a
     bucket, whatever the sample, so nothing is lost by sampling.
@@ -358,17 +364,21 @@ def _dealt_anew(large: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _thinned(live: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(bucket, sid, n, place, component) as given, or with large buckets dealt anew, again and again while that at least halves the pairs that would meet."""
-    live = written(_mixed(live), "jaccard-left")
-    meet = _meetings(live)
-    while meet > MEETINGS * live.select("sid").distinct().count():
-        large, small = live.where(F.col("size") > LARGE), live.where(F.col("size") <= LARGE)
-        dealt = written(_mixed(_dealt_anew(large, texts, shingle).unionByName(small.drop("size"))), "jaccard-left")
-        now = _meetings(dealt)
-        if 2 * now > meet:
-            return dealt if now < meet else live
-        live, meet = dealt, now
-    return live
+    """(bucket, sid, n, place, component): buckets that would make more than `PAIRS` pairs a member are dealt anew, again and again while that at least
+    halves their pairs; all others as they are."""
+    left, out = written(_mixed(live), "jaccard-left"), None
+    while True:
+        counted = written(left.join(_open_pairs(left), "bucket", "left"), "jaccard-left", instead_of=left)
+        is_large = F.coalesce(F.col("pairs") > PAIRS * F.col("size"), F.lit(False))
+        small, large = (counted.where(c).drop("pairs") for c in (~is_large, is_large))
+        out = small if out is None else out.unionByName(small)
+        before = counted.where(is_large).select("bucket", "pairs").distinct().agg(F.sum("pairs")).first()[0]
+        if not before:
+            return out
+        left = written(_mixed(_dealt_anew(large, texts, shingle)), "jaccard-left")
+        after = _open_pairs(left).agg(F.sum("pairs")).first()[0] or 0
+        if 2 * after > before:
+            return out.unionByName(left if after < before else large)
 
 
 def _rest(live: DataFrame) -> DataFrame:
