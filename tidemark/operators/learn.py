@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import average_rank
+from tidemark.sources import files
 
 
 @dataclass(frozen=True)
@@ -111,23 +112,24 @@ def psi(rows: DataFrame, x: str, train: str) -> DataFrame:
 
 
 def bh_adjust(rows: DataFrame, test: str, p: str, bins: int = 64) -> DataFrame:
-    """Step-up adjusted p-values: the smallest p n / rank from the row's place up.
+    """Adds q, the step-up adjusted p-value: the smallest p n / rank from the row's place up. Null p-values count nowhere and have none.
 
-    Rows are dealt to bins by approximate edges and ranked within them; what lies
-    before a bin and the least that comes after it are tables of one row a bin.
+    Equal p-values are counted together: all of them have the rank of the last, as the smallest of their values is what counts. Distinct ones are
+    dealt to bins by approximate edges and ordered within them; what lies after a bin is a table of one row a bin.
     """
-    edges = F.array(*map(F.lit, rows.approxQuantile(p, [k / bins for k in range(1, bins)], 0.25 / bins))).cast("array<double>")
-    binned = rows.withColumn("__b", F.size(F.filter(edges, lambda e: e < F.col(p))))
-    sizes = binned.groupBy("__b").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    places = sizes.select("__b", before.alias("__before"), F.sum("c").over(Window.partitionBy()).alias("__n"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(p, test)) + F.col("__before")
-    valued = binned.join(F.broadcast(places), "__b").withColumn("__v", F.col(p) * F.col("__n") / rank)
-    lows = valued.groupBy("__b").agg(F.min("__v").alias("low"))
-    later = lows.select("__b", F.min("low").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
-    low = F.min("__v").over(Window.partitionBy("__b").orderBy(F.desc(p), F.desc(test)).rowsBetween(Window.unboundedPreceding, 0))
+    counts = rows.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("same"))
+    edges = F.array(*map(F.lit, sorted(set(counts.approxQuantile(p, [k / bins for k in range(1, bins)], 0.25 / bins))))).cast("array<double>")
+    binned = counts.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col(p))))
+    # One row a bin from here on.
+    sizes = binned.groupBy("bin").agg(F.sum("same").alias("n"))
+    places = sizes.select("bin", (F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    rank = F.sum("same").over(Window.partitionBy("bin").orderBy(p).rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    valued = binned.join(F.broadcast(places), "bin").withColumn("v", F.col(p) * F.col("total") / rank)
+    later = valued.groupBy("bin").agg(F.min("v").alias("low")).select("bin", F.min("low").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    low = F.min("v").over(Window.partitionBy("bin").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
     # F.least passes over nulls: the last bin has nothing after it.
-    return valued.join(F.broadcast(later), "__b").withColumn("q", F.least(F.lit(1.0), low, "__later")).drop("__b", "__before", "__n", "__v", "__later")
+    adjusted = valued.join(F.broadcast(later), "bin").select(p, F.least(F.lit(1.0), low, "later").alias("q"))
+    return rows.join(adjusted, p, "left").select(*rows.columns, "q")
 
 
 def residuals(rows: DataFrame, schema: str, keys: list[str], id_column: str, y: str, controls: list[str], group: str, ridge: float) -> DataFrame:
@@ -284,7 +286,7 @@ def experiment(
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    parts = assign(rows.withColumn("label", F.col(y).cast("double")), folds, day).cache()
+    parts = files.kept(assign(rows.withColumn("label", F.col(y).cast("double")), folds, day), "experiment")
     measured, chosen = None, {v: [] for v in variants}
     p = vector_to_array("probability")[1]
     for k in range(len(folds)):
@@ -308,7 +310,8 @@ def experiment(
             measured = daily if measured is None else measured.unionByName(daily)
     if measured is None:
         return spark.createDataFrame([], "variant string, chosen string, days long, brier double, baseline_brier double, mean double, low double, high double, p double, q double")
-    measured = measured.withColumn("delta", F.col("brier") - F.col("base")).withColumn("order", F.col("fold") * 100_000 + F.col("day")).cache()
+    measured = measured.withColumn("delta", F.col("brier") - F.col("base")).withColumn("order", F.col("fold") * 100_000 + F.col("day"))
+    measured = files.kept(measured, "experiment")
     means = measured.groupBy("variant").agg(F.count(F.lit(1)).alias("days"), F.avg("brier").alias("brier"), F.avg("base").alias("baseline_brier"))
     intervals = bh_adjust(block_bootstrap(measured, "variant", "order", "delta", block, samples, seed), "variant", "p")
     choices = spark.createDataFrame([(v, ",".join(c)) for v, c in chosen.items()], "variant string, chosen string")

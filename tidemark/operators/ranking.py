@@ -5,37 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import midrank
+
+def spread_of(rows: DataFrame, values: list[str], keys: list[str], bins: int = 128) -> dict[str, DataFrame]:
+    """For each value column a table (keys, value, below, same, known) of its distinct values: rows of smaller value, of this one, and of any.
+
+    Equal values are counted together and dealt to bins by approximate edges; values are ordered within a bin, and bins, of which a key has at most `bins`,
+    within a key. So no task orders a whole column. Nulls count nowhere.
+    """
+    edges = rows.approxQuantile(values, [k / bins for k in range(1, bins)], 0.25 / bins)
+    out = {}
+    for name, own in zip(values, edges, strict=True):
+        counts = rows.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("same"))
+        bounds = F.array(*map(F.lit, sorted(set(own)))).cast("array<double>")
+        binned = counts.withColumn("bin", F.size(F.filter(bounds, lambda e: e < F.col(name))))
+        sizes = binned.groupBy(*keys, "bin").agg(F.sum("same").alias("n"))
+        by = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+        before = sizes.select(*keys, "bin", (F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(by).alias("known"))
+        upto = F.sum("same").over(Window.partitionBy(*keys, "bin").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+        # The bins' table is of a fixed size for each key, and keys are few where cross-sections are large.
+        out[name] = binned.withColumn("upto", upto).join(before, [*keys, "bin"]).select(*keys, name, (F.col("before") + F.col("upto") - F.col("same")).alias("below"), "same", "known")
+    return out
 
 
 def percentile_scores(items: DataFrame, components: dict[str, list[str]], *partition: str) -> DataFrame:
     """For each component the mean of its features' mid-ranks times 100, nulls left out; null if all are null."""
-    out = items
     names = sorted({f for fs in components.values() for f in fs})
-    for f in names:
-        out = out.withColumn(f"__p_{f}", midrank(F.col(f), *partition))
+    out = items
+    for f, table in spread_of(items, names, list(partition)).items():
+        rank = ((F.col("below") + 0.5 * F.col("same")) / F.col("known")).alias(f"__p_{f}")
+        out = out.join(table.select(*partition, f, rank), [*partition, f], "left")
     for name, fs in components.items():
         known = F.filter(F.array(*[F.col(f"__p_{f}") for f in fs]), lambda x: x.isNotNull())
         out = out.withColumn(name, F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known) * 100))
-    return out.drop(*[f"__p_{f}" for f in names])
+    return out.select(*items.columns, *components)
+
+
+def average_ranks(items: DataFrame, value: str, name: str, *partition: str) -> DataFrame:
+    """Adds the rank from 1, smallest first; ties share the mean of their places, nulls have none."""
+    table = spread_of(items, [value], list(partition))[value]
+    return items.join(table.select(*partition, value, (F.col("below") + (F.col("same") + 1) / 2.0).alias(name)), [*partition, value], "left").select(*items.columns, name)
 
 
 def two_head_rank(items: DataFrame, heads: dict[str, str], partition: list[str], id_column: str) -> DataFrame:
-    """rank_<head> within the partition by score, highest first, ties by id; null scores have no rank."""
+    """rank_<head> within the partition by score, highest first, ties by id; null scores have no rank. Only ties are ordered together."""
     out = items
-    for head, score in heads.items():
-        w = Window.partitionBy(*partition).orderBy(F.desc_nulls_last(score), id_column)
-        out = out.withColumn(f"rank_{head}", F.when(F.col(score).isNotNull(), F.row_number().over(w)).cast("long"))
-    return out
+    for head, table in zip(heads, spread_of(items, list(heads.values()), partition).values(), strict=True):
+        score = heads[head]
+        above = (F.col("known") - F.col("below") - F.col("same")).alias("__above")
+        out = out.join(table.select(*partition, score, above), [*partition, score], "left")
+        tie = F.row_number().over(Window.partitionBy(*partition, score).orderBy(id_column))
+        out = out.withColumn(f"rank_{head}", F.when(F.col(score).isNotNull(), F.col("__above") + tie).cast("long")).drop("__above")
+    return out.select(*items.columns, *[f"rank_{h}" for h in heads])
 
 
 def terciles(items: DataFrame, column: str, *partition: str) -> DataFrame:
-    """Cut points by place: the values at a third and two thirds of the sorted values; exact, by row numbers rather than a list."""
-    w = Window.partitionBy(*partition)
-    n = F.count(column).over(w)
-    at = F.row_number().over(w.orderBy(column))
-    ranked = items.where(F.col(column).isNotNull()).select(*partition, column, n.alias("n"), at.alias("at"))
-    return ranked.groupBy(*partition).agg(F.max("n").alias("n"), F.max(F.when(F.col("at") == F.floor(F.col("n") / 3) + 1, F.col(column))).alias("low"), F.max(F.when(F.col("at") == F.floor(2 * F.col("n") / 3) + 1, F.col(column))).alias("high"))
+    """Cut points by place: the values at a third and two thirds of the sorted values; exact, from counts of values rather than an order of rows."""
+    t = spread_of(items, [column], list(partition))[column]
+    at = lambda k: F.max(F.when((F.col("below") <= F.floor(k * F.col("known") / 3)) & (F.floor(k * F.col("known") / 3) < F.col("below") + F.col("same")), F.col(column)))
+    return t.groupBy(*partition).agg(F.max("known").alias("n"), at(1).alias("low"), at(2).alias("high"))
 
 
 def stratified(items: DataFrame, strata: list[str], id_column: str, n: int, seed: str) -> DataFrame:

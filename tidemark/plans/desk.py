@@ -93,12 +93,12 @@ def _in(names: tuple[str, ...]) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
 
-@query(f"WITH {STAGES_SQL} SELECT object_id, stage, posts, row_number() OVER (ORDER BY posts DESC, object_id) AS place FROM st JOIN ps USING (object_id) WHERE stage IN ({_in(EARLY)}) AND contains('object ' || object_id, 't 1')")
+@query(f"WITH {STAGES_SQL} SELECT object_id, stage, posts, row_number() OVER (ORDER BY posts DESC, object_id) AS place FROM st JOIN ps USING (object_id) WHERE stage IN ({_in(EARLY)}) AND contains('object ' || object_id, 't 1') ORDER BY posts DESC, object_id LIMIT 50")
 def client_search(spark: SparkSession, d: str) -> DataFrame:
-    """P10: objects of the early group whose name holds a text, in rank order, then by id."""
+    """P10: objects of the early group whose name holds a text, in rank order, then by id; a page shows fifty."""
     found = staged(spark, d).where(F.col("stage").isin(*EARLY) & F.concat(F.lit("object "), F.col("object_id").cast("string")).contains("t 1"))
-    # One search's hits are shown on one page, so one window over them is fine.
-    return found.select("object_id", "stage", "posts", F.row_number().over(Window.orderBy(F.desc("posts"), "object_id")).cast("long").alias("place"))
+    # One page, so one window over it is fine.
+    return found.orderBy(F.desc("posts"), "object_id").limit(50).select("object_id", "stage", "posts", F.row_number().over(Window.orderBy(F.desc("posts"), "object_id")).cast("long").alias("place"))
 
 
 @query(f"WITH {STAGES_SQL} SELECT object_id, stage, posts FROM st JOIN ps USING (object_id) WHERE stage IN ({_in(ACTIVE)}) ORDER BY posts DESC, object_id LIMIT 6")

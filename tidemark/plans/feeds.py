@@ -87,36 +87,36 @@ def validate_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return good.select(F.lit("").alias("reasons")).unionByName(bad.select(F.array_join("reasons", ",").alias("reasons"))).groupBy("reasons").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS own, CASE WHEN event_id % 5 = 0 THEN 'local' ELSE event_type END AS source, event_id, user_id, ts, value, props FROM events WHERE event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0 AND event_id % 79 <> 0)
+SELECT source, count(DISTINCT coalesce(CAST(own AS VARCHAR), concat_ws('|', 'x', source, json_extract_string(props, '$.k'), strftime(ts, '%Y-%m-%dT%H:%M:%S'), user_id, value))) AS n FROM e GROUP BY 1""")
 def dir_watch_ingest(spark: SparkSession, d: str) -> DataFrame:
     """A watched folder, each file once, each record once."""
     folder, out = files.scratch(spark, "inbox"), files.scratch(spark, "records")
-    raw = raw_rows(spark, d).where("record_id like 'r%'")
+    raw = raw_rows(spark, d)
     raw.write.json(folder)
     raw.limit(100).write.mode("append").json(folder)
     windows.ingest(spark, folder, files.RECORD, out, "record_id")
-    return spark.read.parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("ids"))
+    return spark.read.parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT conv_id, count(*) AS nodes, max(turn) AS depth, sum(length(text)) AS chars FROM conversations GROUP BY 1".replace("sum(length(text))", "CAST(sum(length(text)) AS BIGINT)"))
 def comment_tree(spark: SparkSession, d: str) -> DataFrame:
     """A nested comment tree flattened by a recursive query."""
     c = table(spark, d, "conversations")
-    c.select("conv_id", "turn", F.length("text").cast("long").alias("chars"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent")).createOrReplaceTempView("tidemark_comments")
-    return spark.sql("""WITH RECURSIVE tree(conv_id, turn, depth, chars) AS (SELECT conv_id, turn, 0L, chars FROM tidemark_comments WHERE parent IS NULL
-      UNION ALL SELECT c.conv_id, c.turn, t.depth + 1, c.chars FROM tree t JOIN tidemark_comments c ON c.conv_id = t.conv_id AND c.parent = t.turn)
-      SELECT conv_id, count(*) AS nodes, max(depth) AS depth, sum(chars) AS chars FROM tree GROUP BY conv_id""")
+    c = c.select("conv_id", "turn", F.length("text").cast("long").alias("chars"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent"))
+    return spark.sql("""WITH RECURSIVE tree(conv_id, turn, depth, chars) AS (SELECT conv_id, turn, 0L, chars FROM {c} WHERE parent IS NULL
+      UNION ALL SELECT c.conv_id, c.turn, t.depth + 1, c.chars FROM tree t JOIN {c} c ON c.conv_id = t.conv_id AND c.parent = t.turn)
+      SELECT conv_id, count(*) AS nodes, max(depth) AS depth, sum(chars) AS chars FROM tree GROUP BY conv_id""", c=c)
 
 
-_YEARS = (1995, 1996, 1997, 1998)
-
-
-@query(f"""SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS forecast_year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders WHERE year(o_orderdate) IN {_YEARS} GROUP BY 1, 2""")
+@query("""SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS forecast_year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders GROUP BY 1, 2""")
 def unpivot_forecasts(spark: SparkSession, d: str) -> DataFrame:
     """Wide columns named by year made long again by their names."""
     o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
-    wide = o.groupBy("o_custkey").agg(*[F.sum(F.when(F.col("y") == y, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias(f"{y}_forecast") for y in _YEARS])
-    long = wide.unpivot(["o_custkey"], [f"{y}_forecast" for y in _YEARS], "name", "value").where("value is not null")
+    # As many columns as the table has years.
+    years = sorted(r["y"] for r in o.select("y").distinct().collect())
+    wide = o.groupBy("o_custkey").agg(*[F.sum(F.when(F.col("y") == y, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias(f"{y}_forecast") for y in years])
+    long = wide.unpivot(["o_custkey"], [f"{y}_forecast" for y in years], "name", "value").where("value is not null")
     return long.select("o_custkey", F.regexp_extract("name", r"(\d{4})_forecast", 1).cast("int").alias("forecast_year"), "value")
 
 

@@ -193,8 +193,7 @@ SELECT grp, year(day) AS "year", count(*) AS n, round(median(ret), 6) AS median_
 def event_study(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes by group, by group and year, and over all."""
     r = returns(spark, d).where("ret is not null").select((F.substring("oid", -1, 1).cast("long") % 3).alias("grp"), F.year("day").cast("long").alias("year"), "ret")
-    r.createOrReplaceTempView("tidemark_event_study")
-    return spark.sql('SELECT grp, year, count(*) AS n, round(median(ret), 6) AS median_ret, round(CAST(count_if(ret > 0) AS DOUBLE) / count(*), 6) AS positive FROM tidemark_event_study GROUP BY GROUPING SETS ((grp, year), (grp), ())')
+    return spark.sql('SELECT grp, year, count(*) AS n, round(median(ret), 6) AS median_ret, round(CAST(count_if(ret > 0) AS DOUBLE) / count(*), 6) AS positive FROM {r} GROUP BY GROUPING SETS ((grp, year), (grp), ())', r=r)
 
 
 PANEL_SQL = f"""pn AS (SELECT object_id, day, count(*) AS f1, CAST(sum(v) AS DOUBLE) AS f2, count(DISTINCT user_id) AS f3 FROM ev GROUP BY 1, 2),

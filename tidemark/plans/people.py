@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import average_rank, midrank, set_hash
-from tidemark.operators import lifecycle
+from tidemark.functions.columns import set_hash
 from tidemark.operators import actors as A
-from tidemark.operators import asof, bitemporal, ranking
+from tidemark.operators import asof, bitemporal, lifecycle, ranking
 from tidemark.operators import series as S
+from tidemark.sources import files
 
 from . import series as series_plans
 from .base import AS_OF, DAY, EV, HOUR, events, registered, table
@@ -144,11 +144,11 @@ def set_ops(spark: SparkSession, d: str) -> DataFrame:
     return j.select("topic", n(F.array_union("a", "b")).alias("everyone"), n(F.array_intersect("a", "b")).alias("retained"), n(F.array_except("b", "a")).alias("entered"), n(F.array_except("a", "b")).alias("exited"))
 
 
-@query(f"""WITH {EV}, p AS (SELECT DISTINCT object_id, user_id FROM ev WHERE source = 'purchase'), s AS (SELECT object_id, count(*) n FROM p GROUP BY 1), x AS (SELECT a.object_id AS a, b.object_id AS b, count(*) AS both_n FROM p a JOIN p b ON a.user_id = b.user_id AND a.object_id < b.object_id GROUP BY 1, 2)
-SELECT a, b, both_n AS "both", sa.n + sb.n - both_n AS "union", round(both_n::DOUBLE / (sa.n + sb.n - both_n), 6) AS jaccard FROM x JOIN s sa ON sa.object_id = a JOIN s sb ON sb.object_id = b WHERE both_n::DOUBLE / (sa.n + sb.n - both_n) >= 0.12""")
+@query(f"""WITH {EV}, p AS (SELECT DISTINCT object_id, user_id FROM ev), s AS (SELECT object_id, count(*) n FROM p GROUP BY 1), x AS (SELECT a.object_id AS a, b.object_id AS b, count(*) AS both_n FROM p a JOIN p b ON a.user_id = b.user_id AND a.object_id < b.object_id GROUP BY 1, 2)
+SELECT a, b, both_n AS "both", sa.n + sb.n - both_n AS "union", round(both_n::DOUBLE / (sa.n + sb.n - both_n), 6) AS jaccard FROM x JOIN s sa ON sa.object_id = a JOIN s sb ON sb.object_id = b WHERE both_n::DOUBLE / (sa.n + sb.n - both_n) >= 0.35""")
 def topic_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Pools that share much of their members."""
-    o = A.overlap(events(spark, d).where("source = 'purchase'"), "object_id", "user_id", 0.12)
+    o = A.overlap(events(spark, d), "object_id", "user_id", 0.35)
     return o.select("a", "b", "both", "union", *r6("jaccard"))
 
 
@@ -240,7 +240,8 @@ COMPONENTS = {"attention": ["growth", "peak"], "relative_score": ["relative", "s
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     f = features(spark, d).select("object_id", *[F.round(c, 9).alias(c) for c in ("growth", "relative", "share_change")], "actors", "peak")
-    return ranking.percentile_scores(f, COMPONENTS)
+    # Each feature is ordered for itself: they are worked out once.
+    return ranking.percentile_scores(files.kept(f, "features"), COMPONENTS)
 
 
 @query(f"WITH {EV}, {FEATURES_SQL}, {SCORES_SQL} SELECT object_id, round(attention, 4) AS attention, round(relative_score, 4) AS relative_score, round(participation, 4) AS participation FROM sc")
@@ -256,7 +257,7 @@ def two_head_rank(spark: SparkSession, d: str) -> DataFrame:
     """Two rankings within each kind; the unmeasured have no rank."""
     s = scored(spark, d)
     s = s.select("object_id", (F.col("object_id") % 3).alias("kind"), F.round((F.col("attention") + F.col("relative_score") + F.col("participation")) / 3, 6).alias("discovery"), F.when(F.col("object_id") % 11 != 0, F.round((F.col("attention") + F.col("participation")) / 2, 6)).alias("research"))
-    out = ranking.two_head_rank(s, {"discovery": "discovery", "research": "research"}, ["kind"], "object_id")
+    out = ranking.two_head_rank(files.kept(s, "scores"), {"discovery": "discovery", "research": "research"}, ["kind"], "object_id")
     return out.select("object_id", "kind", F.round("discovery", 4).alias("discovery"), F.round("research", 4).alias("research"), "rank_discovery", "rank_research")
 
 
@@ -279,7 +280,7 @@ def stratified_controls(spark: SparkSession, d: str) -> DataFrame:
 def average_rank_source(spark: SparkSession, d: str) -> DataFrame:
     """Ranks at ingest; ties share the mean of their places."""
     u = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("down", -F.col("n"))
-    return u.select("user_id", "n", average_rank(F.col("down")).alias("average_rank"))
+    return ranking.average_ranks(u, "down", "average_rank").select("user_id", "n", "average_rank")
 
 
 @query("""WITH q AS (SELECT l_shipdate, p_brand, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)

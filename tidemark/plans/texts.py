@@ -44,19 +44,19 @@ def exact_cluster(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(T.exact_key(F.col("text")).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 20")
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY 1")
 def token_extract(spark: SparkSession, d: str) -> DataFrame:
     """T4: terms by number and documents."""
     t = spread(table(spark, d, "documents")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     per = t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")).where("n >= 20")
+    return per.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
-@query("""WITH g AS (SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS gram FROM (SELECT lower(text) AS t FROM conversations WHERE length(text) >= 3)) SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 50""")
+@query("""WITH g AS (SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS gram FROM (SELECT lower(text) AS t FROM conversations WHERE length(text) >= 3)) SELECT gram, count(*) AS n FROM g GROUP BY 1""")
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """T5: character trigrams of whole texts."""
     c = table(spark, d, "conversations").select(F.explode(T.char_grams(F.lower("text"), 3)).alias("gram"))
-    return c.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
+    return c.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 _GRAM_STOPS = ("and", "steel", "o")
@@ -110,10 +110,10 @@ def phrase_burst(spark: SparkSession, d: str) -> DataFrame:
     return b.select("term", "n_recent", "n_past", "n_sources", "burst", "deviance", "eligible").orderBy(F.desc("eligible"), F.desc("deviance"), F.desc("n_sources"), F.desc("n_recent"), "term").limit(40)
 
 
-@query(f"WITH {PHRASES_SQL} SELECT term, n_recent, n_past, n_sources FROM ph WHERE n_recent >= 5")
+@query(f"WITH {PHRASES_SQL} SELECT term, n_recent, n_past, n_sources FROM ph")
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
     """Documents and sources of terms and pairs, recent and past."""
-    return phrases(spark, d).where("n_recent >= 5")
+    return phrases(spark, d)
 
 
 @query(f"""WITH {PHRASES_SQL}, p AS (SELECT word, max(n_recent) AS n_pair FROM (SELECT n_recent, unnest(list_distinct(string_split(term, ' '))) AS word FROM ph WHERE contains(term, ' ')) GROUP BY 1)
