@@ -145,3 +145,19 @@ def test_fixture_queries(spark, data):
     logistic = {r["feature"]: r["coefficient"] for r in QUERIES["fit_logistic"](spark, data).collect()}
     assert set(ridge) == set(logistic) == {"f1", "f2", "f3", "intercept"} and ridge["f1"] < 0 > logistic["f1"]
     assert QUERIES["html_text"](spark, data).where(F.col("text").rlike("<[a-z]+>")).count() == 0
+
+
+def test_baselines_on_the_same_days(spark):
+    rng = np.random.default_rng(4)
+    rows = [(day, i, float(x), 1.0, float(x + 0.2 * rng.normal()), int(x > 0.5)) for day in range(40) for i, x in enumerate(rng.normal(size=30))]
+    df = spark.createDataFrame(rows, "day int, id int, good double, flat double, value double, y int").withColumn("none", F.when(F.col("day") < 0, F.lit(1.0)))
+    folds = learn.walk_forward(0, train=10, validation=4, test=6, embargo=1, step=3, folds=2)
+    daily = learn.held_out_metrics(df, folds, {"good": "good", "flat": "flat", "none": "none"}, "day", "id", "value", "y", 5).toPandas()
+    days = sorted({d for f in folds for d in range(*f.test) if d < 40})
+    assert sorted(daily[daily.variant == "good"]["day"]) == days and len(daily) == 3 * len(days)
+    assert (daily[daily.variant == "good"]["rank_ic"].astype(float) > 0.8).all() and daily[daily.variant != "good"]["rank_ic"].isna().all()
+    out = {r["variant"]: r for r in learn.paired(spark.createDataFrame(daily), "good", "day", "top_mean", samples=200).collect()}
+    assert set(out) == {"flat", "none"}
+    by = daily.pivot(index="day", columns="variant", values="top_mean").astype(float)
+    for v, r in out.items():
+        assert r["days"] == len(days) and r["mean"] == pytest.approx((by["good"] - by[v]).mean()) and r["low"] > 0 and r["q"] < 0.05

@@ -21,7 +21,7 @@ def test_equals_sql(spark, data, duck, name):
     assert spark_rows(QUERIES[name](spark, data)) == duck_rows(duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", ["nfkc", "events_extract", "quantities", "html_text", "dir_watch_ingest", "block_bootstrap", "isotonic"])
+@pytest.mark.parametrize("name", ["nfkc", "events_extract", "html_text", "block_bootstrap", "isotonic", "paired_baselines"])
 def test_gives_rows(spark, data, name):
     df = QUERIES[name](spark, data)
     assert df.columns

@@ -91,16 +91,40 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def daily_metrics(rows: DataFrame, day: str, id_column: str, p: str, value: str, y: str, k: int) -> DataFrame:
+    """Of each day: rows, rank correlation of score and value (null where either doesn't vary), mean value and share of hits of the k first, Brier score,
+    NDCG, and the share of all hits that is among the k first."""
     w = Window.partitionBy(day)
     r = rows.withColumn("rp", average_rank(F.col(p), day)).withColumn("rv", average_rank(F.col(value), day)).withColumn("place", F.row_number().over(w.orderBy(F.desc(p), id_column))).withColumn("ideal", F.row_number().over(w.orderBy(F.desc(y), id_column)))
     gain = lambda at: F.sum(F.when(F.col(at) <= k, F.col(y) / F.log2(F.col(at) + 1.0)).otherwise(0.0))
     top = F.col("place") <= k
     hits = F.sum(F.when(top, F.col(y)))
     return r.groupBy(day).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("rp", "rv").alias("rank_ic"), F.avg(F.when(top, F.col(value))).alias("top_mean"), (F.sum(F.when(top, F.col(y))).cast("double") / k).alias("top_rate"), F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"), F.when(F.sum(y) > 0, gain("place") / gain("ideal")).alias("ndcg"), F.when(F.sum(y) > 0, hits.cast("double") / F.sum(y)).alias("recall")
+        F.count(F.lit(1)).alias("n"), (F.covar_pop("rp", "rv") / F.nullif(F.stddev_pop("rp") * F.stddev_pop("rv"), F.lit(0.0))).alias("rank_ic"), F.avg(F.when(top, F.col(value))).alias("top_mean"), (F.sum(F.when(top, F.col(y))).cast("double") / k).alias("top_rate"), F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"), F.when(F.sum(y) > 0, gain("place") / gain("ideal")).alias("ndcg"), F.when(F.sum(y) > 0, hits.cast("double") / F.sum(y)).alias("recall")
     )
 
 
+def held_out_metrics(rows: DataFrame, folds: list[Fold], scores: dict[str, str], day: str, id_column: str, value: str, y: str, k: int) -> DataFrame:
+    """(variant, day, ...) of `daily_metrics` on the test days of the folds: a model's score and fixed baselines, each a column, on the same held-out rows.
+    A missing score counts as 0. A day that is tested in several folds counts once."""
+    held = assign(rows, folds, day).where("part = 'test'").drop("fold", "part").dropDuplicates([day, id_column])
+    out = None
+    for name, column in scores.items():
+        own = held.withColumn("__score", F.coalesce(F.col(column).cast("double"), F.lit(0.0)))
+        metrics = daily_metrics(own, day, id_column, "__score", value, y, k).select(F.lit(name).alias("variant"), day, "n", "rank_ic", "top_mean", "top_rate", "ndcg", "recall")
+        out = metrics if out is None else out.unionByName(metrics)
+    return out
+
+
+def paired(daily: DataFrame, full: str, day: str, value: str, block: int = 3, samples: int = 500, seed: int = 7) -> DataFrame:
+    """(variant, days, mean, low, high, p, q): how much better `full` is than each other variant on the days that both have, with an interval and a
+    p-value by moving blocks; p-values are adjusted over the variants."""
+    own = daily.where(F.col("variant") == full).select(day, F.col(value).alias("__full"))
+    deltas = daily.where(F.col("variant") != full).join(own, day).withColumn("delta", F.col("__full") - F.col(value)).where("delta is not null")
+    deltas = files.kept(deltas.select("variant", F.col(day).alias("order"), "delta"), "paired")
+    days = deltas.groupBy("variant").agg(F.count(F.lit(1)).alias("days"))
+    return bh_adjust(block_bootstrap(deltas, "variant", "order", "delta", block, samples, seed), "variant", "p").join(days, "variant").select("variant", "days", "mean", "low", "high", "p", "q")
+
+
 def psi(rows: DataFrame, x: str, train: str) -> DataFrame:
     """Population stability: decile bins of the train half, half a row added to each count."""
     edges = quantiles(rows.where(F.col(train)), x, [k / 10 for k in range(1, 10)])

@@ -451,3 +451,32 @@ def experiment(spark: SparkSession, d: str) -> DataFrame:
     folds = learn.walk_forward(_FIRST, train=10, validation=4, test=4, embargo=1, step=4, folds=2)
     variants = {"full": ["f1", "f2", "f3"], "without_f1": ["f2", "f3"], "without_f2": ["f1", "f3"], "f1_only": ["f1"]}
     return learn.experiment(spark, dataset(spark, d), folds, variants, "y", "day", grid=(0.1, 10.0))
+
+
+_FOLDS = learn.walk_forward(_FIRST, train=10, validation=4, test=4, embargo=1, step=4, folds=2)
+_SCORES = {"model": "CAST(f1 AS DOUBLE) * 0.5 + f3", "heat_level": "CAST(f1 AS DOUBLE)", "heat_change": "CAST(f1 - before AS DOUBLE)", "price_change": "f2"}
+_TESTED = " OR ".join(f"day >= {f.test[0]} AND day < {f.test[1]}" for f in _FOLDS)
+
+
+def _scored_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = dataset(spark, d).withColumn("before", F.lag("f1").over(Window.partitionBy("object_id").orderBy("day")))
+    return rows.withColumns({f"s_{n}": F.expr(e) for n, e in _SCORES.items()})
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    return learn.held_out_metrics(_scored_rows(spark, d), _FOLDS, {n: f"s_{n}" for n in _SCORES}, "day", "object_id", "f2", "y", 10)
+
+
+@query(f"""WITH {EV}, {PANEL_SQL}, h0 AS (SELECT *, lag(f1) OVER (PARTITION BY object_id ORDER BY day) AS before FROM ds), h AS (SELECT * FROM h0 WHERE {_TESTED}), v AS ({" UNION ALL ".join(f"SELECT '{n}' AS variant, object_id, day, y, f2 AS value, coalesce({e}, 0) AS p FROM h" for n, e in _SCORES.items())}),
+k AS (SELECT *, rank() OVER (PARTITION BY variant, day ORDER BY p) + (count(*) OVER (PARTITION BY variant, day, p) - 1) / 2.0::DOUBLE AS rp, rank() OVER (PARTITION BY variant, day ORDER BY value) + (count(*) OVER (PARTITION BY variant, day, value) - 1) / 2.0::DOUBLE AS rv, row_number() OVER (PARTITION BY variant, day ORDER BY p DESC, object_id) AS place, row_number() OVER (PARTITION BY variant, day ORDER BY y DESC, object_id) AS ideal, sum(y) OVER (PARTITION BY variant, day) AS pos FROM v)
+SELECT variant, day, count(*) AS n, round(corr(rp, rv), 6) AS rank_ic, round(avg(value) FILTER (WHERE place <= 10), 6) AS top_mean, round(CAST(sum(y) FILTER (WHERE place <= 10) AS DOUBLE) / 10, 6) AS top_rate,
+CASE WHEN max(pos) > 0 THEN round(sum(CASE WHEN place <= 10 THEN y / log2(place + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN y / log2(ideal + 1) ELSE 0 END), 6) END AS ndcg, CASE WHEN max(pos) > 0 THEN round(CAST(sum(y) FILTER (WHERE place <= 10) AS DOUBLE) / max(pos), 6) END AS recall FROM k GROUP BY 1, 2""")
+def baseline_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A fixed linear score and three plain baselines (heat, its change, price) on the same held-out days."""
+    return _metrics(spark, d).select("variant", "day", "n", *r6("rank_ic", "top_mean", "top_rate", "ndcg", "recall"))
+
+
+@query()
+def paired_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """How much the score gains on each baseline, by matched days, with intervals and adjusted p-values by moving blocks."""
+    return learn.paired(_metrics(spark, d), "model", "day", "top_mean")

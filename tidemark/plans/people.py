@@ -398,10 +398,23 @@ def overseas_map(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("r_name").alias("market")).agg(F.countDistinct("n_nationkey").alias("nations"), F.count(F.lit(1)).alias("customers"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
 
 
-@query(f"""WITH {EV}, s AS (SELECT object_id, day, CASE WHEN (us % {DAY}) < {12 * HOUR} THEN 'morning' ELSE 'afternoon' END AS session, count(DISTINCT user_id) AS actors, count(*) AS posts, count(DISTINCT source) AS platforms FROM ev GROUP BY 1, 2, 3)
-SELECT * FROM s""")
+_HALF = f"CASE WHEN pmod({{0}}, {DAY}) < {12 * HOUR} THEN 'morning' ELSE 'afternoon' END"
+
+
+@query(f"""WITH {EV}, s AS (SELECT object_id, day, CASE WHEN (us % {DAY}) < {12 * HOUR} THEN 'morning' ELSE 'afternoon' END AS session, count(DISTINCT user_id) AS actors, count(*) AS posts, count(DISTINCT source) AS platforms FROM ev GROUP BY 1, 2, 3),
+w AS (SELECT object_id, user_id, us, (us // {_FIVE} + k) * {_FIVE} AS e FROM ev, range(1, 13) r(k)), o AS (SELECT *, e - e % {DAY} + CASE WHEN e % {DAY} > {_OPEN} THEN {_OPEN} ELSE 0 END AS open_us FROM w),
+c AS (SELECT object_id, e, {", ".join(f"count(DISTINCT CASE WHEN us >= e - {m * _MIN} THEN user_id END) AS a{m}" for m in (15, 30, 60))} FROM o WHERE us >= greatest(e - {60 * _MIN}, open_us) GROUP BY 1, 2),
+p AS (SELECT object_id, e // {DAY} AS day, CASE WHEN (e % {DAY}) < {12 * HOUR} THEN 'morning' ELSE 'afternoon' END AS session, max(a15) AS peak_15, max(a30) AS peak_30, max(a60) AS peak_60 FROM c GROUP BY 1, 2, 3),
+m AS (SELECT DISTINCT object_id, day, user_id FROM ev WHERE us % {DAY} < {12 * HOUR}), r AS (SELECT object_id, day, 'afternoon' AS session, count(DISTINCT user_id) AS retained FROM ev JOIN m USING (object_id, day, user_id) WHERE us % {DAY} >= {12 * HOUR} GROUP BY 1, 2)
+SELECT s.*, coalesce(peak_15, 0) AS peak_15, coalesce(peak_30, 0) AS peak_30, coalesce(peak_60, 0) AS peak_60, CASE WHEN session = 'afternoon' THEN coalesce(retained, 0) END AS retained FROM s LEFT JOIN p USING (object_id, day, session) LEFT JOIN r USING (object_id, day, session)""")
 def detail_view(spark: SparkSession, d: str) -> DataFrame:
-    """Actors, posts and platforms of every object by half day."""
+    """Of every object by half day: actors, posts, platforms, the most actors of 15, 30 and 60 minutes, and who of the morning came back."""
     e = events(spark, d)
-    half = F.when(F.expr(f"us % {DAY} < {12 * HOUR}"), "morning").otherwise("afternoon")
-    return e.groupBy("object_id", "day", half.alias("session")).agg(F.countDistinct("user_id").alias("actors"), F.count(F.lit(1)).alias("posts"), F.countDistinct("source").alias("platforms"))
+    half = F.expr(_HALF.format("us")).alias("session")
+    halves = e.groupBy("object_id", "day", half).agg(F.countDistinct("user_id").alias("actors"), F.count(F.lit(1)).alias("posts"), F.countDistinct("source").alias("platforms"))
+    sliding = A.sliding_actors(e, ["object_id"], "us", "user_id", (15, 30, 60))
+    peaks = sliding.groupBy("object_id", F.expr(f"end div {DAY}").alias("day"), F.expr(_HALF.format("end")).alias("session")).agg(*[F.max(f"actors_{m}").alias(f"peak_{m}") for m in (15, 30, 60)])
+    both = e.groupBy("object_id", "day", "user_id").agg(F.count_distinct(F.expr(_HALF.format("us"))).alias("halves")).where("halves = 2")
+    back = both.groupBy("object_id", "day").agg(F.count(F.lit(1)).alias("back"))
+    out = halves.join(peaks, ["object_id", "day", "session"], "left").join(back, ["object_id", "day"], "left")
+    return out.select("object_id", "day", "session", "actors", "posts", "platforms", *[F.coalesce(f"peak_{m}", F.lit(0)).alias(f"peak_{m}") for m in (15, 30, 60)], F.when(F.col("session") == "afternoon", F.coalesce("back", F.lit(0))).alias("retained"))
