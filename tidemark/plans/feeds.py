@@ -40,10 +40,10 @@ def jsonl_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_CUST)
 def json_source(spark: SparkSession, d: str) -> DataFrame:
-    """Files that hold one object with a list of records, one file a segment."""
+    """Files that hold one object with a list of records, a few hundred records a file."""
     path = files.scratch(spark, "json")
-    whole = _customers(spark, d).groupBy("c_mktsegment").agg(F.to_json(F.struct(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("records"))).alias("value"))
-    whole.select("value", "c_mktsegment").repartition(5, "c_mktsegment").write.partitionBy("c_mktsegment").text(path)
+    whole = _customers(spark, d).groupBy(F.expr("c_custkey div 500").alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("records"))).alias("value"))
+    whole.select("value", "part").repartition("part").write.partitionBy("part").text(path)
     return files.read_json(spark, f"{path}/*", CUSTOMER)
 
 
@@ -247,16 +247,23 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EV}, l AS (SELECT user_id, list(object_id ORDER BY us, event_id) AS xs FROM ev GROUP BY 1) SELECT user_id, array_to_string(xs[1:8], ',') AS first_8, array_to_string(xs[-5:], ',') AS last_5, len(xs) AS n FROM l")
 def array_slice(spark: SparkSession, d: str) -> DataFrame:
-    """Heads and tails of traces."""
-    l = events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", "object_id"))), lambda x: x["object_id"].cast("string")).alias("xs"))
-    return l.select("user_id", F.array_join(F.slice("xs", 1, 8), ",").alias("first_8"), F.array_join(F.slice("xs", F.greatest(F.size("xs") - 4, F.lit(1)), F.lit(5)), ",").alias("last_5"), F.size("xs").cast("long").alias("n"))
+    """Heads and tails of traces: only their rows come together."""
+    e = events(spark, d).select("user_id", "us", "event_id", "object_id")
+
+    def end(n: int, name: str, *order) -> DataFrame:
+        few = e.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("nth") <= n)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", "object_id"))), lambda x: x["object_id"].cast("string"))
+        return few.groupBy("user_id").agg(F.array_join(listed, ",").alias(name))
+
+    n = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return end(8, "first_8", "us", "event_id").join(end(5, "last_5", F.desc("us"), F.desc("event_id")), "user_id").join(n, "user_id").select("user_id", "first_8", "last_5", "n")
 
 
 @query(f"WITH {EV}, f AS (SELECT user_id, source, min(us) AS us FROM ev GROUP BY 1, 2) SELECT user_id, string_agg(source, ',' ORDER BY us, source) AS sources FROM f GROUP BY 1")
 def distinct_order(spark: SparkSession, d: str) -> DataFrame:
     """Distinct values in the order they first came."""
-    l = events(spark, d).groupBy("user_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("us", "source"))), lambda x: x["source"])).alias("s"))
-    return l.select("user_id", F.array_join("s", ",").alias("sources"))
+    first = events(spark, d).groupBy("user_id", "source").agg(F.min("us").alias("us"))
+    return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("us", "source"))), lambda x: x["source"]), ",").alias("sources"))
 
 
 @query(f"WITH {EV}, s AS (SELECT DISTINCT object_id, source FROM ev) SELECT a.source AS a, b.source AS b, count(*) AS objects FROM s a JOIN s b ON a.object_id = b.object_id AND a.source < b.source GROUP BY 1, 2")

@@ -137,11 +137,9 @@ SELECT topic, count(*) AS everyone, count(*) FILTER (WHERE x IS NOT NULL AND y I
 def set_ops(spark: SparkSession, d: str) -> DataFrame:
     """Union, retained, entered and exited members of two snapshots."""
     e = events(spark, d)
-    day = lambda k: e.where(F.col("day") == AS_OF // DAY - k).groupBy(F.col("object_id").alias("topic")).agg(F.collect_set("user_id").alias("s"))
-    none = F.expr("cast(array() as array<bigint>)")
-    j = day(2).withColumnRenamed("s", "a").join(day(1).withColumnRenamed("s", "b"), "topic", "full").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
-    n = lambda c: F.size(c).cast("long")
-    return j.select("topic", n(F.array_union("a", "b")).alias("everyone"), n(F.array_intersect("a", "b")).alias("retained"), n(F.array_except("b", "a")).alias("entered"), n(F.array_except("a", "b")).alias("exited"))
+    day = lambda k, name: e.where(F.col("day") == AS_OF // DAY - k).select(F.col("object_id").alias("topic"), "user_id").distinct().withColumn(name, F.lit(True))
+    j = day(2, "a").join(day(1, "b"), ["topic", "user_id"], "full")
+    return j.groupBy("topic").agg(F.count(F.lit(1)).alias("everyone"), F.count_if(F.col("a") & F.col("b")).alias("retained"), F.count_if(F.col("a").isNull()).alias("entered"), F.count_if(F.col("b").isNull()).alias("exited"))
 
 
 @query(f"""WITH {EV}, p AS (SELECT DISTINCT object_id, user_id FROM ev), s AS (SELECT object_id, count(*) n FROM p GROUP BY 1), x AS (SELECT a.object_id AS a, b.object_id AS b, count(*) AS both_n FROM p a JOIN p b ON a.user_id = b.user_id AND a.object_id < b.object_id GROUP BY 1, 2)
