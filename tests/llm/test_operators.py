@@ -242,6 +242,31 @@ def test_suffix_dedup_of_a_common_passage(spark, most, of_core):
     assert got(suffix_dedup.report(df, most=most, most_of_core=of_core), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(data)
 
 
+#: Which of abba and baab two texts have around a shared gram, + - or both abba: their polynomial hashes modulo 2**64 agree for any codes of a and b.
+_CANCEL, _GRAM = "0-0-0-0-0-000000-+-+-00++--+0++-00-++++0+0--+0+------0-+-0-+--+-0-++-0-0--0----+--+0", "fcwjjilzkeetmlhmkxhjnvvlpwgvwcel"
+
+
+def _cancelling(sign: str) -> str:
+    parts = ["baab" if c not in ("0", sign) else "abba" for c in _CANCEL]
+    return "".join(parts[:42]) + _GRAM + "".join(parts[42:])
+
+
+def test_suffix_dedup_where_polynomial_hashes_agree(spark):
+    a, b = _cancelling("+"), _cancelling("-")
+    assert a != b
+    for data in ([(1, a), (2, b)], [(1, a), (2, b), (3, a[:250] + "x"), (4, "y" + b[90:])]):
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        assert got(suffix_dedup.report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(data)
+
+
+def test_repeated_windows_where_hashes_of_the_sort_agree(monkeypatch):
+    """The sort takes all suffixes for equal: the verdict must not depend on it."""
+    monkeypatch.setattr(suffix_dedup.SuffixSorter, "extension", lambda self, a, b: np.full(len(a), self.length))
+    body = [b"12345678" + bytes([c]) * 40 for c in b"abacb"]
+    table = pa.table({"key": [1] * 5, "step": pa.array([-1] * 5, pa.int32()), "rid": [1, 2, 3, 4, 5], "at": [1] * 5, "body": pa.array(body, pa.binary())})
+    assert suffix_dedup.repeated_windows(table, 48).tolist() == [True, True, True, False, True]
+
+
 def test_suffix_sort_orders_and_extends():
     rng = np.random.default_rng(4)
     body = rng.integers(97, 99, 600).astype(np.uint8)

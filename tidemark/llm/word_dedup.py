@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import BYTE_CODES, NOT_SPACE, between, flat, mix, prefix, ranges, slices, word_hashes, words
-from .repeats import Kind, covered, equal_windows, marked, shared_keys
+from .columns import NOT_SPACE, between, flat, mix, prefix, ranges, slices, word_hashes, words
+from .repeats import Kind, covered, digests, equal_windows, marked, shared_keys
 from .store import with_row_id, written
 from .suffix_dedup import _span_arrays
 
@@ -63,15 +63,15 @@ def extended(alive: DataFrame, window: int, length: int) -> DataFrame:
 
 
 def window_rows(alive: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, rid, at, k) of living windows: hashes of the words' codes and of the words' bytes, and the window's number in its fragment."""
+    """(w1, w2, rid, at, k) of living windows: both halves of a digest of the words, and the window's number in its fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body"):
             body, starts, ends, owner, k, begin, _ = _places(batch, window)
-            code = mix(between(prefix(word_hashes(body, starts, ends)), begin, begin + window))
-            raw = between(prefix(mix(BYTE_CODES)[body]), starts[begin], ends[begin + window - 1])
+            # The texts of fragments are words joined by one blank.
+            hashes = digests(body.tobytes(), starts[begin], ends[begin + window - 1], spaced=False)
             index = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(raw.view(np.int64)), batch.column(1).take(index), batch.column(2).take(index), pa.array(k.astype(np.int32))], ["w1", "w2", "rid", "at", "k"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), batch.column(1).take(index), batch.column(2).take(index), pa.array(k.astype(np.int32))], ["w1", "w2", "rid", "at", "k"])
 
     return alive.select("anchor", "rid", "at", "body", "alive").mapInArrow(run, "w1 long, w2 long, rid long, at long, k int")
 
