@@ -85,7 +85,7 @@ _PAGE = 500
 
 @query("SELECT event_type AS source, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, true AS complete FROM events GROUP BY 1")
 def paged_source(spark: SparkSession, d: str) -> DataFrame:
-    """A source followed from token to token to its end, eight pages a batch, the cursor pending until the batch is stored."""
+    """A source followed from token to token to its end, eight pages a batch and more once many are read, the cursor pending until the batch is stored."""
     from tidemark.sources import paged
 
     out, first = files.scratch(spark, "paged-table"), table(spark, d, "events").agg(F.min(F.expr(f"event_id div {_PAGE}"))).first()[0]

@@ -5,8 +5,9 @@ for them would have left them; `FolderPages` is the only part that knows this.
 
 The stream's offset is the cursor: the token that was asked for last and is still to come. Spark writes it to the checkpoint before a batch is read
 (the cursor is pending) and marks it once the batch is stored (it is committed), so a run that dies between the two reads the same
-pages again, and a sink that replaces a batch by its number neither loses nor doubles a row. The driver follows tokens only; records are read by
-the tasks, one a page. Coverage is complete where a page has no next token, and only there.
+pages again, and a sink that replaces a batch by its number neither loses nor doubles a row. The driver follows tokens only, each once; records are
+read by the tasks, neighbouring pages by one. A batch has a quarter of the pages before it once that is more than `pagesPerBatch`, so batches grow in
+number with the logarithm of the chain alone, and never repeat more than a fifth of it. Coverage is complete where a page has no next token, and only there.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+#: Tasks of a batch at most, and what part of the pages before it a batch has at least.
+TASKS, PART = 64, 4
 SCHEMA = "search string, token string, place long, record string, last boolean"
 
 
@@ -45,9 +48,9 @@ class FolderPages:
         return page
 
 
-class Page(InputPartition):
-    def __init__(self, search: str, token: str) -> None:
-        self.search, self.token = search, token
+class Pages(InputPartition):
+    def __init__(self, search: str, tokens: list[str]) -> None:
+        self.search, self.tokens = search, tokens
 
 
 def _rows(pages: FolderPages, search: str, token: str) -> Iterator[tuple]:
@@ -65,6 +68,7 @@ class PagedStream(DataSourceStreamReader):
         self.pages, self.first = FolderPages(options["path"]), options["first"]
         self.most = int(options.get("pagesPerBatch", "8"))
         self.at: dict | None = None
+        self.planned: tuple[int, list[tuple[str, str | None]]] = (-1, [])
 
     def initialOffset(self) -> dict:
         return {"token": self.first, "pages": 0}
@@ -79,7 +83,9 @@ class PagedStream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         start = self.at or self.initialOffset()
-        steps = self._follow(start, self.most)
+        steps = self._follow(start, max(self.most, start["pages"] // PART))
+        if steps:
+            self.planned = (start["pages"], steps)
         self.at = {"token": steps[-1][1] or None, "pages": start["pages"] + len(steps)} if steps else start
         return self.at
 
@@ -87,10 +93,16 @@ class PagedStream(DataSourceStreamReader):
         # After a restart Spark asks for a batch that this reader didn't plan; the tokens between two offsets are the same.
         if self.at is None or self.at["pages"] < end["pages"]:
             self.at = end
-        return [Page("", token) for token, _ in self._follow(start, end["pages"] - start["pages"])]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return _rows(self.pages, partition.search, partition.token)
+        size = end["pages"] - start["pages"]
+        first, steps = self.planned
+        if first != start["pages"] or len(steps) != size:
+            steps = self._follow(start, size)
+        tokens, each = [token for token, _ in steps], -(-size // TASKS) or 1
+        return [Pages("", tokens[k : k + each]) for k in range(0, len(tokens), each)]
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for token in partition.tokens:
+            yield from _rows(self.pages, partition.search, token)
 
     def commit(self, end: dict) -> None:
         # The checkpoint's commit log holds the cursor; a service that wants to be told would be told here.
@@ -104,10 +116,10 @@ class PagedSearches(DataSourceReader):
         self.pages, self.searches, self.most = FolderPages(options["path"]), json.loads(options["searches"]), int(options.get("pages", "3"))
 
     def partitions(self) -> list[InputPartition]:
-        return [Page(search, token) for search, token in sorted(self.searches.items())]
+        return [Pages(search, [token]) for search, token in sorted(self.searches.items())]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        token, n = partition.token, 0
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        token, n = partition.tokens[0], 0
         while token and n < self.most:
             yield from _rows(self.pages, partition.search, token)
             token, n = self.pages.page(token).get("next"), n + 1
@@ -129,7 +141,7 @@ class Paged(DataSource):
 
 
 def stream(spark: SparkSession, path: str, first: str, pages_per_batch: int = 8) -> DataFrame:
-    """SCHEMA rows of the pages from the token `first` on, `pages_per_batch` pages a batch."""
+    """SCHEMA rows of the pages from the token `first` on, `pages_per_batch` pages a batch or a quarter of those before it, if that is more."""
     spark.dataSource.register(Paged)
     return spark.readStream.format("tidemark_paged").option("first", first).option("pagesPerBatch", pages_per_batch).load(path)
 
