@@ -414,13 +414,13 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fit_ridge(spark: SparkSession, d: str) -> DataFrame:
     """Ridge coefficients of the panel, equal to the closed form."""
-    return learn.ridge(spark, learn.by_day(dataset(spark, d), "day", "w"), ["f1", "f2", "f3"], "y", 1.0, "w")
+    return learn.ridge(spark, learn.by_day(files.kept(dataset(spark, d), "panel"), "day", "w"), ["f1", "f2", "f3"], "y", 1.0, "w")
 
 
 @query()
 def fit_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Logistic coefficients of the panel."""
-    return learn.logistic_fit(spark, learn.by_day(dataset(spark, d), "day", "w"), ["f1", "f2", "f3"], "y", 1.0, "w")
+    return learn.logistic_fit(spark, learn.by_day(files.kept(dataset(spark, d), "panel"), "day", "w"), ["f1", "f2", "f3"], "y", 1.0, "w")
 
 
 @query()
