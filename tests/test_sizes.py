@@ -10,6 +10,7 @@ from tidemark.operators import facts, learn
 from tidemark.operators import text as T
 from tidemark.plans import market, texts
 from tidemark.sources import paged
+from tidemark.streaming import episodes
 
 
 def plan(df) -> str:
@@ -72,3 +73,44 @@ def test_phrases_are_counted_once_for_pruning(spark, data, monkeypatch):
     monkeypatch.setattr(T, "pruned_phrases", lambda terms, factor: (seen.append(terms), terms)[1])
     texts.QUERIES["phrase_prune"](spark, data)
     assert "Aggregate" not in plan(seen[0])
+
+
+def test_calls_into_the_state_do_not_grow_with_the_keys():
+    class Handle:
+        """One value by name, and timers; counts what is asked of it."""
+
+        def __init__(self, held=None, calls=None, name=None):
+            self.held, self.calls, self.name = {} if held is None else held, [] if calls is None else calls, name
+
+        def getValueState(self, name, schema, ttl=None):
+            return Handle(self.held, self.calls, name)
+
+        def get(self):
+            self.calls.append("get")
+            return self.held.get(self.name)
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held[self.name] = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.held.pop(self.name, None)
+
+        def registerTimer(self, at):
+            self.calls.append(at)
+
+        deleteTimer = registerTimer
+
+    gap, keys = 1000, 300
+    for n in (1, keys):
+        handle, job = Handle(), episodes.Episodes(gap)
+        job.init(handle)
+        now = lambda ms: episodes.TimerValues(0, ms)
+        rows = [(0, k, us, us % 7) for us in (9000, 0, 500, 20_000) for k in range(n)]
+        first = list(job.handleInputRows((0,), iter(rows), now(0)))
+        second = list(job.handleInputRows((0,), iter([(0, k, 20_900, None) for k in range(n)]), now(12)))
+        third = list(job.handleExpiredTimer((0,), now(40), None))
+        assert not first and len(second) == 2 * n and len(third) == n
+        assert [tuple(r)[1:] for r in second + third if r[0] == n - 1] == [(0, 500, 2, 2, 2, 0, 0, False), (9000, 9000, 1, 1, 1, 2, 0, True), (20_000, 20_900, 2, 1, 1, 1, 0, True)]
+        assert len(handle.calls) < 20

@@ -7,10 +7,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import on_workers
+from tidemark import on_workers, registry
+from tidemark.plans import streams
 from tidemark.sources import files, paged
 from tidemark.streaming import episodes, windows
 
+from .compare import connect, duck_rows, spark_rows
+
 HOUR = 3_600_000_000
 
 
@@ -131,3 +134,13 @@ def test_every_batch_is_reported(spark, data):
     got = desk.reported(spark, data, 110).collect()
     assert len(got) == 110 and sum(r["rows"] for r in got) == spark.read.parquet(f"{data}/events.parquet").count()
     assert all(r["seconds"] > 0 for r in got)
+
+
+def test_batches_of_many_files(spark, data, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 60)
+    stream = streams.arriving(spark, data, 4)
+    got = []
+    stream.select("event_id", "ts").writeStream.foreachBatch(lambda b, k: got.append([r["event_id"] for r in b.orderBy("ts", "event_id").collect()])).trigger(availableNow=True).start().awaitTermination()
+    events = spark.read.parquet(f"{data}/events.parquet")
+    assert len(got) == 4 and [i for part in got for i in part] == [r["event_id"] for r in events.orderBy("ts", "event_id").collect()]
+    assert spark_rows(streams.stream_episodes(spark, data)) == duck_rows(connect(data), registry.oracle_sql()["stream_episodes"])

@@ -16,15 +16,25 @@ QUERIES, SQL, query = registered()
 _NTZ = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(timestamp_micros({}) as timestamp_ntz))"
 
 
+#: Rows of a file that arrives.
+FILE_ROWS = 500_000
+
+
 def arriving(spark: SparkSession, d: str, batches: int) -> DataFrame:
-    """The events as files that arrive one after the other in order of time, as a stream of a file set a batch."""
+    """The events in order of time, as a stream of a file set a batch: each has as many files as the largest needs, some of them empty."""
     inbox = files.scratch(spark, "arriving")
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     span = e.agg(F.min(micros("ts")).alias("a"), F.max(micros("ts")).alias("b")).first()
     width = (span["b"] - span["a"]) // batches + 1 if span["a"] is not None else 1
+    batch = F.expr(f"({_us('ts')} - {span['a'] or 0}) div {width}")
+    held = {r["k"]: -(-r["n"] // FILE_ROWS) for r in e.groupBy(batch.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect() if r["k"] is not None}
+    most = max(held.values(), default=1)
     for k in range(batches):
-        e.where(F.expr(f"({_us('ts')} - {span['a'] or 0}) div {width} = {k}")).coalesce(1).write.mode("append").parquet(inbox)
-    stream = spark.readStream.schema(windows.EVENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+        own = held.get(k, 1)
+        e.where(batch == k).repartition(own).write.mode("append").parquet(inbox)
+        for _ in range(most - own):
+            e.where("false").coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(windows.EVENTS).option("maxFilesPerTrigger", most).parquet(inbox)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
 
 
