@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 
-from tidemark.operators import facts, learn
+from tidemark.operators import actors, facts, learn
 from tidemark.operators import text as T
 from tidemark.plans import market, texts
 from tidemark.sources import paged
@@ -114,3 +115,23 @@ def test_calls_into_the_state_do_not_grow_with_the_keys():
         assert not first and len(second) == 2 * n and len(third) == n
         assert [tuple(r)[1:] for r in second + third if r[0] == n - 1] == [(0, 500, 2, 2, 2, 0, 0, False), (9000, 9000, 1, 1, 1, 2, 0, True), (20_000, 20_900, 2, 1, 1, 1, 0, True)]
         assert len(handle.calls) < 20
+
+
+@pytest.mark.parametrize("most", [1000, 6, 1])
+def test_no_pair_of_pools_is_shuffled_with_its_members(spark, monkeypatch, most):
+    """Forty pools: members of few and of many, one in all, null ones; with `most` 1 nearly all members are busy."""
+    monkeypatch.setattr(actors, "MOST_POOLS", most)
+    rows = [(k, m) for k in range(40) for m in range(60) if (k * m) % 7 < 3 or m == 5 or (m % 10 == k // 4)] + [(k, None) for k in range(0, 40, 3)] + [(None, 5), (50, 5), (51, 5)]
+    out = actors.overlap(spark.createDataFrame(rows * 2, "pool long, who long"), "pool", "who", 0.4)
+    sets = {k: {m for j, m in rows if j == k} for k, _ in rows if k is not None}
+    want = {}
+    for a in sets:
+        for b in sets:
+            both = len((sets[a] & sets[b]) - {None})
+            union = len(sets[a]) + len(sets[b]) - both
+            if a < b and both / union >= 0.4:
+                want[a, b] = (both, union)
+    assert {(r["a"], r["b"]): (r["both"], r["union"]) for r in out.collect()} == want
+    if most == 1000:
+        # The join on members is the only one with them; what follows has pairs and sizes.
+        assert "row_number" not in plan(out) and len(re.findall(r"Join Inner, .*who#", plan(out))) == 1

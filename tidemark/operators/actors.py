@@ -65,22 +65,43 @@ def concentration(rows: DataFrame, keys: list[str], actor: str) -> DataFrame:
     return s.select(*keys, "actors", "total", hhi.alias("hhi"), (1.0 / hhi).alias("effective"))
 
 
+#: Pools of a member up to which all its pairs of pools are counted where the member is.
+MOST_POOLS = 1000
+
+
 def overlap(pools: DataFrame, key: str, member: str, least: float) -> DataFrame:
     """(a, b, both, union, jaccard) for pairs of pools whose Jaccard similarity is `least` or more.
 
-    With members that few pools have first, such pools share one of their first
-    n - ceil(least n) + 1; a member of very many pools stands last and brings
-    hardly any together. Only pairs found so, of sizes that can do, are compared.
+    Pairs of a member's pools are made where the member is and counted before
+    the shuffle, so no pair goes about with its members. Members of more than
+    MOST_POOLS pools are busy: they stand last in each pool's order, rarest
+    first, and bring two pools together only where both have one among their
+    first n - ceil(least n) + 1; then they are looked up for pairs that with
+    them can still reach `least`.
     """
     p = pools.select(key, member).distinct()
     size = p.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    spread = p.groupBy(member).agg(F.count(F.lit(1)).alias("pools"))
-    need = lambda n: F.ceil(n * least - 1e-9)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("pools", member))
-    first = p.join(spread, member).join(size, key).withColumn("place", place).where(F.col("place") <= F.col("n") - need(F.col("n")) + 1)
-    a, b = (first.select(F.col(key).alias(x), member, F.col("n").alias(f"n{x}")) for x in "ab")
-    near = a.join(b, member).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= need(F.greatest("na", "nb")))).select("a", "b", "na", "nb").distinct()
-    both = near.join(p.select(F.col(key).alias("a"), member), "a").join(p.select(F.col(key).alias("b"), member), ["b", member]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    spread = p.groupBy(member).agg(F.count(F.lit(1)).alias("pools")).where(F.col(member).isNotNull())
+    busy = spread.where(F.col("pools") > MOST_POOLS)
+    any_busy = bool(busy.limit(1).count())
+    sided = lambda df, *more: [df.select(member, F.col(key).alias(x), *[F.col(c).alias(f"{c}{x}") for c in more]) for x in "ab"]
+    a, b = sided(p.join(spread.where(F.col("pools") <= MOST_POOLS), member, "left_semi") if any_busy else p)
+    both = a.join(b, member).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    if any_busy:
+        need = lambda n: F.ceil(n * least - 1e-9)
+        held = p.join(busy, member)
+        own = Window.partitionBy(key)
+        placed = held.join(size, key).withColumns({"held": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("pools", member))})
+        a, b = sided(placed.where(F.col("n") - F.col("held") + F.col("place") <= F.col("n") - need(F.col("n")) + 1), "n")
+        near = a.join(b, member).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= need(F.greatest("na", "nb")))).select("a", "b")
+        have = held.groupBy(key).agg(F.count(F.lit(1)).alias("held")).join(size, key)
+        a, b = (have.select(F.col(key).alias(x), F.col("n").alias(f"n{x}"), F.col("held").alias(f"held{x}")) for x in "ab")
+        reach = F.col("both") + F.least("helda", "heldb")
+        open_ = both.join(a, "a").join(b, "b").where(reach >= least * (F.col("na") + F.col("nb") - reach) - 1e-6).select("a", "b")
+        a, b = sided(held)
+        found = near.unionByName(open_).distinct().join(a, "a").join(b, ["b", member]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+        both = both.unionByName(found).groupBy("a", "b").agg(F.sum("both").alias("both"))
+    both = both.join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
     union = F.col("na") + F.col("nb") - F.col("both")
     return both.select("a", "b", "both", union.alias("union"), (F.col("both").cast("double") / union).alias("jaccard")).where(F.col("jaccard") >= least)
 
