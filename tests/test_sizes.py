@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import random
 import re
+from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import actors, facts, learn
@@ -135,3 +138,58 @@ def test_no_pair_of_pools_is_shuffled_with_its_members(spark, monkeypatch, most)
     if most == 1000:
         # The join on members is the only one with them; what follows has pairs and sizes.
         assert "row_number" not in plan(out) and len(re.findall(r"Join Inner, .*who#", plan(out))) == 1
+
+
+@pytest.mark.parametrize("query", ["promote_terms"])
+def test_phrases_are_shuffled_once(spark, data, query):
+    steps = texts.QUERIES[query](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(", steps)) == 1
+
+
+PIECES = "The the Para 9para a1b 12abc x ab \u212aelvin \u0130stanbul caf\u00e9bar foo Foo fOO_bar bar-baz new\nline 1a2 1ab2c \u4e2dabc que quedo lasso".split(" ")
+
+
+def odd_texts(n: int) -> list[str | None]:
+    r = random.Random(7)
+    return [None if k % 97 == 0 else "" if k % 89 == 0 else r.choice([" ", "", ", ", "9", " \n"]).join(r.choice(PIECES) for _ in range(r.randint(0, 30))) for k in range(n)]
+
+
+def terms_of(text: str | None) -> set[str]:
+    w = [t for t in map(str.lower, re.findall(T.TOKEN, text or "")) if t not in T.STOP_WORDS]
+    return {*w, *map(" ".join, zip(w, w[1:]))}
+
+
+def plain_counts(rows: list[tuple]) -> set[tuple]:
+    seen = defaultdict(lambda: (set(), set(), set()))
+    for k, text, source, recent in rows:
+        for t in terms_of(text) if recent is not None else ():
+            seen[t][0 if recent else 1].add(k)
+            if recent and source is not None:
+                seen[t][2].add(source)
+    return {(t, len(new), len(old), len(sources)) for t, (new, old, sources) in seen.items() if len(new) >= 2}
+
+
+@pytest.mark.parametrize("sources, size", [(7, 1 << 24), (7, 500)])
+def test_phrase_counts_of_odd_texts(spark, monkeypatch, sources, size):
+    monkeypatch.setattr(T, "BLOCK", size, raising=False)
+    rows = [(k, t, None if k % 31 == 0 else f"s{k % sources}", None if k % 41 == 0 else k % 3 == 0) for k, t in enumerate(odd_texts(600))]
+    df = spark.createDataFrame(rows, "k long, t string, s string, recent boolean").repartition(3)
+    got = T.phrase_counts(df, "k", "t", "s", df["recent"], 2).collect()
+    assert len(got) == len({r["term"] for r in got}) and {tuple(r) for r in got} == plain_counts(rows)
+
+
+def test_a_term_is_one_row_a_block(monkeypatch):
+    texts_ = [t for t in odd_texts(300) if t]
+    n = len(texts_)
+    batch = pa.RecordBatch.from_pydict({"text": texts_, "part": pa.nulls(n, pa.string()), "recent": [k % 2 for k in range(n)], "past": [1 - k % 2 for k in range(n)], "bit": [1 << k % 5 for k in range(n)]})
+    blocks = list(T.text_blocks(iter([batch.slice(0, 40), batch.slice(40)]), 2000))
+    assert len(blocks) > 3 and pa.Table.from_batches(blocks).equals(pa.Table.from_batches([batch]).combine_chunks())
+    whole = pa.Table.from_batches(T.block_counts(batch)).to_pydict()
+    assert len(whole["term"]) == len(set(whole["term"])) and set(whole["term"]) == set().union(*map(terms_of, texts_))
+    # Blocks whose numbers would not fit are halved.
+    monkeypatch.setattr(T, "MOST_PLACES", 1000)
+    total = defaultdict(lambda: [0, 0, 0])
+    for r in pa.Table.from_batches(T.block_counts(batch)).to_pylist():
+        t = total[r["term"]]
+        t[:] = t[0] + r["n_recent"], t[1] + r["n_past"], t[2] | r["bits"]
+    assert dict(total) == {t: list(c) for t, *c in zip(*(whole[c] for c in ("term", "n_recent", "n_past", "bits")))}
