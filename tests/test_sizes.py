@@ -140,7 +140,7 @@ def test_no_pair_of_pools_is_shuffled_with_its_members(spark, monkeypatch, most)
         assert "row_number" not in plan(out) and len(re.findall(r"Join Inner, .*who#", plan(out))) == 1
 
 
-@pytest.mark.parametrize("query", ["promote_terms"])
+@pytest.mark.parametrize("query", ["promote_terms", "term_counts"])
 def test_phrases_are_shuffled_once(spark, data, query):
     steps = texts.QUERIES[query](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(", steps)) == 1
@@ -169,7 +169,7 @@ def plain_counts(rows: list[tuple]) -> set[tuple]:
     return {(t, len(new), len(old), len(sources)) for t, (new, old, sources) in seen.items() if len(new) >= 2}
 
 
-@pytest.mark.parametrize("sources, size", [(7, 1 << 24), (7, 500)])
+@pytest.mark.parametrize("sources, size", [(7, 1 << 24), (7, 500), (90, 500)])
 def test_phrase_counts_of_odd_texts(spark, monkeypatch, sources, size):
     monkeypatch.setattr(T, "BLOCK", size, raising=False)
     rows = [(k, t, None if k % 31 == 0 else f"s{k % sources}", None if k % 41 == 0 else k % 3 == 0) for k, t in enumerate(odd_texts(600))]
