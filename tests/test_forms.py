@@ -100,6 +100,12 @@ def test_terms_anywhere_equal_plain_search(spark, monkeypatch, begins):
         assert got[i] == plain_topics(d, dictionary), i
 
 
+@pytest.mark.parametrize("begins", [2000, 0])
+def test_a_dictionary_too_large_to_send_finds_the_same(spark, monkeypatch, begins):
+    monkeypatch.setattr(text, "MOST_BROADCAST", 3)
+    test_terms_anywhere_equal_plain_search(spark, monkeypatch, begins)
+
+
 def test_every_stage_has_its_case(spark):
     from tidemark.operators import ranking
 

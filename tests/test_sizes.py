@@ -50,6 +50,31 @@ def test_stretches_are_not_shuffled_to_the_few_beginnings(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "a", "explicit", 1)]
 
 
+def test_a_text_is_gone_through_once_for_all_terms(spark):
+    docs = spark.createDataFrame([(1, "the heath \u00e9"), (2, None)], "id long, t string")
+    dictionary = spark.createDataFrame([("a", "the", True, None, "b"), ("b", "\u00e9", None, "heath", None)], "topic string, term string, inside boolean, context string, parent string")
+    out = T.match_anywhere(docs, dictionary, "id", "t")
+    assert {tuple(r) for r in out.collect()} == {(1, "a", "explicit", 1), (1, "b", "explicit", 1)}
+    # No row for a stretch or a place, one pass over the texts, and one shuffle of what was found.
+    steps = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Generate" not in steps and steps.count("MapInArrow") == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(id#", steps)) == 1
+
+
+def test_terms_of_a_trie_equal_a_plain_search(monkeypatch):
+    monkeypatch.setattr(T, "STEP", 50)
+    r = random.Random(3)
+    made = ["".join(r.choice("ab1 \u00e9\u4e2d") for _ in range(r.choice([1, 1, 2, 3, 5, 9, 40]))) for _ in range(200)]
+    rows = [None if k % 17 == 0 else "".join(r.choice([*"ab1 -\u00e9\u4e2d", *made[:5]]) for _ in range(r.choice([0, 1, 5, 60, 300]))) for k in range(150)]
+    for some in (made, made[:3], ["b"], ["ab1"], []):
+        terms = sorted({t.encode() for t in some})
+        trie = T.Trie(terms)
+        for text in (pa.array(rows, pa.string()), pa.array(rows, pa.string()).slice(7, 60), pa.array([None, ""], pa.string())):
+            want = {(k, i, bool(re.search(rf"(?<![A-Za-z0-9]){re.escape(t.decode())}(?![A-Za-z0-9])", x))) for k, x in enumerate(text.to_pylist()) for i, t in enumerate(terms) if t.decode() in (x or "")}
+            got = list(zip(*(x.tolist() for x in T.terms_in(text, trie)), strict=True))
+            assert len(got) == len(want) and set(got) == want
+
+
 def test_character_grams_in_one_pass(spark):
     df = spark.createDataFrame([("a\n😀bc",), ("ab",), ("abc",), (None,)], "t string")
     out = df.select(T.char_grams(df["t"], 3).alias("g"))
