@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
+from tidemark.operators import facts
 from tidemark.operators.facts import clusters, quantities, skeleton, with_facts
 from tidemark.operators.text import prune_substrings, span_grams
 from tidemark.plans import texts
@@ -94,6 +97,62 @@ def test_clusters_by_text_link_and_day(spark):
     assert {r["seq"]: r["cluster"] for r in out.collect()} == {1: 0, 2: 1, 3: 0, 4: 2, 5: 2, 6: 3, 7: 3}
 
 
+def test_a_cluster_is_joined_however_old(spark):
+    """2100 other groups of the key stand between a text and its repeat, and between it and one that is alike."""
+    data = [(k, f"{k:04d}", 0, False) for k in range(2100)] + [(2200, "0000", 1, False), (2201, "00000", 0, True), (2202, "0777", 0, True)]
+    out = clusters(spark.createDataFrame([("k", *r) for r in data], "key string, seq int, text string, day int, acts boolean"), ["key"], ["seq"], "text", day="day", alike="acts")
+    got = {r["seq"]: r["cluster"] for r in out.collect()}
+    assert got == plain_clusters([("k", *r, None) for r in data])
+    assert got[2200] == 0 and len(set(got.values())) == 2100
+
+
+def plain_clusters(rows, least=0.72):
+    """(key, seq, text, day, alike, link) in order, one after the other, all groups held."""
+    out, keys = {}, {}
+    for key, seq, text, day, may, link in sorted(rows, key=lambda r: r[1]):
+        groups, by_text, by_link = keys.setdefault(key, ([], {}, {}))
+        text = text or ""
+        known = [k for k in (by_text.get(text), by_link.get(link) if link else None) if k is not None]
+        if may:
+            known += [n for n, (first, then) in enumerate(groups) if then == day and difflib.SequenceMatcher(None, first, text, autojunk=False).ratio() >= least]
+        hit = max(known, default=len(groups))
+        if hit == len(groups):
+            groups.append((text, day))
+        by_text[text] = max(hit, by_text.get(text, -1))
+        if link:
+            by_link[link] = max(hit, by_link.get(link, -1))
+        out[seq] = hit
+    return out
+
+
+@pytest.mark.parametrize("held, compared", [(1024, 4096), (3, 5)])
+@pytest.mark.parametrize("linked", [False, True])
+def test_clusters_equal_a_plain_run(spark, monkeypatch, held, compared, linked):
+    """Null keys, days, texts and links, equal and empty texts, chains of links; blocks of three first texts and parts of five rows."""
+    monkeypatch.setattr(facts, "HELD", held)
+    monkeypatch.setattr(facts, "COMPARED", compared)
+    r = random.Random(5)
+    texts_ = [None, "", "a", "é中文", *("".join(r.choice("ab中") for _ in range(r.randint(2, 12))) for _ in range(60))]
+    links = [None, None, None, "", *(f"u{k}" for k in range(15))] if linked else [None]
+    rows = [(r.choice([None, "k", "k", "j"]), seq, r.choice(texts_), r.choice([None, 1, 1, 2]), r.choice([True, True, True, False, None]), r.choice(links)) for seq in range(400)]
+    df = spark.createDataFrame(rows, "key string, seq int, text string, place int, acts boolean, link string").repartition(3)
+    out = clusters(df, ["key"], ["seq"], "text", day="place", link="link" if linked else None, alike="acts").collect()
+    assert len(out) == len(rows) and {r["seq"]: r["cluster"] for r in out} == plain_clusters(rows)
+
+
+def test_first_texts_that_are_alike(monkeypatch):
+    monkeypatch.setattr(facts, "HELD", 8)
+    r = random.Random(8)
+    texts_ = ["", "a", *("".join(r.choice("abc中文") for _ in range(r.randint(1, 9))) for _ in range(120))]
+    known = facts.Firsts(0.6)
+    for k, t in enumerate(texts_):
+        known.add(t, k)
+    for t in texts_:
+        for since, until in ((0, len(texts_)), (5, 60), (7, 7)):
+            want = [k for k in range(since, until) if difflib.SequenceMatcher(None, texts_[k], t, autojunk=False).ratio() >= 0.6]
+            assert known.newest(t, since, until) == max(want, default=None)
+
+
 def test_phrases_of_spans(spark):
     got = spark.createDataFrame([("固态电池的 AB",), ("公司液冷",), ("长长长长长长长长长长",), ("",), (None,)], "t string").select(span_grams(F.col("t")).alias("g")).collect()
     assert sorted(got[0]["g"]) == sorted(["固态", "态电", "电池", "固态电", "态电池", "固态电池"])
