@@ -71,6 +71,21 @@ def test_facts_of_clauses(spark):
     ]
 
 
+def test_facts_without_mentions(spark):
+    """The same as all facts without mentions, places too; clauses behind the last that may be more are not looked at."""
+    words = [w for p in facts.ACTIONS.values() for w in p.split("|")]
+    r = random.Random(4)
+    pieces = [*words, "股东大会1亿元通知", "３股东大会通知", "<share:3>东大会通知", "订 单", "订单", "1,000万元 合同", "1000万元合同", "<cny10000000>合同", "plain words", "GW", "3家产 品", "会议资料", "董事会决议", "。", "，", "\n", "但是", " "]
+    rows = [(k, "".join(r.choice(pieces) for _ in range(r.randrange(14)))) for k in range(300)] + [(300, None), (301, ""), (302, "plain. words"), (303, "合同, plain words, and more, and more")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    fields = lambda out: sorted(str(tuple(x)) for x in out.collect())
+    want = fields(facts.fact_rows(df, "t").where("event_class <> 'mention'"))
+    assert len(want) > 300 and fields(facts.fact_rows(df, "t", mentions=False)) == want
+    assert facts._told(df.where("k >= 301"), "t", "told", mentions=False).selectExpr("size(told) AS n").collect() == [(0,), (0,), (1,)]
+    for pattern in (*words, "东大会", "董事会", "会议资料", "制度修订", "章程修订", "东名册", "法律意见书"):
+        assert set(pattern) & set(facts.SIGNS)
+
+
 def test_all_numbers_and_actions_of_a_clause(spark):
     f = with_facts(spark.createDataFrame([("订单1万 2万 3万 4万 5万 6万和产能价格",)], "t string"), "t", "f").first()["f"]
     assert [(x["actions"], len(x["numbers"])) for x in f] == [(["order", "capacity", "price"], 6)]
